@@ -349,12 +349,12 @@ def ece_bins(spark, sf):
 @query(
     "calibration_error",
     f"""WITH {EVENT_SQL}, {bins_sql("E")}, N AS (SELECT count(*) AS n, avg((y_prob - y_true) ** 2) AS brier FROM E)
-SELECT round(any_value(brier), 8) AS brier_score,
-  round(sum((B.n / N.n) * abs(pos / B.n - s / B.n)), 8) AS expected_calibration_error FROM B, N""",
+SELECT round(any_value(brier), 7) AS brier_score,
+  round(sum((B.n / N.n) * abs(pos / B.n - s / B.n)), 7) AS expected_calibration_error FROM B, N""",
 )
 def calibration_error(spark, sf):
     out = K.calibration_error(calibration_cells(event_frame(spark, sf)))
-    return out.select(*[F.round(c, 8).alias(c) for c in ("brier_score", "expected_calibration_error")])
+    return out.select(*[F.round(c, 7).alias(c) for c in ("brier_score", "expected_calibration_error")])
 
 
 @query(
