@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["metric_core", "units_groups", "screening", "ordering", "resampling"]
+MODULES = ["metric_core", "units_groups", "screening", "ordering", "resampling", "governance", "reporting"]
 
 
 def load() -> None:

@@ -277,12 +277,13 @@ def nearest_match(spark, sf):
 
 @query(
     "worst_groups",
-    f"""{SPARSE_SQL} SELECT grp, (tpr + tnr) / 2.0 AS balanced_accuracy, tpr, n AS sample_size FROM R
-WHERE n >= 20 AND tp + fn >= 5 AND tn + fp >= 5 ORDER BY balanced_accuracy NULLS LAST, grp LIMIT 3""",
+    f"""WITH {DOC_SQL}, DX AS (SELECT * REPLACE (source AS grp) FROM D), {cells_sql("DX")}, {rates_sql()}
+SELECT grp, (tpr + tnr) / 2.0 AS balanced_accuracy, tpr, n AS sample_size FROM R
+WHERE n >= 8 AND tp + fn >= 3 AND tn + fp >= 3 ORDER BY balanced_accuracy NULLS LAST, grp LIMIT 3""",
 )
 def worst_groups(spark, sf):
-    cells = confusion_cells(with_intersection(document_frame(spark, sf), INTERSECTION))
-    return K.worst_groups(M.subgroup_table(cells, M.Gates(20, 5, 5)))
+    cells = confusion_cells(document_frame(spark, sf).withColumn("grp", F.col("source")))
+    return K.worst_groups(M.subgroup_table(cells, M.Gates(8, 3, 3)))
 
 
 @query(

@@ -324,7 +324,7 @@ P_RE = r"""([\s"\''(=]|^)((?:[a-zA-Z]:[\\/]|/(?:home|Users))[a-zA-Z0-9_\\/.-]+)"
 def _hygiene_sql(name: str, keys: str, text: str) -> str:
     return f"""WITH X AS (SELECT {keys}, list_sort(list_distinct(regexp_extract_all({text}, '{E_RE}'))) AS e,
   list_sort(list_distinct(list_filter(regexp_extract_all({text}, '{P_RE}', 2),
-    p -> NOT (p LIKE '%..' OR lower(p) LIKE '%placeholder%')))) AS p,
+    lambda q: NOT (q LIKE '%..' OR lower(q) LIKE '%placeholder%')))) AS p,
   list_sort(list_distinct(regexp_extract_all({text}, '{S_RE}'))) AS s FROM {name})
 SELECT {keys}, array_to_string(e, '|') AS emails, array_to_string(p, '|') AS local_paths,
   array_to_string(s, '|') AS secrets, CAST(len(e) + len(p) + len(s) AS INT) AS total_found,

@@ -139,12 +139,20 @@ def _first_failing(status: Column) -> Column:
     return F.min_by(status, F.when(status.isNotNull(), F.col("grp")))
 
 
-def disparity_wide(cells: DataFrame, gates: Gates = Gates(), by: tuple[str, ...] = (), weighted: bool = False) -> DataFrame:
+def disparity_wide(
+    cells: DataFrame,
+    gates: Gates = Gates(),
+    by: tuple[str, ...] = (),
+    weighted: bool = False,
+    keep: dict[str, Column] | None = None,
+) -> DataFrame:
     """All five disparities of each ``by`` key from one aggregation over group rows.
 
     Columns come in pairs ``dp_value, dp_status`` .. ``di_value, di_status`` plus
-    ``groups``, ``min_n`` and ``selection_rates`` (a map).
+    ``groups``, ``min_n`` and ``selection_rates`` (a map). ``keep`` adds further aggregates of
+    the same pass.
     """
+    keep = keep or {}
     g = with_rates(cells)
     if weighted:
         # an all-zero weight gives a defined rate of zero in the weighted path
@@ -180,6 +188,7 @@ def disparity_wide(cells: DataFrame, gates: Gates = Gates(), by: tuple[str, ...]
         _first_failing(odds_fail).alias("__odds_fail"),
         _first_failing(pp_fail).alias("__pp_fail"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("grp", "selection_rate")))).alias("__rates"),
+        *[c.alias(name) for name, c in keep.items()],
     )
     few = F.col("groups") < 2
 
@@ -228,6 +237,7 @@ def disparity_wide(cells: DataFrame, gates: Gates = Gates(), by: tuple[str, ...]
         )
         .otherwise(F.col("__rates"))
         .alias("selection_rates"),
+        *keep,
     )
 
 

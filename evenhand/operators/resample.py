@@ -183,67 +183,72 @@ def cluster_replicates_cells(
 
 # --- intervals ---------------------------------------------------------------------------------------
 
+#: Why a replicate can drop out of a metric.
+DISCARD_REASONS = [
+    V.MISSING_SENSITIVE, V.INSUFFICIENT_GROUP, V.ZERO_POSITIVE, V.ZERO_NEGATIVE, V.UNDEFINED, V.UNSTABLE_RATIO,
+    "NAN_VALUE", "UNSTABLE_OR_EXTREME_RATIO", "EMPTY_GROUP_IN_SAMPLE", "ZERO_POSITIVES_IN_SAMPLE",
+]
+
+
+def _group_rows(groups: Column) -> Column:
+    """Two metric rows (selection rate, TPR) per group of a ``grp, selection_rate, tpr`` list."""
+
+    def rows(g: Column) -> Column:
+        return F.array(
+            F.struct(
+                F.concat(F.lit("Selection Rate ("), g["grp"], F.lit(")")).alias("metric"),
+                g["selection_rate"].alias("value"),
+                F.when(g["selection_rate"].isNull(), "EMPTY_GROUP_IN_SAMPLE").alias("reason"),
+            ),
+            F.struct(
+                F.concat(F.lit("TPR ("), g["grp"], F.lit(")")).alias("metric"),
+                g["tpr"].alias("value"),
+                F.when(g["tpr"].isNull(), "ZERO_POSITIVES_IN_SAMPLE").alias("reason"),
+            ),
+        )
+
+    return F.flatten(F.transform(groups, rows))
+
+
+def _group_list() -> dict[str, Column]:
+    return {"__groups": F.collect_list(F.struct("grp", "selection_rate", "tpr"))}
+
+
 def replicate_metrics(replicates: DataFrame) -> DataFrame:
-    """``b, metric, value, reason``: value of every collected metric, or why it was dropped."""
-    wide = disparity_wide(replicates, Gates(2), by=("b",))
+    """``b, metric, value, reason``: value of every collected metric, or why it was dropped.
+    One aggregation per replicate feeds all of them."""
+    wide = disparity_wide(replicates, Gates(2), by=("b",), keep=_group_list())
 
     def row(name: str, short: str) -> Column:
         value, status = F.col(f"{short}_value"), F.col(f"{short}_status")
+        ok = (status == V.VALID) & value.isNotNull()
+        broken = "NAN_VALUE"
         if short == "di":
-            ok = (status == V.VALID) & value.isNotNull() & (value <= V.DI_RATIO_CEILING)
-            reason = F.when(status != V.VALID, status).when(~ok, "UNSTABLE_OR_EXTREME_RATIO")
-        else:
-            ok = (status == V.VALID) & value.isNotNull()
-            reason = F.when(status != V.VALID, status).when(~ok, "NAN_VALUE")
-        return F.struct(F.lit(name).alias("metric"), F.when(ok, value).alias("value"), reason.alias("reason"))
-
-    overall = wide.select(
-        "b", F.inline(F.array(row(V.EODDS, "eodds"), row(V.DP, "dp"), row(V.DIR, "di")))
-    )
-    per = with_rates(replicates).select(
-        "b",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.concat(F.lit("Selection Rate ("), F.col("grp"), F.lit(")")).alias("metric"),
-                    F.col("selection_rate").alias("value"),
-                    F.when(F.col("selection_rate").isNull(), "EMPTY_GROUP_IN_SAMPLE").alias("reason"),
-                ),
-                F.struct(
-                    F.concat(F.lit("TPR ("), F.col("grp"), F.lit(")")).alias("metric"),
-                    F.col("tpr").alias("value"),
-                    F.when(F.col("tpr").isNull(), "ZERO_POSITIVES_IN_SAMPLE").alias("reason"),
-                ),
-            )
-        ),
-    )
-    return overall.unionByName(per)
+            ok = ok & (value <= V.DI_RATIO_CEILING)
+            broken = "UNSTABLE_OR_EXTREME_RATIO"
+        return F.struct(
+            F.lit(name).alias("metric"),
+            F.when(ok, value).alias("value"),
+            F.when(status != V.VALID, status).when(~ok, broken).alias("reason"),
+        )
+
+    overall = F.array(row(V.EODDS, "eodds"), row(V.DP, "dp"), row(V.DIR, "di"))
+    return wide.select("b", F.inline(F.concat(overall, _group_rows(F.col("__groups")))))
 
 
 def point_estimates(cells: DataFrame, min_group_size: int = 5) -> DataFrame:
-    wide = disparity_wide(cells, Gates(min_group_size))
-    overall = wide.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("metric"), F.col(f"{s}_value").alias("point_estimate"))
-                    for n, s in ((V.EODDS, "eodds"), (V.DP, "dp"), (V.DIR, "di"))
-                ]
+    wide = disparity_wide(cells, Gates(min_group_size), keep=_group_list())
+    overall = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("metric"), F.col(f"{s}_value").alias("value"), F.col(f"{s}_status").alias("reason")
             )
-        )
+            for n, s in ((V.EODDS, "eodds"), (V.DP, "dp"), (V.DIR, "di"))
+        ]
     )
-    per = with_rates(cells).select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.concat(F.lit("Selection Rate ("), F.col("grp"), F.lit(")")).alias("metric"),
-                    F.col("selection_rate").alias("point_estimate"),
-                ),
-                F.struct(F.concat(F.lit("TPR ("), F.col("grp"), F.lit(")")).alias("metric"), F.col("tpr").alias("point_estimate")),
-            )
-        )
+    return wide.select(F.inline(F.concat(overall, _group_rows(F.col("__groups"))))).select(
+        "metric", F.col("value").alias("point_estimate")
     )
-    return overall.unionByName(per)
 
 
 def intervals(
@@ -261,29 +266,26 @@ def intervals(
     """
     tail = (1.0 - level) / 2.0
     agg = metrics.groupBy("metric").agg(
-        F.count("value").cast("bigint").alias("successful"),
+        F.count("value").alias("successful"),
         F.percentile("value", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("q"),
         F.count("reason").alias("flagged"),
+        F.map_from_arrays(
+            F.array(*[F.lit(r) for r in DISCARD_REASONS]),
+            F.array(*[count_where(F.col("reason") == r) for r in DISCARD_REASONS]),
+        ).alias("reasons"),
     )
-    reasons = (
-        metrics.filter(F.col("reason").isNotNull())
-        .groupBy("metric", "reason")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .groupBy("metric")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "k")))).alias("discard_reasons"))
-    )
-    out = point_estimates(cells, min_group_size).join(agg, "metric", "left").join(reasons, "metric", "left")
+    out = point_estimates(cells, min_group_size).join(agg, "metric", "left")
     ok_n = F.coalesce("successful", F.lit(0)).cast("bigint")
     fraction = ok_n / F.lit(max(replicates, 1))
     few_clusters = F.lit(clusters is not None and clusters < 5)
     thin = few_clusters | (fraction < min_valid_fraction) | (ok_n < 10)
     absent = F.lit(replicates) - ok_n - F.coalesce("flagged", F.lit(0))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    absent_reason = F.when(F.startswith("metric", F.lit("TPR")), "ZERO_POSITIVES_IN_SAMPLE").otherwise("EMPTY_GROUP_IN_SAMPLE")
-    merged = F.map_zip_with(
-        F.coalesce("discard_reasons", empty),
-        F.when(absent > 0, F.create_map(absent_reason, absent.cast("bigint"))).otherwise(empty),
-        lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    no_row = F.when(F.startswith("metric", F.lit("TPR")), "ZERO_POSITIVES_IN_SAMPLE").otherwise("EMPTY_GROUP_IN_SAMPLE")
+    zeros = F.map_from_arrays(
+        F.array(*[F.lit(r) for r in DISCARD_REASONS]), F.array(*[F.lit(0).cast("bigint") for _ in DISCARD_REASONS])
+    )
+    counted = F.transform_values(
+        F.coalesce("reasons", zeros), lambda k, v: v + F.when(k == no_row, absent).otherwise(F.lit(0))
     )
     return out.select(
         "metric",
@@ -295,7 +297,7 @@ def intervals(
         (F.lit(replicates) - ok_n).alias("discarded"),
         (1.0 - fraction).alias("discard_fraction"),
         fraction.alias("valid_fraction"),
-        merged.alias("discard_reasons"),
+        F.map_filter(counted, lambda _, v: v > 0).alias("discard_reasons"),
         F.when(thin, V.INSUFFICIENT_BOOTSTRAP).otherwise(V.VALID).alias("support_status"),
     )
 
