@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["metric_core", "units_groups", "screening", "ordering", "resampling", "governance", "reporting"]
+MODULES = [
+    "metric_core", "units_groups", "screening", "ordering", "resampling", "governance", "reporting", "tables", "modelling",
+]
 
 
 def load() -> None:
