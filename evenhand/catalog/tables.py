@@ -42,12 +42,7 @@ def csv_malformed(spark, sf):
     )
     S.write_csv(o, path)
     df = R.read_csv(spark, path, "o_orderkey bigint, o_totalprice double")
-    bad = F.col(R.BAD).isNotNull()
-    # both data columns take part so that the scan parses them
-    return df.agg(
-        F.count(F.when(bad & (F.col("o_totalprice").isNull() | F.col("o_orderkey").isNotNull()), 1)).alias("malformed"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    return R.parse_report(df).select("malformed", "n")
 
 
 @query(

@@ -58,8 +58,8 @@ def _typed(df: DataFrame, f: Features) -> DataFrame:
 
 
 def fit_preprocessor(train: DataFrame, features: Features) -> Preprocessor:
-    """Median + standardise for numbers; most frequent + one-hot for text. An unseen category
-    falls into the dropped last slot, so it is all zeros."""
+    """Median + standardise for numbers; most frequent + one-hot for text. The indexer keeps
+    a last slot for unseen categories and the encoder drops it, so they are all zeros."""
     df = _typed(train, features)
     modes: dict[str, str] = {}
     if features.categorical:
@@ -82,7 +82,7 @@ def fit_preprocessor(train: DataFrame, features: Features) -> Preprocessor:
         hot = [f"__h_{c}" for c in features.categorical]
         stages += [
             StringIndexer(inputCols=cols, outputCols=idx, handleInvalid="keep"),
-            OneHotEncoder(inputCols=idx, outputCols=hot, dropLast=True, handleInvalid="keep"),
+            OneHotEncoder(inputCols=idx, outputCols=hot, dropLast=True),
         ]
         parts += hot
     stages.append(VectorAssembler(inputCols=parts, outputCol="__features"))
