@@ -21,15 +21,19 @@ HOT_SHARE = 0.002
 SALTS = 64
 
 
-def range_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Bucket edges of about equal mass from a mergeable quantile sketch."""
-    probs = [i / buckets for i in range(1, buckets)]
-    if not probs:
-        return []
+def range_profile(df: DataFrame, value: str, buckets: int) -> tuple[int, list[float]]:
+    """Row count and bucket edges of about equal mass, from one pass with a mergeable
+    quantile sketch."""
+    probs = [i / buckets for i in range(1, buckets)] or [0.5]
     row = df.agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, F.lit(20 * buckets)).alias("q")
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(F.col(value).cast("double"), probs, F.lit(20 * buckets)).alias("q"),
     ).first()
-    return sorted({float(q) for q in (row["q"] or [])})
+    return row["n"], sorted({float(q) for q in (row["q"] or [])}) if buckets > 1 else []
+
+
+def range_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
+    return range_profile(df, value, buckets)[1]
 
 
 def with_range_bucket(df: DataFrame, value: str, bounds: Sequence[float], out: str) -> DataFrame:
@@ -56,28 +60,39 @@ def attach(
     keys: Sequence[str],
     how: str = "left",
     limit: int = BROADCAST_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join a lookup table to a big one.
 
     ``small`` is fetched up to ``limit + 1`` rows. If it fits it becomes a local
     relation and the big side is not shuffled. If it does not fit, the join is
-    shuffled with hot keys of the big side salted.
+    shuffled with hot keys of the big side salted. ``counts`` (keys and ``__n``), where the
+    caller has it, saves counting the keys of the big side.
     """
     rows = small.take(limit + 1)
     if len(rows) <= limit:
         local = big.sparkSession.createDataFrame(rows, small.schema)
         return big.join(F.broadcast(local), list(keys), how)
-    return salted_join(big, small, keys, how)
+    return salted_join(big, small, keys, how, counts=counts)
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    salts: int = SALTS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which a key with more than ``HOT_SHARE`` of the big side is spread
-    over ``salts`` tasks and its lookup rows are repeated that often."""
+    over ``salts`` tasks and its lookup rows are repeated that often.
+
+    The salt is the number of the input partition, so a recomputed task salts as before.
+    """
     keys = list(keys)
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = big.agg(F.count(F.lit(1)).alias("__n")).scalar()
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__n")).scalar()
     hot = counts.filter(F.col("__n") > total * HOT_SHARE).select(*keys, F.lit(True).alias("__hot"))
     spread = big.join(F.broadcast(hot), keys, "left").withColumn(
         "__salt",
@@ -171,7 +186,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
         F.col("v").isNotNull() & ~F.isnan("v")
     )
     spark = df.sparkSession
-    n = clean.count()
+    n, bounds = range_profile(clean, "v", default_buckets(df))
     if n == 0:
         return [None for _ in probs]
     wanted = []
@@ -181,7 +196,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
         wanted.append((2 * i, low + 1))
         wanted.append((2 * i + 1, min(low + 2, n)))
     cuts = spark.createDataFrame(wanted, "cut int, rank bigint")
-    binned = with_range_bucket(clean, "v", range_bounds(clean, "v", default_buckets(df)), "bucket")
+    binned = with_range_bucket(clean, "v", bounds, "bucket")
     at = {r["cut"]: r["v"] for r in rank_cuts(binned, cuts, ["bucket", "v"]).collect()}
     out: list[float | None] = []
     for i, p in enumerate(probs):

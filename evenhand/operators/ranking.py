@@ -10,32 +10,39 @@ from pyspark.sql import functions as F
 from evenhand import vocab as V
 from evenhand.functions.expr import digest
 from evenhand.operators.order import (
-    attach, default_buckets, hash_prefix, prefix_sums, range_bounds, rank_cuts, with_range_bucket,
+    attach, default_buckets, hash_prefix, prefix_sums, range_bounds, range_profile, rank_cuts, with_range_bucket,
 )
 
 
-def percent_ranks(df: DataFrame, value: str, out: str = "pct_rank") -> DataFrame:
-    """Average-tie rank divided by the number of non-null values. NULL keeps NULL.
-
-    Ranks are worked out per distinct value and looked up; a value shared by a third of the
-    rows is one row in that table and its lookup is salted.
-    """
-    x = F.col(value).cast("double")
+def _rank_table(df: DataFrame, value: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """Percent rank per distinct value, and how often each value occurs."""
     distinct = (
-        df.filter(x.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+        df.filter(F.col(value).cast("double").isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
     )
     total = distinct.agg(F.sum("__n").alias("n")).scalar()
     ranked = prefix_sums(distinct, value, {"__n": "__upto"}).select(
         value, ((F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2.0) / total).alias(out)
     )
-    return attach(df, ranked, [value])
+    return ranked, distinct
+
+
+def percent_ranks(df: DataFrame, value: str, out: str = "pct_rank") -> DataFrame:
+    """Average-tie rank divided by the number of non-null values. NULL keeps NULL.
+
+    Ranks are worked out per distinct value and looked up; a value shared by a third of the
+    rows is one row in that table and its lookup is salted.
+    """
+    ranked, counts = _rank_table(df, value, out)
+    return attach(df, ranked, [value], counts=counts)
 
 
 def rank_signal(df: DataFrame, weights: dict[str, float], out: str = "signal") -> DataFrame:
-    """Weighted sum of percent ranks."""
+    """Weighted sum of percent ranks. All rank tables come from the plain input, so a lookup
+    never repeats the ones before it."""
     ranked, total = df, None
     for i, (c, w) in enumerate(weights.items()):
-        ranked = percent_ranks(ranked, c, f"__r{i}")
+        table, counts = _rank_table(df, c, f"__r{i}")
+        ranked = attach(ranked, table, [c], counts=counts)
         term = F.col(f"__r{i}") * F.lit(float(w))
         total = term if total is None else total + term
     return ranked.withColumn(out, total).drop(*[f"__r{i}" for i in range(len(weights))])
@@ -55,12 +62,12 @@ def quartile_labels(
         .select(F.col(value).cast("double").alias("v"), digest(row_id).alias("h"))
         .withColumn("p", hash_prefix("h"))
     )
-    n = keyed.count()
+    n, bounds = range_profile(keyed, "v", default_buckets(df))
     if n == 0:
         return df.withColumn(out, F.lit(None).cast("string"))
     ranks = [(k, int(1 + (n - 1) * k / bins)) for k in range(1, bins)]
     cuts = df.sparkSession.createDataFrame(ranks, "cut int, rank bigint")
-    binned = with_range_bucket(keyed, "v", range_bounds(keyed, "v", default_buckets(df)), "b")
+    binned = with_range_bucket(keyed, "v", bounds, "b")
     found = sorted(rank_cuts(binned, cuts, ["b", "v", "p", "h"]).collect(), key=lambda r: r["cut"])
     v, h = F.col(value).cast("double"), digest(row_id)
     expr: Column | None = None

@@ -44,6 +44,24 @@ def _complete(cells: DataFrame, by: tuple[str, ...] = ("b", "grp")) -> DataFrame
     )
 
 
+def _exploded(df: DataFrame, row_id: str, replicates: int) -> DataFrame:
+    """Every row once per replicate. The narrow rows are spread by key first: the work grows by
+    the number of replicates, so it must not sit where the input files happened to be."""
+    narrow = df.select("y_true", "y_pred", row_id).repartition(F.col(row_id))
+    return narrow.select("y_true", "y_pred", row_id, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+
+
+def _label_below(position: Column, ends: list[int], labels: list[str]) -> Column:
+    """Label of the first interval whose end is above the position."""
+    if len(labels) <= 64:
+        expr = F.lit(labels[-1])
+        for end, label in reversed(list(zip(ends, labels))):
+            expr = F.when(position < F.lit(end), F.lit(label)).otherwise(expr)
+        return expr
+    reached = F.filter(F.array(*[F.lit(e).cast("bigint") for e in ends]), lambda e: e <= position)
+    return F.array(*[F.lit(g) for g in labels])[F.size(reached)]
+
+
 # --- replicates: rows inside groups ------------------------------------------------------------
 
 def row_replicates_slots(cells: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
@@ -351,9 +369,7 @@ def permuted_replicates_slots(df: DataFrame, replicates: int, row_id: str = "row
     for i, (_, n) in enumerate(groups[:-1]):
         upto += n
         bounds.append((i, upto))
-    rows = df.select("y_true", "y_pred", row_id).select(
-        "y_true", "y_pred", row_id, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
-    )
+    rows = _exploded(df, row_id, replicates)
     keyed = rows.select("y_true", "y_pred", "b", digest(F.lit(seed), "b", row_id).alias("h")).withColumn(
         "p", hash_prefix("h", 3)
     )
@@ -409,14 +425,9 @@ def random_group_replicates(df: DataFrame, replicates: int, row_id: str = "row_i
     for _, n in groups[:-1]:
         upto += n
         edges.append(upto)
-    rows = df.select("y_true", "y_pred", row_id).select(
-        "y_true", "y_pred", row_id, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
-    )
     u = uniform_index(draw32(F.lit(f"{seed}r"), "b", row_id), F.lit(total))
-    labels = F.array(*[F.lit(g) for g, _ in groups])
-    bounds = F.array(*[F.lit(e).cast("bigint") for e in edges]) if edges else F.array().cast("array<bigint>")
-    dealt = rows.withColumn("u", u).select(
-        "b", "y_true", "y_pred", labels[F.size(F.filter(bounds, lambda e: e <= F.col("u")))].alias("grp")
+    dealt = _exploded(df, row_id, replicates).withColumn("u", u).select(
+        "b", "y_true", "y_pred", _label_below(F.col("u"), edges, [g for g, _ in groups]).alias("grp")
     )
     return confusion_cells(dealt, ("b", "grp"))
 

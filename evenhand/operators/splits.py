@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.expr import digest
-from evenhand.operators.order import attach, default_buckets, hash_prefix, range_bounds, rank_cuts, with_range_bucket
+from evenhand.operators.order import attach, default_buckets, hash_prefix, range_profile, rank_cuts, with_range_bucket
 
 
 class GroupLeakageError(ValueError):
@@ -57,12 +58,17 @@ def group_split(
     df: DataFrame, group: str, seed: int = 42, ratios: tuple[float, float, float] = (0.6, 0.2, 0.2)
 ) -> DataFrame:
     """Groups in digest order; whole groups go to train, val or test."""
-    keyed = df.select(group).distinct().withColumn("h", digest(F.lit(seed), group)).withColumn("p", hash_prefix("h"))
-    n = keyed.count()
-    if n < 3:
-        raise ValueError(f"a three-way group split needs three groups, found {n}")
-    n_train, n_val = split_sizes(n, *ratios, at_least_one=True)
-    first, second = _two_cuts(keyed, n_train, n_val, ["p", "h"])
+    keyed = df.select(group).distinct().select(digest(F.lit(seed), group).alias("h"))
+    # one digest per group is read three times below; it spills to disk if need be
+    keyed = keyed.withColumn("p", hash_prefix("h")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = keyed.count()
+        if n < 3:
+            raise ValueError(f"a three-way group split needs three groups, found {n}")
+        n_train, n_val = split_sizes(n, *ratios, at_least_one=True)
+        first, second = _two_cuts(keyed, n_train, n_val, ["p", "h"])
+    finally:
+        keyed.unpersist()
     h = digest(F.lit(seed), group)
     return df.withColumn("split", _label(h, F.lit(first["h"]), F.lit(second["h"])))
 
@@ -75,9 +81,9 @@ def temporal_split(
     keyed = df.select(
         F.col(ts).alias("t"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), digest(row_id).alias("h")
     ).withColumn("p", hash_prefix("h"))
-    n = keyed.count()
+    n, bounds = range_profile(keyed, "us", default_buckets(df))
     n_train, n_val = split_sizes(n, *ratios, at_least_one=False)
-    binned = with_range_bucket(keyed, "us", range_bounds(keyed, "us", default_buckets(df)), "b")
+    binned = with_range_bucket(keyed, "us", bounds, "b")
     first, second = _two_cuts(binned, n_train, n_val, ["b", "us", "p", "h"])
     if first is None or second is None:
         raise ValueError("not enough rows for three splits")

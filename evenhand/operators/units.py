@@ -181,7 +181,7 @@ def entity_weights(
     (of each ``by`` run)."""
     keys = [*by, entity]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    joined = attach(df, sizes, keys, "inner")
+    joined = attach(df, sizes, keys, "inner", counts=sizes.withColumnRenamed("__rows", "__n"))
     w = F.col(base).cast("double") if base else F.lit(1.0)
     joined = joined.withColumn("__raw", w / F.col("__rows"))
     if base:

@@ -54,7 +54,7 @@ RAW = ["tn", "fp", "fn", "tp"]
 
 
 def prepare(df: DataFrame, config: AuditConfig) -> tuple[DataFrame, str | None, list[str]]:
-    """Unit handling and missing-group policy. Returns frame, weight column and warnings."""
+    """Unit handling. Returns frame, weight column and warnings."""
     warnings: list[str] = []
     weight = config.weight
     custom = config.target_strategy is not None or config.prediction_strategy is not None
@@ -80,16 +80,17 @@ def prepare(df: DataFrame, config: AuditConfig) -> tuple[DataFrame, str | None,
             if weight:
                 warnings.append("row weights do not apply to collapsed entities")
             weight = None
-    return R.apply_missing_policy(df, config.missing_policy), weight, warnings
+    return df, weight, warnings
+
+
+BINS = range(10)
 
 
 def suite_cells(df: DataFrame, config: AuditConfig, weight: str | None) -> DataFrame:
-    """The one grouped scan: counts, weighted cells and score sums per run, group and bin."""
-    by = list(config.by)
+    """The one grouped scan: counts, weighted cells and score sums per run, raw group and bin."""
     y, p = F.col("y_true") == 1, F.col("y_pred") == 1
     w = F.col(weight).cast("double") if weight else F.lit(1)
-    has_score = "y_prob" in df.columns
-    score = F.col("y_prob").cast("double") if has_score else F.lit(None).cast("double")
+    score = F.col("y_prob").cast("double") if "y_prob" in df.columns else F.lit(None).cast("double")
     zero = F.lit(0.0) if weight else F.lit(0)
 
     def cell(cond: Column) -> Column:
@@ -97,26 +98,39 @@ def suite_cells(df: DataFrame, config: AuditConfig, weight: str | None) -> DataF
         return s if weight else s.cast("bigint")
 
     conds = {"tn": ~y & ~p, "fp": ~y & p, "fn": y & ~p, "tp": y & p}
-    return (
+    raw = [count_where(c).alias(f"raw_{k}") for k, c in conds.items()] if weight else []
+    cells = (
         df.withColumn("__bin", ece_bin(score))
-        .groupBy(*by, "grp", "__bin")
+        .groupBy(*config.by, "grp", "__bin")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            *[count_where(c).alias(f"raw_{k}") for k, c in conds.items()],
+            *raw,
             *[cell(c).alias(k) for k, c in conds.items()],
             F.sum(score).alias("score_sum"),
             F.sum((score - F.col("y_true")) * (score - F.col("y_true"))).alias("sq_error"),
         )
     )
+    return cells if weight else cells.select("*", *[F.col(c).alias(f"raw_{c}") for c in RAW])
 
 
 def _group_rows(cells: DataFrame, config: AuditConfig) -> DataFrame:
-    """Cells per run and group with support and calibration."""
+    """Cells per run and group with support and calibration, after the missing-group policy.
+
+    The policy looks at labels only, so it is applied to cells; what it drops or relabels is
+    counted in the same pass.
+    """
     by = list(config.by)
+    missing = R.is_missing_group()
+    tagged = cells.withColumn("__missing", F.when(missing, F.col("n")).otherwise(0)).withColumn(
+        "__out", missing & F.lit(config.missing_policy == "EXCLUDE")
+    )
+    relabel = "REJECT" if config.missing_policy == "EXCLUDE" else config.missing_policy
+    tagged = R.apply_missing_policy(tagged, relabel)
     raw_pos = F.col("raw_fn") + F.col("raw_tp")
     gap = F.when(F.col("__bin").isNotNull(), F.abs(raw_pos - F.col("score_sum"))).otherwise(0.0)
-    g = cells.groupBy(*by, "grp").agg(
+    g = tagged.groupBy(*by, "grp", "__out").agg(
         F.sum("n").alias("n"),
+        F.sum("__missing").alias("__missing"),
         F.sum(raw_pos).alias("pos_n"),
         F.sum(F.col("raw_tn") + F.col("raw_fp")).alias("neg_n"),
         F.sum(F.col("raw_fp") + F.col("raw_tp")).alias("sel_n"),
@@ -125,8 +139,11 @@ def _group_rows(cells: DataFrame, config: AuditConfig) -> DataFrame:
         F.sum("sq_error").alias("sq_error"),
         F.sum("score_sum").alias("score_sum"),
         F.sum(gap).alias("bin_gap"),
+        # signed distance per bin: group distances add up to the distance of the run
+        F.array(
+            *[F.sum(F.when(F.col("__bin") == i, raw_pos - F.col("score_sum")).otherwise(0.0)) for i in BINS]
+        ).alias("bin_distance"),
     )
-    # group bins do not add up to run bins, so run-level ECE keeps the bins of the run
     thin = (
         (F.col("n") < config.min_calibration)
         | (F.col("fn") + F.col("tp") < 5)
@@ -172,33 +189,30 @@ def evaluate(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
     if not by:
         df, by = df.withColumn("run", F.lit("all")), ["run"]
     cfg = AuditConfig(**{**config.__dict__, "by": tuple(by)})
-    missing = df.groupBy(*by).agg(
-        count_where(R.is_missing_group()).alias("missing_count"), F.count(F.lit(1)).alias("rows_in")
-    )
     frame, weight, warnings = prepare(df, cfg)
-    cells = suite_cells(frame, cfg, weight)
-    groups = _group_rows(cells, cfg)
-    run_bins = cells.groupBy(*by, "__bin").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("raw_fn") + F.col("raw_tp")).alias("pos"),
-        F.sum("score_sum").alias("s"),
-        F.sum("sq_error").alias("e"),
-    )
-    gap = F.when(F.col("__bin").isNotNull(), F.abs(F.col("pos") - F.col("s"))).otherwise(0.0)
-    calibration = run_bins.groupBy(*by).agg(
-        (F.sum("e") / F.sum("n")).alias("run_brier"),
-        F.when(F.count("s") > 0, F.sum(gap) / F.sum("n")).alias("run_ece"),
-    )
+    groups = _group_rows(suite_cells(frame, cfg, weight), cfg)
+    if cfg.missing_policy == "EXCLUDE":
+        # the counts of dropped groups stay with their run
+        dropped = groups.groupBy(*by).agg(F.sum("__missing").alias("missing_count"), F.sum("n").alias("rows_in"))
+        groups = groups.filter(~F.col("__out"))
+    distance = [F.sum(F.col("bin_distance")[i]) for i in BINS]
     keep = {
         "n": F.sum("n"),
         **{c: F.sum(c) for c in RAW},
         **{f"raw_{c}": F.sum(f"raw_{c}") for c in RAW},
         "subgroups": F.array_sort(F.collect_list(subgroup_struct(cfg.gates))),
+        "run_brier": F.sum("sq_error") / F.sum("n"),
+        "run_ece": F.when(
+            F.count("score_sum") > 0, F.aggregate(F.array(*distance), F.lit(0.0), lambda acc, d: acc + F.abs(d)) / F.sum("n")
+        ),
     }
-    wide = M.disparity_wide(groups, cfg.gates, tuple(by), weighted=weight is not None, keep=keep)
-    out = wide.join(calibration, by).join(missing, by, "left")
+    if cfg.missing_policy != "EXCLUDE":
+        keep |= {"missing_count": F.sum("__missing"), "rows_in": F.sum("n")}
+    out = M.disparity_wide(groups, cfg.gates, tuple(by), weighted=weight is not None, keep=keep)
+    if cfg.missing_policy == "EXCLUDE":
+        out = out.join(dropped, by, "left")
     if cfg.with_auc and "y_prob" in frame.columns:
-        auc = roc_auc(frame, tuple(by)).withColumnRenamed("status", "auc_status")
+        auc = roc_auc(R.apply_missing_policy(frame, cfg.missing_policy), tuple(by)).withColumnRenamed("status", "auc_status")
         out = out.join(auc, by, "left")
     else:
         out = out.withColumn("roc_auc", F.lit(None).cast("double")).withColumn("auc_status", F.lit(V.VALID))
@@ -311,6 +325,7 @@ def attach_uncertainty(suites: DataFrame, df: DataFrame, config: AuditConfig) ->
     As in the evaluation itself, fewer than two groups give no intervals.
     """
     frame, _, _ = prepare(df, config)
+    frame = R.apply_missing_policy(frame, config.missing_policy)
     if config.resampling == "CLUSTER_BOOTSTRAP":
         if not config.cluster:
             raise ValueError("cluster resampling needs a cluster column")

@@ -305,44 +305,44 @@ def decide(suites: DataFrame, policies: Sequence[Policy] | None = None) -> DataF
     def lacks(*words: str) -> Column:
         return ~F.exists("__codes", lambda c: c.rlike("|".join(words)))
 
-    frame = frame.withColumn("__codes", codes).withColumn("decision", decision)
+    frame = frame.withColumns(
+        {
+            "__codes": codes,
+            "decision": decision,
+            "violation_count": F.size(violations),
+            "abstention_count": F.size(abstentions),
+            "is_degenerate": degenerate,
+            "is_useful": ~degenerate
+            & F.coalesce(F.col("balanced_accuracy") >= F.col("policy.min_balanced_accuracy"), F.lit(False)),
+            "is_fair": ~F.exists("checks", lambda c: c["fairness"] & (c["effect"] == "violation")),
+        }
+    )
+    d = F.col("decision")
     final_codes = (
         F.when(
-            (F.col("decision") == "POLICY_UNDEFINED") & lacks("INSUFFICIENT", "MISSING", "UNSTABLE"),
+            (d == "POLICY_UNDEFINED") & lacks("INSUFFICIENT", "MISSING", "UNSTABLE"),
             F.concat(F.array(F.lit("INSUFFICIENT_EVIDENCE_ABSTENTION")), "__codes"),
         )
         .when(
-            (F.col("decision") == "POLICY_NONCOMPLIANT") & lacks("THRESHOLD", "VIOLATION", "BELOW"),
+            (d == "POLICY_NONCOMPLIANT") & lacks("THRESHOLD", "VIOLATION", "BELOW"),
             F.concat(F.array(F.lit("POLICY_THRESHOLD_VIOLATION")), "__codes"),
         )
-        .when(F.col("decision") == "POLICY_COMPLIANT", F.concat("__codes", F.array(F.lit("ALL_POLICY_RULES_SATISFIED"))))
+        .when(d == "POLICY_COMPLIANT", F.concat("__codes", F.array(F.lit("ALL_POLICY_RULES_SATISFIED"))))
         .otherwise(F.col("__codes"))
     )
-    d = F.col("decision")
-    return (
-        frame.withColumn("reason_codes", final_codes)
-        .withColumn("violation_count", F.size(violations))
-        .withColumn("abstention_count", F.size(abstentions))
-        .withColumn(
-            "evidence_state",
-            F.when(d == "POLICY_COMPLIANT", "PASS").when(d == "POLICY_UNDEFINED", "INSUFFICIENT_EVIDENCE").otherwise("FAIL"),
-        )
-        .withColumn(
-            "evidence_strength",
-            F.when(d == "POLICY_DEGENERATE", "DEGENERATE_PREDICTOR")
+    return frame.withColumns(
+        {
+            "reason_codes": final_codes,
+            "policy_passed": d == "POLICY_COMPLIANT",
+            "evidence_state": F.when(d == "POLICY_COMPLIANT", "PASS")
+            .when(d == "POLICY_UNDEFINED", "INSUFFICIENT_EVIDENCE")
+            .otherwise("FAIL"),
+            "evidence_strength": F.when(d == "POLICY_DEGENERATE", "DEGENERATE_PREDICTOR")
             .when(d == "POLICY_UNDEFINED", "INSUFFICIENT_EVIDENCE")
             .when(d == "POLICY_NONCOMPLIANT", "POLICY_CONSTRAINTS_VIOLATED")
             .otherwise("CONFIRMED_ADEQUATE"),
-        )
-        .withColumn("policy_passed", d == "POLICY_COMPLIANT")
-        .withColumn("is_degenerate", degenerate)
-        .withColumn(
-            "is_useful",
-            ~degenerate & F.coalesce(F.col("balanced_accuracy") >= F.col("policy.min_balanced_accuracy"), F.lit(False)),
-        )
-        .withColumn("is_fair", ~F.exists("checks", lambda c: c["fairness"] & (c["effect"] == "violation")))
-        .drop("__codes")
-    )
+        }
+    ).drop("__codes")
 
 
 def trace_rows(decided: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
