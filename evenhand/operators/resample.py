@@ -46,8 +46,10 @@ def _complete(cells: DataFrame, by: tuple[str, ...] = ("b", "grp")) -> DataFrame
 
 def _exploded(df: DataFrame, row_id: str, replicates: int) -> DataFrame:
     """Every row once per replicate. The narrow rows are spread by key first: the work grows by
-    the number of replicates, so it must not sit where the input files happened to be."""
-    narrow = df.select("y_true", "y_pred", row_id).repartition(F.col(row_id))
+    the number of replicates, so it must not sit where the input files happened to be, nor be
+    coalesced by the size of the input."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    narrow = df.select("y_true", "y_pred", row_id).repartition(tasks, F.col(row_id))
     return narrow.select("y_true", "y_pred", row_id, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
 
 

@@ -97,200 +97,185 @@ def _check(
     code: str,
     effect: str,
     metric: str | None = None,
-    subgroup: Column | None = None,
-    observed: Column | None = None,
-    observed_text: Column | None = None,
-    threshold: Column | None = None,
+    subgroup: str = "NULL",
+    observed: str = "NULL",
+    observed_text: str = "NULL",
+    threshold: str = "NULL",
     operator: str | None = None,
     fairness: bool = False,
-) -> Column:
-    def text(x):
-        return (x if isinstance(x, Column) else F.lit(x)).cast("string")
+) -> str:
+    """One check as SQL text; the value arguments are SQL expressions."""
 
-    def number(x):
-        return (x if x is not None else F.lit(None)).cast("double")
+    def word(x: str | None) -> str:
+        return "CAST(NULL AS string)" if x is None else f"'{x}'"
 
-    return F.struct(
-        text(rule).alias("rule"),
-        text(metric).alias("metric"),
-        text(subgroup).alias("subgroup"),
-        number(observed).alias("observed"),
-        text(observed_text).alias("observed_text"),
-        number(threshold).alias("threshold"),
-        text(operator).alias("operator"),
-        text(status).alias("condition_status"),
-        text(code).alias("reason_code"),
-        text(effect).alias("effect"),
-        F.lit(fairness).alias("fairness"),
-    ).cast(CHECK)
+    fields = {
+        "rule": word(rule),
+        "metric": word(metric),
+        "subgroup": f"CAST({subgroup} AS string)",
+        "observed": f"CAST({observed} AS double)",
+        "observed_text": f"CAST({observed_text} AS string)",
+        "threshold": f"CAST({threshold} AS double)",
+        "operator": word(operator),
+        "condition_status": word(status),
+        "reason_code": word(code),
+        "effect": word(effect),
+        "fairness": "true" if fairness else "false",
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def _none() -> Column:
-    return F.array().cast(f"array<{CHECK}>")
+NONE = f"CAST(array() AS array<{CHECK}>)"
+PASSED, FAILED, OPEN = "PASSED", "FAILED", "INSUFFICIENT_EVIDENCE"
 
 
-def _one(condition: Column, check: Column) -> Column:
-    return F.when(F.coalesce(condition, F.lit(False)), F.array(check)).otherwise(_none())
+def _cases(*branches: tuple[str, str], otherwise: str | None = None) -> str:
+    """First check whose condition holds, as a list of at most one."""
+    whens = " ".join(f"WHEN {cond} THEN array({check})" for cond, check in branches)
+    return f"CASE {whens} ELSE {f'array({otherwise})' if otherwise else NONE} END"
 
 
-def _ceiling(short: str, metric: str, limit: Column, prefix: str) -> Column:
+def _ceiling(short: str, metric: str, limit: str, prefix: str, active: str = "true") -> str:
     """Upper limit on a gap; an undefined gap counts as a violation without evidence."""
-    value, status = F.col(f"{short}_value"), F.col(f"{short}_status")
+    value, status = f"{short}_value", f"{short}_status"
     common = dict(metric=metric, observed=value, threshold=limit, operator="<=", fairness=True)
-    undefined = _check("disparity", "INSUFFICIENT_EVIDENCE", f"{prefix}_UNDEFINED", "violation", observed_text=status, **common)
-    over = _check("disparity", "FAILED", f"{prefix}_THRESHOLD_EXCEEDED", "violation", **common)
-    fine = _check("disparity", "PASSED", f"{prefix}_SATISFIED", "pass", **common)
-    chosen = F.when(status != V.VALID, F.array(undefined)).when(value > limit, F.array(over)).otherwise(F.array(fine))
-    return F.when(limit.isNull(), _none()).otherwise(chosen)
-
-
-def _floor(metric: str, value: Column, limit: Column, code: str) -> Column:
-    low = _check("utility", "FAILED", code, "violation", metric=metric, observed=value, threshold=limit, operator=">=")
-    fine = _check("utility", "PASSED", code.replace("BELOW_MINIMUM", "SATISFIED"), "pass", metric=metric,
-                  observed=value, threshold=limit, operator=">=")
-    return F.when(limit.isNull() | value.isNull(), _none()).when(value < limit, F.array(low)).otherwise(F.array(fine))
-
-
-def _subgroup_floor(field: str, metric: str, limit: Column, code: str) -> Column:
-    low = F.filter("subgroups", lambda g: g[field] < limit)
-    return F.coalesce(
-        F.transform(
-            low,
-            lambda g: _check("subgroup_floor", "FAILED", code, "violation", metric=metric, subgroup=g["grp"],
-                             observed=g[field], threshold=limit, operator=">="),
-        ),
-        _none(),
+    inner = _cases(
+        (f"{status} <> '{V.VALID}'", _check("disparity", OPEN, f"{prefix}_UNDEFINED", "violation", observed_text=status, **common)),
+        (f"{value} > {limit}", _check("disparity", FAILED, f"{prefix}_THRESHOLD_EXCEEDED", "violation", **common)),
+        otherwise=_check("disparity", PASSED, f"{prefix}_SATISFIED", "pass", **common),
     )
+    return f"IF({active} AND {limit} IS NOT NULL, {inner}, {NONE})"
 
 
-def _critical_checks(p: Column) -> Column:
-    best_tpr = F.array_max(F.transform("subgroups", lambda g: g["tpr"]))
-
-    def checks(name: Column) -> Column:
-        hit = F.filter("subgroups", lambda g: g["grp"] == name)
-        g = F.get(hit, F.lit(0))
-        absent = _one(
-            F.size(hit) == 0,
-            _check("critical_subgroup_support", "INSUFFICIENT_EVIDENCE", "CRITICAL_SUBGROUP_UNOBSERVED", "abstention", subgroup=name),
-        )
-        thin = _one(
-            g["support_status"] != V.VALID,
-            _check("critical_subgroup_support", "INSUFFICIENT_EVIDENCE", "CRITICAL_SUBGROUP_INSUFFICIENT_SUPPORT",
-                   "abstention", subgroup=name, observed_text=g["support_status"]),
-        )
-        gap = best_tpr - g["tpr"]
-        apart = _one(
-            gap > p["max_equalized_odds"],
-            _check("critical_subgroup_disparity", "FAILED", "CRITICAL_SUBGROUP_DISPARITY_VIOLATION", "violation",
-                   subgroup=name, observed=gap, threshold=p["max_equalized_odds"]),
-        )
-        return F.concat(absent, thin, apart)
-
-    return F.when(F.size("subgroups") > 0, F.flatten(F.transform(p["critical_subgroups"], checks))).otherwise(_none())
+def _floor(metric: str, value: str, limit: str, code: str, active: str = "true") -> str:
+    common = dict(metric=metric, observed=value, threshold=limit, operator=">=")
+    inner = _cases(
+        (f"{value} < {limit}", _check("utility", FAILED, code, "violation", **common)),
+        otherwise=_check("utility", PASSED, code.replace("BELOW_MINIMUM", "SATISFIED"), "pass", **common),
+    )
+    return f"IF({active} AND {limit} IS NOT NULL AND {value} IS NOT NULL, {inner}, {NONE})"
+
+
+def _subgroup_floor(field: str, metric: str, limit: str, code: str) -> str:
+    low = _check("subgroup_floor", FAILED, code, "violation", metric=metric, subgroup="g.grp", observed=f"g.{field}",
+                 threshold=limit, operator=">=")
+    return f"coalesce(transform(filter(subgroups, g -> g.{field} < {limit}), g -> {low}), {NONE})"
+
+
+def _critical_checks() -> str:
+    """Every required label: seen, supported, and not too far from the best TPR."""
+    gap = "(array_max(transform(subgroups, x -> x.tpr)) - g.tpr)"
+    absent = _check("critical_subgroup_support", OPEN, "CRITICAL_SUBGROUP_UNOBSERVED", "abstention", subgroup="c")
+    thin = _check("critical_subgroup_support", OPEN, "CRITICAL_SUBGROUP_INSUFFICIENT_SUPPORT", "abstention", subgroup="c",
+                  observed_text="g.support_status")
+    apart = _check("critical_subgroup_disparity", FAILED, "CRITICAL_SUBGROUP_DISPARITY_VIOLATION", "violation", subgroup="c",
+                   observed=gap, threshold="policy.max_equalized_odds")
+    seen = (
+        f"flatten(transform(filter(subgroups, g -> g.grp = c), g -> concat("
+        f"{_cases((f'g.support_status <> {chr(39)}{V.VALID}{chr(39)}', thin))}, "
+        f"{_cases((f'{gap} > policy.max_equalized_odds', apart))})))"
+    )
+    per = f"concat(IF(exists(subgroups, g -> g.grp = c), {NONE}, array({absent})), {seen})"
+    return f"IF(size(subgroups) > 0, flatten(transform(policy.critical_subgroups, c -> {per})), {NONE})"
 
 
-def _interval_checks(has_intervals: bool) -> Column:
-    if not has_intervals:
-        return _none()
+def _interval_checks() -> list[str]:
     parts = []
     for metric in (V.EODDS, V.DP, V.DIR):
-        status = F.col("intervals")[metric]["support_status"]
-        parts.append(
-            _one(
-                status == V.INSUFFICIENT_BOOTSTRAP,
-                _check("bootstrap_uncertainty_support", "INSUFFICIENT_EVIDENCE", "INSUFFICIENT_BOOTSTRAP_SUPPORT",
-                       "abstention", metric=metric, observed_text=status),
-            )
-        )
-    return F.concat(*parts)
+        status = f"intervals['{metric}'].support_status"
+        check = _check("bootstrap_uncertainty_support", OPEN, "INSUFFICIENT_BOOTSTRAP_SUPPORT", "abstention", metric=metric,
+                       observed_text=status)
+        parts.append(_cases((f"{status} = '{V.INSUFFICIENT_BOOTSTRAP}'", check)))
+    return parts
 
 
-def policy_checks(columns: Sequence[str], p: Column) -> Column:
-    """All checks of one policy in their fixed order."""
-    degenerate = F.col("degeneracy_status") != V.NORMAL
-    overall = F.col("overall_status")
-    absent_group = overall.isin(V.MISSING_VIOLATION, V.MISSING_SENSITIVE)
-    thin = overall.isin(
-        V.INSUFFICIENT_GROUP, V.UNRELIABLE, V.INSUFFICIENT_BOOTSTRAP, V.INSUFFICIENT_CALIBRATION, V.UNDEFINED
+def _among(column: str, values: Sequence[str]) -> str:
+    return f"{column} IN ({', '.join(repr(v) for v in values)})"
+
+
+def policy_checks(columns: Sequence[str]) -> Column:
+    """All checks of the ``policy`` struct in their fixed order, as one SQL expression."""
+    degenerate = f"degeneracy_status <> '{V.NORMAL}'"
+    absent_group = _among("overall_status", [V.MISSING_VIOLATION, V.MISSING_SENSITIVE])
+    thin = _among(
+        "overall_status",
+        [V.INSUFFICIENT_GROUP, V.UNRELIABLE, V.INSUFFICIENT_BOOTSTRAP, V.INSUFFICIENT_CALIBRATION, V.UNDEFINED],
     )
-    bal = F.col("balanced_accuracy")
-    majority = F.col("majority_balanced_accuracy") if "majority_balanced_accuracy" in columns else F.lit(None).cast("double")
-    estimand = F.col("estimand_status") if "estimand_status" in columns else F.lit(None).cast("string")
-    version_blank = F.trim(F.coalesce(p["policy_version"], F.lit(""))).isin("", "None")
-    deg = dict(metric="model_degeneracy_status", observed_text=F.col("degeneracy_status"))
-    st = dict(metric="overall_status", observed_text=overall)
-    di_unstable = F.col("di_status") == V.UNSTABLE_RATIO
-    bal_kw = dict(metric="Balanced Accuracy", observed=bal, threshold=p["min_balanced_accuracy"], operator=">=")
-    di_kw = dict(metric=V.DIR, observed=F.col("di_value"), threshold=p["min_disparate_impact"], operator=">=", fairness=True)
-    di_limit = p["min_disparate_impact"]
-    declared = p["check_declared_limits"]
-    return F.concat(
-        F.when(degenerate, F.array(_check("anti_degeneracy", "FAILED", "MODEL_DEGENERATE", "violation", **deg))).otherwise(
-            F.array(_check("anti_degeneracy", "PASSED", "MODEL_NORMAL", "pass", **deg))
+    unstable = f"di_status = '{V.UNSTABLE_RATIO}'"
+    declared = "policy.check_declared_limits"
+    deg = dict(metric="model_degeneracy_status", observed_text="degeneracy_status")
+    st = dict(metric="overall_status", observed_text="overall_status")
+    bal = dict(metric="Balanced Accuracy", observed="balanced_accuracy", threshold="policy.min_balanced_accuracy", operator=">=")
+    di = dict(metric=V.DIR, observed="di_value", threshold="policy.min_disparate_impact", operator=">=", fairness=True)
+    parts = [
+        _cases(
+            (degenerate, _check("anti_degeneracy", FAILED, "MODEL_DEGENERATE", "violation", **deg)),
+            otherwise=_check("anti_degeneracy", PASSED, "MODEL_NORMAL", "pass", **deg),
         ),
-        F.when(
-            absent_group,
-            F.array(_check("missing_sensitive_attributes", "INSUFFICIENT_EVIDENCE", "MISSING_SENSITIVE_ATTRIBUTE", "abstention", **st)),
-        )
-        .when(
-            thin,
-            F.array(_check("evaluation_status_integrity", "INSUFFICIENT_EVIDENCE", "STATUS_INSUFFICIENT_EVIDENCE", "abstention", **st)),
-        )
-        .otherwise(F.array(_check("evaluation_status_integrity", "PASSED", "STATUS_VALID", "pass", **st))),
-        _critical_checks(p),
-        F.when(
-            p["require_subgroup_support"],
-            F.transform(
-                F.filter("subgroups", lambda g: g["support_status"] == V.INSUFFICIENT_GROUP),
-                lambda g: _check("subgroup_support", "INSUFFICIENT_EVIDENCE", "SUBGROUP_INSUFFICIENT_SUPPORT",
-                                 "abstention", subgroup=g["grp"]),
-            ),
-        ).otherwise(_none()),
-        _interval_checks("intervals" in columns),
-        _one(di_unstable, _check("ratio_metric_stability", "INSUFFICIENT_EVIDENCE", "UNSTABLE_RATIO_DENOMINATOR",
-                                 "abstention", metric=V.DIR)),
-        F.when(
-            bal < p["min_balanced_accuracy"],
-            F.array(_check("utility", "FAILED", "BALANCED_ACCURACY_BELOW_MINIMUM", "violation", **bal_kw)),
-        ).otherwise(F.array(_check("utility", "PASSED", "BALANCED_ACCURACY_SATISFIED", "pass", **bal_kw))),
-        _one(
-            p["require_better_than_majority"] & (bal <= majority),
-            _check("majority_baseline", "FAILED", "BELOW_MAJORITY_BASELINE", "violation", metric="Balanced Accuracy",
-                   observed=bal, threshold=majority, operator=">"),
+        _cases(
+            (absent_group, _check("missing_sensitive_attributes", OPEN, "MISSING_SENSITIVE_ATTRIBUTE", "abstention", **st)),
+            (thin, _check("evaluation_status_integrity", OPEN, "STATUS_INSUFFICIENT_EVIDENCE", "abstention", **st)),
+            otherwise=_check("evaluation_status_integrity", PASSED, "STATUS_VALID", "pass", **st),
         ),
-        _floor("Recall", F.col("recall"), p["min_recall"], "RECALL_BELOW_MINIMUM"),
-        _floor("TNR", F.col("specificity"), p["min_specificity"], "SPECIFICITY_BELOW_MINIMUM"),
-        _floor("Precision", F.when(declared, F.col("precision")), p["min_precision"], "PRECISION_BELOW_MINIMUM"),
-        _subgroup_floor("balanced_accuracy", "Balanced Accuracy", p["min_subgroup_balanced_accuracy"],
+        _critical_checks(),
+        f"IF(policy.require_subgroup_support, transform(filter(subgroups, g -> g.support_status = '{V.INSUFFICIENT_GROUP}'), g -> "
+        + _check("subgroup_support", OPEN, "SUBGROUP_INSUFFICIENT_SUPPORT", "abstention", subgroup="g.grp")
+        + f"), {NONE})",
+        *(_interval_checks() if "intervals" in columns else []),
+        _cases((unstable, _check("ratio_metric_stability", OPEN, "UNSTABLE_RATIO_DENOMINATOR", "abstention", metric=V.DIR))),
+        _cases(
+            ("balanced_accuracy < policy.min_balanced_accuracy",
+             _check("utility", FAILED, "BALANCED_ACCURACY_BELOW_MINIMUM", "violation", **bal)),
+            otherwise=_check("utility", PASSED, "BALANCED_ACCURACY_SATISFIED", "pass", **bal),
+        ),
+    ]
+    if "majority_balanced_accuracy" in columns:
+        parts.append(
+            _cases(
+                ("policy.require_better_than_majority AND balanced_accuracy <= majority_balanced_accuracy",
+                 _check("majority_baseline", FAILED, "BELOW_MAJORITY_BASELINE", "violation", metric="Balanced Accuracy",
+                        observed="balanced_accuracy", threshold="majority_balanced_accuracy", operator=">")),
+            )
+        )
+    parts += [
+        _floor("Recall", "recall", "policy.min_recall", "RECALL_BELOW_MINIMUM"),
+        _floor("TNR", "specificity", "policy.min_specificity", "SPECIFICITY_BELOW_MINIMUM"),
+        _floor("Precision", "precision", "policy.min_precision", "PRECISION_BELOW_MINIMUM", declared),
+        _subgroup_floor("balanced_accuracy", "Balanced Accuracy", "policy.min_subgroup_balanced_accuracy",
                         "SUBGROUP_BALANCED_ACCURACY_BELOW_MINIMUM"),
-        _subgroup_floor("tpr", "TPR", p["min_subgroup_recall"], "SUBGROUP_RECALL_BELOW_MINIMUM"),
-        _subgroup_floor("tnr", "TNR", p["min_subgroup_specificity"], "SUBGROUP_SPECIFICITY_BELOW_MINIMUM"),
-        _ceiling("eodds", V.EODDS, p["max_equalized_odds"], "EO_DIFF"),
-        _ceiling("dp", V.DP, p["max_demographic_parity"], "DP_DIFF"),
-        _ceiling("pp", V.PP, F.when(declared, p["max_predictive_parity"]), "PP_DIFF"),
-        F.when(di_limit.isNull(), _none())
-        .when(
-            F.col("di_status") == V.VALID,
-            F.when(
-                F.col("di_value") < di_limit,
-                F.array(_check("disparity", "FAILED", "DIR_THRESHOLD_VIOLATION", "violation", **di_kw)),
-            ).otherwise(F.array(_check("disparity", "PASSED", "DIR_SATISFIED", "pass", **di_kw))),
+        _subgroup_floor("tpr", "TPR", "policy.min_subgroup_recall", "SUBGROUP_RECALL_BELOW_MINIMUM"),
+        _subgroup_floor("tnr", "TNR", "policy.min_subgroup_specificity", "SUBGROUP_SPECIFICITY_BELOW_MINIMUM"),
+        _ceiling("eodds", V.EODDS, "policy.max_equalized_odds", "EO_DIFF"),
+        _ceiling("dp", V.DP, "policy.max_demographic_parity", "DP_DIFF"),
+        _ceiling("pp", V.PP, "policy.max_predictive_parity", "PP_DIFF", declared),
+        "IF(policy.min_disparate_impact IS NULL, " + NONE + ", "
+        + _cases(
+            (f"di_status = '{V.VALID}' AND di_value < policy.min_disparate_impact",
+             _check("disparity", FAILED, "DIR_THRESHOLD_VIOLATION", "violation", **di)),
+            (f"di_status = '{V.VALID}'", _check("disparity", PASSED, "DIR_SATISFIED", "pass", **di)),
+            (unstable, _check("disparity", FAILED, "DIR_UNSTABLE_RATIO", "violation", **di)),
         )
-        .when(di_unstable, F.array(_check("disparity", "FAILED", "DIR_UNSTABLE_RATIO", "violation", **di_kw)))
-        .otherwise(_none()),
-        _one(version_blank, _check("policy_version", "INSUFFICIENT_EVIDENCE", "GATE_UNIDENTIFIED_POLICY_VERSION", "abstention")),
-        _one(
-            estimand.isin("ESTIMAND_UNSPECIFIED", "UNSPECIFIED"),
-            _check("estimand", "INSUFFICIENT_EVIDENCE", "GATE_ESTIMAND_UNSPECIFIED", "abstention"),
+        + ")",
+        _cases(
+            ("trim(coalesce(policy.policy_version, '')) IN ('', 'None')",
+             _check("policy_version", OPEN, "GATE_UNIDENTIFIED_POLICY_VERSION", "abstention")),
         ),
-    )
+    ]
+    if "estimand_status" in columns:
+        parts.append(
+            _cases(
+                ("estimand_status IN ('ESTIMAND_UNSPECIFIED', 'UNSPECIFIED')",
+                 _check("estimand", OPEN, "GATE_ESTIMAND_UNSPECIFIED", "abstention")),
+            )
+        )
+    return F.expr(f"CAST(concat({', '.join(parts)}) AS array<{CHECK}>)")
 
 
 def decide(suites: DataFrame, policies: Sequence[Policy] | None = None) -> DataFrame:
     """Suite rows with policy, ordered evidence trace, reason codes and decision."""
     policies = list(policies) if policies is not None else default_policies()
     frame = suites.withColumn("policy", F.explode(F.array(*[_policy_struct(p) for p in policies])))
-    frame = frame.withColumn("checks", policy_checks(frame.columns, F.col("policy")))
+    frame = frame.withColumn("checks", policy_checks(frame.columns))
     violations = F.filter("checks", lambda c: c["effect"] == "violation")
     abstentions = F.filter("checks", lambda c: c["effect"] == "abstention")
     degenerate = F.col("degeneracy_status") != V.NORMAL
