@@ -27,7 +27,7 @@ def range_profile(df: DataFrame, value: str, buckets: int) -> tuple[int, list[fl
     probs = [i / buckets for i in range(1, buckets)] or [0.5]
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(value).cast("double"), probs, F.lit(20 * buckets)).alias("q"),
+        F.percentile_approx(F.col(value).cast("double"), probs, F.lit(max(1000, 10 * buckets))).alias("q"),
     ).first()
     return row["n"], sorted({float(q) for q in (row["q"] or [])}) if buckets > 1 else []
 
@@ -51,7 +51,8 @@ def with_range_bucket(df: DataFrame, value: str, bounds: Sequence[float], out: s
 
 
 def default_buckets(df: DataFrame) -> int:
-    return max(16, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """As many range buckets as the session has shuffle partitions (16 to 4000)."""
+    return max(16, min(4000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
 def attach(
@@ -144,11 +145,12 @@ def prefix_sums(
 
 
 def rank_cuts(
-    df: DataFrame, cuts: DataFrame, levels: Sequence[str], strata: Sequence[str] = ()
+    df: DataFrame, cuts: DataFrame, levels: Sequence[str], strata: Sequence[str] = (), small: bool = True
 ) -> DataFrame:
     """The row at given 1-based ranks, exactly.
 
-    ``cuts`` holds ``strata..., cut, rank`` and is a handful of rows. ``levels`` are columns
+    ``cuts`` holds ``strata..., cut, rank`` and is a handful of rows; with ``small=False`` it may
+    be of any size and is joined without a broadcast. ``levels`` are columns
     ordered coarse to fine; together they give the total order. Every level costs one
     narrow scan that ends in a histogram; after it only the bucket that contains a wanted
     rank stays in scope, so the last sort sees a tiny part of the table even when one
@@ -157,6 +159,7 @@ def rank_cuts(
     """
     strata = list(strata)
     keys = ["__all", *strata]
+    near = F.broadcast if small else (lambda d: d)
     one = F.lit(1).alias("__all")
     wanted = cuts.select(one, *strata, "cut", F.col("rank").cast("bigint").alias("rank"))
     scope = df.select(one, *strata, *levels)
@@ -165,12 +168,12 @@ def rank_cuts(
         upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(level))
         hist = hist.withColumn("__hi", upto).withColumn("__lo", F.col("__hi") - F.col("__n"))
         inside = (F.col("__lo") < F.col("rank")) & (F.col("rank") <= F.col("__hi"))
-        wanted = hist.join(F.broadcast(wanted), keys).filter(inside).select(
+        wanted = hist.join(near(wanted), keys).filter(inside).select(
             *keys, level, "cut", (F.col("rank") - F.col("__lo")).alias("rank")
         )
         keys.append(level)
         if level != levels[-1]:
-            scope = scope.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")
+            scope = scope.join(near(wanted.select(*keys).distinct()), keys, "left_semi")
     return wanted.drop("rank", "__all")
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.expr import digest
-from evenhand.operators.order import attach, default_buckets, hash_prefix, range_profile, rank_cuts, with_range_bucket
+from evenhand.operators.order import (
+    BROADCAST_ROWS, attach, default_buckets, hash_prefix, range_profile, rank_cuts, with_range_bucket,
+)
 
 
 class GroupLeakageError(ValueError):
@@ -123,8 +125,12 @@ def _strata_cuts(
     """Digest cuts per stratum; ``cuts_of`` is an array of ranks as a function of ``n``."""
     keyed = df.select(F.col(label).alias("label"), h.alias("h")).withColumn("p", hash_prefix("h", seed_levels))
     counts = keyed.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.take(BROADCAST_ROWS + 1)
+    small = len(rows) <= BROADCAST_ROWS
+    if small:
+        counts = df.sparkSession.createDataFrame(rows, counts.schema)
     wanted = counts.select("label", F.posexplode(cuts_of).alias("cut", "rank"))
-    found = rank_cuts(keyed, wanted, ["p", "h"], strata=["label"])
+    found = rank_cuts(keyed, wanted, ["p", "h"], strata=["label"], small=small)
     table = found.groupBy("label").agg(
         F.map_from_entries(F.collect_list(F.struct("cut", "h"))).alias("__cuts")  # a few cuts per label
     )
