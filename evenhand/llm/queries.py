@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenhand.llm.language import fit_profiles, held_out, predict
+from evenhand.llm.mixing import label_weights, mix
 from evenhand.llm.substring import repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +45,53 @@ FROM D LEFT JOIN X ON D.doc_id = X.doc_id""",
 def op9_substring_dedup(spark, sf):
     cut = repeated_spans(table(spark, sf, "documents"))
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op10_mix_sources",
+    r"""WITH D AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+Q AS (SELECT doc_id, 0.5 + 1.5 * avg(quality) AS weight FROM labels GROUP BY doc_id),
+S AS (SELECT source, size AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, 3 * size AS lim
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM D GROUP BY source)),
+L AS (SELECT *, ((SELECT sum(source_size) FROM S) - coalesce(sum(lim) OVER (ORDER BY lim / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(w) OVER (ORDER BY lim / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM S),
+T AS (SELECT source, source_size, CASE WHEN lam * w > lim THEN CAST(lim AS DOUBLE) ELSE lam * w END AS target
+  FROM S, (SELECT level AS lam FROM L WHERE level * w <= lim ORDER BY lim / w, source LIMIT 1)),
+E AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM T),
+K AS (SELECT D.doc_id, D.size, E.*, -ln((CAST('0x' || substr(md5(coalesce(CAST(D.doc_id AS VARCHAR), 'null') || ':10'), 1, 13) AS BIGINT) + 0.5)
+    / 4503599627370496.0::DOUBLE) / CASE WHEN weight > 0 THEN weight ELSE 1.0 END AS key
+  FROM D LEFT JOIN Q ON D.doc_id = Q.doc_id JOIN E ON D.source IS NOT DISTINCT FROM E.source),
+R AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle FROM K)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0 AND middle <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM R""",
+)
+def op10_mix_sources(spark, sf):
+    mixed = mix(table(spark, sf, "documents"), quality=label_weights(table(spark, sf, "labels")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query(
+    "op7_language_id",
+    r"""WITH H AS (SELECT doc_id, lang, text, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(1, len(s) + 1), lambda i: ord(s[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 5 = 0 AS held_out
+  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+N AS (SELECT doc_id, lang, held_out, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) AS t FROM H),
+A AS (SELECT doc_id, lang, held_out, ' ' || t || ' ' AS t FROM N WHERE t <> ''),
+G AS (SELECT doc_id, lang, held_out, n, substr(t, i, n) AS g
+  FROM (SELECT A.*, n, unnest(range(1, len(t) - n + 2)) AS i FROM A, (SELECT unnest([1, 2, 3]) AS n))),
+C AS (SELECT doc_id, lang, held_out, g, count(*) AS c FROM G
+  WHERE (n = 1 AND g <> ' ') OR n = 2 OR (n = 3 AND substr(g, 2, 1) <> ' ') GROUP BY ALL),
+P AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(c) DESC, len(g), g) - 1 AS r FROM C
+  WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY r < 400),
+R AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, len(g), g) - 1 AS r FROM C QUALIFY r < 400),
+X AS (SELECT R.doc_id, L.lang, sum(CASE WHEN P.r IS NULL THEN 400 ELSE abs(R.r - P.r) END) AS d, count(*) AS m
+  FROM R CROSS JOIN (SELECT DISTINCT lang FROM P) L LEFT JOIN P ON P.lang = L.lang AND P.g = R.g GROUP BY R.doc_id, L.lang),
+B AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) AS k FROM X)
+SELECT H.doc_id, held_out, coalesce(B.lang, 'und') AS lang_pred, CASE WHEN B.lang IS NULL THEN 0.0 ELSE 1.0 - d::DOUBLE / (m * 400) END::DOUBLE AS score
+FROM H LEFT JOIN B ON H.doc_id = B.doc_id AND k = 1""",
+)
+def op7_language_id(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("held_out", held_out())
+    profiles = fit_profiles(docs.filter(~F.col("held_out")))
+    return predict(docs, profiles, keep=["doc_id", "held_out"])
