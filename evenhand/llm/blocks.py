@@ -166,3 +166,14 @@ def reply_rows(t: pa.Table) -> list[tuple]:
     return list(zip(*(t[c].to_pylist() for c in ("row", "shard", "bits", "counts"))))
 
 
+
+
+def runs_of(texts: list, size: int = BLOCK_BYTES) -> list[tuple[int, int]]:
+    """Cuts a batch into runs (from, to) of about ``size`` bytes; a longer text is a run of its own."""
+    out, a, total = [], 0, 0
+    for i, t in enumerate(texts):
+        total += len(t or "")
+        if total >= size:
+            out.append((a, i + 1))
+            a, total = i + 1, 0
+    return out + [(a, len(texts))] * (a < len(texts))

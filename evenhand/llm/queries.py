@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand.llm.language import fit_profiles, held_out, predict
 from evenhand.llm.mixing import label_weights, mix
+from evenhand.llm.ngram_trie import near_classes
 from evenhand.llm.substring import repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,25 @@ def op7_language_id(spark, sf):
     docs = table(spark, sf, "documents").withColumn("held_out", held_out())
     profiles = fit_profiles(docs.filter(~F.col("held_out")))
     return predict(docs, profiles, keep=["doc_id", "held_out"])
+
+
+@query(
+    "op4_ngram_join",
+    r"""WITH RECURSIVE W AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+S AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], chr(0))) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM W WHERE len(w) > 0)),
+N AS (SELECT doc_id, count(*) AS n FROM S GROUP BY doc_id),
+F AS (SELECT S.* FROM S JOIN (SELECT h FROM S GROUP BY h HAVING count(*) > 1) G ON S.h = G.h),
+C AS (SELECT F.* FROM F JOIN (SELECT doc_id, count(*) AS m FROM F GROUP BY doc_id) M ON F.doc_id = M.doc_id
+  JOIN N ON N.doc_id = F.doc_id WHERE 4 * m >= 3 * n),
+O AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM C x JOIN C y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+L AS (SELECT a, b FROM O JOIN N x ON a = x.doc_id JOIN N y ON b = y.doc_id WHERE 100 * o >= 75 * (x.n + y.n - o)),
+R AS (SELECT a, b FROM L UNION SELECT R.a, L.b FROM R JOIN L ON R.b = L.a),
+M AS (SELECT a, min(b) AS b FROM R GROUP BY a)
+SELECT W.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(W.doc_id, coalesce(M.b, W.doc_id)) AS component_id
+FROM W LEFT JOIN N ON W.doc_id = N.doc_id LEFT JOIN M ON W.doc_id = M.a""",
+)
+def op4_ngram_join(spark, sf):
+    near = near_classes(table(spark, sf, "documents"))
+    return near.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
