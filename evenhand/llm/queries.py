@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenhand.llm.chunk_bpe import encode
 from evenhand.llm.language import fit_profiles, held_out, predict
 from evenhand.llm.mixing import label_weights, mix
 from evenhand.llm.ngram_trie import near_classes
@@ -26,6 +27,13 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file; every executor has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -118,3 +126,9 @@ FROM W LEFT JOIN N ON W.doc_id = N.doc_id LEFT JOIN M ON W.doc_id = M.a""",
 def op4_ngram_join(spark, sf):
     near = near_classes(table(spark, sf, "documents"))
     return near.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op3_chunk_bpe")
+def op3_chunk_bpe(spark, sf):
+    coded = encode(table(spark, sf, "documents"), vocabulary(), digests=True)
+    return coded.withColumnRenamed("id", "doc_id")
