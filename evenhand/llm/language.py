@@ -113,19 +113,21 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
-                g = Grams([t for t, x in zip(texts, langs) if x == lang])
-                for _, numbers in g.numbers():
-                    if g.space <= 1 << 21:
-                        n = np.bincount(numbers)
-                        which = np.flatnonzero(n)
-                        n = n[which]
-                    else:
-                        which, n = np.unique(numbers, return_counts=True)
-                    for x, k in zip(which.tolist(), n.tolist()):
-                        key = (lang, g.text_of(x))
-                        sums[key] = sums.get(key, 0) + k
-                if len(sums) > FLUSH:
-                    yield rows()
+                own = [t for t, x in zip(texts, langs) if x == lang]
+                for part in _parts(own, 2_000_000):
+                    g = Grams([own[i] for i in part])
+                    for _, numbers in g.numbers():
+                        if g.space <= 1 << 21:
+                            n = np.bincount(numbers)
+                            which = np.flatnonzero(n)
+                            n = n[which]
+                        else:
+                            which, n = np.unique(numbers, return_counts=True)
+                        for x, k in zip(which.tolist(), n.tolist()):
+                            key = (lang, g.text_of(x))
+                            sums[key] = sums.get(key, 0) + k
+                    if len(sums) > FLUSH:
+                        yield rows()
         yield rows()
 
     return docs.select(text_col, lang_col).mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
