@@ -12,6 +12,7 @@ from evenhand.llm.language import fit_profiles, held_out, predict
 from evenhand.llm.mixing import label_weights, mix
 from evenhand.llm.ngram_trie import near_classes
 from evenhand.llm.substring import repeated_spans
+from evenhand.llm.va_search import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,3 +133,15 @@ def op4_ngram_join(spark, sf):
 def op3_chunk_bpe(spark, sf):
     coded = encode(table(spark, sf, "documents"), vocabulary(), digests=True)
     return coded.withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op2_va_search",
+    """WITH V AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+S AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM V q JOIN V c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+R AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM S)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM R WHERE rank <= 20""",
+)
+def op2_va_search(spark, sf):
+    return top_k(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
