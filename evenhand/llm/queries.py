@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.llm.chunk_bpe import encode
+from evenhand.llm.flat_graph import near_vectors
 from evenhand.llm.language import fit_profiles, held_out, predict
 from evenhand.llm.mixing import label_weights, mix
 from evenhand.llm.ngram_trie import near_classes
@@ -145,3 +146,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS
 )
 def op2_va_search(spark, sf):
     return top_k(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op6_flat_graph")
+def op6_flat_graph(spark, sf):
+    near = near_vectors(table(spark, sf, "embeddings"))
+    kept = (F.col("id") == F.col("component")).alias("kept")
+    return near.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept)
