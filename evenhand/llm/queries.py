@@ -12,6 +12,7 @@ from evenhand.llm.flat_graph import near_vectors
 from evenhand.llm.language import fit_profiles, held_out, predict
 from evenhand.llm.mixing import label_weights, mix
 from evenhand.llm.ngram_trie import near_classes
+from evenhand.llm.revisits import header_text, records_from_pages, resolve
 from evenhand.llm.substring import repeated_spans
 from evenhand.llm.va_search import top_k
 
@@ -153,3 +154,36 @@ def op6_flat_graph(spark, sf):
     near = near_vectors(table(spark, sf, "embeddings"))
     kept = (F.col("id") == F.col("component")).alias("kept")
     return near.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept)
+
+
+@query(
+    "op1_revisit_resolution",
+    r"""WITH P AS (SELECT page_id, url, html, 1700000000 + page_id * 60 AS seen, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(url) + 1), lambda i: ('0x' || substr(hex(encode(url)), 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+    4294967295::BIGINT) AS crc FROM (SELECT page_id, coalesce(url, '') AS url, html FROM pages)),
+U AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest, seen + 30 + (crc % 5) * 60 AS later FROM P),
+C AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^.*@', ''), '\.?(:(80|443)?)?$', ''), '^www[0-9]*\.', '')
+    || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda a: a <> '' AND NOT regexp_matches(lower(a),
+    '^(utm_[^=]*|gclid|fbclid|phpsessid|jsessionid|sessionid|sid|ref)(=|$)'))), '&') AS args FROM U),
+K AS (SELECT *, base || CASE WHEN args <> '' THEN '?' || args ELSE '' END AS key FROM C),
+R AS (SELECT key, seen AS ts, page_id * 2 AS id, CASE WHEN page_id % 11 <> 10 THEN page_id END AS page, false AS asks FROM K
+  UNION ALL SELECT key, later, page_id * 2 + 1, NULL, true FROM K),
+A AS (SELECT id, asks, last_value(page IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS page FROM R),
+J AS (SELECT v.page_id * 2 + 1 AS revisit_id, v.later, v.page_id % 6 AS k, CASE v.page_id % 6 WHEN 0 THEN v.tag WHEN 1 THEN 'W/' || v.tag WHEN 2 THEN '"other"' END AS etag,
+  CASE v.page_id % 6 WHEN 3 THEN v.seen - 3600 WHEN 4 THEN v.seen - 7200 END AS since, s.page_id * 2 AS response_id, s.tag, s.seen, s.html
+  FROM A JOIN K v ON A.id = v.page_id * 2 + 1 LEFT JOIN K s ON A.page = s.page_id WHERE asks),
+O AS (SELECT *, CASE WHEN response_id IS NULL THEN 'no_response' WHEN k = 5 THEN 'no_validator'
+  WHEN coalesce(regexp_replace(etag, '^W/', '') = tag, since = seen - 3600) THEN 'resolved' ELSE 'changed' END AS outcome FROM J)
+SELECT revisit_id, CAST(later AS BIGINT) AS ts, outcome, response_id, CASE WHEN outcome = 'resolved' THEN 6 END AS n_headers,
+  CASE WHEN outcome = 'resolved' THEN sha256(concat('cache-control: max-age=120', chr(10), 'content-length: ', coalesce(strlen(html), 0), chr(10), 'content-type: text/html; charset=utf-8',
+    chr(10), 'date: ', later, chr(10), 'etag: ', coalesce(etag, tag), chr(10), 'last-modified: ', seen - 3600)) END AS headers_sha256,
+  CASE WHEN outcome = 'resolved' THEN sha256(html) END AS payload_sha256 FROM O""",
+)
+def op1_revisit_resolution(spark, sf):
+    done = resolve(records_from_pages(table(spark, sf, "pages")))
+    return done.select(
+        "revisit_id", "ts", "outcome", "response_id", F.size("headers").alias("n_headers"),
+        F.sha2(header_text(F.col("headers")), 256).alias("headers_sha256"), F.sha2("payload", 256).alias("payload_sha256"),
+    )
