@@ -6,13 +6,15 @@ Every document is the set of its word n-grams. Two sets link when their Jaccard
 2. A sharded sketch estimates in how many classes an n-gram occurs. N-grams of a single class overlap with nothing, so
    a set needs only its shared n-grams, and a set with too few of them is done. The rest are ordered globally, rare
    n-grams first, by (estimate, hash).
-3. Linked sets must share one of their first ``n - ceil(t n) + 1`` n-grams. Before those buckets are filled, two rounds
-   of min-hash groups, tried with the same trie join, link most near copies; a bucket whose members are all in one
-   component by then has nothing to add. Every other bucket is joined in full, so no link is lost.
+3. Two rounds of min-hash groups, joined by ``Trie``, link most near copies. Then the exact part: linked sets share one
+   of their first ``n - ceil(t n) + 1`` n-grams. A bucket of such an n-gram whose members are in one component by now
+   has nothing to add. In every other small bucket a trie of the prefixes alone shows which sets could still link, by
+   what is left beyond the prefixes; a large bucket counts as one in which all could. Components that could link form
+   clusters, and the whole sets of a cluster are joined. So no link is lost, and a set moves once, not once a bucket.
 4. In a group the sets are a prefix tree in global order (``Trie``): a traversal adds up the overlap of a shared path
    once for all sets below it, and leaves a subtree when the rest of the path cannot reach the threshold.
 
-Groups above ``CHUNK`` sets are cut: min-hash groups at random, buckets into all pairs of chunks.
+Groups above ``CHUNK`` sets are cut: min-hash groups at random, clusters into all pairs of chunks.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from evenhand.session import durable
 NGRAM = 5
 #: Threshold as a fraction, so that comparisons stay in whole numbers.
 SIMILAR = (75, 100)
-CHUNK = 256
+CHUNK = 64
 ROUNDS = 2
 
 
@@ -86,13 +88,15 @@ def linked(overlap: int, n: int, m: int, similar: tuple[int, int]) -> bool:
 class Trie:
     """A prefix tree with compressed paths over sets that are sorted sequences of numbers.
 
-    ``joins`` yields linked pairs that are enough for the components: sets known to be connected are not compared.
+    A set may have more tokens than the sequence shows, all above its last (``beyond`` says how many); pairs are then
+    those that could link. ``joins`` yields linked pairs that are enough for the components: sets known to be connected are not compared.
     """
 
-    def __init__(self, sets: list[np.ndarray], sizes: list[int], similar: tuple[int, int]):
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], similar: tuple[int, int], beyond: list[int] | None = None):
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         self.order, self.sets = order, [sets[i] for i in order]
         self.sizes, self.similar = [sizes[i] for i in order], similar
+        self.beyond = [0] * len(sets) if beyond is None else [beyond[i] for i in order]
         n = len(sets)
         shared = np.zeros(n + 1, dtype=np.int64)
         for i in range(1, n):
@@ -111,7 +115,7 @@ class Trie:
             me = len(self.nodes)
             self.nodes.append((a, b, depth, end))
             self.children.append([])
-            self.bounds.append((min(self.sizes[a:b]), max(self.sizes[a:b]), max(len(x) for x in self.sets[a:b]) - end))
+            self.bounds.append((min(self.sizes[a:b]), max(self.sizes[a:b]), max(len(x) + y for x, y in zip(self.sets[a:b], self.beyond[a:b])) - end))
             if parent >= 0:
                 self.children[parent].append(me)
             if b - a > 1:
@@ -137,7 +141,8 @@ class Trie:
                 return
             inside[:] = False
             inside[probe] = True
-            n = self.sizes[i]
+            n, more = self.sizes[i], self.beyond[i]
+            last = int(probe[-1]) if more and len(probe) else width
             todo = [(0, 0)]
             while todo:
                 node, overlap = todo.pop()
@@ -145,17 +150,18 @@ class Trie:
                 low, high, rest = self.bounds[node]
                 if a >= i or high * den < num * n or low * num > den * n:
                     continue
+                path = self.sets[a]
                 if end > depth:
-                    edge = self.sets[a][depth:end]
-                    overlap += int(np.count_nonzero(inside[edge]))
-                    left = len(probe) - int(np.searchsorted(probe, edge[-1], side="right"))
-                else:
-                    left = len(probe)
+                    overlap += int(np.count_nonzero(inside[path[depth:end]]))
+                at = int(path[end - 1]) if end else -1
+                left = len(probe) - int(np.searchsorted(probe, at, side="right")) + more
+                if at > last:  # tokens of the path that the probe may have beyond its last
+                    rest += end - int(np.searchsorted(path[:end], last, side="right"))
                 if overlap + min(rest, left) < needed(n, low, self.similar):
                     continue
                 if b - a > 1:
                     todo += [(c, overlap) for c in self.children[node]]
-                elif linked(overlap, n, self.sizes[a], self.similar):
+                elif linked(overlap + min(rest, left), n, self.sizes[a], self.similar):
                     x, y = root(mine[a]), root(mine[i])
                     if x != y:
                         owner[max(x, y)] = min(x, y)
@@ -167,8 +173,8 @@ SHARED = "id bigint, n int, tokens binary, order binary, keys array<bigint>"
 
 
 def _join(t: pa.Table, similar: tuple[int, int]) -> pa.Table:
-    """Rows (comp, n, tokens, order) of one group; edges between components that a link joins."""
-    comp, n = t["comp"].to_pylist(), t["n"].to_pylist()
+    """Rows (comp, n, tokens, order, beyond) of one group; edges between components that a link joins."""
+    comp, n, beyond = t["comp"].to_pylist(), t["n"].to_pylist(), t["beyond"].to_pylist()
     edges: list[tuple[int, int]] = []
     if len(set(comp)) > 1:
         tokens = [np.frombuffer(x, dtype=U64) for x in t["tokens"].to_pylist()]
@@ -180,7 +186,7 @@ def _join(t: pa.Table, similar: tuple[int, int]) -> pa.Table:
         rank = np.empty(len(by), dtype=np.int64)
         rank[by] = np.cumsum(new) - 1
         sets = np.split(rank, np.cumsum([len(x) for x in tokens])[:-1])
-        edges = [(comp[i], comp[j]) for i, j in Trie(sets, n, similar).joins(comp, int(new.sum()))]
+        edges = [(comp[i], comp[j]) for i, j in Trie(sets, n, similar, beyond).joins(comp, int(new.sum()))]
     return pa.table([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
 
 
@@ -266,7 +272,7 @@ def near_classes(
     part = F.pmod(F.xxhash64("id", "round"), F.ceil(F.col("size") / CHUNK)).cast("int")
     tried = keys.join(durable(counts), ["round", "key"]).select("id", "round", "key", part.alias("part"))
     body = sets.select("id", "n", "tokens", "order")
-    first = tried.join(body, "id").withColumn("comp", F.col("id"))
+    first = tried.join(body, "id").withColumn("comp", F.col("id")).withColumn("beyond", F.lit(0))
     near = durable(first.groupBy("round", "key", "part").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint"))
     found = durable(components(near))
 
@@ -274,10 +280,8 @@ def near_classes(
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], []]
-            for i, n, data in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "tokens"))):
-                tokens = np.frombuffer(data, dtype=np.int64)
-                p = n + 1 + num * n // -den - (n - len(tokens))  # n - ceil(t n) + 1, less the tokens of this class alone
-                cols[0].append(tokens[:p])
+            for i, p, data in zip(*(batch.column(c).to_pylist() for c in ("id", "p", "tokens"))):
+                cols[0].append(np.frombuffer(data, dtype=np.int64)[:p])
                 cols[1].append(np.full(p, i))
                 cols[2].append(np.arange(p, dtype=np.int32))
             if cols[0]:
@@ -285,15 +289,26 @@ def near_classes(
 
     comp = F.coalesce("component", "id").alias("comp")
     member = durable(body.select("id").join(found, "id", "left").select("id", comp))
-    entries = durable(sets.select("id", "n", "tokens").mapInArrow(prefix, "token bigint, id bigint, at int").join(member, "id"))
+    shown = F.expr("length(tokens) DIV 8")
+    p = F.lit(1) + F.floor(F.col("n") * (den - num) / den) - (F.col("n") - shown)  # of n - ceil(t n) + 1, those that are shared
+    body = body.withColumn("p", p.cast("int"))
+    entries = durable(body.select("id", "p", "tokens").mapInArrow(prefix, "token bigint, id bigint, at int").join(member, "id"))
     open_ = entries.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"))
-    open_ = durable(open_.filter("x <> y").select("token", F.ceil(F.col("size") / CHUNK).cast("int").alias("parts")))
-    todo = entries.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    open_ = durable(open_.filter("x <> y").select("token", "x", "size"))
+    cut = lambda c, size: F.expr(f"substring({c}, at * {size} + 1, (p - at) * {size})").alias(c)
+    small = entries.join(open_.filter(F.col("size") <= CHUNK), "token").join(body, "id")
+    small = small.select("token", "comp", "n", cut("tokens", 8), cut("order", 2), (shown - F.col("p")).cast("int").alias("beyond"))
+    could = small.groupBy("token").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint")
+    large = entries.join(open_.filter(F.col("size") > CHUNK), "token").select(F.col("comp").alias("a"), F.col("x").alias("b"))
+    clusters = durable(components(could.union(large.distinct())))
+    clusters = clusters.select(F.col("id").alias("comp"), F.col("component").alias("cluster"))
+    again = durable(member.join(clusters, "comp"))
+    parts = again.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    todo = again.join(durable(parts), "cluster").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    todo = todo.select("id", "comp", "token", "at", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    tail = lambda c, size: F.expr(f"substring({c}, at * {size} + 1)").alias(c)
-    rest = todo.join(body, "id").select("token", "i", "j", "comp", "n", tail("tokens", 8), tail("order", 2))
-    more = durable(rest.groupBy("token", "i", "j").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint"))
+    todo = todo.select("id", "comp", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    whole = todo.join(body.drop("p"), "id").withColumn("beyond", F.lit(0))
+    more = durable(whole.groupBy("cluster", "i", "j").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint"))
     last = durable(components(more))
 
     tag = last.select(F.col("id").alias("comp"), F.col("component").alias("wider"))
