@@ -34,11 +34,11 @@ class Layout:
     shards: int
 
 
-def layout(docs: DataFrame, text_col: str, keys_per_byte: float = 0.16) -> Layout:
+def layout(docs: DataFrame, text_col: str, keys_per_byte: float = 0.16, block_bytes: int = BLOCK_BYTES) -> Layout:
     """Numbers of blocks and shards, in proportion to the bytes of text (one pass over one column)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return Layout(max(2 * parts, -(-size // BLOCK_BYTES)), max(parts, int(size * keys_per_byte / SHARD_KEYS) + 1))
+    return Layout(max(2 * parts, -(-size // block_bytes)), max(parts, int(size * keys_per_byte / SHARD_KEYS) + 1))
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, blocks: int, extra: list[str] = ()) -> DataFrame:

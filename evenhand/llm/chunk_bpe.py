@@ -31,8 +31,10 @@ from evenhand.llm.words import BASES, U64, mix, powers
 #: Bytes under the rolling hash, and a chunk's mean length as a power of two.
 ROLL = 32
 MEAN_BITS = 11
-#: Words whose ids a worker remembers.
-MEMO = 400_000
+#: Words whose ids a worker remembers (a block's words come on top), and words encoded at a time.
+MEMO, BATCH = 150_000, 400
+#: Text of a block; its chunks, hashes and ids are in memory together.
+BLOCK_BYTES = 2_000_000
 
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _loaded: dict[str, Encoder] = {}
@@ -52,6 +54,7 @@ class Encoder:
             if json.load(f)["decoder"] is not None:
                 raise ValueError("this decoding joins tokens by spaces; the vocabulary names another decoder")
         self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
         size = max(self.tok.get_vocab().values()) + 1
         self.digits = [b"%d" % i for i in range(size)]
         self.names = [(self.tok.id_to_token(i) or "").encode() for i in range(size)]
@@ -67,13 +70,30 @@ class Encoder:
         return [e.ids for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        """Remember these words (at least until the next call)."""
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.memo.update(zip(part, map(tuple, self.plain(part))))
+        """Remember these words at least until the next call; words not met for two generations are forgotten."""
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        new = []
+        for w in words:
+            if w not in self.memo:
+                if w in self.old:
+                    self.memo[w] = self.old[w]
+                else:
+                    new.append(w)
+        for i in range(0, len(new), 50 * BATCH):
+            self._encode_words(new[i : i + 50 * BATCH])
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Many words in one text cost less than one by one; tokens go to words by their place in it."""
+        groups = [[w.decode() for w in words[i : i + BATCH]] for i in range(0, len(words), BATCH)]
+        at = 0
+        for group, e in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = tuple(e.ids)
+            place = np.fromiter((x for x, _ in e.offsets), dtype=np.int64, count=len(ids))
+            cut = np.searchsorted(place, np.cumsum([len(w) + 1 for w in group])).tolist()
+            for a, b in zip([0, *cut[:-1]], cut):
+                self.memo[words[at]] = ids[a:b]
+                at += 1
 
     def ids(self, words: list[bytes]) -> list[int]:
         memo, out = self.memo, []
@@ -207,7 +227,7 @@ def repaired(plan: list[tuple[list[bytes], list[int] | None, bool]], enc: Encode
 
 
 KEYS = "block int, h1 bigint, h2 bigint, n bigint"
-GIVEN = "h1 bigint, h2 bigint, ids binary"
+GIVEN = "h1 bigint, h2 bigint, block int, ids binary"
 DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -219,7 +239,7 @@ def encode(
     ``path`` names a vocabulary file that executors have. Ids equal the library's for the whole text without special
     tokens added. Null and empty texts have no ids. Repeated rows are encoded each; an empty table gives no rows.
     """
-    plan = layout(docs, text_col)
+    plan = layout(docs, text_col, block_bytes=BLOCK_BYTES)
     kinds = docs.schema
     c = lambda name: F.col(f"`{name}`")
     names = ["id", *(f"x{i}" for i in range(len(extra)))]
@@ -254,18 +274,21 @@ def encode(
         rows: list[tuple] = []
         if t.num_rows and mine.num_rows:
             ch, enc, z = Chunks(texts_of(t)), Encoder.get(path), zstandard.ZstdCompressor(level=1)
-            want, inner = set(zip(mine["h1"].to_pylist(), mine["h2"].to_pylist())), {}
+            block, inner = t["block"][0].as_py(), {}
+            asked = list(zip(*(mine[x].to_pylist() for x in ("h1", "h2", "owner"))))
+            want = {(a, b) for a, b, owner in asked if owner == block}
             for i, key in enumerate(zip(ch.keys[0].tolist(), ch.keys[1].tolist())):
                 if key in want and key not in inner:
                     cut = ends_of(ch.bytes_of(i, i + 1))
                     inner[key] = cut[1].split() if cut else []
             enc.learn({w for words in inner.values() for w in words})
-            rows = [(*key, z.compress(np.array(enc.ids(w), dtype="<u4").tobytes())) for key, w in inner.items()]
-        return table_of(rows, [("h1", pa.int64()), ("h2", pa.int64()), ("ids", pa.binary())])
+            for a, b, _ in asked:
+                w = inner.get((a, b))
+                rows.append((a, b, block, None if w is None else z.compress(np.array(enc.ids(w), dtype="<u4").tobytes())))
+        return table_of(rows, [("h1", pa.int64()), ("h2", pa.int64()), ("block", pa.int32()), ("ids", pa.binary())])
 
-    owners = shared.filter("block = owner").select("block", "h1", "h2")
-    encoded = base.groupBy("block").cogroup(owners.groupBy("block")).applyInArrow(own, GIVEN)
-    handed = shared.select("block", "h1", "h2").join(encoded, ["h1", "h2"])
+    asked = base.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(own, GIVEN)
+    handed = asked.select("block", "h1", "h2", F.max("ids").over(over).alias("ids"))
 
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
         enc, z = Encoder.get(path), zstandard.ZstdDecompressor()

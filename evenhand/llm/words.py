@@ -36,7 +36,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n + 1, 1 << 16), base, dtype=U64)
         have[0] = 1
         have = np.cumprod(have, dtype=U64)
-        if n < 1 << 24:
+        if n < 1 << 23:
             _powers[base] = have
     return have
 
