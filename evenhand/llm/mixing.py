@@ -67,18 +67,20 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> Dat
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None,
-    quality: DataFrame | None = None, weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 10,
+    quality: DataFrame | None = None, weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 10, carry: bool = False,
 ) -> DataFrame:
     """One row per document: ``id, source, size, source_size, target, copies, taken``.
 
-    ``size`` is a column of whole numbers (default: words of ``text``); ``quality`` may give ``id, weight``, positive
+    With ``carry`` the document's own columns follow as a struct ``row``. ``size`` is a column of whole numbers (default: words of ``text``); ``quality`` may give ``id, weight``, positive
     weights of documents (others, and null, weigh 1). ``copies`` is how often the mix takes the document, at most
     ``cap``; ``taken = copies * size``. The document at which a budget runs out is taken if its middle lies within, so
     a source misses its target by at most half that document. Null sources are one source, last in order. Repeated
     rows of one id and size are interchangeable; ties of keys go by id, then size. Empty texts take nothing. An empty
     table gives no rows. The same input gives the same mix on any partitioning.
     """
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), (word_count("text") if size is None else size).alias("size"))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    base = docs.select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), (word_count("text") if size is None else size).alias("size"), *whole)
     if quality is None:
         base = base.withColumn("weight", F.lit(1.0))
     else:
@@ -87,7 +89,8 @@ def mix(
         base = base.withColumn("weight", F.when(fit, F.col("weight")).otherwise(1.0))
     base = base.withColumn("key", -F.log(uniform("id", seed)) / F.col("weight"))
     slot = F.least(F.floor((1 - F.exp(-F.col("key"))) * (DIGITS * DIGITS)), F.lit(DIGITS * DIGITS - 1)).cast("int")
-    base = durable(base.select("id", "source", "size", "key", slot.alias("slot")))
+    every = base.select("id", "source", "size", "key", slot.alias("slot"), *(["row"] if carry else []))
+    base = durable(every.drop("row"))
 
     by = targets(numbered(base.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
@@ -120,13 +123,14 @@ def mix(
 
     cut = match(match(by, one.select("source", F.col("b").alias("b1")), "left"), two.select("source", F.col("b").alias("b2")), "left")
     cut = durable(match(cut, more, "left"))
-    at = match(base, cut)
+    at = match(every if carry else base, cut)
     point = F.struct("key", F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "size")
     stop = F.col("b1") * DIGITS + F.coalesce("b2", F.lit(DIGITS))
     extra = F.when(F.col("budget") <= 0, False).when(F.col("b1").isNull(), True).when(F.col("slot") < stop, True)
     extra = extra.when(F.col("slot") > stop, False).otherwise(F.coalesce(point <= F.col("edge"), F.lit(False)))
     out = at.withColumn("copies", F.col("epochs") + extra.cast("bigint"))
-    return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return out.select("id", "source", "size", "source_size", "target", "copies", taken, *(["row"] if carry else []))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

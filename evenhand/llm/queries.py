@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from evenhand.llm.chunk_bpe import encode
 from evenhand.llm.flat_graph import near_vectors
+from evenhand.llm.html_layout import extract
 from evenhand.llm.language import fit_profiles, held_out, predict
 from evenhand.llm.mixing import label_weights, mix
 from evenhand.llm.ngram_trie import near_classes
 from evenhand.llm.revisits import header_text, records_from_pages, resolve
 from evenhand.llm.substring import repeated_spans
+from evenhand.llm.token_files import token_counts_of
 from evenhand.llm.va_search import top_k
+from evenhand.sources.sinks import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,3 +190,22 @@ def op1_revisit_resolution(spark, sf):
         "revisit_id", "ts", "outcome", "response_id", F.size("headers").alias("n_headers"),
         F.sha2(header_text(F.col("headers")), 256).alias("headers_sha256"), F.sha2("payload", 256).alias("payload_sha256"),
     )
+
+
+@query("op5_html_layout")
+def op5_html_layout(spark, sf):
+    texts = extract(table(spark, sf, "pages"), keep=["page_id"])
+    return texts.select(
+        "page_id", "text", F.length("text").cast("bigint").alias("n_chars"),
+        F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf):
+    """Counts by file and place, as the flat files hold nothing else; 50256 is the vocabulary's free id."""
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents")
+    counts = token_counts_of(docs, scratch_path(spark, "tokens"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
+    return counts.select(number.alias("file_no"), F.col("doc").alias("doc_no"), F.col("start").alias("first_token"), "n_tokens", "ended")
