@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.session import durable
+from evenhand.llm.scratch import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,11 +13,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every vertex takes the name of the vertex with the smallest keyed hash among itself and its
     neighbours, and edges between names go on. A random order shrinks paths and stars alike, so rounds grow with the
-    logarithm of the longest path. Names fold map-side; joins meet checkpointed tables only, so that AQE can split a
+    logarithm of the longest path. Names fold map-side; joins meet written tables only, so that AQE can split a
     hub's rows. The edges of all rounds shrink geometrically; nothing is collected.
     """
+    scratch = Scratch(edges.sparkSession)
+    durable = scratch.table
     todo = durable(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
-    ids = todo.select(F.col("a").alias("id")).union(todo.select(F.col("b").alias("id"))).distinct()
+    ids = durable(todo.select(F.col("a").alias("id")).union(todo.select(F.col("b").alias("id"))).distinct())
     todo, maps, k = todo.filter("a <> b"), [], 0
     while not todo.isEmpty():
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
@@ -30,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         pair = full.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b")
         todo, k = durable(pair.distinct()), k + 1
     if not maps:
+        scratch.drop([ids])
         return ids.select("id", F.col("id").alias("component"))
     whole = maps[-1]
     for m in reversed(maps[:-1]):
@@ -37,4 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         whole = durable(m.join(after, "name", "left").select("id", F.coalesce("last", "name").alias("name")))
     least = durable(whole.groupBy("name").agg(F.min(F.least("id", "name")).alias("component")))
     found = whole.join(least, "name").select("id", "component")
-    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    out = durable(ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    scratch.drop([out])
+    return out

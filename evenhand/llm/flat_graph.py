@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.llm.components import components
-from evenhand.session import durable
+from evenhand.llm.scratch import Scratch
 
 THRESHOLD = 0.9
 OVERLAP = 3
@@ -203,26 +203,29 @@ def near_vectors(
     do not link. Rows of equal direction are linked with each other and with the same others. Rows without an id take
     no part and are given back with null; ids are taken to be distinct. An empty table gives no rows.
     """
-    rows = durable(units(df, id_col, vec_col))
     spark = df.sparkSession
+    scratch = Scratch(spark)
+    durable = scratch.table
+    rows = durable(units(df, id_col, vec_col))
     good = rows.filter("unit IS NOT NULL AND id IS NOT NULL")
     classes = durable(good.groupBy("dim", "unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")))
     linked = spark.createDataFrame([], "rep bigint, links bigint, root bigint")
     for r in sorted(classes.groupBy("dim").count().collect()):
-        linked = linked.union(_search(classes.filter(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold))
+        linked = linked.union(_search(classes.filter(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold, scratch))
     linked = durable(linked)
-    comp = durable(components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
+    comp = (components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     known = durable(classes.join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
         "dim", "unit", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
+    scratch.drop([rows, known])
     out = rows.join(known, ["dim", "unit"], "left")
     whole = F.col("id").isNotNull()
     return out.select("id", F.when(whole, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"), F.when(whole, F.coalesce("component", "id")).alias("component"))
 
 
-def _search(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
+def _search(classes: DataFrame, dim: int, n: int, threshold: float, scratch: Scratch) -> DataFrame:
     centres = centres_of(classes, dim, n)
-    overlap = min(OVERLAP, len(centres))
+    overlap, durable = min(OVERLAP, len(centres)), scratch.table
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,7 +260,7 @@ def _search(classes: DataFrame, dim: int, n: int, threshold: float) -> DataFrame
 
 def recall(df: DataFrame, found: DataFrame, sample: int = 200, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> float:
     """Links found over links there are, for a bounded sample of vectors held against all rows."""
-    rows = durable(units(df, id_col, vec_col).filter("unit IS NOT NULL AND id IS NOT NULL"))
+    rows = Scratch(df.sparkSession).table(units(df, id_col, vec_col).filter("unit IS NOT NULL AND id IS NOT NULL"))
     some = rows.orderBy(F.xxhash64("id", F.lit(1))).limit(sample).toArrow()
     have = {r["id"]: r["n_links"] for r in found.join(rows.sparkSession.createDataFrame([(i,) for i in some["id"].to_pylist()], "id bigint"), "id").collect()}
     asked = [(i, np.frombuffer(u, dtype=np.float64)) for i, u in zip(some["id"].to_pylist(), some["unit"].to_pylist())]

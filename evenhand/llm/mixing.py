@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evenhand.session import durable
+from evenhand.llm.scratch import Scratch
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -34,9 +34,9 @@ def uniform(id_col: str, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def numbered(sources: DataFrame) -> DataFrame:
+def numbered(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """``position`` of each source by code point, null last, without bringing the sources into one task."""
-    at = durable(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    at = scratch.table(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     counts = at.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row per partition
     base = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
@@ -44,14 +44,14 @@ def numbered(sources: DataFrame) -> DataFrame:
     return tagged.withColumn("position", F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "base", "at")
 
 
-def targets(sources: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
+def targets(sources: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``target`` of each source: its share of all sizes by weight, stopped at ``cap`` times its size.
 
     Sources above the cap stop there and the rest is shared by weight again, until none is above. Each round is one
     sum over the source table: the level (words per unit of weight) only rises, so a source once capped stays so.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("position") % len(weights) + 1).cast("int"))
-    s = durable(sources.withColumn("w", w))
+    s = scratch.table(sources.withColumn("w", w))
     limit, level = F.col("source_size") * cap, None
     total = s.agg(F.sum("source_size")).first()[0] or 0
     while True:
@@ -78,6 +78,8 @@ def mix(
     rows of one id and size are interchangeable; ties of keys go by id, then size. Empty texts take nothing. An empty
     table gives no rows. The same input gives the same mix on any partitioning.
     """
+    scratch = Scratch(docs.sparkSession)
+    durable = scratch.table
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     base = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), (word_count("text") if size is None else size).alias("size"), *whole)
@@ -92,7 +94,7 @@ def mix(
     every = base.select("id", "source", "size", "key", slot.alias("slot"), *(["row"] if carry else []))
     base = durable(every.drop("row"))
 
-    by = targets(numbered(base.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, cap)
+    by = targets(numbered(base.groupBy("source").agg(F.sum("size").alias("source_size")), scratch), scratch, weights, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     by = by.withColumn("epochs", epochs)
     by = durable(by.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).drop("position"))
@@ -123,6 +125,7 @@ def mix(
 
     cut = match(match(by, one.select("source", F.col("b").alias("b1")), "left"), two.select("source", F.col("b").alias("b2")), "left")
     cut = durable(match(cut, more, "left"))
+    scratch.drop([base, cut])
     at = match(every if carry else base, cut)
     point = F.struct("key", F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "size")
     stop = F.col("b1") * DIGITS + F.coalesce("b2", F.lit(DIGITS))

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from evenhand.llm.blocks import CELLS, blocked, estimates, ids_of, layout, merge_cells, reply_rows, report, runs_of
 from evenhand.llm.components import components
+from evenhand.llm.scratch import Scratch
 from evenhand.llm.words import BASES, U64, mix, span_hash, split_words
-from evenhand.session import durable
 
 NGRAM = 5
 #: Threshold as a fraction, so that comparisons stay in whole numbers.
@@ -200,6 +200,8 @@ def near_classes(
     smallest and is given back as null. Repeated rows give repeated results; an empty table gives none.
     """
     lowest = F.lit(-(1 << 63))
+    scratch = Scratch(docs.sparkSession)
+    durable = scratch.table
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +276,7 @@ def near_classes(
     body = sets.select("id", "n", "tokens", "order")
     first = tried.join(body, "id").withColumn("comp", F.col("id")).withColumn("beyond", F.lit(0))
     near = durable(first.groupBy("round", "key", "part").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint"))
-    found = durable(components(near))
+    found = components(near)
 
     # what is left: buckets of prefix tokens with more than one component
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +302,7 @@ def near_classes(
     small = small.select("token", "comp", "n", cut("tokens", 8), cut("order", 2), (shown - F.col("p")).cast("int").alias("beyond"))
     could = small.groupBy("token").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint")
     large = entries.join(open_.filter(F.col("size") > CHUNK), "token").select(F.col("comp").alias("a"), F.col("x").alias("b"))
-    clusters = durable(components(could.union(large.distinct())))
+    clusters = components(could.union(large.distinct()))
     clusters = clusters.select(F.col("id").alias("comp"), F.col("component").alias("cluster"))
     again = durable(member.join(clusters, "comp"))
     parts = again.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
@@ -309,11 +311,12 @@ def near_classes(
     todo = todo.select("id", "comp", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     whole = todo.join(body.drop("p"), "id").withColumn("beyond", F.lit(0))
     more = durable(whole.groupBy("cluster", "i", "j").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint"))
-    last = durable(components(more))
+    last = components(more)
 
     tag = last.select(F.col("id").alias("comp"), F.col("component").alias("wider"))
     names = classes.join(member, classes["rep"] == member["id"], "left").select("n", "p", "q", F.coalesce("comp", "rep").alias("comp"))
     names = durable(names.join(tag, "comp", "left").select("n", "p", "q", F.coalesce("wider", "comp").alias("component")))
+    scratch.drop([rows, names])
     out = named.join(names, ["n", "p", "q"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     back = lambda c: F.when(F.col(c) != lowest, F.col(c))
     return out.select(back("id").alias("id"), F.col("n").alias("n_shingles"), back("component").alias("component"))

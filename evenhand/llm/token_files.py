@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evenhand.session import durable
+from evenhand.llm.scratch import Scratch, remove
 
 BLOCK_BYTES = 8 << 20
 
@@ -124,7 +124,6 @@ def token_counts_of(docs: DataFrame, folder: str, path: str, pattern: str, end:
     """Tokenise documents into flat files in ``folder`` (shared by all executors), scan them, and remove them again."""
     spark = docs.sparkSession
     write_token_files(docs, folder, path, pattern, end, text_col=text_col)
-    blocks = durable(scan_blocks(spark, folder, end))
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    blocks = Scratch(spark).table(scan_blocks(spark, folder, end))
+    remove(spark, folder)
     return count_tokens(blocks)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evenhand.session import durable
+from evenhand.llm.scratch import Scratch
 
 BITS = 6
 #: Vectors that place the marks (the outer cells reach to the extremes of all vectors), queries of a pass, block rows.
@@ -129,8 +129,9 @@ class Kept:
         return q[ok], ids[ok], upper[ok]
 
 
-def _pass(vectors: DataFrame, file: DataFrame, some: pa.Table, dim: int, marks: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
+def _pass(vectors: DataFrame, file: DataFrame, some: pa.Table, dim: int, marks: tuple[np.ndarray, np.ndarray], k: int, scratch: Scratch) -> DataFrame:
     """Top k of one chunk of queries."""
+    durable = scratch.table
     query_ids = some["id"].to_numpy()
     queries = matrix(some["v"].combine_chunks(), dim)
     least, most = marks
@@ -187,6 +188,7 @@ def top_k(
     an id take no part. With fewer than ``k`` candidates all are given; an empty table gives no rows.
     """
     spark = df.sparkSession
+    scratch = Scratch(spark)
     vectors = whole_vectors(df, id_col, vec_col, scale)
     asked = vectors.filter(is_query).distinct()
     out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
@@ -194,11 +196,11 @@ def top_k(
         dim, n = r["dim"], r["count"]
         same = vectors.filter(F.col("dim") == dim)
         marks = marks_of(same, dim)
-        file = durable(approximate(same, marks[0]))
+        file = scratch.table(approximate(same, marks[0]))
         chunks = -(-n // QUERIES)
         for c in range(chunks):
             chunk = asked.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(chunks)) == c))
             some = chunk.select("id", "v").orderBy("id").toArrow()
             if some.num_rows:
-                out = out.union(_pass(same, file, some, dim, marks, k))
+                out = out.union(_pass(same, file, some, dim, marks, k, scratch))
     return out
