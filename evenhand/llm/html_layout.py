@@ -43,7 +43,7 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u s
 # --------------------------------------------------------------------------------------------------
 
 TOKEN = re.compile(
-    r"<(?:!--(?:(?=-?>)|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTR = re.compile(r"([^\s/=\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NONE = re.compile(r"display\s*:\s*none", re.I)
@@ -139,6 +139,8 @@ def build(page: str) -> Node:
 
     for kind, name, rest in tokens(page):
         if kind == "text":
+            if stack[-1].tag == "head" and rest.strip():
+                stack.pop()  # text ends an open head
             if rest:
                 stack[-1].children.append(html.unescape(rest) if "&" in rest else rest)
         elif kind == "raw":
@@ -338,6 +340,8 @@ def render(page: str | None) -> str:
     while todo:
         node, parent, entering = todo.pop()
         if isinstance(node, str):
+            if parent.tag == "details" and parent.get("open") is None:
+                continue
             if not parent.state and parent.tag not in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "colgroup"):
                 flow.exact(node) if pre else flow.words(node)
             elif not parent.state and node.strip():
