@@ -77,6 +77,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if lt < 0:
             yield "text", "", page[at:]
             return
+        if page.find(">", lt) < 0:  # no tag can end any more
+            yield "text", "", page[at:lt] if page.startswith("<!--", lt) else page[at:]
+            return
         m = TOKEN.match(page, lt) or LOOSE.match(page, lt)
         if m is None:  # a lone "<" is text
             nxt = page.find("<", lt + 1)
