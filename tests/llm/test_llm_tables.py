@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evenhand.llm import components as graph
 from evenhand.llm import flat_graph, revisits, token_files, va_search
-from evenhand.llm.components import components
 from evenhand.llm.flat_graph import near_vectors, recall
 from evenhand.llm.html_layout import extract, render
 from evenhand.llm.queries import vocabulary
@@ -28,7 +28,9 @@ VECTORS = "vec_id bigint, embedding array<float>, label int"
 
 # --- components -----------------------------------------------------------------------------------
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("one_task", [500_000, 20])
+def test_components_match_union_find(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1080)]
     edges += [(2000, x) for x in range(2001, 2100)] + [(-5, -7), (3000, 3000), (None, 4)]
@@ -43,9 +45,9 @@ def test_components_match_union_find(spark):
         if a is not None:
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: root(x) for x in list(parent)}
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
 # --- top-k ----------------------------------------------------------------------------------------
