@@ -8,7 +8,7 @@ from evenhand.catalog.registry import CELLS, EVENT_SQL, cells_sql, disparity_sql
 from evenhand.operators import resample as B
 
 REPLICATES = 20
-U32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+U60 = "('0x' || substr(md5({}), 1, 15))::HUGEINT"
 
 INTERVALS_SQL = f"""
 RR AS (SELECT *, tp / nullif(tp + fn, 0) AS tpr, tn / nullif(tn + fp, 0) AS tnr, fp / nullif(tn + fp, 0) AS fpr,
@@ -37,7 +37,7 @@ def _shown(out):
 @query(
     "bootstrap_ci",
     f"""WITH {EVENT_SQL}, {cells_sql("E")},
-DR AS (SELECT t.b, grp, tn, fp, fn, tp, ({U32.format("concat_ws('|', 42, t.b, grp, s.i)")} * n) >> 32 AS u
+DR AS (SELECT t.b, grp, tn, fp, fn, tp, (({U60.format("concat_ws('|', 42, t.b, grp, s.i)")} * n) >> 60)::BIGINT AS u
   FROM C, range({REPLICATES}) t(b), LATERAL (SELECT unnest(range(n)) AS i) s),
 DC AS (SELECT b, grp, CASE WHEN u < tn THEN 'tn' WHEN u < tn + fp THEN 'fp' WHEN u < tn + fp + fn THEN 'fn' ELSE 'tp' END AS cell FROM DR),
 RQ AS (SELECT b, grp, {REPLICATE_COUNTS} FROM DC GROUP BY b, grp),
@@ -61,7 +61,7 @@ def bootstrap_ci_fast(spark, sf):
 ID AS (SELECT cluster_id, row_number() OVER (ORDER BY md5(cluster_id::VARCHAR)) - 1 AS idx
        FROM (SELECT DISTINCT cluster_id FROM PC)),
 K AS (SELECT count(*) AS k FROM ID),
-DR AS (SELECT t.b, ({U32.format("concat_ws('|', 42, t.b, s.i)")} * k) >> 32 AS idx
+DR AS (SELECT t.b, (({U60.format("concat_ws('|', 42, t.b, s.i)")} * k) >> 60)::BIGINT AS idx
   FROM K, range({REPLICATES}) t(b), LATERAL (SELECT unnest(range(k)) AS i) s),
 RC AS (SELECT b, grp, CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos_n) AS BIGINT) AS pos_n, CAST(sum(neg_n) AS BIGINT) AS neg_n,
   CAST(sum(sel_n) AS BIGINT) AS sel_n, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp,
@@ -126,7 +126,7 @@ def permutation_control_fast(spark, sf):
     "random_group_control",
     _control_sql(
         f"""WITH {EVENT_SQL}, {GROUP_ENDS}, NN AS (SELECT count(*) AS n FROM E),
-PR AS (SELECT b, y_true, y_pred, ({U32.format("'42r|' || b || '|' || row_id")} * n) >> 32 AS u
+PR AS (SELECT b, y_true, y_pred, (({U60.format("'42r|' || b || '|' || row_id")} * n) >> 60)::BIGINT AS u
        FROM E, range({REPLICATES}) t(b), NN),
 DEALT AS (SELECT b, y_true, y_pred, GE.grp FROM PR JOIN GE ON u >= lo AND u < hi)""",
         "RANDOM_GROUP_CONTROL",

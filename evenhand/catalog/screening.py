@@ -191,6 +191,32 @@ def anova_f(spark, sf):
     return out.select("feature_name", "groups", "n", F.round("f_statistic", 5).alias("f_statistic"))
 
 
+def _shift_sql(c: str) -> str:
+    return _anova_sql(c).replace(f"'{c}' AS", f"'{c}_shifted' AS")
+
+
+@query("anova_f_shifted", f"WITH {ORDER_SQL} " + " UNION ALL ".join(_shift_sql(c) for c in ("nation", "y_true")))
+def anova_f_shifted(spark, sf):
+    """Features moved by 2**50, as times in microseconds are: the F ratio must not change."""
+    o = order_frame(spark, sf)
+    moved = o.select("grp", *[(F.col(c).cast("double") + F.lit(float(1 << 50))).alias(f"{c}_shifted") for c in ("nation", "y_true")])
+    out = G.group_separation(moved, ["nation_shifted", "y_true_shifted"])
+    return out.select("feature_name", "groups", "n", F.round("f_statistic", 5).alias("f_statistic"))
+
+
+@query(
+    "group_contamination_numeric",
+    f"""WITH {ORDER_SQL} SELECT 'o_totalprice' AS feature_name, count(*) AS pairs, round(corr(o_totalprice, nation), 7) AS correlation,
+  abs(corr(o_totalprice, nation)) >= 0.2 AS contaminated FROM O UNION ALL
+SELECT 'nation', count(*), round(corr(nation, nation), 7), abs(corr(nation, nation)) >= 0.2 FROM O""",
+)
+def group_contamination_numeric(spark, sf):
+    """A numeric group counts with its value, not with its place among the labels."""
+    o = order_frame(spark, sf).withColumn("grp", F.col("nation"))
+    out = G.group_correlations(o, ["o_totalprice", "nation"])
+    return out.withColumn("correlation", F.round("correlation", 7))
+
+
 @query("contamination_report")
 def contamination_report(spark, sf):
     """Correlation and ANOVA verdicts; the F tail has no SQL form (tested against known values)."""
@@ -226,7 +252,8 @@ SELECT split_pair, overlap_count, overlap_count / right_rows AS overlap_fraction
   CASE WHEN overlap_count / right_rows > 0.05 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM P""",
 )
 def split_overlap(spark, sf):
-    return G.split_overlap(split_events(spark, sf), ["entity_id", "event_type"]).drop("dataset")
+    out = G.split_overlap(split_events(spark, sf), ["entity_id", "event_type"]).drop("dataset")
+    return out.withColumn("overlap_count", F.col("overlap_count").cast("bigint"))
 
 
 @query(
@@ -376,6 +403,5 @@ SELECT count(*) AS row_count, CAST(sum(('0x' || substr(d, 1, 8))::BIGINT) AS BIG
   CAST(sum(('0x' || substr(d, 25, 8))::BIGINT) AS BIGINT) AS part_3 FROM X""",
 )
 def table_fingerprint(spark, sf):
-    return Q.table_fingerprint(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")).drop(
-        "fingerprint"
-    )
+    out = Q.table_fingerprint(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
+    return out.select("row_count", *[F.col(f"part_{i}").cast("bigint").alias(f"part_{i}") for i in range(4)])

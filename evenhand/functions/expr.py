@@ -51,9 +51,16 @@ def draw32(*parts) -> Column:
     return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("bigint")
 
 
+def draw60(*parts) -> Column:
+    """A BIGINT in [0, 2**60) taken from the first fifteen hex digits of the digest."""
+    return F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("bigint")
+
+
 def uniform_index(draw: Column, size: Column) -> Column:
-    """Map a 32-bit draw to 0 .. size-1 without a modulo bias towards low slots."""
-    return F.shiftright(draw * size.cast("bigint"), 32)
+    """Map a 60-bit draw to 0 .. size-1 without a modulo bias towards low slots. The product is
+    taken in DECIMAL, so every size that a BIGINT of rows can have is reached without overflow."""
+    wide = draw.cast("decimal(19,0)") * size.cast("decimal(19,0)")
+    return F.call_function("div", wide, F.lit(1 << 60).cast("decimal(19,0)")).cast("bigint")
 
 
 def unpivot_structs(structs: list[Column]) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 
-def _beta_fraction(a: float, b: float, x: float, rounds: int = 300, eps: float = 1e-15) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+def _beta_fraction(a: float, b: float, x: float, eps: float = 4e-15) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz), to convergence: the
+    number of terms grows with the square root of the larger parameter."""
+    rounds = 1000 + 20 * int(math.sqrt(max(a, b)))
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
@@ -21,8 +23,8 @@ def _beta_fraction(a: float, b: float, x: float, rounds: int = 300, eps: float =
             c = c if abs(c) > tiny else tiny
             h *= c * d
         if abs(c * d - 1.0) < eps:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the beta fraction did not converge for a={a}, b={b}, x={x}")
 
 
 def beta_regularized(a: float, b: float, x: float) -> float:

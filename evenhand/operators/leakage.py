@@ -12,6 +12,7 @@ from evenhand import vocab as V
 from evenhand.functions.expr import ratio
 from evenhand.functions.special import f_tail
 from evenhand.operators.frames import numeric_columns
+from evenhand.session import durable
 
 FINDING = T.StructType(
     [
@@ -164,32 +165,40 @@ def feature_findings(
 
 # --- group contamination -------------------------------------------------------------------
 
-def group_codes(df: DataFrame, group: str) -> DataFrame:
-    """Each label with its place in sorted order (0-based)."""
-    labels = df.select(F.col(group).cast("string").alias(group)).na.drop().distinct()
-    return labels.select(
-        group, (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(group)) - 1).cast("double").alias("code")
-    )
+def group_codes(labels: DataFrame, group: str) -> DataFrame:
+    """Each text label with its place in sorted order (0-based). Labels are counted per leading
+    part of their digest-free sort order, so no task numbers all of them."""
+    at = durable(labels.select(F.col(group).cast("string").alias(group)).na.drop().distinct().orderBy(group).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = at.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))  # one row per task of the sort
+    base = sizes.select("__part", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("__part")) - F.col("n")).alias("__base"))
+    code = F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.withColumn("__part", part).join(base, "__part").select(group, code.cast("double").alias("code"))
 
 
 def group_correlations(
     df: DataFrame, features: Sequence[str], group: str = "grp", threshold: float = 0.20
 ) -> DataFrame:
-    """Pearson r of the label code with each numeric feature (> 20 pairs).
+    """Pearson r of the group with each numeric feature (> 20 pairs, both deviations above 1e-9).
 
-    The code is constant inside a group, so r follows from per-group sums: the rows fold to one
-    row per group and the codes join those few rows, not the table. A missing label has
-    code -1. Sums are taken around the feature mean, which keeps r accurate far from zero.
+    A numeric group counts with its own value; a text label with its place in sorted order, a
+    missing one with -1. The value is constant inside a group, so r follows from per-group sums:
+    the rows fold to one row per group and the codes join those few rows, not the table. Sums
+    are taken around the means, which keeps r accurate far from zero.
     """
+    numeric = isinstance(df.schema[group].dataType, T.NumericType)
+    mean_code = df.agg(F.avg(F.col(group).cast("double")).alias("m")).first()["m"] or 0.0 if numeric else 0.0
     means = df.agg(*[F.avg(_as_number(df, c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
     aggs = []
     for i, c in enumerate(features):
         x = _as_number(df, c) - F.lit(means[f"m{i}"] or 0.0)
         aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    per = df.groupBy(F.col(group).cast("string").alias(group)).agg(*aggs)
-    coded = per.join(group_codes(df, group), group, "left").withColumn(
-        "code", F.coalesce("code", F.lit(-1.0))
-    )
+    if numeric:
+        per = df.groupBy(group).agg(*aggs)
+        coded = per.withColumn("code", F.coalesce(F.col(group).cast("double"), F.lit(-1.0)) - F.lit(mean_code))
+    else:
+        per = df.groupBy(F.col(group).cast("string").alias(group)).agg(*aggs)
+        coded = per.join(group_codes(per, group), group, "left").withColumn("code", F.coalesce("code", F.lit(-1.0)))
     k = F.col("code")
     wide = coded.agg(
         *[
@@ -213,7 +222,7 @@ def group_correlations(
     cov = n * F.col("m.kx") - F.col("m.k") * F.col("m.x")
     var_x = n * F.col("m.xx") - F.col("m.x") * F.col("m.x")
     var_k = n * F.col("m.kk") - F.col("m.k") * F.col("m.k")
-    usable = (n > 20) & (var_x > 0) & (var_k > 0)
+    usable = (n > 20) & (F.sqrt(var_x) / n > 1e-9) & (F.sqrt(var_k) / n > 1e-9)
     r = F.when(usable, cov / (F.sqrt(var_x) * F.sqrt(var_k)))
     return long.select(
         "feature_name",
@@ -226,12 +235,13 @@ def group_correlations(
 def group_separation(df: DataFrame, features: Sequence[str], group: str = "grp") -> DataFrame:
     """One-way ANOVA of every feature over the groups with more than three values.
 
-    One pass gives count, mean and population variance per group and feature; the F ratio is
+    After the means, one pass gives count, mean and population variance per group and feature; the F ratio is
     arithmetic on those rows.
     """
+    means = df.agg(*[F.avg(_as_number(df, c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
     aggs = []
     for i, c in enumerate(features):
-        x = _as_number(df, c)
+        x = _as_number(df, c) - F.lit(means[f"m{i}"] or 0.0)  # centred: squares of large values would cancel
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
     per = df.filter(F.col(group).isNotNull()).groupBy(group).agg(*aggs)
     long = per.select(
@@ -311,7 +321,7 @@ def split_overlap(
     wide = per.agg(
         *[
             F.struct(
-                F.sum(F.col(a) * F.col(b)).cast("bigint").alias("pairs"),
+                F.sum(F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(18,0)")).alias("pairs"),
                 F.sum(F.when(F.col(a) > 0, F.col(b)).otherwise(0)).cast("bigint").alias("rows"),
                 F.sum(b).cast("bigint").alias("right"),
             ).alias(f"p{i}")
@@ -321,7 +331,7 @@ def split_overlap(
     long = wide.select(
         F.inline(F.array(*[F.struct(F.lit(n).alias("split_pair"), F.col(f"p{i}").alias("p")) for i, (n, _, _) in enumerate(PAIRS)]))
     )
-    fraction = F.col("p.pairs") / F.greatest(F.col("p.right"), F.lit(1))
+    fraction = F.col("p.pairs").cast("double") / F.greatest(F.col("p.right"), F.lit(1))
     out = long.select(
         F.lit(dataset).alias("dataset"),
         "split_pair",

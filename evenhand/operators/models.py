@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from evenhand.operators import metrics as M
@@ -20,6 +21,7 @@ from evenhand.operators.frames import categorical_columns, numeric_columns
 from evenhand.operators.ranking import nearest_controls
 from evenhand.operators.splits import require_no_holdout, stratified_folds
 from evenhand.operators.units import with_reweighing
+from evenhand.session import durable
 
 
 # --- preprocessing -----------------------------------------------------------------------------------
@@ -256,7 +258,7 @@ def cross_validated_scores(
     """Mean utility over stratified folds for every setting; each fit is a Spark job."""
     if "split" in df.columns:
         require_no_holdout(df)
-    folded = stratified_folds(df, "y_true", row_id, folds, seed)
+    folded = durable(stratified_folds(df, "y_true", row_id, folds, seed))
     out = None
     for i, params in enumerate(grid):
         for k in range(folds):
@@ -273,38 +275,49 @@ def cross_validated_scores(
     return names.join(agg, "setting")
 
 
+def set_sizes(columns: int, drop_share: float, min_features: int, max_rounds: int) -> list[int]:
+    """Numbers of columns that an elimination tries, from all of them downwards."""
+    sizes = [columns]
+    while sizes[-1] > min_features and len(sizes) <= max_rounds:
+        sizes.append(sizes[-1] - max(1, int(sizes[-1] * drop_share)))
+    return sizes
+
+
+def most_important(model, columns: Sequence[str], count: int) -> list[str]:
+    """The ``count`` columns that matter most to a model, in the given order; later columns win ties."""
+    ranked = np.lexsort((np.arange(len(columns)), model.featureImportances.toArray()))
+    return [columns[i] for i in sorted(ranked[len(columns) - count :])]
+
+
 def eliminate_features(
     train: DataFrame, val: DataFrame, columns: Sequence[str], build: Callable[[], object] | None = None,
     drop_share: float = 0.15, min_features: int | None = None, max_rounds: int | None = None,
 ) -> tuple[list[str], DataFrame]:
-    """Drop the least important columns round by round; keep the set with the best utility.
+    """Column sets of falling size, each made of what mattered most in the one before, and the set
+    with the best utility on ``val`` (the first of equals; all columns if none has a utility).
 
-    ``columns`` are numeric. Returns the best set and one row per round.
+    ``columns`` are numeric. Returns that set and a table of one row per set tried.
     """
-    build = build or (lambda: boosted(rounds=20))
     if "split" in train.columns:
         require_no_holdout(train)
-    if min_features is None:
-        min_features = max(8, int(len(columns) * 0.25))
-    if max_rounds is None:
-        max_rounds = min(8, len(columns) - min_features)
-    selected, best, best_score, log = list(columns), list(columns), float("-inf"), []
-    for r in range(max(0, max_rounds) + 1):
-        assembler = VectorAssembler(inputCols=selected, outputCol="features", handleInvalid="keep")
-        model = build().fit(assembler.transform(train))
-        m = candidate_metrics(score(model, assembler.transform(val)).withColumn("fold", F.lit(0))).first()
-        log.append((r, len(selected), m["utility"], m["balanced_accuracy"], m["fairness_gap"]))
-        if m["utility"] is not None and m["utility"] > best_score:
-            best_score, best = m["utility"], list(selected)
-        if len(selected) <= min_features:
-            break
-        importance = model.featureImportances.toArray()
-        weakest = sorted(range(len(selected)), key=lambda i: (importance[i], i))[: max(1, int(len(selected) * drop_share))]
-        selected = [c for i, c in enumerate(selected) if i not in set(weakest)]
-    rounds = train.sparkSession.createDataFrame(
-        log, "round int, features int, utility double, balanced_accuracy double, fairness_gap double"
+    build = build or (lambda: boosted(rounds=20))
+    floor = max(8, int(len(columns) * 0.25)) if min_features is None else min_features
+    steps = min(8, len(columns) - floor) if max_rounds is None else max_rounds
+    train, val = durable(train), durable(val)
+    tried: list[tuple[list[str], object, Row]] = []
+    for size in set_sizes(len(columns), drop_share, floor, max(0, steps)):
+        chosen = most_important(tried[-1][1], tried[-1][0], size) if tried else list(columns)
+        vectors = VectorAssembler(inputCols=chosen, outputCol="features", handleInvalid="keep")
+        model = build().fit(vectors.transform(train))
+        scored = score(model, vectors.transform(val)).withColumn("fold", F.lit(0))
+        tried.append((chosen, model, candidate_metrics(scored).first()))
+    names = ("utility", "balanced_accuracy", "fairness_gap")
+    table = train.sparkSession.createDataFrame(
+        [(i, len(c), *[m[x] for x in names]) for i, (c, _, m) in enumerate(tried)],
+        "round int, features int, utility double, balanced_accuracy double, fairness_gap double",
     )
-    return best, rounds
+    rated = [(m["utility"], -i) for i, (_, _, m) in enumerate(tried) if m["utility"] is not None]
+    return tried[-max(rated)[1]][0] if rated else list(columns), table
 
 
 # --- effects ------------------------------------------------------------------------------------------------

@@ -51,7 +51,7 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
     def part(i: int) -> Column:
         slice_ = F.conv(F.substring("d", 8 * i + 1, 8), 16, 10).cast("bigint")
-        return F.sum(slice_).alias(f"part_{i}")
+        return F.coalesce(F.sum(slice_.cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"part_{i}")
 
     return d.agg(F.count(F.lit(1)).alias("row_count"), *[part(i) for i in range(4)]).withColumn(
         "fingerprint", F.sha2(F.concat_ws("|", "row_count", *[f"part_{i}" for i in range(4)]), 256)
@@ -98,13 +98,14 @@ def json_depth(c: str) -> Column:
 
 
 def resource_limits(
-    df: DataFrame, max_rows: int = V.MAX_ROWS, max_columns: int = V.MAX_COLUMNS
+    df: DataFrame, max_rows: int | None = None, max_columns: int | None = None
 ) -> list[str]:
-    """Messages for exceeded limits. The row check stops after ``max_rows + 1`` rows."""
+    """Messages for exceeded limits; a limit that is not given does not hold. The row check stops
+    after ``max_rows + 1`` rows."""
     out = []
-    if df.select(F.lit(1)).limit(max_rows + 1).count() > max_rows:
+    if max_rows is not None and df.select(F.lit(1)).limit(max_rows + 1).count() > max_rows:
         out.append(f"more than {max_rows} rows")
-    if len(df.columns) > max_columns:
+    if max_columns is not None and len(df.columns) > max_columns:
         out.append(f"{len(df.columns)} columns exceed {max_columns}")
     return out
 
@@ -152,6 +153,7 @@ def ingest_manifest(
     banned: Sequence[str] | None = None,
     max_rows: int | None = None,
     malformed_rows: int = 0,
+    max_columns: int | None = None,
 ) -> DataFrame:
     """Screen a table and record the verdict as one manifest row.
 
@@ -180,9 +182,7 @@ def ingest_manifest(
 
     if malformed_rows:
         return done("REJECTED_MALFORMED", [f"{malformed_rows} rows could not be parsed"])
-    limits = resource_limits(df, max_rows, V.MAX_COLUMNS) if max_rows is not None else []
-    if len(df.columns) > V.MAX_COLUMNS:
-        limits = limits or [f"{len(df.columns)} columns exceed {V.MAX_COLUMNS}"]
+    limits = resource_limits(df, max_rows, max_columns)
     if limits:
         return done("REJECTED_SIZE", limits)
     absent = missing_columns(df, roles) + [f"feature column '{c}' missing" for c in required if c not in df.columns]

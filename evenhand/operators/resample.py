@@ -9,7 +9,7 @@ from cells:
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand import vocab as V
-from evenhand.functions.expr import count_where, digest, draw32, ratio, uniform_index
+from evenhand.functions.expr import count_where, digest, draw60, ratio, uniform_index
+from evenhand.functions.draws import multivariate_hypergeometric
 from evenhand.operators.cells import confusion_cells
 from evenhand.operators.metrics import Gates, disparity_wide, with_rates
 from evenhand.operators.order import attach, exact_quantiles, hash_prefix, rank_cuts
@@ -28,8 +29,9 @@ REPLICATE_SCHEMA = "b int, grp string, tn bigint, fp bigint, fn bigint, tp bigin
 
 
 def _generator(*key) -> np.random.Generator:
-    """A generator that depends on the key only."""
-    return np.random.default_rng(zlib.crc32("|".join(map(str, key)).encode()) + 2**32)
+    """A generator that depends on the key only; 128 bits of a digest keep keys apart."""
+    seed = hashlib.sha256("|".join(map(str, key)).encode()).digest()[:16]
+    return np.random.default_rng(np.random.SeedSequence(int.from_bytes(seed, "big")))
 
 
 def _complete(cells: DataFrame, by: tuple[str, ...] = ("b", "grp")) -> DataFrame:
@@ -90,7 +92,7 @@ def row_replicates_slots(cells: DataFrame, replicates: int, seed: int = 42) -> D
         "place int, grp string, n bigint, tn bigint, fp bigint, fn bigint, tp bigint",
     )
     drawn = attach(draws, small, ["place"], "inner")
-    slot = uniform_index(draw32(F.lit(seed), "b", "grp", "slot"), F.col("n"))
+    slot = uniform_index(draw60(F.lit(seed), "b", "grp", "slot"), F.col("n"))
     a, b_, c = F.col("tn"), F.col("tn") + F.col("fp"), F.col("tn") + F.col("fp") + F.col("fn")
     cell = F.when(F.col("u") < a, "tn").when(F.col("u") < b_, "fp").when(F.col("u") < c, "fn").otherwise("tp")
     picked = drawn.withColumn("u", slot).select("b", "grp", cell.alias("cell"))
@@ -136,7 +138,7 @@ def cluster_replicates_slots(per: DataFrame, replicates: int, cluster: str = "cl
     drawn = (
         spark.range(0, replicates * n)
         .select((F.col("id") / F.lit(n)).cast("int").alias("b"), (F.col("id") % F.lit(n)).alias("slot"))
-        .select("b", uniform_index(draw32(F.lit(seed), "b", "slot"), F.lit(n)).alias("idx"))
+        .select("b", uniform_index(draw60(F.lit(seed), "b", "slot"), F.lit(n)).alias("idx"))
         .groupBy("b", "idx")
         .agg(F.count(F.lit(1)).alias("times"))
     )
@@ -393,14 +395,9 @@ def permuted_replicates_slots(df: DataFrame, replicates: int, row_id: str = "row
 
 
 def permuted_replicates_cells(df: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """Labels dealt to cells: a chain of multivariate hypergeometric draws per replicate.
-
-    Exact up to numpy's limit of 10**9 rows; larger tables take ``slots``.
-    """
+    """Labels dealt to cells: a chain of multivariate hypergeometric draws per replicate."""
     per = confusion_cells(df).select("grp", "n", *CELL_NAMES).orderBy("grp").collect()  # one row per group
     total = [sum(r[c] for r in per) for c in CELL_NAMES]
-    if sum(total) >= 10**9:
-        raise ValueError("more than 1e9 rows: use method='slots'")
     sizes = [(r["grp"], int(r["n"])) for r in per]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -409,7 +406,7 @@ def permuted_replicates_cells(df: DataFrame, replicates: int, seed: int = 42) ->
             for b in batch["b"]:
                 rng, left = _generator(seed, "permutation", b), np.array(total, dtype=np.int64)
                 for g, n in sizes:
-                    got = rng.multivariate_hypergeometric(left, n, method="marginals") if n else np.zeros(4, int)
+                    got = multivariate_hypergeometric(rng, left, n)
                     left = left - got
                     rows.append((b, g, *got))
             yield pd.DataFrame(rows, columns=["b", "grp", *CELL_NAMES])
@@ -427,7 +424,7 @@ def random_group_replicates(df: DataFrame, replicates: int, row_id: str = "row_i
     for _, n in groups[:-1]:
         upto += n
         edges.append(upto)
-    u = uniform_index(draw32(F.lit(f"{seed}r"), "b", row_id), F.lit(total))
+    u = uniform_index(draw60(F.lit(f"{seed}r"), "b", row_id), F.lit(total))
     dealt = _exploded(df, row_id, replicates).withColumn("u", u).select(
         "b", "y_true", "y_pred", _label_below(F.col("u"), edges, [g for g, _ in groups]).alias("grp")
     )

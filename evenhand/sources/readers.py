@@ -33,10 +33,12 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 
 
 def read_headerless_csv(
-    spark: SparkSession, paths: Sequence[str], schema: str | T.StructType, null_value: str = "?", label: str | None = None
+    spark: SparkSession, paths: Sequence[str], schema: str | T.StructType, null_value: str = "?", label: str | None = None,
+    banner: str | None = r"^\|",
 ) -> DataFrame:
-    """Stacked files without header: blanks after commas dropped, ``?`` is NULL, lines that do not
-    have the columns of the schema (a banner) left out, a trailing dot cut from the label."""
+    """Stacked files without header: blanks after commas dropped, ``?`` is NULL, a trailing dot cut
+    from the label. Only lines that match ``banner`` are left out; other lines that do not have the
+    columns of the schema stay with their text in ``_corrupt_record``, as in :func:`read_csv`."""
     df = (
         spark.read.schema(_with_bad(schema))
         .option("header", False)
@@ -47,7 +49,8 @@ def read_headerless_csv(
         .option("nullValue", null_value)
         .csv(list(paths))
     )
-    df = good_rows(df)
+    if banner is not None:
+        df = df.filter(F.col(BAD).isNull() | ~F.col(BAD).rlike(banner))
     return df.withColumn(label, F.rtrim(F.regexp_replace(label, r"\.$", ""))) if label else df
 
 
