@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions.expr import draw32
 from evenhand.operators.calibration import roc_curve
-from evenhand.operators.order import attach, range_bounds, with_range_bucket
+from evenhand.operators.order import attach
 from evenhand.operators.splits import require_no_holdout
 
 RULE = (
@@ -17,15 +17,6 @@ RULE = (
 )
 
 
-def score_grid(df: DataFrame, points: int = 1000) -> DataFrame:
-    """Scores snapped to the lower edge of at most ``points`` range buckets, which bounds the
-    ROC table of a group whatever the number of distinct scores."""
-    bounds = range_bounds(df, "y_prob", points)
-    binned = with_range_bucket(df, "y_prob", bounds, "__g")
-    low = binned.groupBy("__g").agg(F.min("y_prob").alias("__low"))
-    return binned.join(F.broadcast(low), "__g").withColumn("y_prob", F.col("__low")).drop("__g", "__low")
-
-
 def balanced_thresholds(roc: DataFrame) -> DataFrame:
     """Threshold with the best balanced accuracy per group (the smallest on a tie)."""
     balanced = (F.col("tpr") + 1.0 - F.col("fpr")) / 2.0
@@ -63,6 +54,25 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(kept)
 
 
+def hull_vertices(roc: DataFrame, slices: int = 1024) -> DataFrame:
+    """The points of a ROC table that can be on the upper hull of their group, exactly: a vertex of
+    the whole hull is a vertex of the hull of its slice of FPR. A task holds one slice, not a group."""
+
+    def of_slice(pdf: pd.DataFrame) -> pd.DataFrame:
+        pts = pdf[["fpr", "tpr", "threshold"]].to_numpy(dtype=float)
+        hull = _hull(pts[np.lexsort((pts[:, 1], pts[:, 0]))])
+        first = pdf.iloc[0]
+        return pd.DataFrame(
+            {"grp": first["grp"], "fpr": hull[:, 0], "tpr": hull[:, 1], "threshold": hull[:, 2],
+             "pos_all": float(first["pos_all"]), "neg_all": float(first["neg_all"])}
+        )
+
+    part = F.least(F.floor(F.col("fpr") * slices), F.lit(slices - 1)).cast("int")
+    rows = roc.select("grp", "fpr", "tpr", "threshold", "pos_all", "neg_all", part.alias("slice"))
+    schema = "grp string, fpr double, tpr double, threshold double, pos_all double, neg_all double"
+    return rows.groupBy("grp", "slice").applyInPandas(of_slice, schema)
+
+
 def _group_envelope(grid: int):
     xs = np.linspace(0.0, 1.0, grid + 1)
 
@@ -86,20 +96,18 @@ def _group_envelope(grid: int):
     return run
 
 
-def equalized_odds_rule(val: DataFrame, grid: int = 1000, points: int = 1000) -> DataFrame:
+def equalized_odds_rule(val: DataFrame, grid: int = 1000) -> DataFrame:
     """Mixing rule that gives every group the same (FPR, TPR) on the tuning rows.
 
-    The ROC table per group has at most ``points`` rows. Each group's upper hull is read at a
-    common grid of FPR values; the lowest hull at each value is reachable by all groups, and the
+    Every distinct score is a point of the ROC table; its upper hull is taken in slices and then
+    whole (:func:`hull_vertices`) and read at a common grid of FPR values; the lowest hull at each value is reachable by all groups, and the
     grid point with the best accuracy wins. Tuning rows must not hold test rows.
     """
     if "split" in val.columns:
         require_no_holdout(val)
-    roc = roc_curve(score_grid(val, points)).filter("pos_all > 0 AND neg_all > 0")
+    roc = hull_vertices(roc_curve(val).filter("pos_all > 0 AND neg_all > 0"))
     schema = "grp string, i int, x double, y double, p0 double, threshold0 double, p1 double, threshold1 double, pos double, neg double"
-    env = roc.select("grp", "fpr", "tpr", "threshold", "pos_all", "neg_all").groupBy("grp").applyInPandas(
-        _group_envelope(grid), schema
-    )
+    env = roc.groupBy("grp").applyInPandas(_group_envelope(grid), schema)
     per_x = env.groupBy("i", "x").agg(
         F.min("y").alias("y_all"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )

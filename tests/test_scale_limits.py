@@ -93,3 +93,17 @@ def test_elimination_sizes():
             toArray = staticmethod(lambda: np.array([0.2, 0.0, 0.0, 0.8]))
 
     assert L.most_important(Model, list("abcd"), 3) == ["a", "c", "d"]
+
+
+def test_hull_of_slices_is_the_hull(spark):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 3000)
+    rows = [("a", int(v), float(np.clip(rng.normal(0.4 + 0.2 * v, 0.2), 0, 1))) for v in y]  # 3,000 distinct scores
+    from evenhand.operators import thresholds as H
+    from evenhand.operators.calibration import roc_curve
+
+    roc = roc_curve(spark.createDataFrame(rows, "grp string, y_true int, y_prob double"))
+    pts = roc.select("fpr", "tpr", "threshold").toPandas().to_numpy(dtype=float)
+    whole = H._hull(pts[np.lexsort((pts[:, 1], pts[:, 0]))])
+    some = H.hull_vertices(roc, 64).select("fpr", "tpr", "threshold").toPandas().to_numpy(dtype=float)
+    assert len(some) < len(pts) and np.allclose(H._hull(some[np.lexsort((some[:, 1], some[:, 0]))]), whole)
