@@ -153,3 +153,57 @@ SELECT 'FEATURE_DERIVED_GROUP_CONTROL' AS control_name, W.dp_value AS observed_g
 )
 def feature_group_control(spark, sf):
     return B.feature_group_control(event_frame(spark, sf), "value")
+
+
+def _law_sql(replicates: int) -> str:
+    """Point estimates by SQL; intervals of rates must lie where the normal law puts them."""
+    return f"""WITH {EVENT_SQL}, {cells_sql("E")}, {rates_sql()}, {disparity_sql(size=2)},
+P AS (SELECT 'Equalized Odds Diff' AS metric, eodds_value AS v, NULL::BOOLEAN AS near FROM W UNION ALL
+  SELECT 'Demographic Parity Diff', dp_value, NULL FROM W UNION ALL SELECT 'Disparate Impact Ratio', di_value, NULL FROM W UNION ALL
+  SELECT 'Selection Rate (' || grp || ')', selection_rate, true FROM R UNION ALL SELECT 'TPR (' || grp || ')', tpr, true FROM R)
+SELECT metric, round(v, 8) AS point_estimate, near, CAST({replicates} AS INTEGER) AS requested, CAST({replicates} AS BIGINT) AS successful,
+  CAST(0 AS BIGINT) AS discarded, '{{}}' AS discard_reasons, 'VALID' AS support_status FROM P"""
+
+
+@query("bootstrap_law", _law_sql(500))
+def bootstrap_law(spark, sf):
+    """The production bootstrap against what its law fixes: point estimates, counts, and the ends of
+    the intervals of rates within 0.6 standard errors of p +- 1.96 se."""
+    e = event_frame(spark, sf)
+    out = B.bootstrap(e, 500, method="cells")
+    cells = B.confusion_cells(e).select("grp", "n", "pos_n", "sel_n", "tp")
+    known = cells.select(F.inline(F.array(
+        F.struct(F.concat(F.lit("Selection Rate ("), "grp", F.lit(")")).alias("metric"), (F.col("sel_n") / F.col("n")).alias("p"), F.col("n").alias("m")),
+        F.struct(F.concat(F.lit("TPR ("), "grp", F.lit(")")).alias("metric"), (F.col("tp") / F.col("pos_n")).alias("p"), F.col("pos_n").alias("m")),
+    )))
+    se = F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("m"))
+    end = lambda c, z: F.abs(F.col(c) - (F.col("p") + z * se)) < 0.6 * se
+    both = out.join(known, "metric", "left").withColumn("near", end("ci_low", -1.96) & end("ci_high", 1.96))
+    return both.select(
+        "metric", F.round("point_estimate", 8).alias("point_estimate"), "near", "requested", "successful", "discarded",
+        F.to_json("discard_reasons").alias("discard_reasons"), "support_status",
+    )
+
+
+@query(
+    "permutation_margins",
+    f"""WITH {EVENT_SQL}, {cells_sql("E")}, T AS (SELECT CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp,
+  CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tp) AS BIGINT) AS tp FROM C)
+SELECT CAST(b AS INTEGER) AS b, grp, n, T.tn, T.fp, T.fn, T.tp FROM C, T, range(100) t(b)""",
+)
+def permutation_margins(spark, sf):
+    """The production permutations: every replicate keeps the group sizes and the cell totals."""
+    reps = B.permuted_replicates_cells(event_frame(spark, sf), 100)
+    totals = reps.groupBy("b").agg(*[F.sum(c).alias(c) for c in B.CELL_NAMES])
+    return reps.select("b", "grp", "n").join(totals, "b")
+
+
+@query(
+    "random_group_margins",
+    f"""WITH {EVENT_SQL}, {cells_sql("E")} SELECT CAST(b AS INTEGER) AS b, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp,
+  CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tp) AS BIGINT) AS tp FROM C, range(100) t(b) GROUP BY b""",
+)
+def random_group_margins(spark, sf):
+    """The production random groups: every replicate keeps the cell totals."""
+    reps = B.random_group_replicates_cells(event_frame(spark, sf), 100)
+    return reps.groupBy("b").agg(*[F.sum(c).alias(c) for c in B.CELL_NAMES])
