@@ -65,6 +65,17 @@ def json_depth(spark, sf):
 )
 def json_depth_nested(spark, sf):
     """The JSON text of every event wrapped to a depth that follows from its type."""
+    e = nested_props(spark, sf).select(Q.json_depth("props").alias("depth"))
+    return e.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("json_depth_limit", "SELECT event_id, event_type = 'view' AS too_deep FROM events")
+def json_depth_limit(spark, sf):
+    """Events whose text nests deeper than three levels."""
+    return Q.within_depth(nested_props(spark, sf), "props", 3).select("event_id", "too_deep")
+
+
+def nested_props(spark, sf):
     p = F.col("props")
     wrapped = (
         F.when(F.col("event_type") == "view", F.concat(F.lit('{"a{[": ['), p, F.lit(", {}]}")))
@@ -72,8 +83,7 @@ def json_depth_nested(spark, sf):
         .when(F.col("event_type") == "click", p)
         .otherwise(F.concat(F.lit('{"q\\"}": '), p, F.lit(', "z": []}')))
     )
-    e = table(spark, sf, "events").select(wrapped.alias("props")).select(Q.json_depth("props").alias("depth"))
-    return e.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "events").select("event_id", "event_type", wrapped.alias("props"))
 
 
 def feature_table(spark, sf):

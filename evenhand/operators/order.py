@@ -86,7 +86,8 @@ def salted_join(
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which a key with more than ``HOT_SHARE`` of the big side is spread
-    over ``salts`` tasks and its lookup rows are repeated that often.
+    over ``salts`` tasks and its lookup rows are repeated that often. Rows with a NULL key match
+    nothing and are spread in the same way.
 
     The salt is the number of the input partition, so a recomputed task salts as before.
     """
@@ -95,9 +96,12 @@ def salted_join(
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("__n")).scalar()
     hot = counts.filter(F.col("__n") > total * HOT_SHARE).select(*keys, F.lit(True).alias("__hot"))
+    lost = F.lit(False)
+    for k in keys:
+        lost = lost | F.col(k).isNull()
     spread = big.join(F.broadcast(hot), keys, "left").withColumn(
         "__salt",
-        F.when(F.col("__hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0)),
+        F.when(F.col("__hot") | lost, F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0)),
     )
     repeated = small.join(F.broadcast(hot), keys, "left").withColumn(
         "__salt",

@@ -97,6 +97,11 @@ def json_depth(c: str) -> Column:
     return F.when(F.col(c).isNotNull(), F.aggregate(steps, start, walk)["top"] + 1)
 
 
+def within_depth(df: DataFrame, c: str, limit: int = V.MAX_JSON_DEPTH) -> DataFrame:
+    """``too_deep``: whether the JSON text of a row nests deeper than the limit (NULL text does not)."""
+    return df.withColumn("too_deep", F.coalesce(json_depth(c) > limit, F.lit(False)))
+
+
 def resource_limits(
     df: DataFrame, max_rows: int | None = None, max_columns: int | None = None
 ) -> list[str]:

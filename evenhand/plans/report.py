@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenhand import vocab as V
 from evenhand.functions.expr import ratio
 from evenhand.operators import metrics as M
 from evenhand.operators.cells import confusion_cells, merge_cells
@@ -70,6 +71,12 @@ def canonical_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def canonical_status(c: str) -> Column:
+    """A status as it is spelled today: older spellings that stored runs may hold are replaced."""
+    names = F.create_map(*[F.lit(x) for pair in V.STATUS_ALIASES.items() for x in pair])
+    return F.coalesce(names[F.col(c)], F.col(c))
+
+
 def status_summary(runs: DataFrame, keys: Sequence[str], statuses: Sequence[str]) -> DataFrame:
     """Most frequent value of each status column (ties to the smaller) and the compliant share."""
     aggs = [F.count(F.lit(1)).alias("seeds_count")]

@@ -43,7 +43,6 @@ DIR = "Disparate Impact Ratio"
 
 # --- missing group labels, compared after trim + upper -------------------------
 MISSING_GROUP_TOKENS = ["", "UNKNOWN", "NULL", "NONE", "OTHER", "MALFORMED", "MISSING", "NAN"]
-MISSING_POLICIES = ["REJECT", "EXCLUDE", "EXPLICIT_UNKNOWN_GROUP", "IMPUTE_WITH_DOCUMENTED_RULE"]
 
 # --- numeric limits --------------------------------------------------------------
 DI_RATE_FLOOR = 1e-4
@@ -53,8 +52,6 @@ ECE_EDGES = [
     0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5,
     0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0,
 ]
-MAX_ROWS = 1_000_000
-MAX_COLUMNS = 1_000
 MAX_JSON_DEPTH = 10
 
 # --- column names that give the outcome away ---------------------------------------
@@ -71,10 +68,6 @@ POST_OUTCOME_COLUMNS = [
 ]
 
 # --- decision-unit levels and collapse strategies -----------------------------------
-UNIT_LEVELS = [
-    "ROW_LEVEL", "TRIP_LEVEL", "ROUTE_LEVEL", "WORKER_LEVEL",
-    "INDIVIDUAL_LEVEL", "ENTITY_LEVEL", "SEGMENT_LEVEL",
-]
 COLLAPSE_STRATEGIES = [
     "NONE", "MAJORITY_VOTE", "ANY_FAILURE", "ALL_SUCCESS", "FIRST_RECORD",
     "LAST_RECORD", "ENTITY_WEIGHTED", "UNSUPPORTED_EVALUATION_UNIT",

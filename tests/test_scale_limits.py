@@ -107,3 +107,19 @@ def test_hull_of_slices_is_the_hull(spark):
     whole = H._hull(pts[np.lexsort((pts[:, 1], pts[:, 0]))])
     some = H.hull_vertices(roc, 64).select("fpr", "tpr", "threshold").toPandas().to_numpy(dtype=float)
     assert len(some) < len(pts) and np.allclose(H._hull(some[np.lexsort((some[:, 1], some[:, 0]))]), whole)
+
+
+def test_null_keys_are_spread(spark):
+    from evenhand.operators.order import salted_join
+
+    big = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 7).alias("k"), "id").repartition(4)
+    small = spark.createDataFrame([(i, i * 10) for i in range(7)], "k bigint, v int")
+    out = salted_join(big, small, ["k"])
+    assert out.count() == 4000 and out.filter("v IS NULL AND k IS NULL").count() == 2000 and out.filter("v = k * 10").count() == 2000
+
+
+def test_older_statuses_are_renamed(spark):
+    from evenhand.plans.report import canonical_status
+
+    df = spark.createDataFrame([("HEALTHY",), ("VALID",), (None,), ("COLLAPSED_CONSTANT",)], "s string")
+    assert [r.s for r in df.select(canonical_status("s").alias("s")).collect()] == ["VALID", "VALID", None, "DEGENERATE"]
