@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object svg math area param source track".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object area param source track".split())
 #: Blocks with a blank line around them, and blocks with a line of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table menu dir hr fieldset".split())
 BLOCK = SPACED | frozenset(
@@ -39,6 +39,17 @@ CLOSES = {
 }
 #: An end tag does not reach past these.
 SCOPE = frozenset("table td th caption template html".split())
+#: SVG shows the text of these only, and nothing of what is kept for reference or made known to others.
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_UNSEEN = frozenset("defs symbol clippath mask marker pattern lineargradient radialgradient filter metadata desc title".split())
+#: Inside these, SVG and MathML hold HTML again.
+TO_HTML = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+#: HTML start tags that end an open svg or math.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split())
+#: Parts of these formulas stand apart.
+MATH_PARTS = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtable mtr".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span".split())
 # --------------------------------------------------------------------------------------------------
 
@@ -46,18 +57,25 @@ TOKEN = re.compile(
     r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>)", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTR = re.compile(r"([^\s/=\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-NONE = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?\Z", re.I)
+CSS_STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+CSS_SKIP = re.compile(rf"({CSS_STRING})|/\*.*?(?:\*/|\Z)|<!--|-->|<!\[CDATA\[|\]\]>", re.S)
+CSS_MARK = re.compile(rf"{CSS_STRING}|\\.|[{{}};]|\Z", re.S)
+CSS_ESCAPE = re.compile(r"\\(?:([0-9a-f]{1,6})\s?|(.))", re.I | re.S)
+DECLARED = re.compile(r"(?:\A|;)\s*(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
+MEDIA = re.compile(r"(?:(not|only)\s+)?([a-z-]+)(\s+and\b.*)?\Z", re.I | re.S)
+PART = re.compile(r"([.#])((?:[\w-]|\\[0-9a-f]{1,6}\s?|\\.)+)|\[\s*([\w-]+)\s*(?:([~|^$*]?)=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+))\s*)?\]|(::?)([\w-]+)(\((?:[^()]|\([^()]*\))*\))?|(\*|[a-z][\w-]*)", re.I)
+COMBINED = re.compile(r"\s*([>+~])\s*|\s+")
+#: Not so when a page is opened, or of text that is not in the page.
+NEVER = frozenset("hover focus focus-within focus-visible active before after first-line first-letter".split())
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "state")
+    __slots__ = ("tag", "attrs", "children", "state", "space", "here", "above")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self.state = tag, attrs, [], ""
+    def __init__(self, tag: str, attrs: str = "", space: str = ""):
+        self.tag, self.attrs, self.children, self.state, self.space = tag, attrs, [], "", space
+        self.here = self.above = frozenset()  # steps of selectors that end at the node, and at the nodes around it
 
     def get(self, name: str) -> str | None:
         """Value of an attribute, '' without one, None if it is absent."""
@@ -71,7 +89,7 @@ class Node:
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): text with its content in ``rest``, open and close tags, and raw content of raw elements."""
-    at, n = 0, len(page)
+    at, n, foreign = 0, len(page), 0
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -80,6 +98,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if page.find(">", lt) < 0:  # no tag can end any more
             yield "text", "", page[at:lt] if page.startswith("<!--", lt) else page[at:]
             return
+        if foreign and page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            end = n if end < 0 else end
+            yield "text", "", page[at:lt]
+            yield "text", "", page[lt + 9:end].replace("&", "&amp;")
+            at = end + 3
+            continue
         m = TOKEN.match(page, lt) or LOOSE.match(page, lt)
         if m is None:  # a lone "<" is text
             nxt = page.find("<", lt + 1)
@@ -95,8 +120,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         name = m[2].lower()
         if m[1]:
             yield "close", name, ""
+            foreign = max(0, foreign - (name in TO_HTML))
             continue
         yield "open", name, m[3]
+        if foreign and m[3].endswith("/"):
+            continue
+        foreign += name in TO_HTML and not m[3].endswith("/")
         if name in RAW or name in RCDATA:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             stop = end.start() if end else n
@@ -135,8 +164,13 @@ def build(page: str) -> Node:
             if stack[i].tag in SCOPE or stack[i].tag == "button":
                 return
 
+    def inner() -> str:
+        """svg or math, if the next tag is one of theirs."""
+        top = stack[-1]
+        return "" if top.tag in TO_HTML.get(top.space, ()) else top.space
+
     def push(tag: str, attrs: str = "") -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, tag if tag in TO_HTML else inner())
         stack[-1].children.append(node)
         stack.append(node)
 
@@ -150,7 +184,11 @@ def build(page: str) -> Node:
             stack[-1].children.append(rest)
         elif kind == "open":
             if name == "html":
+                root.attrs = root.attrs or rest
                 continue
+            if name in BREAKS_OUT:
+                while inner():
+                    stack.pop()
             if stack[-1].tag == "head" and name not in UNSEEN and name not in ("base", "link", "meta", "basefont", "bgsound"):
                 stack.pop()  # content ends an open head
             if name in ENDS_P:
@@ -164,7 +202,7 @@ def build(page: str) -> Node:
                     push("tbody")
                 push("tr")
             push(name, rest)
-            if name in VOID:
+            if name in VOID or (stack[-1].space and rest.endswith("/")):
                 stack.pop()
         else:
             for i in range(len(stack) - 1, 0, -1):
@@ -185,62 +223,247 @@ def build(page: str) -> Node:
     return root
 
 
-def style_rules(root: Node) -> list[tuple[str, str, str]]:
-    """(tag, .class or #id, state) of the simple selectors in style elements that hide something."""
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node.tag == "style":
-            text = "".join(c for c in node.children if isinstance(c, str))
-            if "display" in text or "visibility" in text:
-                for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", text, flags=re.S)):
-                    state = state_of(body)
-                    if state in ("none", "hidden"):
-                        for s in selectors.split(","):
-                            m = SIMPLE.match(s.strip())
-                            if m and (m[1] or m[2]):
-                                out.append(((m[1] or "").lower(), m[2] or "", state))
-        todo += [c for c in node.children if isinstance(c, Node)]
-    return out
-
-
-def state_of(style: str) -> str:
-    if NONE.search(style):
-        return "none"
-    found = VISIBILITY.findall(style)
-    return "" if not found else "shown" if found[-1].lower() == "visible" else "hidden"
+def media(query: str) -> bool | None:
+    """Whether a media query list holds on a screen; None if that depends on the screen."""
+    found = []
+    for q in query.split(",") if query.strip() else ["all"]:
+        m = MEDIA.match(q.strip())
+        if m is None or m[2].lower() in ("not", "only"):
+            found.append(None)
+            continue
+        on = m[2].lower() in ("screen", "all")
+        on = None if on and m[3] else on
+        found.append(not on if (m[1] or "").lower() == "not" and on is not None else on)
+    return True if True in found else None if None in found else False
+
 
+def declared(body: str) -> list[tuple[str, str, bool]]:
+    """(display or visibility, value, important): the declaration that counts of each property."""
+    out: dict[str, tuple[str, bool]] = {}
+    for name, value, strong in DECLARED.findall(re.sub(CSS_STRING, "", body)):
+        name = name.lower()
+        if strong or not out.get(name, ("", False))[1]:
+            out[name] = (value.lower(), bool(strong))
+    return [(k, *v) for k, v in out.items()]
 
-def visibility(node: Node, parent: Node, rules: list[tuple[str, str, str]]) -> str:
+
+class Rules:
+    """Display and visibility rules of the style elements, asked node by node from the root down.
+
+    A selector is a chain of steps. A step ends at a node that its compound fits, if the step before ended at a node
+    around it (or at its parent), so every node is looked at once per step that its tag, a class or its id can fit.
+    What depends on the reader's screen or on states of the page only ever shows text.
+    """
+
+    def __init__(self, root: Node):
+        self.steps: dict[str, list[tuple]] = {}  # key of the compound -> (step, parts, combinator, step before)
+        self.found: dict[int, list[tuple]] = {}  # last step -> (property, value, weight)
+        self.layers: dict[str, int] = {}
+        self.order = self.count = 0
+        styles, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            if node.tag in ("noscript", "template", "iframe"):
+                continue
+            if node.tag == "style":
+                styles.append(node)
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        for node in styles:
+            text = "".join(c for c in node.children if isinstance(c, str))
+            on = media(node.get("media") or "") if (node.get("type") or "text/css").strip().lower() == "text/css" else False
+            if on is not False and re.search("display|visibility", text, re.I):
+                self.read(CSS_SKIP.sub(r"\1", text), on)
+
+    def read(self, css: str, sure: bool | None) -> None:
+        """Add the rules of a style sheet; ``sure`` is None if it may not apply."""
+        top = ("block", "", sure, "")  # kind, selectors, sure, layer
+        stack, bodies, last = [top], [[]], 0
+        for m in CSS_MARK.finditer(css):
+            if m[0] and m[0] not in "{};":
+                continue
+            piece, end = css[last:m.start()].strip(), m[0]
+            kind, selectors, sure, layer = stack[-1]
+            if end == ";" and kind != "rule" and not piece.startswith("@"):
+                continue
+            last = m.end()
+            word = re.match(r"@([\w-]*)\s*", piece)
+            if end == "{":
+                rest = piece[word.end():] if word else ""
+                name = word[1].lower() if word else ""
+                if kind == "skip" or name in ("font-face", "page", "property", "counter-style", "font-feature-values") or name.endswith("keyframes"):
+                    new = ("skip", "", sure, layer)
+                elif name == "media":
+                    on = media(rest)
+                    new = ("skip" if on is False else kind, selectors, None if on is None else sure, layer)
+                elif name == "layer":
+                    path = f"{layer}.{rest.strip() or len(self.layers)}"
+                    self.layers.setdefault(path, len(self.layers))
+                    new = (kind, selectors, sure, path)
+                elif word:
+                    new = (kind, selectors, None, layer)
+                elif kind == "rule":
+                    new = ("rule", piece.replace("&", " "), None, layer)
+                else:
+                    new = ("rule", piece, sure, layer)
+                stack.append(new)
+                bodies.append([])
+            else:
+                if word and word[1].lower() == "layer":
+                    for x in piece[word.end():].split(","):
+                        self.layers.setdefault(f"{layer}.{x.strip()}", len(self.layers))
+                bodies[-1].append(piece)
+                while end != ";" and len(stack) > 1:
+                    kind, selectors, sure, layer = stack.pop()
+                    body = ";".join(bodies.pop())
+                    if kind == "rule":
+                        self.add(selectors, body, sure, layer)
+                    if end == "}":
+                        break
+
+    def add(self, selectors: str, body: str, sure: bool | None, layer: str) -> None:
+        self.order += 1
+        values = declared(body)
+        if not values:
+            return
+        for selector in re.split(r",(?![^(\[]*[)\]])", selectors):
+            chain, weight, known = self.chain(selector.strip())
+            if not chain:
+                continue
+            kept = []
+            for name, value, strong in values:
+                if value in ("none", "hidden", "collapse") and not (known and sure):
+                    continue
+                rank = self.layers[layer] if layer else 1 << 30
+                kept.append((name, value, (strong, -rank if strong else rank, False, weight, self.order)))
+            if not kept:
+                continue
+            before = -1
+            for key, parts, how in chain:
+                self.steps.setdefault(key, []).append((self.count, parts, how, before))
+                before = self.count
+                self.count += 1
+            self.found[before] = kept
+
+    @staticmethod
+    def chain(selector: str) -> tuple[list[tuple], tuple[int, int, int], bool]:
+        """(key, parts, combinator) of each compound, the specificity, and whether the chain says all that the selector says."""
+        chain, parts, how, at, weight, known = [], [], "", 0, [0, 0, 0], True
+
+        def done() -> None:
+            key = next((f"{k}{v}" for t in "#." for k, v, *_ in parts if k == t), None) or next((v for k, v, *_ in parts if k == "tag"), "*")
+            chain.append((key, tuple(parts), how))
+
+        while at < len(selector):
+            m = PART.match(selector, at)
+            if m is None:
+                m = COMBINED.match(selector, at)
+                if m is None:
+                    return [], (0, 0, 0), False
+                known &= bool(parts) and m[1] not in ("+", "~")
+                if parts:
+                    done()
+                parts, how, at = [], m[1] or " ", m.end()
+                continue
+            at = m.end()
+            if m[1]:
+                parts.append((m[1], CSS_ESCAPE.sub(lambda e: chr(min(int(e[1], 16), 0x10FFFF)) if e[1] else e[2], m[2])))
+                weight[0 if m[1] == "#" else 1] += 1
+            elif m[3]:
+                parts.append(("[", m[3].lower(), "=" if m[4] == "" and "=" in m[0] else m[4] or "", m[5] or m[6] or m[7] or ""))
+                weight[1] += 1
+            elif m[8]:
+                if m[8] == "::" or m[9].lower() in NEVER:
+                    return [], (0, 0, 0), False
+                known = False
+                weight[1] += 1
+            elif m[11] != "*":
+                parts.append(("tag", m[11].lower()))
+                weight[2] += 1
+            else:
+                parts.append(("*", ""))
+        if not parts:  # a pseudo-class alone says nothing of the node
+            return [], (0, 0, 0), False
+        done()
+        return chain, tuple(weight), known
+
+    def of(self, node: Node, parent: Node) -> dict[str, tuple[str, tuple]]:
+        """The winning (value, weight) of display and visibility in the rules that fit a node."""
+        out: dict[str, tuple[str, tuple]] = {}
+        if not self.steps:
+            return out
+        node.above = parent.above if parent.here <= parent.above else parent.above | parent.here
+        name, classes = node.get("id"), set((node.get("class") or "").split())
+        here = set()
+        tags = ("html", "body") if parent is node else (node.tag,)  # the root is the body too where no tag opens one
+        fits = [s for key in ("*", *tags, *(f".{c}" for c in classes), f"#{name}") for s in self.steps.get(key, ())]
+        for step, parts, how, before in sorted(fits):
+            if before >= 0 and not (before in node.above if how == " " else before in parent.here if how == ">" else True) and not (parent is node and before in here):
+                continue
+            if not all(
+                v in tags if k == "tag" else v in classes if k == "." else v == name if k == "#" else k == "*" or has(node.get(v), *rest)
+                for k, v, *rest in parts
+            ):
+                continue
+            here.add(step)
+            for prop, value, weight in self.found.get(step, ()):
+                if prop not in out or weight >= out[prop][1]:
+                    out[prop] = (value, weight)
+        node.here = frozenset(here)
+        return out
+
+
+def has(got: str | None, how: str, want: str) -> bool:
+    """Whether an attribute fits an attribute selector."""
+    if got is None or not how:
+        return got is not None
+    if how == "=":
+        return got == want
+    if how == "~":
+        return want in got.split()
+    if how == "|":
+        return got == want or got.startswith(f"{want}-")
+    return bool(want) and (got.startswith(want) if how == "^" else got.endswith(want) if how == "$" else want in got)
+
+
+def visibility(node: Node, parent: Node, rules: Rules) -> str:
     """'none' (the node and all below), 'hidden' (unless something below is shown), or ''."""
-    state = parent.state
-    if node.tag in UNSEEN or (parent.tag == "details" and node.tag != "summary" and parent.get("open") is None):
+    state, tag = parent.state, node.tag
+    if tag in UNSEEN or (parent.tag == "details" and tag != "summary" and parent.get("open") is None):
         return "none"
-    if node.tag == "dialog" and node.get("open") is None:
+    if node.space == "svg" and tag in SVG_UNSEEN:
         return "none"
-    if rules:
-        classes, name = None, None
-        for tag, mark, value in rules:
-            if tag and tag != node.tag:
-                continue
-            if mark.startswith("."):
-                classes = (node.get("class") or "").split() if classes is None else classes
-                if mark[1:] not in classes:
-                    continue
-            elif mark:
-                name = node.get("id") if name is None else name
-                if mark[1:] != name:
-                    continue
-            state = value
-            if value == "none":
-                return "none"
-    if node.attrs:
-        if node.get("hidden") is not None:
+    if parent.tag in ("semantics", "maction") and parent.space == "math" and next(c for c in parent.children if isinstance(c, Node)) is not node:
+        return "none"
+    won = rules.of(node, parent)
+    if node.attrs and "style" in node.attrs.lower():
+        for name, value, strong in declared(CSS_SKIP.sub(r"\1", node.get("style") or "")):
+            weight = (strong, 0 if strong else 1 << 30, True)
+            if name not in won or weight[0] > won[name][1][0] or weight[0] == won[name][1][0]:
+                won[name] = (value, weight)
+    if node.space == "svg" and node.attrs:  # attributes give way to rules
+        for name in ("display", "visibility"):
+            value = node.get(name)
+            if value and name not in won:
+                won[name] = (value.strip().lower(), ())
+    if "display" in won:
+        if won["display"][0] == "none":
             return "none"
-        own = state_of(node.get("style") or "") if "style" in node.attrs.lower() else ""
-        if own:
-            state = "" if own == "shown" else own
-    return state
+    elif node.attrs and node.get("hidden") is not None or tag == "dialog" and node.get("open") is None:
+        return "none"
+    seen = won["visibility"][0] if "visibility" in won else "hidden" if tag == "mphantom" else ""
+    return "hidden" if seen in ("hidden", "collapse") else "" if seen in ("visible", "initial") else state
+
+
+def shown_in(node: Node) -> bool:
+    """Whether text right in a node can be seen: SVG shows that of its text elements only."""
+    return node.space != "svg" or node.tag in SVG_TEXT or node.tag in ("tspan", "textpath", "a")
+
+
+def apart(node: Node, parent: Node) -> bool:
+    """Whether a part of a drawing or formula stands apart from what is around it."""
+    if node.space == "svg":
+        return node.tag in SVG_TEXT or node.tag == "tspan" and any(node.get(x) is not None for x in ("x", "y", "dy"))
+    return node.tag == "math" or parent.space == "math" and parent.tag in MATH_PARTS
 
 
 class Flow:
@@ -334,7 +557,8 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     root = build(page)
-    rules = style_rules(root)
+    rules = Rules(root)
+    rules.of(root, root)
     flow, flows = Flow(), []
     tables: list[list[list[tuple[str, int]]]] = []
     lists: list[list] = []  # [ordered, next number]
@@ -343,7 +567,7 @@ def render(page: str | None) -> str:
     while todo:
         node, parent, entering = todo.pop()
         if isinstance(node, str):
-            if parent.tag == "details" and parent.get("open") is None:
+            if parent.tag == "details" and parent.get("open") is None or not shown_in(parent):
                 continue
             if not parent.state and parent.tag not in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "colgroup"):
                 flow.exact(node) if pre else flow.words(node)
@@ -371,6 +595,8 @@ def render(page: str | None) -> str:
                     flow.words(f" {node.get('value') or ''} ")
                 continue
             todo.append((node, parent, False))
+            if apart(node, parent):
+                flow.space = True
             if tag == "table":
                 flow.line(True)
                 tables.append([])
@@ -405,6 +631,8 @@ def render(page: str | None) -> str:
             todo += [(c, node, True) for c in reversed(node.children)]
             continue
         pre -= tag in ("pre", "textarea", "xmp")
+        if apart(node, parent):
+            flow.space = True
         if tag in ("ul", "ol", "menu", "dir"):
             nested = len(lists) > 1
             lists.pop()

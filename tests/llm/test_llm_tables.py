@@ -3,6 +3,7 @@
 import html.parser
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -208,6 +209,52 @@ def test_no_visible_word_is_lost(spark):
         got = [w for w in out[r["page_id"]]["text"].split() if w != "-"]
         assert "".join(got) == "".join(w for w in p.words if w != "-")
 
+CSS_WRAPS = [("{}", True), ("@media print{{{}}}", False), ("@media screen{{{}}}", True), ("@media (max-width:40em){{{}}}", None), ("@media not print{{{}}}", True)]
+CSS_PROPS = [("display", "none"), ("display", "block"), ("visibility", "hidden"), ("visibility", "visible")]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_css_rules_by_brute_force(seed):
+    """Random sheets of simple selectors: rules for print do not count, those for some screens only show, the cascade picks the rest."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        rules = [(rng.choice(["p", ".a", ".b", "#i", "p.a", ".a.b", "div .a", "div > .b"]), *rng.choice(CSS_PROPS), rng.random() < 0.2, *rng.choice(CSS_WRAPS))
+                 for _ in range(rng.randrange(6))]
+        css = "".join(w.format(f"{s} {{ {k} : {v}{' !important' * strong}; color:red }}") for s, k, v, strong, w, _ in rules)
+        body, seen = "", []
+        for n in range(8):
+            classes, ident, hidden, deep = rng.sample(["a", "b"], rng.randrange(3)), rng.random() < 0.3, rng.random() < 0.2, rng.randrange(3)
+            own = f"<p class='{' '.join(classes)}'{' id=i' * ident}{' hidden' * hidden}>w{n}</p>"
+            body += f"<div><section>{own}</section></div>" if deep == 2 else f"<div>{own}</div>" if deep else own
+            won = {}
+            for at, (s, k, v, strong, _, on) in enumerate(rules):
+                marks = set(classes)
+                fits = {"p": True, ".a": "a" in marks, ".b": "b" in marks, "#i": ident, "p.a": "a" in marks, ".a.b": len(marks) == 2,
+                        "div .a": "a" in marks and deep > 0, "div > .b": "b" in marks and deep == 1}[s]
+                if fits and on is not False and (on or v not in ("none", "hidden")):
+                    weight = (strong, s.count("#"), s.count("."), len(re.findall(r"\b(?:p|div)\b", s)), at)
+                    won[k] = max(won.get(k, ((), "")), (weight, v))
+            display = won["display"][1] if "display" in won else "none" if hidden else "block"
+            if display != "none" and won.get("visibility", (0, "visible"))[1] == "visible":
+                seen.append(f"w{n}")
+        assert render(f"<style>{css}</style>{body}").split() == seen, (css, body)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<noscript><style>p{display:none}</style></noscript><p>a", "a"),
+    ("<style>@keyframes k{from{visibility:hidden}}@supports (x:y){p{display:none}}</style><p>a", "a"),
+    ("<style>.x::before{content:'}{'}.hidden{display:none}@media (min-width:9em){.md\\:block{display:block}}</style><p class='hidden md:block'>a<p class=hidden>b", "a"),
+    ("<style>body .x{display:none}html > body > .y{display:block}</style><p class='x y'>a<p class=x>b", "a"),
+    ("<style>@layer u{.x{display:none}}.x{display:block}</style><p class=x>a", "a"),
+    ("<style>.x{display:none}.x:not(.q){display:block}.x:hover{display:block}</style><p class=x>a", "a"),
+    ("<p>See <svg><defs><text>no</text></defs><title>no</title><path/><g/><text>one <tspan>two</tspan></text><text>three</text></svg> end", "See one two three end"),
+    ("<svg><foreignObject><p>in</p></foreignObject><text display=none>no</text><p>out", "in\n\nout"),
+    ("<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>tex</annotation></semantics></math> be", "Let x=1 be"),
+])
+def test_css_and_drawings(page, text):
+    assert render(page) == text
+
 
 # --- token files ----------------------------------------------------------------------------------
 
