@@ -84,13 +84,13 @@ def run_suite(
     manifest: DataFrame | None = None,
     **kwargs,
 ) -> DataFrame:
-    """Every regime and seed as its own jobs; results are run-sized rows."""
+    """Every regime and seed as its own jobs; results are run-sized rows, written run by run so that plans stay small."""
     if manifest is not None and manifest.filter("has_critical_leakage").limit(1).count():
         raise LeakageRefusal("the table failed the leakage screen; no benchmark was run")
     out = None
     for regime in regimes:
         for seed in seeds:
-            part = run_once(df, features, regime, seed, **kwargs)
+            part = durable(run_once(df, features, regime, seed, **kwargs))
             out = part if out is None else out.unionByName(part)
     return out
 

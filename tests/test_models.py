@@ -109,3 +109,28 @@ def test_effects_recover_a_known_shift(spark):
     for name in ("G-computation ATE", "Treated effect", "IPW ATE"):
         assert got[name] == pytest.approx(0.25, abs=0.08), name
     assert got["Matched difference"] == pytest.approx(0.25, abs=0.15)
+
+
+def test_benchmark_queries_run_the_whole_suite(spark, monkeypatch):
+    """Five seeds, three regimes and all rounds; summary and deltas are those of the suite's rows."""
+    from evenhand.catalog import load, modelling
+
+    load()
+    calls = []
+
+    def run_once(df, features, regime="IID_HOLDOUT", seed=42, policy=None, rounds=120, which=tuple(L.BASELINES), dataset="", **more):
+        calls.append((regime, seed, rounds, tuple(which)))
+        return spark.createDataFrame(
+            [(dataset, regime, seed, b, 9, seed / 100 + i / 10, 0.5, 0.1, 0.1, 0.9, "NORMAL", "PASS") for i, b in enumerate(which)],
+            "dataset string, regime string, seed int, baseline_id string, sample_size bigint, accuracy double, balanced_accuracy double, "
+            "eodds_value double, dp_value double, di_value double, degeneracy_status string, decision string")
+
+    monkeypatch.setattr(B, "run_once", run_once)
+    sf = "/root/testdata/sf0.001"
+    assert modelling.benchmark_runs(spark, sf).count() == 75
+    regimes = ("IID_HOLDOUT", "GROUP_HOLDOUT", "TEMPORAL_HOLDOUT")
+    assert sorted(calls) == sorted((r, s, 120, tuple(L.BASELINES)) for r in regimes for s in range(42, 47))
+    accuracy = [r for r in modelling.benchmark_summary(spark, sf).collect() if r["metric"] == "accuracy"]
+    assert len(accuracy) == 15 and all(r["runs"] == 5 for r in accuracy)
+    delta = {r["metric"]: r for r in modelling.benchmark_deltas(spark, sf).collect()}["accuracy"]
+    assert delta["seeds_count"] == 5 and abs(delta["mean_paired_delta"] - 0.3) < 1e-9
