@@ -120,8 +120,10 @@ def mix(
     rest = match(inside, two.select("source", F.col("b").alias("b2"), "before")).filter(low == F.col("b2"))
     order = W.partitionBy("source").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rest = match(rest.withColumn("end", F.col("before") + F.sum("size").over(order)), by.select("source", "budget"))
-    more = rest.filter(F.col("end") - F.col("size") / 2 <= F.col("budget"))
-    more = more.groupBy("source").agg(F.max(F.struct("key", F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "size")).alias("edge"))
+    fits = F.count(F.when(F.col("end") - F.col("size") / 2 <= F.col("budget"), 1))
+    more = rest.groupBy("source", "key", F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "size").agg(fits.alias("fit"), F.count(F.lit(1)).alias("rows"))
+    more = more.filter("fit > 0").groupBy("source").agg(F.max(F.struct("key", "id", "size", "fit", "rows")).alias("last"))
+    more = more.select("source", F.struct("last.key", "last.id", "last.size").alias("edge"), "last.fit", "last.rows")
 
     cut = match(match(by, one.select("source", F.col("b").alias("b1")), "left"), two.select("source", F.col("b").alias("b2")), "left")
     cut = durable(match(cut, more, "left"))
@@ -131,7 +133,14 @@ def mix(
     stop = F.col("b1") * DIGITS + F.coalesce("b2", F.lit(DIGITS))
     extra = F.when(F.col("budget") <= 0, False).when(F.col("b1").isNull(), True).when(F.col("slot") < stop, True)
     extra = extra.when(F.col("slot") > stop, False).otherwise(F.coalesce(point <= F.col("edge"), F.lit(False)))
-    out = at.withColumn("copies", F.col("epochs") + extra.cast("bigint"))
+    if cut.filter("fit < rows").limit(1).count():  # a budget ends between repeated rows: only the first of them fit
+        split = F.coalesce((F.col("slot") == stop) & (point == F.col("edge")) & (F.col("fit") < F.col("rows")), F.lit(False))
+        nth = F.row_number().over(W.partitionBy("source").orderBy(F.to_json("row") if carry else "size"))
+        some = at.filter(split).withColumn("extra", nth <= F.col("fit"))
+        out = at.filter(~split).withColumn("extra", extra).unionByName(some)
+    else:
+        out = at.withColumn("extra", extra)
+    out = out.withColumn("copies", F.col("epochs") + F.col("extra").cast("bigint"))
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return out.select("id", "source", "size", "source_size", "target", "copies", taken, *(["row"] if carry else []))
 

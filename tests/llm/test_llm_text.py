@@ -363,3 +363,17 @@ def test_memory_of_words_is_bounded(monkeypatch):
         enc.learn(batch)
         assert enc.ids(sorted(batch)) == [x for ids in enc.plain(sorted(batch)) for x in ids]
     assert len(enc.memo) + len(enc.old) <= 2 * (10 + 12)
+
+
+@pytest.mark.parametrize("carry", [False, True])
+@pytest.mark.parametrize("ident", [7, None])
+def test_mix_cuts_between_repeated_rows(spark, ident, carry):
+    """A budget that ends within the repeats of one row takes as many of them as fit."""
+    rows = [(ident, "a", "one two three")] * 60 + [(i, "b", "w " * 10) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = mix(df, carry=carry).collect()
+    assert len(got) == 90
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= mine[0]["size"] / 2
+    assert len({r["copies"] for r in got if r["source"] == "b"}) == 2
