@@ -76,7 +76,7 @@ def cluster_bootstrap_ci(spark, sf):
 @query("cluster_bootstrap_ci_fast")
 def cluster_bootstrap_ci_fast(spark, sf):
     """Bucketed cluster draws: the production form."""
-    out = B.cluster_bootstrap(event_frame(spark, sf), replicates=200, method="cells")
+    out = B.cluster_bootstrap(event_frame(spark, sf), replicates=500, method="cells")
     return out.withColumn("discard_reasons", F.to_json("discard_reasons"))
 
 

@@ -125,3 +125,12 @@ def test_controls(labelled):
     assert rand.explained is False and feat.explained is True and feat.p_value is None
     strong = labelled.withColumn("y_pred", (F.col("grp") == "A").cast("int"))
     assert B.permutation_control(strong, 50).first().p_value == 0.0
+
+
+def test_production_bootstraps_draw_500_replicates(spark):
+    from evenhand.catalog import load
+    from evenhand.catalog.registry import QUERIES
+
+    load()
+    for name in ("bootstrap_ci_fast", "cluster_bootstrap_ci_fast"):
+        assert {r["requested"] for r in QUERIES[name](spark, "/root/testdata/sf0.001").select("requested").collect()} == {500}
