@@ -69,7 +69,7 @@ def format_windows(
     ``start, length`` of the masked texts within ``text``, in order; ``n_turns`` counts new turns and ``n_tokens`` all
     tokens. ``count_col`` names exact token counts of the turns (null: 0); without it they are estimated.
 
-    Turns go by number, then role, then text; repeated rows are turns each. Null texts and roles are empty, null and
+    Turns go by number, then role, then text (as escaped); repeated rows are turns each. Null texts and roles are empty, null and
     negative numbers come first, a null id is a conversation of its own. No turn is cut: one that is longer than the
     room has a window for itself, above the budget. The room for new turns is never below a quarter of the budget, so
     a very long system turn also exceeds it. An empty table gives no rows.

@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenhand.llm.blocks import layout, table_of
-from evenhand.llm.words import BASES, U64, mix, powers
+from evenhand.llm.scratch import Scratch
+from evenhand.llm.words import BASES, U64, give_back, mix, powers, powers_at
 
 #: Bytes under the rolling hash, and a chunk's mean length as a power of two.
 ROLL = 32
@@ -53,8 +53,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             if json.load(f)["decoder"] is not None:
                 raise ValueError("this decoding joins tokens by spaces; the vocabulary names another decoder")
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
+        self.memo: dict[bytes, bytes] = {}  # ids as four bytes each, a third of what numbers take
+        self.old: dict[bytes, bytes] = {}
         size = max(self.tok.get_vocab().values()) + 1
         self.digits = [b"%d" % i for i in range(size)]
         self.names = [(self.tok.id_to_token(i) or "").encode() for i in range(size)]
@@ -88,18 +88,15 @@ class Encoder:
         groups = [[w.decode() for w in words[i : i + BATCH]] for i in range(0, len(words), BATCH)]
         at = 0
         for group, e in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = tuple(e.ids)
-            place = np.fromiter((x for x, _ in e.offsets), dtype=np.int64, count=len(ids))
-            cut = np.searchsorted(place, np.cumsum([len(w) + 1 for w in group])).tolist()
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            place = np.fromiter((x for x, _ in e.offsets), dtype=np.int64, count=len(ids) // 4)
+            cut = (4 * np.searchsorted(place, np.cumsum([len(w) + 1 for w in group]))).tolist()
             for a, b in zip([0, *cut[:-1]], cut):
                 self.memo[words[at]] = ids[a:b]
                 at += 1
 
     def ids(self, words: list[bytes]) -> list[int]:
-        memo, out = self.memo, []
-        for w in words:
-            out += memo[w]
-        return out
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         """Tokens joined by one space, as the library does without a decoder."""
@@ -118,11 +115,11 @@ class Chunks:
         for base, _ in BASES:
             s = np.zeros(n + 1, dtype=U64)
             np.cumsum((buf.astype(U64) + U64(1)) * powers(base, n)[:n], dtype=U64, out=s[1:])
-            sums.append((s, powers(pow(base, -1, 1 << 64), n)))
-        s, back = sums[0]
+            sums.append((s, pow(base, -1, 1 << 64)))
+        s, inverse = sums[0]
         cut = np.zeros(0, dtype=np.int64)
         if n > ROLL:
-            rolled = (s[ROLL:] - s[:-ROLL]) * back[: n + 1 - ROLL]
+            rolled = (s[ROLL:] - s[:-ROLL]) * powers(inverse, n - ROLL)
             cut = np.flatnonzero((rolled >> U64(64 - MEAN_BITS)) == 0) + ROLL  # a chunk ends before this byte
             begin = np.concatenate([[0], ends])[np.searchsorted(ends, cut - 1, side="right")]
             cut = cut[cut - begin >= ROLL]
@@ -130,7 +127,7 @@ class Chunks:
         self.end = np.union1d(cut, full)
         self.start = np.concatenate([[0], self.end[:-1]]).astype(np.int64) if len(self.end) else self.end
         self.first = np.concatenate([[0], np.searchsorted(self.end, ends, side="right")])
-        self.keys = [mix((s[self.end] - s[self.start]) * back[self.start]).view(np.int64) for s, back in sums]
+        self.keys = [mix((s[self.end] - s[self.start]) * powers_at(inverse, self.start)).view(np.int64) for s, inverse in sums]
 
     def bytes_of(self, i: int, j: int) -> bytes:
         """Chunks i to j - 1 as one piece."""
@@ -227,7 +224,7 @@ def repaired(plan: list[tuple[list[bytes], list[int] | None, bool]], enc: Encode
 
 
 KEYS = "block int, h1 bigint, h2 bigint, n bigint"
-GIVEN = "h1 bigint, h2 bigint, block int, ids binary"
+GIVEN = "h1 bigint, h2 bigint, ids binary"
 DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -244,7 +241,7 @@ def encode(
     c = lambda name: F.col(f"`{name}`")
     names = ["id", *(f"x{i}" for i in range(len(extra)))]
     given = docs.select(
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(plan.blocks)).cast("int").alias("block"), c(id_col).alias("id"),
+        F.pmod(F.xxhash64(c(id_col), c(text_col)), F.lit(plan.blocks)).cast("int").alias("block"), c(id_col).alias("id"),
         *[c(x).alias(f"x{i}") for i, x in enumerate(extra)], c(text_col).cast("binary").alias("body"),
     )
 
@@ -253,6 +250,7 @@ def encode(
         for b in batches:
             body = pa.array([z.compress(t or b"") for t in b.column("body").to_pylist()], pa.binary())
             yield pa.record_batch([*b.columns[:-1], body], names=b.schema.names)
+        give_back()
 
     lead = ", ".join(f"{n} {kinds[s].dataType.simpleString()}" for n, s in zip(names, [id_col, *extra]))
     base = given.mapInArrow(squeeze, f"block int, {lead}, body binary")
@@ -266,29 +264,29 @@ def encode(
         k, n = np.unique(k, axis=0, return_counts=True) if len(k) else (k, np.zeros(0, np.int64))
         return pa.table([pa.array(np.full(len(k), t["block"][0].as_py(), np.int32)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(n)], names=["block", "h1", "h2", "n"])
 
-    over = W.partitionBy("h1", "h2")
-    seen = base.groupBy("block").applyInArrow(count, KEYS).select("*", F.sum("n").over(over).alias("all"), F.min("block").over(over).alias("owner"))
-    shared = seen.filter("all > 1").select("block", "h1", "h2", "owner")
+    scratch = Scratch(docs.sparkSession)
+    seen = scratch.table(base.groupBy("block").applyInArrow(count, KEYS))
+    owners = seen.groupBy("h1", "h2").agg(F.sum("n").alias("all"), F.min("block").alias("owner")).filter("all > 1")
+    shared = scratch.table(seen.join(owners.select("h1", "h2", "owner"), ["h1", "h2"]).select("block", "h1", "h2", "owner"))
 
     def own(t: pa.Table, mine: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if t.num_rows and mine.num_rows:
             ch, enc, z = Chunks(texts_of(t)), Encoder.get(path), zstandard.ZstdCompressor(level=1)
-            block, inner = t["block"][0].as_py(), {}
-            asked = list(zip(*(mine[x].to_pylist() for x in ("h1", "h2", "owner"))))
-            want = {(a, b) for a, b, owner in asked if owner == block}
+            want, inner = set(zip(mine["h1"].to_pylist(), mine["h2"].to_pylist())), {}
             for i, key in enumerate(zip(ch.keys[0].tolist(), ch.keys[1].tolist())):
                 if key in want and key not in inner:
                     cut = ends_of(ch.bytes_of(i, i + 1))
                     inner[key] = cut[1].split() if cut else []
             enc.learn({w for words in inner.values() for w in words})
-            for a, b, _ in asked:
-                w = inner.get((a, b))
-                rows.append((a, b, block, None if w is None else z.compress(np.array(enc.ids(w), dtype="<u4").tobytes())))
-        return table_of(rows, [("h1", pa.int64()), ("h2", pa.int64()), ("block", pa.int32()), ("ids", pa.binary())])
+            rows = [(*key, z.compress(np.array(enc.ids(words), dtype="<u4").tobytes())) for key, words in inner.items()]
+        give_back()
+        return table_of(rows, [("h1", pa.int64()), ("h2", pa.int64()), ("ids", pa.binary())])
 
-    asked = base.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(own, GIVEN)
-    handed = asked.select("block", "h1", "h2", F.max("ids").over(over).alias("ids"))
+    mine = shared.filter("block = owner").select("block", "h1", "h2")
+    owned = scratch.table(base.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(own, GIVEN))
+    handed = shared.select("block", "h1", "h2").join(owned, ["h1", "h2"])
+    scratch.drop([shared, owned])
 
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
         enc, z = Encoder.get(path), zstandard.ZstdDecompressor()
@@ -311,6 +309,7 @@ def encode(
                 pieces.append((ch.bytes_of(run, b), None))
             docs.append(pieces)
         out = assemble(docs, enc)
+        give_back()
         cols = [t[x].combine_chunks() for x in names] + [pa.array([len(x) for x in out], pa.int64())]
         if not digests:
             return pa.table([*cols, pa.array(out, pa.list_(pa.int32()))], names=[*names, "n_tokens", "ids"])

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evenhand.llm.words import give_back
+
 #: N-grams of a profile, and the longest n-gram.
 TOP = 400
 LONGEST = 3
@@ -129,6 +131,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     if len(sums) > FLUSH:
                         yield rows()
         yield rows()
+        give_back()
 
     return docs.select(text_col, lang_col).mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -189,7 +192,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(source).to_pylist()
             preds, scores = np.full(len(texts), None, dtype=object), np.zeros(len(texts))
             for part in _parts(texts):
                 dist, size = rank_texts([texts[i] for i in part], ordered, top)
@@ -198,12 +201,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "te
                 where = np.array(part)[ok]
                 preds[where] = np.array(langs, dtype=object)[best[ok]] if langs else "und"
                 scores[where] = 1.0 - dist[ok, best[ok]] / (size[ok] * top) if langs else 0.0
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+            cols = [batch.column(i) for i in range(len(keep))]
             preds = ["und" if p is None else p for p in preds]
-            yield pa.record_batch([*cols, pa.array(preds, pa.string()), pa.array(scores)], names=[*batch.schema.names[:-1], "__pred", "__score"])
+            yield pa.record_batch([*cols, pa.array(preds, pa.string()), pa.array(scores)], names=[*batch.schema.names[: len(keep)], "__pred", "__score"])
+        give_back()
 
     cols = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(keep)]
-    given = docs.select(*cols, F.col(f"`{text_col}`").alias("__text"))
+    given = docs.select(*cols, *([] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")]))  # a text that is kept is sent once
+    source = f"x{list(keep).index(text_col)}" if text_col in keep else "__text"
     schema = ", ".join([*(f"x{i} {given.schema[f'x{i}'].dataType.simpleString()}" for i in range(len(keep))), "__pred string, __score double"])
     out = given.mapInArrow(run, schema)
     return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(keep)], F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"))

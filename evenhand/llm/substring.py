@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evenhand.llm.blocks import (
     CELLS, blocked, cuts, estimates, ids_of, layout, merge_cells, reply_rows, report, shard_of, table_of,
 )
-from evenhand.llm.words import U64, Words, split_words
+from evenhand.llm.words import U64, Words, give_back, split_words
 
 ASKS = "shard int, block int, h1 binary, h2 binary, ids binary"
 ASK_FIELDS = [("shard", pa.int32()), ("block", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("ids", pa.binary())]
@@ -45,10 +45,12 @@ def _firsts(h: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> tuple[np.nd
 
 
 def repeated_spans(
-    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", extra: list[str] = (),
+    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", extra: list[str] = (), verbatim: bool = False,
 ) -> DataFrame:
     """One row per document: ``id``, extras as ``x0..``, ``n_words``, ``n_removed`` and ``kept``.
 
+    With ``verbatim`` a text that loses no word is kept byte for byte, and a null text stays null.
+
     A window is ``window`` consecutive words of one text. A word goes if a window over it also starts earlier: in a
     smaller id, or in the same id at an earlier word. ``kept`` joins the other words by one space. Null or empty text
     has no words; texts shorter than a window lose none; a null id counts as the smallest; rows that repeat an id and
@@ -117,15 +119,18 @@ def repeated_spans(
         dead = np.cumsum(edge)[:-1] > 0
         before = np.concatenate([[0], np.cumsum(dead)])
         removed = before[w.first[1:]] - before[w.first[:-1]]
-        raw, kept = w.buf.tobytes(), []
+        raw, kept, whole = w.buf.tobytes(), [], t["body"].to_pylist() if verbatim else []
         for i, n in enumerate(removed.tolist()):
             a, b = w.first[i], w.first[i + 1]
-            if not n:
+            if not n and verbatim:
+                kept.append(whole[i])
+            elif not n:
                 kept.append(b" ".join(raw[w.start[a] : w.end[b - 1]].split()) if b > a else b"")
             else:
                 live = np.flatnonzero(~dead[a:b]) + a
                 kept.append(b" ".join([raw[x:y] for x, y in zip(w.start[live].tolist(), w.end[live].tolist())]))
         cols = [t[c].combine_chunks() for c in names]
+        give_back()
         return pa.table(
             [*cols, pa.array(np.diff(w.first)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())],
             names=[*names, "n_words", "n_removed", "kept"],
@@ -143,7 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     Columns and their order stay; a document keeps its row even if no word is left (its text is then empty).
     """
     names = docs.columns
-    cut = repeated_spans(docs, window, id_col, text_col, [c for c in names])
-    pick = {c: F.col(f"x{i}") for i, c in enumerate(names)}
-    pick[text_col] = F.when(F.col("n_removed") == 0, pick[text_col]).otherwise(F.col("kept"))
+    rest = [c for c in names if c != text_col]  # the text moves once
+    cut = repeated_spans(docs, window, id_col, text_col, rest, verbatim=True)
+    pick = {text_col: F.col("kept")} | {c: F.col(f"x{i}") for i, c in enumerate(rest)}
     return cut.select(*[pick[c].alias(c) for c in names])

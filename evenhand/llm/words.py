@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 #: Odd multipliers of the two hash families, for bytes and for words.
@@ -19,6 +20,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: The first powers of each base; a worker keeps so many for a base and no more.
+KEPT = 1 << 16
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -29,16 +32,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^0 .. base^(KEPT - 1), and base^0, base^KEPT, base^(2 KEPT) ... up to the n-th power."""
+    if base not in _powers:
+        low = np.full(KEPT, base, dtype=U64)
+        low[0] = 1
+        _powers[base] = np.cumprod(low, dtype=U64)
+    high = np.full(n // KEPT + 1, pow(base, KEPT, 1 << 64), dtype=U64)
+    high[0] = 1
+    return _powers[base], np.cumprod(high, dtype=U64)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^n modulo 2^64; the longest table so far is kept by the worker."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        have = np.full(max(n + 1, 1 << 16), base, dtype=U64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=U64)
-        if n < 1 << 23:
-            _powers[base] = have
-    return have
+    """base^0 .. base^n modulo 2^64."""
+    low, high = _tables(base, n)
+    return np.multiply.outer(high, low[: n + 1]).ravel()[: n + 1]
+
+
+def powers_at(base: int, which: np.ndarray) -> np.ndarray:
+    """base to each of some exponents, modulo 2^64."""
+    low, high = _tables(base, int(which.max(initial=0)))
+    return low[which & (KEPT - 1)] * high[which // KEPT]
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
@@ -48,8 +62,7 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     n = len(values)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum(values * powers(base, n)[:n], dtype=U64, out=sums[1:])
-    back = powers(pow(base, -1, 1 << 64), n)
-    return mix((sums[end] - sums[start]) * back[start])
+    return mix((sums[end] - sums[start]) * powers_at(pow(base, -1, 1 << 64), start))
 
 
 @dataclass
@@ -92,3 +105,8 @@ def split_words(texts: list[bytes | None], lower: bool = False) -> Words:
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     bounds = np.concatenate([[0], np.cumsum(lengths)]) + 1
     return Words(buf, start, end, np.searchsorted(start, bounds))
+
+
+def give_back() -> None:
+    """Return the memory that Arrow keeps from the last group; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
