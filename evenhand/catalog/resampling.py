@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evenhand.catalog.registry import CELLS, EVENT_SQL, cells_sql, disparity_sql, event_frame, query, rates_sql
 from evenhand.operators import resample as B
 
-REPLICATES = 20
+REPLICATES, CONTROLS = 500, 100
 U60 = "('0x' || substr(md5({}), 1, 15))::HUGEINT"
 
 INTERVALS_SQL = f"""
@@ -107,14 +107,14 @@ GROUP_ENDS = """GE AS (SELECT grp, sum(count(*)) OVER (ORDER BY grp) AS hi, sum(
     _control_sql(
         f"""WITH {EVENT_SQL}, {GROUP_ENDS},
 PR AS (SELECT b, y_true, y_pred, row_number() OVER (PARTITION BY b ORDER BY md5('42|' || b || '|' || row_id)) AS r
-       FROM E, range({REPLICATES}) t(b)),
+       FROM E, range({CONTROLS}) t(b)),
 DEALT AS (SELECT b, y_true, y_pred, GE.grp FROM PR JOIN GE ON r > lo AND r <= hi)""",
         "PERMUTED_SENSITIVE_ATTRIBUTE_CONTROL",
         "avg(CASE WHEN RW.dp_value >= W.dp_value THEN 1.0 ELSE 0.0 END) > 0.05",
     ),
 )
 def permutation_control(spark, sf):
-    return _control(B.permutation_control(event_frame(spark, sf), REPLICATES, method="slots"))
+    return _control(B.permutation_control(event_frame(spark, sf), CONTROLS, method="slots"))
 
 
 @query("permutation_control_fast")
@@ -127,14 +127,14 @@ def permutation_control_fast(spark, sf):
     _control_sql(
         f"""WITH {EVENT_SQL}, {GROUP_ENDS}, NN AS (SELECT count(*) AS n FROM E),
 PR AS (SELECT b, y_true, y_pred, (({U60.format("'42r|' || b || '|' || row_id")} * n) >> 60)::BIGINT AS u
-       FROM E, range({REPLICATES}) t(b), NN),
+       FROM E, range({CONTROLS}) t(b), NN),
 DEALT AS (SELECT b, y_true, y_pred, GE.grp FROM PR JOIN GE ON u >= lo AND u < hi)""",
         "RANDOM_GROUP_CONTROL",
         "false",
     ),
 )
 def random_group_control(spark, sf):
-    return _control(B.random_group_control(event_frame(spark, sf), REPLICATES, method="slots"))
+    return _control(B.random_group_control(event_frame(spark, sf), CONTROLS, method="slots"))
 
 
 @query("random_group_control_fast")
@@ -185,6 +185,31 @@ def bootstrap_law(spark, sf):
     )
 
 
+@query("cluster_bootstrap_law", _law_sql(500))
+def cluster_bootstrap_law(spark, sf):
+    """The production cluster bootstrap against its law: the spread of a rate is that of the clusters' own residuals."""
+    e = event_frame(spark, sf)
+    out = B.cluster_bootstrap(e, replicates=500, method="cells")
+    per = B.cluster_cells(e).select("cluster_id", "grp", "n", "pos_n", "sel_n", "tp")
+    rates = per.groupBy("grp").agg(
+        (F.sum("sel_n") / F.sum("n")).alias("p_s"), F.sum("n").alias("m_s"), (F.sum("tp") / F.sum("pos_n")).alias("p_t"), F.sum("pos_n").alias("m_t")
+    )
+    spread = per.join(rates, "grp").groupBy("grp", "p_s", "m_s", "p_t", "m_t").agg(
+        (F.sqrt(F.sum(F.pow(F.col("sel_n") - F.col("p_s") * F.col("n"), 2))) / F.col("m_s")).alias("se_s"),
+        (F.sqrt(F.sum(F.pow(F.col("tp") - F.col("p_t") * F.col("pos_n"), 2))) / F.col("m_t")).alias("se_t"),
+    )
+    known = spread.select(F.inline(F.array(
+        F.struct(F.concat(F.lit("Selection Rate ("), "grp", F.lit(")")).alias("metric"), F.col("p_s").alias("p"), F.col("se_s").alias("se")),
+        F.struct(F.concat(F.lit("TPR ("), "grp", F.lit(")")).alias("metric"), F.col("p_t").alias("p"), F.col("se_t").alias("se")),
+    )))
+    end = lambda c, z: F.abs(F.col(c) - (F.col("p") + z * F.col("se"))) < 0.6 * F.col("se")
+    both = out.join(known, "metric", "left").withColumn("near", end("ci_low", -1.96) & end("ci_high", 1.96))
+    return both.select(
+        "metric", F.round("point_estimate", 8).alias("point_estimate"), "near", "requested", "successful", "discarded",
+        F.to_json("discard_reasons").alias("discard_reasons"), "support_status",
+    )
+
+
 @query(
     "permutation_margins",
     f"""WITH {EVENT_SQL}, {cells_sql("E")}, T AS (SELECT CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp,

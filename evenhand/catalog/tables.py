@@ -83,6 +83,42 @@ def json_records(spark, sf):
     return R.read_json_lines(spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
 
 
+@query("json_array", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
+def json_array(spark, sf):
+    """Every document through array files that are read by byte range."""
+    path = S.scratch_path(spark, "documents-array")
+    S.write_json_array(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text"), path)
+    back = R.read_json_records(spark, path, "doc_id bigint, lang string, source string, n_chars bigint, text string")
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "json_malformed",
+    r"""WITH M AS (SELECT event_id, event_id % 7 AS k, event_type FROM events),
+T AS (SELECT *, CASE k WHEN 1 THEN '{"event_id" ' || event_id || '}' WHEN 2 THEN '{"event_id": "no", "event_type": "' || event_type || '"}'
+  WHEN 3 THEN '[' || event_id || ', tru]' WHEN 4 THEN '"say \"hi, ]{' || event_id || '" : x' END AS kept FROM M)
+SELECT CASE WHEN kept IS NULL THEN 'parsed' ELSE 'kept' END AS outcome, CASE WHEN k IN (1, 3, 4) THEN NULL ELSE event_type END AS event_type,
+  count(*) AS n, CAST(sum(CASE WHEN kept IS NULL THEN event_id END) AS BIGINT) AS ids, CAST(sum(length(kept)) AS BIGINT) AS kept_chars FROM T GROUP BY 1, 2""",
+)
+def json_malformed(spark, sf):
+    """Arrays with broken entries between good ones: unclosed pairs, wrong types, bad words, brackets inside strings."""
+    path = S.scratch_path(spark, "events-malformed")
+    k, i, e = F.pmod("event_id", F.lit(7)), F.col("event_id").cast("string"), F.col("event_type")
+    text = (
+        F.when(k == 1, F.concat(F.lit('{"event_id" '), i, F.lit("}")))
+        .when(k == 2, F.concat(F.lit('{"event_id": "no", "event_type": "'), e, F.lit('"}')))
+        .when(k == 3, F.concat(F.lit("["), i, F.lit(", tru]")))
+        .when(k == 4, F.concat(F.lit('"say \\"hi, ]{'), i, F.lit('" : x')))
+        .otherwise(F.to_json(F.struct("event_id", "event_type")))
+    )
+    S.write_framed_json(table(spark, sf, "events").select(text.alias("value")), path)
+    rows = R.read_json_array(spark, path, "event_id bigint, event_type string")
+    outcome = F.when(F.col(R.BAD).isNull(), "parsed").otherwise("kept")
+    return rows.groupBy(outcome.alias("outcome"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.sum(F.length(R.BAD)).cast("bigint").alias("kept_chars")
+    )
+
+
 @query("json_sink", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
 def json_sink(spark, sf):
     path = S.scratch_path(spark, "customer-json")
@@ -153,6 +189,40 @@ def stop_features(spark, sf):
     )
 
 
+SHAPES = ["num_stops_total", "num_dropoffs", "lat_mean", "lng_mean", "lat_std", "lng_std", "bbox_area", "radial_dispersion"]
+
+
+@query(
+    "routes_json",
+    f"""WITH {STOPS}, V AS (SELECT * FROM X WHERE lat IS NOT NULL AND route_id % 11 <> 0),
+B AS (SELECT route_id, count(*) AS k, avg(lat) AS la, avg(lng) AS lo FROM V GROUP BY route_id HAVING count(*) >= 2)
+SELECT CAST(V.route_id AS VARCHAR) AS route_id, any_value(c_mktsegment) AS route_score, 'N' || any_value(c_nationkey) AS station_code,
+  CAST(any_value(k) AS DOUBLE) AS num_stops_total,
+  CAST(count(*) FILTER (WHERE type = 'Dropoff') AS DOUBLE) AS num_dropoffs, round(any_value(la), 7) AS lat_mean,
+  round(any_value(lo), 7) AS lng_mean, round(stddev_pop(lat), 7) AS lat_std, round(stddev_pop(lng), 7) AS lng_std,
+  round((max(lat) - min(lat)) * (max(lng) - min(lng)), 6) AS bbox_area,
+  round(avg(sqrt((lat - la) ** 2 + (lng - lo) ** 2)), 7) AS radial_dispersion
+FROM V JOIN B ON V.route_id = B.route_id JOIN customer ON c_custkey = V.route_id GROUP BY V.route_id""",
+)
+def routes_json(spark, sf):
+    """Route maps written as large keyed files and read by byte range; blank scores and routes with a point or none fall away."""
+    stop = F.struct(
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 7919).cast("string").alias("lat"),
+        F.pmod("o_orderkey", F.lit(180)).cast("string").alias("lng"),
+        F.when(F.col("o_orderstatus") == "F", "Dropoff").otherwise("Station").alias("type"),
+    )
+    key = F.col("o_orderkey").cast("string")
+    stops = table(spark, sf, "orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct(key, stop))).alias("stops"))
+    score = F.when(F.pmod("c_custkey", F.lit(11)) == 0, F.lit(" ")).otherwise(F.col("c_mktsegment"))
+    routes = stops.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_custkey").alias("route_id"), score.alias("route_score"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("station_code"), "stops"
+    )
+    path = S.scratch_path(spark, "routes-json")
+    S.write_keyed_json(routes, "route_id", path)
+    out = R.nested_stop_features(R.read_routes(spark, path))
+    return out.select("route_id", "route_score", "station_code", *[F.round(c, 6 if c == "bbox_area" else 7).alias(c) for c in SHAPES])
+
+
 @query(
     "score_lookup",
     """SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",

@@ -158,45 +158,87 @@ def _dense_index(ids: DataFrame, key: str) -> DataFrame:
     return keyed.join(F.broadcast(starts), "p").select(key, (F.col("start") + inside).cast("bigint").alias("idx"))
 
 
+#: Clusters of a bucket: what one task draws from at a time.
+BUCKET_CLUSTERS = 50_000
+
+
+def bucket_paths(sizes: DataFrame, depth: int) -> DataFrame:
+    """``bucket, path``: what a bucket needs of the binary tree over all buckets, in ``depth`` steps from the root.
+
+    A node is a prefix of bucket numbers and weighs the clusters below it. A step holds the number of the node, its
+    weight, the weight of its left child, and whether the bucket lies to the right.
+    """
+    steps = sizes.select("bucket", "c", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    steps = steps.withColumn("node", F.expr(f"shiftright(bucket, {depth} - level)"))
+    weights = steps.groupBy("level", "node").agg(F.sum("c").alias("weight"))
+    known = steps.select("bucket", "level", "node").join(weights, ["level", "node"])
+    per = known.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("level", "node", "weight"))).alias("p"))  # depth + 1 entries
+    up, down = F.slice("p", 1, depth), F.slice("p", 2, depth)
+
+    def step(x, y):
+        right = y["node"] % 2 == 1
+        return F.struct(
+            x["node"].alias("node"), x["weight"].alias("weight"),
+            F.when(right, x["weight"] - y["weight"]).otherwise(y["weight"]).alias("left"), right.alias("right"),
+        )
+
+    return per.select("bucket", F.element_at("p", 1)["weight"].alias("total"), F.zip_with(up, down, step).alias("path"))
+
+
+def bucket_share(path: list, total: int, b: int, seed: int) -> int:
+    """How many of ``total`` draws of replicate ``b`` fall into a bucket: a binomial at each node on its path.
+
+    The draw of a node depends on the node, so all buckets below it see the same one and the shares of all buckets
+    together are one multinomial draw. The work is the length of the path.
+    """
+    for level, x in enumerate(path):
+        if total == 0 or x["left"] == (0 if x["right"] else x["weight"]):
+            continue  # the other child is empty
+        left = int(_generator(seed, b, level, x["node"]).binomial(total, x["left"] / x["weight"]))
+        total = total - left if x["right"] else left
+    return total
+
+
 def cluster_replicates_cells(
-    per: DataFrame, replicates: int, cluster: str = "cluster_id", seed: int = 42, buckets: int | None = None
+    per: DataFrame, replicates: int, cluster: str = "cluster_id", seed: int = 42, depth: int | None = None
 ) -> DataFrame:
     """The same law without moving draws.
 
-    Clusters fall into hash buckets. The C draws of a replicate split over the buckets by one
-    multinomial on the bucket sizes, which every task can repeat from the seed; inside a
-    bucket they are uniform. Only partial cell sums leave a bucket.
+    Clusters fall into 2^depth hash buckets of about ``BUCKET_CLUSTERS``. The C draws of a replicate go down a binary
+    tree of binomial splits (:func:`bucket_paths`), so a bucket finds its share in ``depth`` steps; inside it draws
+    are uniform. Only partial cell sums leave a bucket, and nothing but the number of clusters reaches the driver.
     """
-    spark = per.sparkSession
     total = per.select(cluster).distinct().count()
-    buckets = buckets or max(8, min(20_000, total // 50_000 + 1))
-    bucketed = per.withColumn("bucket", F.pmod(F.xxhash64(F.col(cluster).cast("string")), F.lit(buckets)).cast("int"))
-    sizes = {
-        r["bucket"]: r["c"]
-        for r in bucketed.groupBy("bucket").agg(F.countDistinct(cluster).alias("c")).collect()
-    }
-    shares = np.array([sizes.get(i, 0) for i in range(buckets)], dtype=np.int64)
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf["bucket"].iloc[0])
+    if depth is None:
+        depth = max(3, (total // BUCKET_CLUSTERS).bit_length())
+    bucket = F.shiftrightunsigned(F.xxhash64(F.col(cluster).cast("string")), 63 - depth).bitwiseAND(F.lit((1 << depth) - 1))
+    bucketed = per.withColumn("bucket", bucket.cast("bigint"))
+    sizes = bucketed.groupBy("bucket").agg(F.countDistinct(cluster).alias("c"))
+
+    def draw(pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        names = ["b", "grp", *CELL_NAMES]
+        if not len(pdf):
+            return pd.DataFrame([], columns=names)
+        number, whole, steps = int(pdf["bucket"].iloc[0]), int(path["total"].iloc[0]), list(path["path"].iloc[0])
         codes, _ = pd.factorize(pdf["key"], sort=True)
         groups, labels = pd.factorize(pdf["grp"], sort=True)
         members = int(codes.max()) + 1
         values = pdf[list(CELL_NAMES)].to_numpy(dtype=np.float64)
         rows = []
         for b in range(replicates):
-            share = int(_generator(seed, b).multinomial(total, shares / total)[bucket])
-            picks = _generator(seed, b, bucket).integers(0, members, size=share)
+            share = bucket_share(steps, whole, b, seed)
+            picks = _generator(seed, b, "in", number).integers(0, members, size=share)
             times = np.bincount(picks, minlength=members)[codes]
             sums = np.stack([np.bincount(groups, values[:, j] * times, minlength=len(labels)) for j in range(4)], axis=1)
             for g, label in enumerate(labels):
                 if sums[g].any():
                     rows.append((b, label, *sums[g].astype(np.int64)))
-        return pd.DataFrame(rows, columns=["b", "grp", *CELL_NAMES])
+        return pd.DataFrame(rows, columns=names)
 
     parts = (
         bucketed.select("bucket", F.col(cluster).cast("string").alias("key"), "grp", *CELL_NAMES)
         .groupBy("bucket")
+        .cogroup(bucket_paths(sizes, depth).withColumnRenamed("bucket", "place").groupBy("place"))
         .applyInPandas(draw, REPLICATE_SCHEMA)
     )
     out = parts.groupBy("b", "grp").agg(*[F.sum(c).alias(c) for c in CELL_NAMES])

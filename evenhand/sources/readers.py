@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenhand.operators.order import attach
+from evenhand.sources.split_json import RANGE_BYTES, json_entries
 
 BAD = "_corrupt_record"
 
@@ -76,10 +77,23 @@ def malformed_count(df: DataFrame) -> int:
     return parse_report(df).first()["malformed"]
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """An array of records per file, read by byte range. Entries that do not parse, or not to the
+    schema, keep their text in ``_corrupt_record``, as in :func:`read_csv`."""
+    entries = json_entries(spark, path, range_bytes)
+    record = F.from_json("value", _with_bad(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    rows = entries.select(record.alias("r"), "value", "problem")
+    names = [f.name for f in _with_bad(schema).fields if f.name != BAD]
+    lost = F.col("problem").isNotNull()
+    cols = [F.when(~lost, F.col(f"r.`{c}`")).alias(c) for c in names]
+    bad = F.when(lost | F.col(f"r.{BAD}").isNotNull(), F.coalesce(F.col("value"), F.lit("")))
+    return rows.select(*cols, bad.alias(BAD))
+
+
 def read_json_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """An array of records per file. The format cannot be split inside a file; keep big tables
-    as JSON lines (``read_json_lines``) or Parquet."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """The records of arrays that parse."""
+    rows = read_json_array(spark, path, schema)
+    return rows.filter(F.col(BAD).isNull()).drop(BAD)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -104,10 +118,18 @@ ROUTE = (
 )
 
 
+def read_keyed_json(spark: SparkSession, path: str, record: str, key: str = "id", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``key, record`` of files that map ids to records, read by byte range, with the text of what
+    does not parse in ``_corrupt_record``. A key that is repeated has a row each time."""
+    entries = json_entries(spark, path, range_bytes)
+    lost = F.col("problem").isNotNull() | F.col("key").isNull()
+    value = F.when(~lost, F.from_json("value", record))
+    return entries.select(F.col("key").alias(key), value.alias("record"), F.when(lost, F.col("value")).alias(BAD))
+
+
 def read_routes(spark: SparkSession, path: str) -> DataFrame:
     """Route files: map of route id to record. Blank scores are left out."""
-    raw = spark.read.option("wholetext", True).text(path)
-    routes = explode_keyed(raw, "value", ROUTE, "route_id").select("route_id", "record.*")
+    routes = read_keyed_json(spark, path, ROUTE, "route_id").filter(F.col(BAD).isNull()).select("route_id", "record.*")
     return routes.filter(F.trim(F.coalesce("route_score", F.lit(""))) != "")
 
 

@@ -58,12 +58,25 @@ def test_cluster_replicates_hold_whole_clusters(clustered):
         assert {r.n for r in totals} == {200}
         assert all(r.n % 10 == 0 for r in reps.collect())
     spread = draw(per, 200, "cluster_id", 5).filter("grp = 'A'").agg(F.avg("n"), F.stddev_pop("n")).first()
-    bucketed = B.cluster_replicates_cells(per, 200, "cluster_id", 5, buckets=6).filter("grp = 'A'").agg(F.avg("n"), F.stddev_pop("n")).first()
+    bucketed = B.cluster_replicates_cells(per, 200, "cluster_id", 5, depth=3).filter("grp = 'A'").agg(F.avg("n"), F.stddev_pop("n")).first()
     assert spread[0] == pytest.approx(100, abs=6) and bucketed[0] == pytest.approx(100, abs=6)
     # ten of twenty clusters are A: n is 10 * Binomial(20, 1/2)
     assert spread[1] == pytest.approx(10 * 5**0.5, rel=0.2) and bucketed[1] == pytest.approx(10 * 5**0.5, rel=0.2)
 
 
+def test_bucket_shares_are_one_multinomial_draw(spark):
+    """All buckets see the same draws, so shares add up; their means and spreads are the multinomial's."""
+    weights = {0: 5, 1: 1, 2: 30, 5: 14, 7: 50}
+    paths = {r.bucket: r for r in B.bucket_paths(spark.createDataFrame(list(weights.items()), "bucket bigint, c bigint"), 3).collect()}
+    assert set(paths) == set(weights) and all(r.total == 100 and len(r.path) == 3 for r in paths.values())
+    shares = {k: [B.bucket_share(r.path, r.total, b, 9) for b in range(2000)] for k, r in paths.items()}
+    assert all(sum(x) == 100 for x in zip(*shares.values()))
+    for k, w in weights.items():
+        mean = sum(shares[k]) / 2000
+        var = sum((x - mean) ** 2 for x in shares[k]) / 2000
+        assert mean == pytest.approx(w, abs=0.5) and var == pytest.approx(w * (100 - w) / 100, rel=0.2)
+
+
 def test_cluster_interval_is_wider(clustered):
     rows = {r.metric: r for r in B.bootstrap(clustered, 200).collect()}
     clusters = {r.metric: r for r in B.cluster_bootstrap(clustered, replicates=200).collect()}
