@@ -132,8 +132,18 @@ _single("di_ratio", "di", DOC_SQL, document_frame, "D", size=1)
 SELECT R.grp, R.selection_rate, W.di_status AS status FROM R, W""",
 )
 def di_selection_rates(spark, sf):
-    wide = _wide(document_frame(spark, sf), M.Gates(1))
-    return wide.select(F.explode("selection_rates").alias("grp", "selection_rate"), F.col("di_status").alias("status"))
+    return M.selection_rate_rows(confusion_cells(document_frame(spark, sf)), M.Gates(1))
+
+
+@query(
+    "di_extreme_groups",
+    f"""WITH {DOC_SQL}, C AS (SELECT source, lang AS grp, {CELLS} FROM D GROUP BY source, lang), {rates_sql()}
+SELECT source, arg_min(grp, (selection_rate, grp)) AS lowest_group, arg_min(grp, (-selection_rate, grp)) AS highest_group FROM R GROUP BY source""",
+)
+def di_extreme_groups(spark, sf):
+    """Who stands at both ends of the ratio, per source."""
+    cells = confusion_cells(document_frame(spark, sf), ("source", "grp"))
+    return M.disparity_wide(cells, M.Gates(1), by=("source",)).select("source", "lowest_group", "highest_group")
 
 
 PERFORMANCE = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from evenhand.catalog.registry import (
@@ -14,6 +16,7 @@ from evenhand.operators import splits as S
 from evenhand.operators import thresholds as H
 from evenhand.operators.calibration import roc_curve
 from evenhand.operators.cells import confusion_cells
+from evenhand.operators.units import with_reweighing
 from evenhand.plans import benchmark as B
 from evenhand.plans import report as T
 from evenhand.plans.evaluate import AuditConfig
@@ -141,6 +144,108 @@ def _prepared(spark, sf):
     return prep.transform(split).select("row_id", "y_true", "grp", "split", "features")
 
 
+SPLIT_ORDERS = f"""{ORDER_SQL}, X AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5('42|' || row_id)) AS r,
+  count(*) OVER (PARTITION BY y_true) AS n FROM O),
+Z AS (SELECT * EXCLUDE (r, n), CASE WHEN r <= round_even(n * 0.6::DOUBLE, 0) THEN 'train'
+  WHEN r <= round_even(n * 0.6::DOUBLE, 0) + round_even(n * 0.2::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM X)"""
+
+
+@query(
+    "fit_preprocessing",
+    f"""WITH {SPLIT_ORDERS}, Y AS (SELECT *, CASE WHEN row_id % 11 > 0 THEN o_orderpriority END AS prio FROM Z),
+T AS (SELECT * FROM Y WHERE split = 'train'), MO AS (SELECT mode(prio) AS m FROM T),
+NU AS (SELECT 0 AS slot, avg(o_totalprice) AS a, stddev_samp(o_totalprice) AS s FROM T UNION ALL SELECT 1, avg(c_acctbal), stddev_samp(c_acctbal) FROM T
+  UNION ALL SELECT 2, avg(nation), stddev_samp(nation) FROM T),
+KA AS (SELECT c, 2 + row_number() OVER (ORDER BY count(*) DESC, c) AS slot FROM (SELECT coalesce(prio, m) AS c FROM T, MO) GROUP BY c),
+V AS (SELECT split, slot, (CASE slot WHEN 0 THEN o_totalprice WHEN 1 THEN c_acctbal ELSE nation END - a) / s AS v FROM Y, NU
+  UNION ALL SELECT split, slot, CASE WHEN coalesce(prio, m) = c THEN 1.0 ELSE 0.0 END FROM Y, MO, KA)
+SELECT split, CAST(slot AS INTEGER) AS slot, count(*) AS n, round(avg(v), 6) + 0 AS mean, round(stddev_pop(v), 6) AS spread FROM V GROUP BY split, slot""",
+)
+def fit_preprocessing(spark, sf):
+    """Every slot of the feature vector on every split, encoded by what the training rows say: scale, most frequent label, order of labels."""
+    frame = order_frame(spark, sf).drop("y_prob", "y_pred")
+    frame = frame.withColumn("prio", F.when(F.pmod("row_id", F.lit(11)) > 0, F.col("o_orderpriority")))
+    split = S.stratified_split(frame, "y_true", "row_id")
+    prep = L.fit_preprocessor(split.filter(F.col("split") == "train"), L.Features(("o_totalprice", "c_acctbal", "nation"), ("prio",)))
+    slots = prep.transform(split).select("split", F.posexplode(vector_to_array("features")).alias("slot", "v"))
+    return slots.groupBy("split", "slot").agg(
+        F.count(F.lit(1)).alias("n"), (F.round(F.avg("v"), 6) + 0.0).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("spread")
+    )
+
+
+@query(
+    "linear_fits",
+    f"""WITH {SPLIT_ORDERS}, T AS (SELECT y_true, grp, count(*) AS k FROM Z WHERE split = 'train' GROUP BY y_true, grp),
+N AS (SELECT sum(k) AS n FROM T), W AS (SELECT T.*, sum(k) OVER (PARTITION BY grp) * sum(k) OVER (PARTITION BY y_true) / (n * k) AS w FROM T, N)
+SELECT 'logistic' AS model, CAST(sum(k) AS BIGINT) AS n, round(sum(k * y_true) / sum(k), 3) AS mean_score, true AS stationary FROM W
+UNION ALL SELECT 'reweighted', CAST(sum(k) AS BIGINT), round(sum(w * k * y_true) / sum(w * k), 3), true FROM W
+UNION ALL SELECT 'svm_curve', CAST(sum(k) AS BIGINT), round(sum(k * y_true) / sum(k), 3), true FROM W""",
+)
+def linear_fits(spark, sf):
+    """What only a fit that reached its optimum has: scores that add up to the (weighted) labels, and no slope left in any coefficient.
+
+    The slope of the mean loss with its penalty must be below 1e-3 in every slot; labels are 0 and 1, numbers standardised.
+    """
+    train = with_reweighing(_prepared(spark, sf).filter(F.col("split") == "train"), "fair_weight").withColumn("one", F.lit(1.0))
+    n, out = train.count(), None
+    svm = L.CalibratedSVM().fit(train)
+    fits = {
+        "logistic": (L.logistic(n).fit(train), train, "one"), "reweighted": (L.logistic(n, "fair_weight").fit(train), train, "fair_weight"),
+        "svm_curve": (svm.curve, svm._raw(train).drop("features").withColumnRenamed("__raw", "features"), "one"),
+    }
+    for name, (model, rows, weight) in fits.items():
+        scored = L.score(model.setFeaturesCol("features"), rows).select("y_true", "y_prob", F.col(weight).alias("w"), vector_to_array("features").alias("x"))
+        off = F.col("w") * (F.col("y_prob") - F.col("y_true"))
+        sums = scored.select("w", off.alias("off"), "y_prob", F.posexplode("x").alias("slot", "v")).groupBy("slot").agg((F.sum(F.col("off") * F.col("v")) / F.sum("w")).alias("slope"))
+        pull = spark.createDataFrame([(i, float(c)) for i, c in enumerate(model.coefficients)], "slot int, c double")  # one row per slot
+        reg = float(model.getRegParam())
+        steep = sums.join(pull, "slot").agg(F.max(F.abs(F.col("slope") + F.lit(reg) * F.col("c"))).alias("steepest"))
+        mean = scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.col("y_prob")) / F.sum("w"), 3).alias("mean_score"))
+        part = mean.join(steep).select(F.lit(name).alias("model"), "n", "mean_score", (F.col("steepest") < 1e-3).alias("stationary"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+ROUNDS, STEP = 5, 0.08
+
+
+def _stumps_sql() -> str:
+    """Boosted stumps on one feature of few values, round by round, and the stump of least Gini impurity."""
+    parts = [f"""WITH {SPLIT_ORDERS}, C AS (SELECT nation AS v, CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS q
+  FROM (SELECT nation, CASE WHEN nation >= 12 THEN 1 - y_true ELSE y_true END AS y FROM Z WHERE split = 'train') GROUP BY nation),
+F0 AS (SELECT v, p, q, 0.0::DOUBLE AS f FROM C)"""]
+    for i in range(1, ROUNDS + 1):
+        up, down = ("1.0", "-1.0") if i == 1 else ("4 / (1 + exp(2 * f))", "-4 / (1 + exp(-2 * f))")
+        parts.append(f"""R{i} AS (SELECT *, p * ({up}) + q * ({down}) AS s FROM F{i - 1}),
+S{i} AS (SELECT v AS cut, sum(s) OVER w AS sl, sum(p + q) OVER w AS nl, sum(s) OVER () AS sa, sum(p + q) OVER () AS na FROM R{i} WINDOW w AS (ORDER BY v)),
+B{i} AS (SELECT *, sl / nl AS lo, (sa - sl) / (na - nl) AS hi FROM S{i} WHERE nl < na ORDER BY sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) DESC LIMIT 1),
+F{i} AS (SELECT v, p, q, f + {1.0 if i == 1 else STEP} * CASE WHEN v <= cut THEN lo ELSE hi END AS f FROM F{i - 1}, B{i})""")
+    parts.append("""G AS (SELECT v AS cut, sum(p) OVER w AS pl, sum(q) OVER w AS ql, sum(p) OVER () AS pa, sum(q) OVER () AS qa FROM C WINDOW w AS (ORDER BY v)),
+H AS (SELECT *, pl / (pl + ql) AS lo, (pa - pl) / (pa + qa - pl - ql) AS hi FROM G WHERE pl + ql < pa + qa
+  ORDER BY (pl * pl + ql * ql) / (pl + ql) + ((pa - pl) * (pa - pl) + (qa - ql) * (qa - ql)) / (pa + qa - pl - ql) DESC LIMIT 1)""")
+    return ",\n".join(parts) + f"""
+SELECT 'boosted' AS model, v AS nation, CAST(p + q AS BIGINT) AS n, round(1 / (1 + exp(-2 * f)), 8) AS score FROM F{ROUNDS}
+UNION ALL SELECT 'forest', v, CAST(p + q AS BIGINT), round(CASE WHEN v <= cut THEN lo ELSE hi END, 8) FROM C, H"""
+
+
+@query("tree_fits", _stumps_sql())
+def tree_fits(spark, sf):
+    """The tree learners where SQL can fit them too: stumps on one feature whose values all have a bin of their own, no row left to chance.
+
+    Labels are turned for half of the nations, as a forest folds two leaves that decide alike.
+    """
+    train = S.stratified_split(order_frame(spark, sf).drop("y_prob", "y_pred"), "y_true", "row_id").filter(F.col("split") == "train")
+    turned = train.withColumn("y_true", F.when(F.col("nation") >= 12, 1 - F.col("y_true")).otherwise(F.col("y_true")))
+    ready = VectorAssembler(inputCols=["nation"], outputCol="features").transform(turned)
+    fits = {"boosted": L.boosted(depth=1, rounds=ROUNDS, step=STEP, sample=1.0), "forest": L.forest(trees=1, depth=1).setBootstrap(False)}
+    out = None
+    for name, learner in fits.items():
+        part = L.score(learner.fit(ready), ready).groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("y_prob"), 8).alias("score"))
+        part = part.select(F.lit(name).alias("model"), "nation", "n", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("baseline_scores")
 def baseline_scores(spark, sf):
     """Scores of the linear baselines on the test rows."""

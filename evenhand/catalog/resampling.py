@@ -142,6 +142,29 @@ def random_group_control_fast(spark, sf):
     return B.random_group_control(event_frame(spark, sf), 100)
 
 
+def spread_of_rates(cells, by):
+    """A caller's metric: mean distance of a group's selection rate from the overall one, weighted by rows."""
+    total = cells.groupBy(*by).agg((F.sum("sel_n") / F.sum("n")).alias("all_rate"))
+    both = cells.join(total, list(by)) if by else cells.crossJoin(total)
+    away = F.col("n") * F.abs(F.col("sel_n") / F.col("n") - F.col("all_rate"))
+    return both.groupBy(*by).agg((F.sum(away) / F.sum("n")).alias("gap"))
+
+
+@query(
+    "custom_metric_control",
+    f"""WITH {EVENT_SQL}, {GROUP_ENDS}, NN AS (SELECT count(*) AS n FROM E),
+PR AS (SELECT b, y_true, y_pred, (({U60.format("'42r|' || b || '|' || row_id")} * n) >> 60)::BIGINT AS u FROM E, range({CONTROLS}) t(b), NN),
+DEALT AS (SELECT b, y_pred, GE.grp FROM PR JOIN GE ON u >= lo AND u < hi UNION ALL SELECT -1, y_pred, grp FROM E),
+RC AS (SELECT b, grp, count(*) AS n, sum(y_pred) AS s FROM DEALT GROUP BY b, grp),
+RG AS (SELECT b, sum(n * abs(s / n - a)) / sum(n) AS gap FROM (SELECT *, sum(s) OVER w / sum(n) OVER w AS a FROM RC WINDOW w AS (PARTITION BY b)) GROUP BY b),
+W AS (SELECT gap AS g FROM RG WHERE b = -1)
+SELECT 'RANDOM_GROUP_CONTROL' AS control_name, round(any_value(g), 8) AS observed_gap, round(avg(gap), 8) AS control_mean,
+  round(stddev_pop(gap), 8) AS control_std, avg(CASE WHEN gap >= g THEN 1.0 ELSE 0.0 END) AS p_value, false AS explained FROM RG, W WHERE b >= 0""",
+)
+def custom_metric_control(spark, sf):
+    return _control(B.random_group_control(event_frame(spark, sf), CONTROLS, metric=spread_of_rates, method="slots"))
+
+
 @query(
     "feature_group_control",
     f"""WITH {EVENT_SQL}, MD AS (SELECT quantile_cont(value, 0.5) AS m FROM E),

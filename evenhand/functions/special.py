@@ -1,9 +1,12 @@
-"""Tail probability of the F distribution for a handful of rows."""
+"""Tail probability of the F distribution, of numbers and of columns."""
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def _beta_fraction(a: float, b: float, x: float, eps: float = 4e-15) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz), to convergence: the
@@ -47,3 +50,50 @@ def f_tail(f: float, d1: float, d2: float) -> float:
     if math.isinf(f):
         return 0.0
     return beta_regularized(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+
+
+# --- the same of columns ------------------------------------------------------------------------
+
+def log_gamma(x: Column) -> Column:
+    """log Gamma(x) for x > 0: Stirling's series ten steps up, and the recurrence back."""
+    z = x + 10.0
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680) / (z * z)) / (z * z)) / (z * z)) / z
+    up = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series
+    back = F.log(x)
+    for i in range(1, 10):
+        back = back + F.log(x + float(i))
+    return up - back
+
+
+def _fraction_column(a: Column, b: Column, x: Column, eps: float = 4e-15) -> Column:
+    """:func:`_beta_fraction` as a fold; null if it does not converge."""
+    tiny = 1e-300
+    large = lambda v: F.when(F.abs(v) > tiny, v).otherwise(tiny)
+    state = lambda c, d, h, done: F.struct(c.alias("c"), d.alias("d"), h.alias("h"), done.alias("done"))
+    d0 = 1.0 / large(1.0 - (a + b) * x / (a + 1.0))
+
+    def half(s: Column, term: Column) -> Column:
+        d, c = 1.0 / large(1.0 + term * s["d"]), large(1.0 + term / s["c"])
+        return state(c, d, s["h"] * c * d, F.abs(c * d - 1.0) < eps)
+
+    def step(s: Column, m: Column) -> Column:
+        k = m.cast("double")
+        even = k * (b - k) * x / ((a + 2 * k - 1.0) * (a + 2 * k))
+        odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1.0))
+        first = half(s, even)
+        return F.when(s["done"], s).otherwise(F.aggregate(F.array(odd), first, half))  # the array binds the first half once
+
+    rounds = F.sequence(F.lit(1), (1000 + 20 * F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(rounds, state(F.lit(1.0), d0, d0, F.lit(False)), step, lambda s: F.when(s["done"], s["h"]))
+
+
+def f_tail_column(f: Column, d1: Column, d2: Column) -> Column:
+    """P(F > f) with d1 and d2 degrees of freedom, as an expression; null for null arguments or no degrees of freedom."""
+    f, a, b = f.cast("double"), d2.cast("double") / 2.0, d1.cast("double") / 2.0
+    x = 2.0 * a / (2.0 * a + 2.0 * b * f)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+    low = x < (a + 1.0) / (a + b + 2.0)
+    p, q, y = F.when(low, a).otherwise(b), F.when(low, b).otherwise(a), F.when(low, x).otherwise(1.0 - x)
+    part = front * _fraction_column(p, q, y) / p
+    usable = f.isNotNull() & (a > 0) & (b > 0)
+    return F.when(~usable, None).when(f <= 0.0, 1.0).when(f == float("inf"), 0.0).when(front == 0.0, F.when(low, 0.0).otherwise(1.0)).when(low, part).otherwise(1.0 - part)

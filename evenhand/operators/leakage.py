@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from evenhand import vocab as V
 from evenhand.functions.expr import ratio
-from evenhand.functions.special import f_tail
+from evenhand.functions.special import f_tail_column
 from evenhand.operators.frames import numeric_columns
 from evenhand.session import durable
 
@@ -285,15 +285,9 @@ def contamination_report(
 ) -> DataFrame:
     """Both contamination tests with the p-value of the ANOVA, one row per feature."""
     features = list(features or [c for c in numeric_columns(df) if c != group])
-    f = group_separation(df, features, group)
-    spark = df.sparkSession
-    tails = [
-        (r["feature_name"], r["f_statistic"], float(f_tail(r["f_statistic"], r["df_between"], r["df_within"])))
-        for r in f.collect()  # one row per feature
-        if r["f_statistic"] is not None and r["df_within"] > 0
-    ]
-    p = spark.createDataFrame(tails, "feature_name string, f_statistic double, p_value double")
-    out = group_correlations(df, features, group, threshold).join(F.broadcast(p), "feature_name", "left")
+    tail = f_tail_column(F.col("f_statistic"), F.col("df_between"), F.col("df_within"))
+    p = group_separation(df, features, group).select("feature_name", "f_statistic", tail.alias("p_value")).filter("p_value IS NOT NULL")
+    out = group_correlations(df, features, group, threshold).join(p, "feature_name", "left")
     separated = F.coalesce(F.col("p_value") < 0.001, F.lit(False))
     return out.withColumn("separated", separated).withColumn(
         "heavily_contaminated", F.col("contaminated") | separated

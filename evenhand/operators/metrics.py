@@ -145,12 +145,15 @@ def disparity_wide(
     by: tuple[str, ...] = (),
     weighted: bool = False,
     keep: dict[str, Column] | None = None,
+    rates: bool = False,
 ) -> DataFrame:
     """All five disparities of each ``by`` key from one aggregation over group rows.
 
     Columns come in pairs ``dp_value, dp_status`` .. ``di_value, di_status`` plus
-    ``groups``, ``min_n`` and ``selection_rates`` (a map). ``keep`` adds further aggregates of
-    the same pass.
+    ``groups``, ``min_n`` and the groups with the lowest and the highest selection rate. Every part
+    is mergeable and of fixed size, however many groups there are. ``keep`` adds further aggregates of
+    the same pass; ``rates`` a map of all groups' selection rates, for reports on few groups
+    (:func:`selection_rate_rows` has them as rows).
     """
     keep = keep or {}
     g = with_rates(cells)
@@ -173,6 +176,10 @@ def disparity_wide(
     def spread(c: str) -> Column:
         return F.max(c) - F.min(c)
 
+    def by_rate(rate: Column) -> Column:
+        """Order by rate, then label; groups without a rate take no part."""
+        return F.when(rate.isNotNull(), F.struct(rate, F.col("grp")))
+
     agg = g.groupBy(*by).agg(
         F.count(F.lit(1)).alias("groups"),
         F.min("n").alias("min_n"),
@@ -187,7 +194,9 @@ def disparity_wide(
         _first_failing(eo_fail).alias("__eo_fail"),
         _first_failing(odds_fail).alias("__odds_fail"),
         _first_failing(pp_fail).alias("__pp_fail"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("grp", "selection_rate")))).alias("__rates"),
+        F.min_by("grp", by_rate(F.col("selection_rate"))).alias("lowest_group"),
+        F.min_by("grp", by_rate(-F.col("selection_rate"))).alias("highest_group"),
+        *([F.map_from_entries(F.sort_array(F.collect_list(F.struct("grp", "selection_rate")))).alias("__rates")] if rates else []),
         *[c.alias(name) for name, c in keep.items()],
     )
     few = F.col("groups") < 2
@@ -210,6 +219,8 @@ def disparity_wide(
         di_status.alias("di_status"),
     )
 
+    no_rates = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+
     def when_valid(status: str, value: Column) -> Column:
         return F.when(F.col(status) == V.VALID, value)
 
@@ -231,21 +242,29 @@ def disparity_wide(
         "pp_status",
         when_valid("di_status", ratio("min_rate", "max_rate")).alias("di_value"),
         "di_status",
-        F.when(
-            F.col("di_status").isin(V.MISSING_SENSITIVE, V.INSUFFICIENT_GROUP),
-            F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")),
-        )
-        .otherwise(F.col("__rates"))
-        .alias("selection_rates"),
+        "lowest_group",
+        "highest_group",
+        *([F.when(F.col("di_status").isin(*NO_RATES), no_rates).otherwise(F.col("__rates")).alias("selection_rates")] if rates else []),
         *keep,
     )
 
 
+#: With these statuses of the ratio no selection rates are shown.
+NO_RATES = (V.MISSING_SENSITIVE, V.INSUFFICIENT_GROUP)
+
+
+def selection_rate_rows(cells: DataFrame, gates: Gates = Gates(), by: tuple[str, ...] = ()) -> DataFrame:
+    """``by..., grp, selection_rate, status`` of every group behind the disparate impact ratio, one row each."""
+    rows = with_rates(cells).select(*by, "grp", "selection_rate")
+    wide = disparity_wide(cells, gates, by).select(*by, F.col("di_status").alias("status")).filter(~F.col("status").isin(*NO_RATES))
+    return rows.join(wide, list(by)) if by else rows.crossJoin(wide)  # one row when there is one predictor
+
+
 DISPARITIES = [(V.DP, "dp"), (V.EO, "eo"), (V.EODDS, "eodds"), (V.PP, "pp"), (V.DIR, "di")]
 
 
 def disparity_rows(wide: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Long form ``metric, value, status, message, selection_rates``."""
+    """Long form ``metric, value, status, message, lowest_group, highest_group``; the groups stand with the ratio."""
 
     def note(short: str) -> Column:
         return (
@@ -259,7 +278,9 @@ def disparity_rows(wide: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
             .otherwise(F.lit("a group has no cases in the denominator"))
         )
 
-    empty = F.lit(None).cast("map<string,double>")
+    def named(short: str, c: str) -> Column:
+        return (F.when(~F.col("di_status").isin(*NO_RATES), F.col(c)) if short == "di" else F.lit(None).cast("string")).alias(c)
+
     return wide.select(
         *by,
         unpivot_structs(
@@ -269,7 +290,8 @@ def disparity_rows(wide: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
                     F.col(f"{short}_value").alias("value"),
                     F.col(f"{short}_status").alias("status"),
                     note(short).alias("message"),
-                    (F.col("selection_rates") if short == "di" else empty).alias("selection_rates"),
+                    named(short, "lowest_group"),
+                    named(short, "highest_group"),
                 )
                 for name, short in DISPARITIES
             ]

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from evenhand import vocab as V
 from evenhand.functions.expr import digest
 from evenhand.operators.order import (
-    attach, default_buckets, hash_prefix, prefix_sums, range_bounds, range_profile, rank_cuts, with_range_bucket,
+    attach, default_buckets, hash_prefix, prefix_sums, range_bounds, range_profile, rank_cuts, with_positions, with_range_bucket,
 )
+from evenhand.session import stored
 
 
 def _rank_table(df: DataFrame, value: str, out: str) -> tuple[DataFrame, DataFrame]:
     """Percent rank per distinct value, and how often each value occurs."""
-    distinct = (
+    # read for the total, the bounds, the running sums and the hot keys: folded once, then written
+    distinct = stored(
         df.filter(F.col(value).cast("double").isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
     )
     total = distinct.agg(F.sum("__n").alias("n")).scalar()
@@ -33,7 +35,7 @@ def percent_ranks(df: DataFrame, value: str, out: str = "pct_rank") -> DataFrame
     rows is one row in that table and its lookup is salted.
     """
     ranked, counts = _rank_table(df, value, out)
-    return attach(df, ranked, [value], counts=counts)
+    return attach(df, ranked, [value], counts=counts, many=True)
 
 
 def rank_signal(df: DataFrame, weights: dict[str, float], out: str = "signal") -> DataFrame:
@@ -42,7 +44,7 @@ def rank_signal(df: DataFrame, weights: dict[str, float], out: str = "signal") -
     ranked, total = df, None
     for i, (c, w) in enumerate(weights.items()):
         table, counts = _rank_table(df, c, f"__r{i}")
-        ranked = attach(ranked, table, [c], counts=counts)
+        ranked = attach(ranked, table, [c], counts=counts, many=True)
         term = F.col(f"__r{i}") * F.lit(float(w))
         total = term if total is None else total + term
     return ranked.withColumn(out, total).drop(*[f"__r{i}" for i in range(len(weights))])
@@ -178,10 +180,12 @@ def redacted_subgroups(
     """Groups fit for an external report: small ones dropped, the rest by size, at most
     ``max_groups``, labels replaced on request."""
     kept = subgroups.filter(F.col("n") >= min_population)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "grp"))
-    numbered = kept.withColumn("disclosure_rank", place)
-    if max_groups is not None:
-        numbered = numbered.filter(F.col("disclosure_rank") <= max_groups)
+    order = [F.desc("n"), F.asc("grp")]
+    if max_groups is not None:  # the largest come from a heap per task; only so many rows are numbered
+        few = kept.orderBy(*order).limit(max_groups)
+        numbered = few.withColumn("disclosure_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    else:
+        numbered = with_positions(kept, order, "disclosure_rank")
     if mask_labels:
         numbered = numbered.withColumn("grp", F.format_string("REDACTED_GROUP_%03d", "disclosure_rank"))
     return numbered

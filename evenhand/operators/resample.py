@@ -10,7 +10,7 @@ from cells:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -493,14 +493,26 @@ def random_group_replicates_cells(df: DataFrame, replicates: int, seed: int = 42
     return _complete(base.mapInPandas(draw, REPLICATE_SCHEMA)).filter("n > 0")
 
 
-def control_gap(replicates: DataFrame, metric: str = "dp") -> DataFrame:
-    """Ungated gap per replicate; ``metric`` names a disparity of the wide row."""
-    return disparity_wide(replicates, Gates(1), by=("b",)).select("b", F.col(f"{metric}_value").alias("gap"))
+#: The gap that a control looks at: the short name of a disparity, or a function that takes cells and the columns that
+#: tell tables apart (none, or the replicate) and gives those columns and ``gap``.
+Metric = str | Callable[[DataFrame, tuple[str, ...]], DataFrame]
 
 
-def control_result(name: str, cells: DataFrame, gaps: DataFrame, metric: str, coupled: Column | None = None) -> DataFrame:
+def gap_of(cells: DataFrame, metric: Metric, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by..., gap``: an ungated disparity of the wide row, or the caller's own metric."""
+    if callable(metric):
+        return metric(cells, by).select(*by, F.col("gap").cast("double").alias("gap"))
+    return disparity_wide(cells, Gates(1), by=by).select(*by, F.col(f"{metric}_value").alias("gap"))
+
+
+def control_gap(replicates: DataFrame, metric: Metric = "dp") -> DataFrame:
+    """Gap per replicate."""
+    return gap_of(replicates, metric, ("b",))
+
+
+def control_result(name: str, cells: DataFrame, gaps: DataFrame, metric: Metric, coupled: Column | None = None) -> DataFrame:
     """Observed gap against the control distribution, one row."""
-    observed = disparity_wide(cells, Gates(1)).select(F.col(f"{metric}_value").alias("g")).scalar()
+    observed = gap_of(cells, metric).scalar()
     agg = gaps.filter(F.col("gap").isNotNull()).agg(
         F.avg("gap").alias("control_mean"),
         F.stddev_pop("gap").alias("control_std"),
@@ -517,7 +529,7 @@ def control_result(name: str, cells: DataFrame, gaps: DataFrame, metric: str, co
 
 
 def permutation_control(
-    df: DataFrame, replicates: int = 100, metric: str = "dp", seed: int = 42, method: str = "cells", row_id: str = "row_id"
+    df: DataFrame, replicates: int = 100, metric: Metric = "dp", seed: int = 42, method: str = "cells", row_id: str = "row_id"
 ) -> DataFrame:
     drawn = (
         permuted_replicates_cells(df, replicates, seed)
@@ -528,7 +540,7 @@ def permutation_control(
 
 
 def random_group_control(
-    df: DataFrame, replicates: int = 100, metric: str = "dp", seed: int = 42, method: str = "cells", row_id: str = "row_id"
+    df: DataFrame, replicates: int = 100, metric: Metric = "dp", seed: int = 42, method: str = "cells", row_id: str = "row_id"
 ) -> DataFrame:
     drawn = (
         random_group_replicates_cells(df, replicates, seed)
@@ -540,16 +552,16 @@ def random_group_control(
     )
 
 
-def feature_group_control(df: DataFrame, feature: str, metric: str = "dp") -> DataFrame:
+def feature_group_control(df: DataFrame, feature: str, metric: Metric = "dp") -> DataFrame:
     """Gap between the halves of a feature, split at its exact median."""
     (median,) = exact_quantiles(df, feature, [0.5])
     halves = df.withColumn("grp", F.when(F.col(feature) > median, "High_Feature").otherwise("Low_Feature"))
-    gap = disparity_wide(confusion_cells(halves), Gates(1)).select(F.col(f"{metric}_value").alias("g"))
-    observed = disparity_wide(confusion_cells(df), Gates(1)).select(F.col(f"{metric}_value").alias("g")).scalar()
+    gap = gap_of(confusion_cells(halves), metric)
+    observed = gap_of(confusion_cells(df), metric).scalar()
     return gap.select(
         F.lit("FEATURE_DERIVED_GROUP_CONTROL").alias("control_name"),
         observed.alias("observed_gap"),
-        F.col("g").alias("control_mean"),
+        F.col("gap").alias("control_mean"),
         F.lit(0.0).alias("control_std"),
         F.lit(None).cast("double").alias("p_value"),
         F.lit(True).alias("explained"),

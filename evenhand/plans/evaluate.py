@@ -208,7 +208,7 @@ def evaluate(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
     }
     if cfg.missing_policy != "EXCLUDE":
         keep |= {"missing_count": F.sum("__missing"), "rows_in": F.sum("n")}
-    out = M.disparity_wide(groups, cfg.gates, tuple(by), weighted=weight is not None, keep=keep)
+    out = M.disparity_wide(groups, cfg.gates, tuple(by), weighted=weight is not None, keep=keep, rates=True)
     if cfg.missing_policy == "EXCLUDE":
         out = out.join(dropped, by, "left")
     if cfg.with_auc and "y_prob" in frame.columns:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,29 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asks the file system that Spark itself uses for the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: it is not computed again, a lost executor costs a
+    re-read only, and plans see the size of its files."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/evenhand/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Size of the files of a table from :func:`stored`."""
+    spark, size = table.sparkSession, 0
+    for name in table.inputFiles():
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        size += at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    return size
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a checkpoint that survives executor loss."""
     spark = df.sparkSession

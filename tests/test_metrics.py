@@ -51,10 +51,20 @@ def test_sparse_and_empty_classes(frame):
     assert no_pos.eo_status == "ZERO_POSITIVE_SUBGROUP" and no_pos.eodds_status == "ZERO_POSITIVE_SUBGROUP"
     no_neg = wide(frame(bits("110111"), bits("110011"), list("AAABBB")))
     assert no_neg.eodds_status == "ZERO_NEGATIVE_SUBGROUP" and no_neg.eo_status == "VALID"
-    single = wide(frame(bits("10"), bits("10"), list("AA")))
+    single = wide(frame(bits("10"), bits("10"), list("AA")), rates=True)
     assert single.dp_status == "MISSING_SENSITIVE" and single.selection_rates == {}
 
 
+def test_disparities_of_many_groups_need_no_list_of_them(spark):
+    """A million groups in one row of fixed size; who is lowest and highest is still known."""
+    df = spark.range(4_000_000).selectExpr(
+        "CAST(id % 1000000 AS STRING) AS grp", "CAST(id >= 2000000 AS INT) AS y_true", "CAST(id % 1000000 = 77 OR (id >= 2000000 AND id % 1000000 != 5) AS INT) AS y_pred")
+    wide_ = M.disparity_wide(confusion_cells(df), M.Gates(1))
+    assert "collect_list" not in wide_._jdf.queryExecution().optimizedPlan().toString()
+    r = wide_.first()
+    assert (r.groups, r.lowest_group, r.highest_group, r.dp_value) == (1_000_000, "5", "77", 1.0)
+
+
 def test_first_failing_group_decides(frame):
     # B lacks negatives, C lacks positives: B comes first
     r = wide(frame(bits("10110100"), bits("10101010"), list("AABBBACC")), M.Gates(2))

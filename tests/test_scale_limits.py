@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from evenhand.functions import draws
 from evenhand.functions.expr import draw60, uniform_index
-from evenhand.functions.special import f_tail
+from evenhand.functions.special import f_tail, f_tail_column
 from evenhand.operators import leakage as G
 from evenhand.operators import models as L
+from evenhand.operators import order
 from evenhand.operators import quality as Q
 from evenhand.operators import resample as B
 from evenhand.sources import readers as R
@@ -123,3 +124,38 @@ def test_older_statuses_are_renamed(spark):
 
     df = spark.createDataFrame([("HEALTHY",), ("VALID",), (None,), ("COLLAPSED_CONSTANT",)], "s string")
     assert [r.s for r in df.select(canonical_status("s").alias("s")).collect()] == ["VALID", "VALID", None, "DEGENERATE"]
+
+
+def test_f_tail_of_columns_equals_that_of_numbers(spark):
+    cases = [(f, d1, d2) for f in (0.0, 0.3, 1.0, 2.5, 40.0, 900.0) for d1 in (1, 2, 7, 300) for d2 in (1, 5, 60, 14995, 10**8)]
+    df = spark.createDataFrame([(float(f), float(a), float(b)) for f, a, b in cases] + [(None, 1.0, 1.0), (1.0, 1.0, 0.0)], "f double, a double, b double")
+    for r in df.withColumn("p", f_tail_column(F.col("f"), F.col("a"), F.col("b"))).collect():
+        if r.f is None or r.b == 0:
+            assert r.p is None
+        else:
+            assert r.p == pytest.approx(f_tail(r.f, r.a, r.b), rel=1e-6, abs=1e-12), r
+
+
+@pytest.mark.parametrize("limit", [40, 100_000])
+def test_no_task_orders_more_values_than_the_limit(spark, monkeypatch, limit):
+    """One value holds a third of the rows, the others are lopsided; ranks are exact and every final histogram is small."""
+    df = spark.range(30_000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 5.0 ELSE pow(2.0, (id * 7919 % 30000) / 1500.0) END AS v", "md5(CAST(id AS STRING)) AS h"
+    ).withColumn("b", F.least(F.floor(F.col("v") / 200000), F.lit(3)).cast("int")).withColumn("p", F.substring("h", 1, 1))
+    seen = []
+    real = order._finer_bounds
+
+    def spy(scope, keys, level, top):
+        out = real(scope, keys, level, top)
+        if out is None:
+            most = scope.select(*keys, level).distinct().groupBy(*keys).count().agg(F.max("count")).first()[0]
+            seen.append((level, most))
+        return out
+
+    monkeypatch.setattr(order, "_finer_bounds", spy)
+    ranks = [1, 2, 9_000, 12_345, 15_001, 29_999, 30_000]
+    cuts = spark.createDataFrame(list(enumerate(ranks)), "cut int, rank bigint")
+    got = {r.cut: (r.v, r.h) for r in order.rank_cuts(df, cuts, ["b", "v", "p", "h"], limit=limit).collect()}
+    rows = sorted((r.v, r.h) for r in df.select("v", "h").collect())
+    assert got == {i: rows[k - 1] for i, k in enumerate(ranks)}
+    assert all(most <= limit for _, most in seen)
