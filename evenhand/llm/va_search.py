@@ -23,26 +23,39 @@ from pyspark.sql import functions as F
 
 from evenhand.llm.scratch import Scratch
 
-BITS = 6
-#: Vectors that place the marks (the outer cells reach to the extremes of all vectors), queries of a pass, block rows.
+BITS = 8
+#: Vectors that place the marks (the outer cells reach to the extremes of all vectors), queries of a pass, block rows,
+#: and rows of a block that are held against all queries at a time.
 SAMPLE = 10_000
 QUERIES = 4096
 BLOCK = 4096
-#: Components from here on leave no room for a score in 64 bits.
-LARGEST = float(1 << 28)
+TILE = 512
+#: Scores beyond 64 bits are held here; one of them among the results is an error.
+MOST = (1 << 63) - 1
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
     """``id, dim, v``: floor(scale * x) of every vector that takes part.
 
-    Null vectors and vectors with null, non-finite or too large components (2^28 and more after scaling) take no part.
+    Null vectors, vectors with null or non-finite components, and those whose whole numbers do not fit 64 bits
+    take no part.
     """
     x = F.transform(F.col(f"`{vec_col}`"), lambda e: e.cast("double") * F.lit(float(scale)))
-    good = F.coalesce(F.forall(x, lambda e: F.coalesce(F.abs(e) < LARGEST, F.lit(False)) & ~F.isnan(e)), F.lit(False))
+    good = F.coalesce(F.forall(x, lambda e: F.coalesce(F.abs(e) < 9.2e18, F.lit(False)) & ~F.isnan(e)), F.lit(False))
     kept = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), x.alias("x"), good.alias("good")).filter("good")
     return kept.select("id", F.size("x").alias("dim"), F.transform("x", lambda e: F.floor(e)).alias("v"))
 
 
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of two matrices of whole numbers, no further from 0 than ``MOST``."""
+    out = np.einsum("ij,ij->i", a, b) if a.shape[1] else np.zeros(len(a), np.int64)
+    size = lambda m: np.abs(m.astype(float)).max(axis=1, initial=0)
+    for i in np.flatnonzero(size(a) * size(b) * max(1, a.shape[1]) >= 2.0**62).tolist():
+        whole = sum(int(x) * int(y) for x, y in zip(a[i], b[i]))
+        out[i] = max(-MOST, min(MOST, whole))
+    return out
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
@@ -76,7 +89,7 @@ def marks_of(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def approximate(vectors: DataFrame, least: np.ndarray) -> DataFrame:
-    """The vector-approximation file: rows of up to ``BLOCK`` ids and their cells."""
+    """The vector-approximation file: blocks of up to ``BLOCK`` ids, row numbers and cells."""
     dim = len(least)
     starts = [np.unique(row) for row in least]
 
@@ -88,10 +101,10 @@ def approximate(vectors: DataFrame, least: np.ndarray) -> DataFrame:
                 cells = np.empty(m.shape, dtype=np.uint8)
                 for d in range(dim):
                     cells[:, d] = np.searchsorted(starts[d], m[:, d], side="right") - 1
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.record_batch([pa.array([ids.tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary())], names=["ids", "cells"])
+                ids, rows = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+                yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (ids, rows, cells)], names=["ids", "rows", "cells"])
 
-    return vectors.select("id", "v").mapInArrow(run, "ids binary, cells binary")
+    return vectors.select("id", "v", "row").mapInArrow(run, "ids binary, rows binary, cells binary")
 
 
 class Kept:
@@ -103,19 +116,24 @@ class Kept:
         self.best = np.full((len(queries), k), -np.inf)
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, ids: np.ndarray, cells: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, rows: np.ndarray, cells: np.ndarray) -> None:
+        for a in range(0, len(ids), TILE):
+            self._add(ids[a : a + TILE], rows[a : a + TILE], cells[a : a + TILE])
+
+    def _add(self, ids: np.ndarray, rows: np.ndarray, cells: np.ndarray) -> None:
         d = np.arange(cells.shape[1])
         low, high = self.least[d, cells], self.most[d, cells]
-        # beyond 2^53 a double rounds; the margin covers every order of adding
-        slack = 1e-12 * (np.abs(self.up - self.down) @ np.maximum(np.abs(low), np.abs(high)).T) if max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * np.abs(self.up - self.down).max(initial=0) * max(1, len(d)) >= 2.0**53 else 0.0
-        upper = self.up @ high.T + self.down @ low.T + slack
-        lower = self.up @ low.T + self.down @ high.T - slack
+        upper = self.up @ high.T + self.down @ low.T
+        lower = self.up @ low.T + self.down @ high.T
+        largest = max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)) * np.abs(self.up - self.down).max(initial=0) * max(1, len(d))
+        if largest >= 2.0**53:  # a double rounds; the margin covers every order of adding
+            slack = 1e-12 * (np.abs(self.up - self.down) @ np.maximum(np.abs(low), np.abs(high)).T)
+            upper, lower = upper + slack, lower - slack
         own = self.query_ids[:, None] == ids[None, :]
         lower[own], upper[own] = -np.inf, -np.inf
-        both = np.concatenate([self.best, lower], axis=1)
-        self.best = -np.partition(-both, self.k - 1, axis=1)[:, : self.k]
-        q, j = np.nonzero(upper >= np.maximum(self.limit, -1e300)[:, None])
-        self.rows.append((q, ids[j], upper[q, j]))
+        self.best = -np.partition(-np.concatenate([self.best, lower], axis=1), self.k - 1, axis=1)[:, : self.k]
+        q, j = np.nonzero((upper >= self.limit[:, None]) & (upper > -np.inf))
+        self.rows.append((q, rows[j], upper[q, j]))
 
     @property
     def limit(self) -> np.ndarray:
@@ -124,9 +142,9 @@ class Kept:
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        q, ids, upper = (np.concatenate(x) for x in zip(*self.rows))
+        q, rows, upper = (np.concatenate(x) for x in zip(*self.rows))
         ok = upper >= self.limit[q]
-        return q[ok], ids[ok], upper[ok]
+        return q[ok], rows[ok], upper[ok]
 
 
 def _pass(vectors: DataFrame, file: DataFrame, some: pa.Table, dim: int, marks: tuple[np.ndarray, np.ndarray], k: int, scratch: Scratch) -> DataFrame:
@@ -139,43 +157,44 @@ def _pass(vectors: DataFrame, file: DataFrame, some: pa.Table, dim: int, marks:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Kept(queries.astype(float), query_ids, least, most, k)
         for b in batches:
-            for ids, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, rows, cells in zip(*(b.column(i).to_pylist() for i in range(3))):
                 ids = np.frombuffer(ids, dtype=np.int64)
-                kept.add(ids, np.frombuffer(cells, dtype=np.uint8).reshape(len(ids), dim))
-        q, ids, upper = kept.result()
-        known = np.flatnonzero(kept.limit > -np.inf)  # a row without id carries the limit
+                kept.add(ids, np.frombuffer(rows, dtype=np.int64), np.frombuffer(cells, dtype=np.uint8).reshape(len(ids), dim))
+        q, rows, upper = kept.result()
+        known = np.flatnonzero(kept.limit > -np.inf)  # a row without number carries the limit
         yield pa.record_batch(
-            [pa.array(np.concatenate([q, known]).astype(np.int32)), pa.array(np.concatenate([ids, known]), mask=np.arange(len(q) + len(known)) >= len(q)), pa.array(np.concatenate([upper, kept.limit[known]]))],
-            names=["q", "id", "bound"],
+            [pa.array(np.concatenate([q, known]).astype(np.int32)), pa.array(np.concatenate([rows, known]), mask=np.arange(len(q) + len(known)) >= len(q)), pa.array(np.concatenate([upper, kept.limit[known]]))],
+            names=["q", "row", "bound"],
         )
 
-    found = durable(file.mapInArrow(scan, "q int, id bigint, bound double"))
+    found = durable(file.mapInArrow(scan, "q int, row bigint, bound double"))
     limit = F.coalesce("limit", F.lit(float("-inf")))
-    limits = found.filter("id IS NULL").groupBy("q").agg(F.max("bound").alias("limit"))
-    open_ = found.filter("id IS NOT NULL").join(limits, "q", "left").filter(F.col("bound") >= limit).select("q", "id", "bound")
-    order = W.partitionBy("q").orderBy(F.desc("bound"), "id")
+    limits = found.filter("row IS NULL").groupBy("q").agg(F.max("bound").alias("limit"))
+    open_ = found.filter("row IS NOT NULL").join(limits, "q", "left").filter(F.col("bound") >= limit).select("q", "row", "bound")
+    order = W.partitionBy("q").orderBy(F.desc("bound"), "row")
     open_ = durable(open_.withColumn("at", F.row_number().over(order)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = b.column(0).to_numpy(zero_copy_only=False)
-            s = np.einsum("ij,ij->i", queries[q], matrix(b.column(2), dim)) if dim else np.zeros(len(q), np.int64)
+            s = inner_products(queries[q], matrix(b.column(2), dim))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(s)], names=["q", "id", "score"])
 
     def read(candidates: DataFrame) -> DataFrame:
-        return candidates.join(vectors.select("id", "v"), "id").select("q", "id", "v").mapInArrow(score, "q int, id bigint, score bigint")
+        return candidates.select("q", "row").join(vectors.select("row", "id", "v"), "row").select("q", "id", "v").mapInArrow(score, "q int, id bigint, score bigint")
 
     first = durable(read(open_.filter(F.col("at") <= k)))
     certain = first.groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
     second = open_.filter(F.col("at") > k).join(certain, "q", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
-    every = first.unionByName(read(second.select("q", "id")))
+    every = first.unionByName(read(second))
     ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([pa.array(query_ids[b.column(0).to_numpy(zero_copy_only=False)]), *b.columns[1:]], names=["query_id", "rank", "vec_id", "score"])
 
-    return ranked.select("q", "rank", "id", "score").mapInArrow(name, "query_id bigint, rank int, vec_id bigint, score bigint")
+    score_ = F.when(F.abs("score") < MOST, F.col("score")).otherwise(F.raise_error(F.lit("a score among the results does not fit 64 bits")).cast("bigint"))
+    return ranked.select("q", "rank", "id", score_.alias("score")).mapInArrow(name, "query_id bigint, rank int, vec_id bigint, score bigint")
 
 
 def top_k(
@@ -184,13 +203,15 @@ def top_k(
     """``query_id, rank, vec_id, score`` of the ``k`` best rows for every query row, exactly.
 
     ``is_query`` is a condition on ``id``. Candidates of a query are all rows with another id and as many components.
-    Equal scores go by the smaller id. Equal query rows are one query; repeated candidate rows each count. Rows without
-    an id take no part. With fewer than ``k`` candidates all are given; an empty table gives no rows.
+    Equal scores go by the smaller id. Equal query rows are one query; repeated candidate rows each count once. Rows
+    without an id take no part. With fewer than ``k`` candidates all are given; an empty table gives no rows. Scores are
+    exact however large the components are; one that does not fit 64 bits and belongs to the results is an error.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
-    vectors = whole_vectors(df, id_col, vec_col, scale)
-    asked = vectors.filter(is_query).distinct()
+    numbered = whole_vectors(df, id_col, vec_col, scale).withColumn("row", F.monotonically_increasing_id())
+    vectors = scratch.table(numbered)  # numbers hold once they are written
+    asked = scratch.table(vectors.filter(is_query).select("id", "dim", "v").distinct())
     out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     for r in sorted(asked.groupBy("dim").count().collect()):
         dim, n = r["dim"], r["count"]
@@ -202,5 +223,7 @@ def top_k(
             chunk = asked.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(chunks)) == c))
             some = chunk.select("id", "v").orderBy("id").toArrow()
             if some.num_rows:
-                out = out.union(_pass(same, file, some, dim, marks, k, scratch))
-    return out
+                out = out.union(scratch.table(_pass(same, file, some, dim, marks, k, scratch)))
+    found = scratch.table(out)
+    scratch.drop([found])
+    return found

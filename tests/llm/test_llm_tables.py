@@ -60,19 +60,33 @@ def test_top_k_matches_all_pairs(spark, monkeypatch):
     rows = [(i, (np.round(rng.normal(size=6) * 8) / 8).tolist(), 0) for i in range(150)]  # many ties
     rows += [(200, None, 0), (220, [1.0, None, 0, 0, 0, 0], 0), (240, [float("nan")] * 6, 0), (260, [float("inf")] + [0.0] * 5, 1)]
     rows += [(280, [1.0, 2.0], 0), (281, [3.0, -1.0], 0), (300, [1e30] * 6, 0), (320, [4096.0] * 6, 0), (340, [], 0), (None, [1.0] * 6, 0)]
-    df = vectors(spark, rows).repartition(5)
+    df = vectors(spark, rows).withColumn("rank", F.lit("x")).withColumn("score", F.lit(1)).repartition(5)  # clashing names
     got = {}
     for r in top_k(df, F.col("id") % 20 == 0, k=5).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     good = {i: np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(int) for i, v, _ in rows
-            if i is not None and v is not None and None not in v and np.isfinite(v).all() and all(abs(x) < 1e6 for x in v)}
+            if i is not None and v is not None and None not in v and np.isfinite(v).all() and all(abs(x) < 1e17 for x in v)}
     for q in good:
         if q % 20 == 0:
-            want = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
+            exact = lambda v: sum(int(a) * int(b) for a, b in zip(good[q], v))
+            want = sorted((-exact(v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
             assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert set(got) <= set(good) and top_k(df.limit(0), F.col("id") % 20 == 0).collect() == []
 
 
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    rows = [(0, [1.0, 0.5], 0), (1, [5e6, 1.0], 0), (2, [2.0, 2.0], 0), (2, [2.0, 2.0], 0), (3, [1e15, -1e15], 0), (4, [-1e15, 1.0], 0), (5, [3.0, 0.0], 0)]
+    got = [(r["rank"], r["vec_id"]) for r in top_k(vectors(spark, rows), F.col("id") == 0, k=5).orderBy("rank").collect()]
+    assert got == [(1, 3), (2, 1), (3, 5), (4, 2), (5, 2)] or got == [(1, 3), (2, 1), (3, 2), (4, 2), (5, 5)]
+    scores = {r["vec_id"]: r["score"] for r in top_k(vectors(spark, rows), F.col("id") == 0, k=9).collect()}
+    whole = lambda v: [int(np.floor(64 * float(np.float32(x)))) for x in v]
+    assert scores == {i: sum(a * b for a, b in zip(whole(v), whole(rows[0][1]))) for i, v, _ in rows[1:]}
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        top_k(vectors(spark, rows), F.col("id") == 3, k=1).collect()
+    a, b = np.array([[1 << 40, 3], [2, -5]]), np.array([[1 << 20, -7], [1, 1]])
+    assert va_search.inner_products(a, b).tolist() == [(1 << 60) - 21, -3]
+
+
 # --- embedding near-dedup -------------------------------------------------------------------------
 
 def test_links_of_planted_copies(spark, monkeypatch):
