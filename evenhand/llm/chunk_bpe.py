@@ -32,7 +32,7 @@ from evenhand.llm.words import BASES, U64, give_back, mix, powers, powers_at
 ROLL = 32
 MEAN_BITS = 11
 #: Words whose ids a worker remembers (a block's words come on top), and words encoded at a time.
-MEMO, BATCH = 150_000, 400
+MEMO, BATCH = 80_000, 400
 #: Text of a block; its chunks, hashes and ids are in memory together.
 BLOCK_BYTES = 2_000_000
 

@@ -201,14 +201,15 @@ def near_vectors(
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths
     do not link. Rows of equal direction are linked with each other and with the same others. Rows without an id take
-    no part and are given back with null; ids are taken to be distinct. An empty table gives no rows.
+    no part and are given back with null. Equal rows of one id are one vector, given back as often as they stand; an id
+    with several vectors has the links of each. An empty table gives no rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
     durable = scratch.table
     rows = durable(units(df, id_col, vec_col))
     good = rows.filter("unit IS NOT NULL AND id IS NOT NULL")
-    classes = durable(good.groupBy("dim", "unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")))
+    classes = durable(good.groupBy("dim", "unit").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("many")))
     linked = spark.createDataFrame([], "rep bigint, links bigint, root bigint")
     for r in sorted(classes.groupBy("dim").count().collect()):
         linked = linked.union(_search(classes.filter(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold, scratch))

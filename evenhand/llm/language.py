@@ -116,7 +116,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs) if x == lang]
-                for part in _parts(own, 2_000_000):
+                for part in _parts(own, 1_000_000):
                     g = Grams([own[i] for i in part])
                     for _, numbers in g.numbers():
                         if g.space <= 1 << 21:
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "te
     return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(keep)], F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def _parts(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[int]]:
+def _parts(texts: list[str | None], chars: int = 400_000) -> Iterator[list[int]]:
     """Runs of texts of about so many characters together (a longer text is a run of its own)."""
     run, size = [], 0
     for i, t in enumerate(texts):

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evenhand.llm.scratch import Scratch
+
 # --- fixed values -------------------------------------------------------------------------------
 #: Header fields that a not-modified answer may renew in the stored response (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -80,11 +82,27 @@ def weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^[Ww]/", "")
 
 
+def _one_each(records: DataFrame) -> DataFrame:
+    """The records without those that repeat an id. Repeats are found on narrow rows and only they are folded."""
+    names = ["record_id", "url", "ts", "kind", "status", "headers", "payload"]
+    rows = records.select(*names)
+    keys = ["record_id", "kind"]
+    again = rows.filter("record_id IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*keys)
+    again = Scratch(records.sparkSession).table(again)  # written, so that joins know how few there are and leave payloads in place
+    single = rows.join(again, keys, "left_anti")
+    place = F.struct("ts", F.xxhash64("url", "payload"))
+    kept = F.min_by(F.struct(*[c for c in names if c not in keys]), place).alias("r")
+    folded = rows.join(again, keys, "left_semi").groupBy(*keys).agg(kept).select(*keys, "r.*")
+    return single.unionByName(folded.select(*names))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """One row per revisit: ``revisit_id, url, ts, outcome, response_id, headers, payload``.
 
     ``records`` has ``record_id, url, ts, kind`` ('response' or 'revisit'), ``status, headers`` (a map) and ``payload``;
-    other columns are ignored; ``record_id`` is distinct. A full response has status 200. Earlier means a smaller
+    other columns are ignored. Rows that repeat a ``record_id`` and kind are one record: the earliest of them, of
+    equal times the one whose URL and payload hash least; rows without an id stay as they are. A full response has
+    status 200. Earlier means a smaller
     time, or the same time and a smaller id. Outcomes:
 
     * ``resolved``: the revisit's entity tag equals the response's (weak comparison); without a tag, its Last-Modified
@@ -94,6 +112,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
     Only ``resolved`` rows have headers and payload. Null headers count as none. An empty table gives no rows.
     """
+    records = _one_each(records)
     pairs = earlier_responses(records)
     asks = records.filter(F.col("kind") == "revisit").select(
         F.col("record_id").alias("revisit_id"), "url", "ts", lower_names(F.col("headers")).alias("fresh"))

@@ -35,6 +35,8 @@ from evenhand.llm.words import BASES, U64, mix, span_hash
 FLUSH, FLUSH_BYTES = 300_000, 32_000_000
 BUCKET_PAIRS = 400_000
 POINTS = 200_000
+#: Bytes of text scanned at a time.
+RUN_BYTES = 1_000_000
 #: Longer runs have their checksum taken one by one.
 SHORT = 64
 
@@ -105,7 +107,7 @@ def word_counts(
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in _parts(texts):
+            for part in _parts(texts, RUN_BYTES):
                 body, start, end, doc = runs_of_letters([texts[i] or b"" for i in part], min_length)
                 words = [body[a:b] for a, b in zip(start.tolist(), end.tolist())]
                 if slip_every:

@@ -129,6 +129,22 @@ def test_canonical_urls(spark):
 RECORDS = "record_id bigint, url string, ts bigint, kind string, status int, headers map<string,string>, payload string, found string"
 
 
+def test_repeated_records_are_one(spark):
+    schema = "record_id bigint, url string, ts bigint, kind string, status int, headers map<string,string>, payload string"
+    page, other = (1, "http://a.b/x", 10, "response", 200, {"etag": "e"}, "body"), (1, "http://a.b/x", 12, "response", 200, {"etag": "e"}, "later")
+    again, lost = (2, "http://a.b/x", 20, "revisit", 304, {"etag": "e"}, None), (None, "http://a.b/x", 21, "revisit", 304, {"etag": "e"}, None)
+    rows = [page, page, other, again, again, again, lost, lost, (1, "http://a.b/x", 30, "revisit", 304, {"etag": "e"}, None)]
+    got = sorted((r["revisit_id"] or 0, r["outcome"], r["payload"] or "") for r in resolve(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, "no_response", ""), (0, "no_response", ""), (1, "resolved", "body"), (2, "resolved", "body")]
+
+
+def test_vectors_given_twice_are_one(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0), (3, [0.0, 1.0], 0)]
+    df = vectors(spark, rows).withColumn("rep", F.lit(1)).withColumn("unit", F.lit("x"))
+    got = sorted((r["id"], r["n_links"], r["component"]) for r in near_vectors(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3)]
+
+
 def test_revisits_resolve_to_the_latest_earlier_response(spark):
     page = lambda i, ts, tag, body, status=200, url="http://a.b/x": (i, url, ts, "response", status, {"ETag": tag, "Content-Type": "html", "Date": "d", "Last-Modified": "m"}, body, "")
     again = lambda i, ts, h, url="https://www.a.b/x#f": (i, url, ts, "revisit", 304, h, None, "")
