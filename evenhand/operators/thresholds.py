@@ -54,9 +54,11 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(kept)
 
 
-def hull_vertices(roc: DataFrame, slices: int = 1024) -> DataFrame:
+def hull_vertices(roc: DataFrame, slices: int | None = None) -> DataFrame:
     """The points of a ROC table that can be on the upper hull of their group, exactly: a vertex of
-    the whole hull is a vertex of the hull of its slice of FPR. A task holds one slice, not a group."""
+    the whole hull is a vertex of the hull of its slice of FPR. A task holds one slice, not a group;
+    there are as many slices as the session has shuffle partitions (at most 1024)."""
+    slices = slices or min(1024, int(roc.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def of_slice(pdf: pd.DataFrame) -> pd.DataFrame:
         pts = pdf[["fpr", "tpr", "threshold"]].to_numpy(dtype=float)
