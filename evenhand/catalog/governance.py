@@ -9,7 +9,7 @@ from evenhand.catalog.registry import (
     CELLS, DOC_SQL, EVENT_SQL, GAP4, LINE_SQL, TOTAL, cells_sql, disparity_sql, document_frame, event_frame,
     line_frame, query, rates_sql,
 )
-from evenhand.catalog.units_groups import GAPS_SQL, gap_frame
+from evenhand.catalog.units_groups import GAPS_SQL, MISSING, gap_frame
 from evenhand.operators import metrics as M
 from evenhand.operators.cells import confusion_cells
 from evenhand.plans import policy as P
@@ -101,6 +101,48 @@ def evaluation_missing_groups(spark, sf):
     )
 
 
+@query(
+    "evaluation_policies",
+    f"""WITH {GAPS_SQL}, T AS (SELECT count(*) FILTER (WHERE {MISSING}) AS m FROM H), X AS (
+  SELECT 'REJECT' AS policy, coalesce(grp, 'UNKNOWN') AS grp, y_true, y_pred FROM H UNION ALL
+  SELECT 'EXCLUDE', grp, y_true, y_pred FROM H WHERE NOT ({MISSING}) UNION ALL
+  SELECT 'EXPLICIT_UNKNOWN_GROUP', CASE WHEN {MISSING} THEN 'UNKNOWN' ELSE grp END, y_true, y_pred FROM H UNION ALL
+  SELECT 'IMPUTE_WITH_DOCUMENTED_RULE', coalesce(grp, 'DERIVED_PROXY_IMPUTED'), y_true, y_pred FROM H),
+C AS (SELECT policy, grp, {CELLS} FROM X GROUP BY policy, grp), {rates_sql()}, {disparity_sql(by="policy", size=5, positives=5, negatives=5)},
+Z AS (SELECT policy, CAST(sum(n) AS BIGINT) AS sample_size FROM C GROUP BY policy)
+SELECT W.policy, sample_size, groups, m AS missing_count, CASE W.policy WHEN 'REJECT' THEN 'REJECTED_EVALUATION' WHEN 'EXCLUDE' THEN 'EXCLUDED_FROM_METRICS'
+  WHEN 'EXPLICIT_UNKNOWN_GROUP' THEN 'MAPPED_TO_EXPLICIT_UNKNOWN_GROUP' ELSE 'IMPUTED_WITH_DOCUMENTED_RULE' END AS action_taken,
+  CASE WHEN W.policy = 'IMPUTE_WITH_DOCUMENTED_RULE' THEN m END AS imputed_count, dp_value, dp_status, eodds_value, eodds_status, di_value, di_status
+FROM W JOIN Z ON W.policy = Z.policy, T""",
+)
+def evaluation_policies(spark, sf):
+    """A whole audit under each of the four missing-group policies."""
+    out = None
+    for policy in ("REJECT", "EXCLUDE", "EXPLICIT_UNKNOWN_GROUP", "IMPUTE_WITH_DOCUMENTED_RULE"):
+        s = evaluate(gap_frame(spark, sf), AuditConfig(missing_policy=policy, gates=M.Gates(5, 5, 5), **NO_AUC)).select(
+            F.lit(policy).alias("policy"), "sample_size", "groups", F.col("missing_handling.missing_count").alias("missing_count"),
+            F.col("missing_handling.action_taken").alias("action_taken"), F.col("imputation.imputed_count").alias("imputed_count"),
+            "dp_value", "dp_status", "eodds_value", "eodds_status", "di_value", "di_status",
+        )
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query(
+    "evaluation_entity_weighted",
+    f"""WITH {EVENT_SQL}, X AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY entity_id) AS w FROM E),
+G AS (SELECT grp, count(*) AS n, sum(w) AS t, sum(w * y_pred) / sum(w) AS s, sum(w * y_true * y_pred) / sum(w * y_true) AS r,
+  sum(w * (1 - y_true) * y_pred) / sum(w * (1 - y_true)) AS f FROM X GROUP BY grp)
+SELECT CAST(sum(n) AS BIGINT) AS sample_size, count(*) AS groups, round(max(s) - min(s), 8) AS dp_value, 'VALID' AS dp_status,
+  round(greatest(max(r) - min(r), max(f) - min(f)), 8) AS eodds_value, 'VALID' AS eodds_status FROM G""",
+)
+def evaluation_entity_weighted(spark, sf):
+    """A whole audit in which every entity weighs the same, however many records it has."""
+    config = AuditConfig(unit_level="ENTITY_LEVEL", unit_key="entity_id", strategy="ENTITY_WEIGHTED", **NO_AUC)
+    s = evaluate(event_frame(spark, sf).withColumn("run", F.lit("all")), config)
+    return s.select("sample_size", "groups", F.round("dp_value", 8).alias("dp_value"), "dp_status", F.round("eodds_value", 8).alias("eodds_value"), "eodds_status")
+
+
 @query(
     "evaluation_entity_units",
     f"""WITH {EVENT_SQL}, X AS (SELECT entity_id, min(y_true) AS y_true, max(y_pred) AS y_pred,
@@ -324,6 +366,25 @@ def review_boundary(spark, sf):
     )
 
 
+@query(
+    "review_notes",
+    f"""{SOURCES}, {POLICY_ROWS}, {DECIDED}, {THIN}, {TAXONOMY}, Z AS (SELECT run, thin, unnest(list_filter([
+  CASE WHEN policy_status = 'FAIL' THEN 'REVIEW_MATERIAL_POLICY_VIOLATION' END,
+  CASE WHEN policy_status = 'NOT_EVALUABLE' OR evidence_status = 'INSUFFICIENT' THEN 'REVIEW_INCONCLUSIVE_EVIDENCE' END,
+  CASE WHEN thin > 0 THEN 'REVIEW_LOW_SUPPORT' END, 'REVIEW_UNIT_MISMATCH', 'REVIEW_BOARD'], lambda c: c IS NOT NULL)) AS code FROM TY),
+NT AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in P.REVIEW_NOTES.items())}) v(code, note))
+SELECT run, Z.code, CASE WHEN Z.code = 'REVIEW_LOW_SUPPORT' THEN 'groups' ELSE coalesce(note, 'Asked for by the caller: ' || Z.code) END AS note FROM Z LEFT JOIN NT USING (code)""",
+)
+def review_notes(spark, sf):
+    """Each reason with its note; of the note on thin groups only that it names as many as there are."""
+    out = P.review_codes(P.taxonomy(_standard(spark, sf)), unit_mismatch=F.lit(True), additional=["REVIEW_BOARD"])
+    pairs = out.select("run", F.size(F.filter("subgroups", lambda g: g["support_status"] == "INSUFFICIENT_GROUP_SUPPORT")).alias("thin"),
+                       F.explode(F.arrays_zip("review.reason_codes", "review.notes")).alias("p"))
+    code, note = F.col("p.reason_codes"), F.col("p.notes")
+    names = F.size(F.split(F.element_at(F.split(note, ": "), -1), ", "))
+    return pairs.select("run", code.alias("code"), F.when((code == "REVIEW_LOW_SUPPORT") & (names == F.col("thin")), "groups").otherwise(note).alias("note"))
+
+
 @query(
     "success_class",
     f"""{PRIORITIES} SELECT run, CASE WHEN overall_status <> 'VALID' THEN 'UNDEFINED'

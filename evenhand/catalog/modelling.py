@@ -20,6 +20,7 @@ from evenhand.operators.units import with_reweighing
 from evenhand.plans import benchmark as B
 from evenhand.plans import report as T
 from evenhand.plans.evaluate import AuditConfig
+from evenhand.session import stored
 
 ROC = """K AS (SELECT grp, y_prob, sum(y_true) AS p, sum(1 - y_true) AS q FROM {f} GROUP BY grp, y_prob),
 Q AS (SELECT grp, y_prob AS threshold, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY grp) AS pos_all,
@@ -141,7 +142,7 @@ def _prepared(spark, sf):
     frame = order_frame(spark, sf).drop("y_prob", "y_pred")
     split = S.stratified_split(frame, "y_true", "row_id")
     prep = L.fit_preprocessor(split.filter(F.col("split") == "train"), L.Features.of(frame, FEATURES))
-    return prep.transform(split).select("row_id", "y_true", "grp", "split", "features")
+    return stored(prep.transform(split).select("row_id", "y_true", "grp", "split", "features"))  # fits read it many times
 
 
 SPLIT_ORDERS = f"""{ORDER_SQL}, X AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5('42|' || row_id)) AS r,
@@ -263,14 +264,14 @@ def baseline_scores(spark, sf):
 
 @query("candidate_models")
 def candidate_models(spark, sf):
-    """Forest, calibrated SVM, perceptron and their soft vote, compared by utility."""
-    ready = _prepared(spark, sf).cache()
+    """Forest, calibrated SVM, perceptron and their soft vote at their full sizes, compared by utility."""
+    ready = _prepared(spark, sf)
     train, test = ready.filter(F.col("split") == "train"), ready.filter(F.col("split") == "test")
     inputs = len(ready.select("features").first()["features"])
     fitted = {
-        "random_forest": L.forest(trees=20, depth=5).fit(train),
-        "calibrated_svm": L.CalibratedSVM(max_iter=10).fit(train),
-        "perceptron": L.perceptron(inputs, hidden=(8,), max_iter=20).fit(train),
+        "random_forest": L.forest().fit(train),
+        "calibrated_svm": L.CalibratedSVM().fit(train),
+        "perceptron": L.perceptron(inputs).fit(train),
     }
     scored = [L.score(m, test).withColumn("model", F.lit(k)) for k, m in fitted.items()]
     scored.append(L.soft_vote(test, list(fitted.values())).withColumn("model", F.lit("soft_vote")))
@@ -290,14 +291,18 @@ def cross_validation(spark, sf):
 
 @query("feature_elimination")
 def feature_elimination(spark, sf):
+    """From fourteen columns down to the floor, with the operator's own fits, shares and rounds."""
     frame = S.stratified_split(order_frame(spark, sf), "y_true", "row_id")
-    frame = frame.withColumn("price2", F.col("o_totalprice") * F.col("nation")).withColumn("bal2", F.abs("c_acctbal"))
-    train, val = frame.filter(F.col("split") == "train"), frame.filter(F.col("split") == "val")
-    slim = lambda d: d.select("y_true", "grp", "o_totalprice", "c_acctbal", "nation", "price2", "bal2")
-    _, log = L.eliminate_features(
-        slim(train), slim(val), ["o_totalprice", "c_acctbal", "nation", "price2", "bal2"],
-        build=lambda: L.boosted(rounds=3, depth=3), min_features=3, max_rounds=2,
-    )
+    price, balance, nation = F.col("o_totalprice"), F.col("c_acctbal"), F.col("nation")
+    columns = {
+        "o_totalprice": price, "c_acctbal": balance, "nation": nation, "log_price": F.log(price), "root_price": F.sqrt(price), "size_balance": F.abs(balance),
+        "price_nation": price * nation, "balance_nation": balance * nation, "price_balance": price * balance, "share": balance / price,
+        "day": F.dayofyear("ts").cast("double"), "month": F.month("ts").cast("double"), "year": F.year("ts").cast("double"),
+        "urgency": F.substring("o_orderpriority", 1, 1).cast("double"),
+    }
+    slim = stored(frame.select("y_true", "grp", "split", *[c.alias(k) for k, c in columns.items()]))
+    part = lambda name: slim.filter(F.col("split") == name).drop("split")
+    _, log = L.eliminate_features(part("train"), part("val"), list(columns))
     return log
 
 

@@ -17,6 +17,7 @@ from evenhand.plans import policy as P
 from evenhand.plans import report as T
 from evenhand.plans.evaluate import AuditConfig, evaluate
 from evenhand.sources import registry as G
+from evenhand.sources import sinks as S
 
 # --- run tables -------------------------------------------------------------------------------
 
@@ -205,6 +206,29 @@ def provenance_lookup(spark, sf):
     return G.lookup(counts, registry, "source").select("source", "n", "sensitive_origin")
 
 
+@query(
+    "registry_file",
+    """SELECT source, count(*) AS n, CASE WHEN source LIKE '%1' THEN 'REAL_DATA' WHEN source LIKE '%2' THEN 'SYNTHETIC' END AS dataset_type,
+  CASE WHEN source LIKE '%1' THEN 'REAL_OBSERVED' WHEN source LIKE '%2' THEN 'DERIVED_PROXY' END AS sensitive_origin,
+  CASE WHEN source LIKE '%1' OR source LIKE '%2' THEN 'RESTRICTED' END AS redistribution_status FROM documents GROUP BY source""",
+)
+def registry_file(spark, sf):
+    """The sources of all documents against a registry file; the file has the older spellings and leaves out defaults."""
+    d = table(spark, sf, "documents")
+    known = d.select("source").distinct().filter(F.col("source").rlike("[12]$"))
+    real = F.endswith("source", F.lit("1"))
+    entry = F.concat(
+        F.lit("  "), "source", F.lit(": {dataset_name: "), "source", F.lit(", dataset_type: "), F.when(real, "REAL_EXTERNAL").otherwise("SYNTHETIC"),
+        F.lit(", sensitive_origin: "), F.when(real, "REPORTED_DEMOGRAPHIC").otherwise("DERIVED_PROXY"), F.lit("}\n"),
+    )
+    path = S.scratch_path(spark, "registry")
+    whole = known.agg(F.concat(F.lit("provenance_records:\n"), F.array_join(F.array_sort(F.collect_list(entry)), "")).alias("value"))  # a line per source
+    whole.coalesce(1).write.text(path)
+    registry = G.load_provenance(spark, path).select("dataset_name", "dataset_type", "sensitive_origin", "redistribution_status")
+    counts = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return G.lookup(counts, registry, "source").select("source", "n", "dataset_type", "sensitive_origin", "redistribution_status")
+
+
 # --- documents ------------------------------------------------------------------------------------
 
 def governed(suites):

@@ -205,6 +205,16 @@ def missing_group_summary(spark, sf):
     return R.missing_group_summary(frame, "REJECT").unionByName(R.missing_group_summary(frame, "EXCLUDE"))
 
 
+@query(
+    "imputation_record",
+    f"""WITH {GAPS_SQL}, T AS (SELECT count(*) AS m FROM H WHERE {MISSING})
+SELECT 'R-7' AS rule_id, 'quarter of the day by event type' AS rule_description, m AS original_missing_count, m AS imputed_count,
+  CAST(0 AS BIGINT) AS remaining_missing_count, 'DERIVED_PROXY' AS sensitive_origin, '{R.IMPUTATION_NOTE}' AS disclaimer FROM T""",
+)
+def imputation_record(spark, sf):
+    return R.imputation_record(gap_frame(spark, sf), rule_id="R-7", rule="quarter of the day by event type")
+
+
 @query(
     "input_guards",
     f"""WITH {DOC_SQL} SELECT count(*) AS n, CAST(0 AS BIGINT) AS y_true_not_finite, CAST(0 AS BIGINT) AS y_pred_not_finite,

@@ -158,6 +158,32 @@ def missing_group_summary(df: DataFrame, policy: str, group: str = "grp") -> Dat
     )
 
 
+#: What a record of imputed groups says of itself.
+IMPUTATION_NOTE = (
+    "Imputed groups count as DERIVED_PROXY: they are no observations of a protected attribute, carry no causal claim "
+    "and are no legal evidence."
+)
+
+
+def imputation_struct(missing: Column, rule_id: str | None = None, rule: str | None = None) -> Column:
+    """Provenance of imputed groups, given how many rows had none."""
+    return F.struct(
+        F.lit(rule_id or "RULE-PROXY-DEFAULT").alias("rule_id"),
+        F.lit(rule or "Default documented proxy imputation rule").alias("rule_description"),
+        missing.cast("bigint").alias("original_missing_count"),
+        missing.cast("bigint").alias("imputed_count"),
+        F.lit(0).cast("bigint").alias("remaining_missing_count"),
+        F.lit("DERIVED_PROXY").alias("sensitive_origin"),
+        F.lit(IMPUTATION_NOTE).alias("disclaimer"),
+    )
+
+
+def imputation_record(df: DataFrame, group: str = "grp", rule_id: str | None = None, rule: str | None = None) -> DataFrame:
+    """The record as one row; none if no row lacks a group."""
+    counted = df.agg(count_where(is_missing_group(group)).alias("m")).filter("m > 0")
+    return counted.select(imputation_struct(F.col("m"), rule_id, rule).alias("r")).select("r.*")
+
+
 def apply_missing_policy(df: DataFrame, policy: str, group: str = "grp") -> DataFrame:
     """Relabel or drop rows without a usable group.
 

@@ -30,6 +30,8 @@ class AuditConfig:
     by: Sequence[str] = ()
     gates: M.Gates = field(default_factory=M.Gates)
     missing_policy: str = "REJECT"
+    imputation_rule_id: str | None = None
+    imputation_rule: str | None = None
     weight: str | None = None
     unit_level: str = "ROW_LEVEL"
     unit_key: str | None = None
@@ -300,6 +302,10 @@ def _suite_columns(wide: DataFrame, by: list[str], cfg: AuditConfig, warnings: l
             (F.coalesce("missing_count", F.lit(0)) / F.greatest("rows_in", F.lit(1))).alias("missing_fraction"),
             F.when(some, action).otherwise("NONE").alias("action_taken"),
         ).alias("missing_handling"),
+        F.when(
+            some & F.lit(cfg.missing_policy == "IMPUTE_WITH_DOCUMENTED_RULE"),
+            R.imputation_struct(F.col("missing_count"), cfg.imputation_rule_id, cfg.imputation_rule),
+        ).alias("imputation"),
         F.array(*[F.lit(w) for w in warnings]).cast("array<string>").alias("warnings"),
         F.lit(cfg.unit_level).alias("unit_level"),
         F.lit(cfg.unit_key).cast("string").alias("unit_key"),

@@ -440,6 +440,30 @@ def taxonomy(
     )
 
 
+#: Why a person should look, by code.
+REVIEW_NOTES = {
+    "REVIEW_MATERIAL_POLICY_VIOLATION": "A policy condition failed; a person decides before deployment.",
+    "REVIEW_INCONCLUSIVE_EVIDENCE": "The evidence is thin or the policy could not be evaluated; a person decides what to gather.",
+    "REVIEW_DERIVED_SENSITIVE_ATTRIBUTE": "The groups are derived or imputed; legal and demographic review.",
+    "REVIEW_REGULATORY_MAPPING": "Thresholds come from a mapping of regulation; legal review.",
+    "REVIEW_LOW_SUPPORT": "Groups below the support gate: ",
+    "REVIEW_AMBIGUOUS_ESTIMAND": "What the figures estimate is not stated or not clear.",
+    "REVIEW_FEATURE_TIMING": "Features go by time or order; check the cut-off at prediction time.",
+    "REVIEW_UNIT_MISMATCH": "The decision unit is not the record; domain review.",
+    "REVIEW_POLICY_AMBIGUITY": "Conditions of the policy are unclear or in conflict.",
+}
+
+
+def review_notes(codes: Column, thin: Column) -> Column:
+    """A note for each code, in order; ``thin`` are the labels of groups below the gate."""
+    lookup = F.create_map(*[F.lit(x) for kv in REVIEW_NOTES.items() for x in kv])
+    named = F.concat(lookup["REVIEW_LOW_SUPPORT"], F.array_join(F.array_sort(thin), ", "))
+    return F.transform(
+        codes,
+        lambda c: F.when(c == "REVIEW_LOW_SUPPORT", named).otherwise(F.coalesce(lookup[c], F.concat(F.lit("Asked for by the caller: "), c))),
+    )
+
+
 def review_codes(
     classified: DataFrame,
     lineage: Column | None = None,
@@ -449,7 +473,7 @@ def review_codes(
     policy_ambiguity: Column | None = None,
     additional: Sequence[str] = (),
 ) -> DataFrame:
-    """Reasons for human review as a struct column ``review``; needs ``taxonomy``."""
+    """Reasons for human review, with a note each, as a struct column ``review``; needs ``taxonomy``."""
     no = F.lit(False)
     lineage = lineage if lineage is not None else F.lit("OBSERVED")
     t = F.col("taxonomy")
@@ -470,8 +494,10 @@ def review_codes(
     if additional:
         extra = [V.REVIEW_ALIASES.get(a, a) for a in additional]
         codes = F.array_union(codes, F.array(*[F.lit(e) for e in extra]))
+    thin = F.transform(F.filter("subgroups", lambda g: g["support_status"] == V.INSUFFICIENT_GROUP), lambda g: g["grp"])
     return classified.withColumn(
-        "review", F.struct((F.size(codes) > 0).alias("human_review_required"), codes.alias("reason_codes"))
+        "review",
+        F.struct((F.size(codes) > 0).alias("human_review_required"), codes.alias("reason_codes"), review_notes(codes, thin).alias("notes")),
     )
 
 

@@ -64,18 +64,21 @@ def provenance(spark: SparkSession, rows: Sequence[dict[str, Any]]) -> DataFrame
     return df.na.fill({"redistribution_status": "RESTRICTED", "verified_licensing": False, "notes": ""})
 
 
-def read_yaml_rows(path: str, section: str) -> list[dict[str, Any]]:
-    """Rows of a registry file: a list of records, or a map whose values are records."""
+def read_yaml_rows(spark: SparkSession, path: str, section: str) -> list[dict[str, Any]]:
+    """Rows of a registry file, from any store that Spark reads: a list of records, or a map whose values are records.
+
+    Registries are configuration of a few rows; the file is read on the driver.
+    """
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        data = yaml.safe_load(f) or {}
-    part = data.get(section, [])
+    text = spark.read.text(path, wholetext=True).first()
+    part = (yaml.safe_load(text["value"]) if text else None) or {}
+    part = part.get(section) or []
     return list(part.values()) if isinstance(part, dict) else list(part)
 
 
 def load_provenance(spark: SparkSession, path: str) -> DataFrame:
-    return provenance(spark, read_yaml_rows(path, "provenance_records"))
+    return provenance(spark, read_yaml_rows(spark, path, "provenance_records"))
 
 
 def lookup(df: DataFrame, registry: DataFrame, key: str, registry_key: str = "dataset_name") -> DataFrame:
