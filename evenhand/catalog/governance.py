@@ -13,7 +13,7 @@ from evenhand.catalog.units_groups import GAPS_SQL, MISSING, gap_frame
 from evenhand.operators import metrics as M
 from evenhand.operators.cells import confusion_cells
 from evenhand.plans import policy as P
-from evenhand.plans.evaluate import AuditConfig, evaluate
+from evenhand.plans.evaluate import AuditConfig, evaluate, evaluate_long
 
 GATES = M.Gates(2, 1, 1, ratio_size=2)
 NO_AUC = dict(with_auc=False)
@@ -256,21 +256,28 @@ FLOORS = P.Policy(
 )
 
 
-@query(
-    "policy_subgroup_floors",
-    f"""WITH {LINE_SQL}, C AS (SELECT priority AS run, grp, {CELLS} FROM L GROUP BY priority, grp), {rates_sql()},
+FLOORS_SQL = f"""WITH {LINE_SQL}, C AS (SELECT priority AS run, grp, {CELLS} FROM L GROUP BY priority, grp), {rates_sql()},
 G AS (SELECT *, (tpr + tnr) / 2.0 AS bal, max(tpr) OVER (PARTITION BY run) AS best FROM R)
 SELECT run, grp AS subgroup, 'SUBGROUP_BALANCED_ACCURACY_BELOW_MINIMUM' AS reason_code, bal AS observed FROM G WHERE bal < 0.5
 UNION ALL SELECT run, grp, 'SUBGROUP_RECALL_BELOW_MINIMUM', tpr FROM G WHERE tpr < 0.55
 UNION ALL SELECT run, grp, 'SUBGROUP_SPECIFICITY_BELOW_MINIMUM', tnr FROM G WHERE tnr < 0.5
 UNION ALL SELECT run, grp, 'CRITICAL_SUBGROUP_DISPARITY_VIOLATION', best - tpr FROM G WHERE grp = 'AUTOMOBILE' AND best - tpr > 0.02
-UNION ALL SELECT DISTINCT run, 'SPACE', 'CRITICAL_SUBGROUP_UNOBSERVED', NULL::DOUBLE FROM G""",
-)
+UNION ALL SELECT DISTINCT run, 'SPACE', 'CRITICAL_SUBGROUP_UNOBSERVED', NULL::DOUBLE FROM G"""
+
+
+@query("policy_subgroup_floors", FLOORS_SQL)
 def policy_subgroup_floors(spark, sf):
     rows = P.trace_rows(P.decide(priority_suites(spark, sf), [FLOORS]))
     return rows.filter(F.col("subgroup").isNotNull()).select("run", "subgroup", "reason_code", "observed")
 
 
+@query("policy_floors_long", FLOORS_SQL)
+def policy_floors_long(spark, sf):
+    """The same evidence from groups as rows, for runs of any number of groups."""
+    suites, groups = evaluate_long(line_frame(spark, sf).withColumn("run", F.col("priority")), AuditConfig(by=("run",), **NO_AUC))
+    return P.decide_long(suites, groups, [FLOORS])[1].select("run", "subgroup", "reason_code", "observed")
+
+
 @query(
     "required_subgroups",
     f"""WITH {DOC_SQL}, {cells_sql("D")}, Q(grp) AS (SELECT DISTINCT lang || CASE WHEN n_chars > 15000 THEN '-long' ELSE '' END

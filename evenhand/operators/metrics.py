@@ -139,6 +139,16 @@ def _first_failing(status: Column) -> Column:
     return F.min_by(status, F.when(status.isNotNull(), F.col("grp")))
 
 
+def rated_groups(cells: DataFrame, weighted: bool = False) -> DataFrame:
+    """Group rows with their rates, as the disparities look at them."""
+    g = with_rates(cells)
+    if not weighted:
+        return g.withColumn("eo_tpr", F.col("tpr"))
+    # an all-zero weight gives a defined rate of zero in the weighted path
+    g = g.withColumn("selection_rate", F.coalesce("selection_rate", F.lit(0.0)))
+    return g.withColumn("eo_tpr", F.when(F.col("pos_n") > 0, F.coalesce("tpr", F.lit(0.0))))
+
+
 def disparity_wide(
     cells: DataFrame,
     gates: Gates = Gates(),
@@ -156,13 +166,7 @@ def disparity_wide(
     (:func:`selection_rate_rows` has them as rows).
     """
     keep = keep or {}
-    g = with_rates(cells)
-    if weighted:
-        # an all-zero weight gives a defined rate of zero in the weighted path
-        g = g.withColumn("selection_rate", F.coalesce("selection_rate", F.lit(0.0)))
-        g = g.withColumn("eo_tpr", F.when(F.col("pos_n") > 0, F.coalesce("tpr", F.lit(0.0))))
-    else:
-        g = g.withColumn("eo_tpr", F.col("tpr"))
+    g = rated_groups(cells, weighted)
     pos, neg = F.col("positive_count"), F.col("negative_count")
     eo_fail = F.when(F.col("pos_n") == 0, V.ZERO_POSITIVE)
     odds_fail = F.when(pos == 0, V.ZERO_POSITIVE).when(neg == 0, V.ZERO_NEGATIVE)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand import vocab as V
@@ -21,6 +21,7 @@ from evenhand.operators import resample as B
 from evenhand.operators import units as U
 from evenhand.operators.calibration import roc_auc
 from evenhand.operators.cells import ece_bin
+from evenhand.session import stored
 
 
 @dataclass(frozen=True)
@@ -186,7 +187,30 @@ def subgroup_struct(gates: M.Gates) -> Column:
 
 
 def evaluate(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """Suite rows: one per run with everything later stages need."""
+    """Suite rows: one per run with everything later stages need, its groups in a list."""
+    return _suites(df, config)[0]
+
+
+def evaluate_long(df: DataFrame, config: AuditConfig = AuditConfig()) -> tuple[DataFrame, DataFrame]:
+    """Suite rows without lists of groups, and ``by..., grp, ...`` rows of the groups: for any number of groups.
+
+    The groups are written once, as both results come from them. No row grows with their number; the worst three of a run
+    are found by a limit in each task before anything meets.
+    """
+    suites, groups = _suites(df, config, nested=False)
+    return suites, groups
+
+
+def _worst_of(groups: DataFrame, by: list[str], k: int = 3) -> DataFrame:
+    """``by..., worst_groups``: supported groups with the lowest balanced accuracy, ``k`` a run."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("balanced_accuracy"), "grp"))
+    few = groups.filter(F.col("support_status") == V.VALID).withColumn("__at", place).filter(F.col("__at") <= k)
+    entry = F.struct("__at", F.struct("grp", "balanced_accuracy", "tpr", F.col("n").alias("sample_size")).alias("g"))
+    listed = few.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("w"))  # k entries
+    return listed.select(*by, F.transform("w", lambda x: x["g"]).alias("worst_groups"))
+
+
+def _suites(df: DataFrame, config: AuditConfig, nested: bool = True) -> tuple[DataFrame, DataFrame | None]:
     by = list(config.by)
     if not by:
         df, by = df.withColumn("run", F.lit("all")), ["run"]
@@ -197,12 +221,16 @@ def evaluate(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
         # the counts of dropped groups stay with their run
         dropped = groups.groupBy(*by).agg(F.sum("__missing").alias("missing_count"), F.sum("n").alias("rows_in"))
         groups = groups.filter(~F.col("__out"))
+    rows = None
+    if not nested:
+        groups = stored(groups)
+        rows = M.rated_groups(groups, weight is not None).select(*by, subgroup_struct(cfg.gates).alias("g")).select(*by, "g.*")
     distance = [F.sum(F.col("bin_distance")[i]) for i in BINS]
     keep = {
         "n": F.sum("n"),
         **{c: F.sum(c) for c in RAW},
         **{f"raw_{c}": F.sum(f"raw_{c}") for c in RAW},
-        "subgroups": F.array_sort(F.collect_list(subgroup_struct(cfg.gates))),
+        **({"subgroups": F.array_sort(F.collect_list(subgroup_struct(cfg.gates)))} if nested else {}),
         "run_brier": F.sum("sq_error") / F.sum("n"),
         "run_ece": F.when(
             F.count("score_sum") > 0, F.aggregate(F.array(*distance), F.lit(0.0), lambda acc, d: acc + F.abs(d)) / F.sum("n")
@@ -210,7 +238,11 @@ def evaluate(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
     }
     if cfg.missing_policy != "EXCLUDE":
         keep |= {"missing_count": F.sum("__missing"), "rows_in": F.sum("n")}
-    out = M.disparity_wide(groups, cfg.gates, tuple(by), weighted=weight is not None, keep=keep, rates=True)
+    out = M.disparity_wide(groups, cfg.gates, tuple(by), weighted=weight is not None, keep=keep, rates=nested)
+    if rows is not None:
+        worst = _worst_of(rows, by)
+        none = F.array().cast(worst.schema["worst_groups"].dataType)
+        out = out.join(worst, by, "left").withColumn("worst_groups", F.coalesce("worst_groups", none))
     if cfg.missing_policy == "EXCLUDE":
         out = out.join(dropped, by, "left")
     if cfg.with_auc and "y_prob" in frame.columns:
@@ -218,7 +250,7 @@ def evaluate(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
         out = out.join(auc, by, "left")
     else:
         out = out.withColumn("roc_auc", F.lit(None).cast("double")).withColumn("auc_status", F.lit(V.VALID))
-    return _suite_columns(out, by, cfg, warnings)
+    return _suite_columns(out, by, cfg, warnings), rows
 
 
 def _suite_columns(wide: DataFrame, by: list[str], cfg: AuditConfig, warnings: list[str]) -> DataFrame:
@@ -251,6 +283,9 @@ def _suite_columns(wide: DataFrame, by: list[str], cfg: AuditConfig, warnings: l
         if cfg.baseline_accuracy is not None
         else F.lit(None).cast("double")
     )
+    lists = ["selection_rates", "subgroups"] if "subgroups" in wide.columns else ["lowest_group", "highest_group"]
+    if "subgroups" not in wide.columns:
+        return _suite_row(out, by, cfg, warnings, utility, tradeoff, some, action, F.col("worst_groups"), lists)
     supported = F.filter("subgroups", lambda g: g["support_status"] == V.VALID)
     ranked = F.array_sort(
         F.transform(
@@ -269,6 +304,13 @@ def _suite_columns(wide: DataFrame, by: list[str], cfg: AuditConfig, warnings: l
             r["g"]["n"].alias("sample_size"),
         ),
     )
+    return _suite_row(out, by, cfg, warnings, utility, tradeoff, some, action, worst, lists)
+
+
+def _suite_row(
+    out: DataFrame, by: list[str], cfg: AuditConfig, warnings: list[str], utility: Column, tradeoff: Column, some: Column, action: str,
+    worst: Column, lists: list[str],
+) -> DataFrame:
     return out.select(
         *by,
         F.col("n").alias("sample_size"),
@@ -286,7 +328,6 @@ def _suite_columns(wide: DataFrame, by: list[str], cfg: AuditConfig, warnings: l
         F.col("run_brier").alias("brier_score"),
         F.col("run_ece").alias("expected_calibration_error"),
         *[f"{s}_{k}" for s in ("dp", "eo", "eodds", "pp", "di") for k in ("value", "status")],
-        "selection_rates",
         "fairness_gap",
         utility.alias("utility_score"),
         tradeoff.alias("accuracy_tradeoff"),
@@ -294,7 +335,7 @@ def _suite_columns(wide: DataFrame, by: list[str], cfg: AuditConfig, warnings: l
         "degeneracy_status",
         "degeneracy_message",
         (F.col("groups") * 5 + F.col("groups") * 3).alias("number_of_comparisons"),
-        "subgroups",
+        *lists,
         worst.alias("worst_groups"),
         F.struct(
             F.lit(cfg.missing_policy).alias("policy"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand import vocab as V
+from evenhand.session import stored
 
 CHECK = (
     "struct<rule:string,metric:string,subgroup:string,observed:double,observed_text:string,threshold:double,"
@@ -193,8 +194,26 @@ def _among(column: str, values: Sequence[str]) -> str:
     return f"{column} IN ({', '.join(repr(v) for v in values)})"
 
 
-def policy_checks(columns: Sequence[str]) -> Column:
-    """All checks of the ``policy`` struct in their fixed order, as one SQL expression."""
+def _support_checks() -> str:
+    return (
+        f"IF(policy.require_subgroup_support, transform(filter(subgroups, g -> g.support_status = '{V.INSUFFICIENT_GROUP}'), g -> "
+        + _check("subgroup_support", OPEN, "SUBGROUP_INSUFFICIENT_SUPPORT", "abstention", subgroup="g.grp")
+        + f"), {NONE})"
+    )
+
+
+def _floor_checks() -> list[str]:
+    return [
+        _subgroup_floor("balanced_accuracy", "Balanced Accuracy", "policy.min_subgroup_balanced_accuracy",
+                        "SUBGROUP_BALANCED_ACCURACY_BELOW_MINIMUM"),
+        _subgroup_floor("tpr", "TPR", "policy.min_subgroup_recall", "SUBGROUP_RECALL_BELOW_MINIMUM"),
+        _subgroup_floor("tnr", "TNR", "policy.min_subgroup_specificity", "SUBGROUP_SPECIFICITY_BELOW_MINIMUM"),
+    ]
+
+
+def policy_checks(columns: Sequence[str], lists: bool = True) -> Column:
+    """All checks of the ``policy`` struct in their fixed order, as one SQL expression; without ``lists``, those
+    that look at single groups are left out."""
     degenerate = f"degeneracy_status <> '{V.NORMAL}'"
     absent_group = _among("overall_status", [V.MISSING_VIOLATION, V.MISSING_SENSITIVE])
     thin = _among(
@@ -217,10 +236,7 @@ def policy_checks(columns: Sequence[str]) -> Column:
             (thin, _check("evaluation_status_integrity", OPEN, "STATUS_INSUFFICIENT_EVIDENCE", "abstention", **st)),
             otherwise=_check("evaluation_status_integrity", PASSED, "STATUS_VALID", "pass", **st),
         ),
-        _critical_checks(),
-        f"IF(policy.require_subgroup_support, transform(filter(subgroups, g -> g.support_status = '{V.INSUFFICIENT_GROUP}'), g -> "
-        + _check("subgroup_support", OPEN, "SUBGROUP_INSUFFICIENT_SUPPORT", "abstention", subgroup="g.grp")
-        + f"), {NONE})",
+        *([_critical_checks(), _support_checks()] if lists else []),
         *(_interval_checks() if "intervals" in columns else []),
         _cases((unstable, _check("ratio_metric_stability", OPEN, "UNSTABLE_RATIO_DENOMINATOR", "abstention", metric=V.DIR))),
         _cases(
@@ -241,10 +257,7 @@ def policy_checks(columns: Sequence[str]) -> Column:
         _floor("Recall", "recall", "policy.min_recall", "RECALL_BELOW_MINIMUM"),
         _floor("TNR", "specificity", "policy.min_specificity", "SPECIFICITY_BELOW_MINIMUM"),
         _floor("Precision", "precision", "policy.min_precision", "PRECISION_BELOW_MINIMUM", declared),
-        _subgroup_floor("balanced_accuracy", "Balanced Accuracy", "policy.min_subgroup_balanced_accuracy",
-                        "SUBGROUP_BALANCED_ACCURACY_BELOW_MINIMUM"),
-        _subgroup_floor("tpr", "TPR", "policy.min_subgroup_recall", "SUBGROUP_RECALL_BELOW_MINIMUM"),
-        _subgroup_floor("tnr", "TNR", "policy.min_subgroup_specificity", "SUBGROUP_SPECIFICITY_BELOW_MINIMUM"),
+        *(_floor_checks() if lists else []),
         _ceiling("eodds", V.EODDS, "policy.max_equalized_odds", "EO_DIFF"),
         _ceiling("dp", V.DP, "policy.max_demographic_parity", "DP_DIFF"),
         _ceiling("pp", V.PP, "policy.max_predictive_parity", "PP_DIFF", declared),
@@ -273,33 +286,44 @@ def policy_checks(columns: Sequence[str]) -> Column:
 
 def decide(suites: DataFrame, policies: Sequence[Policy] | None = None) -> DataFrame:
     """Suite rows with policy, ordered evidence trace, reason codes and decision."""
+    return _verdicts(_checked(suites, policies)).drop("__codes")
+
+
+def _checked(suites: DataFrame, policies: Sequence[Policy] | None, lists: bool = True) -> DataFrame:
+    """Suite rows with policy and checks, what they count to, and the codes of those that did not pass."""
     policies = list(policies) if policies is not None else default_policies()
     frame = suites.withColumn("policy", F.explode(F.array(*[_policy_struct(p) for p in policies])))
-    frame = frame.withColumn("checks", policy_checks(frame.columns))
-    violations = F.filter("checks", lambda c: c["effect"] == "violation")
-    abstentions = F.filter("checks", lambda c: c["effect"] == "abstention")
+    frame = frame.withColumn("checks", policy_checks(frame.columns, lists))
+    count = lambda effect: F.size(F.filter("checks", lambda c: c["effect"] == effect))
+    return frame.withColumns(
+        {
+            "__codes": F.transform(F.filter("checks", lambda c: c["effect"] != "pass"), lambda c: c["reason_code"]),
+            "violation_count": count("violation"),
+            "abstention_count": count("abstention"),
+            "is_fair": ~F.exists("checks", lambda c: c["fairness"] & (c["effect"] == "violation")),
+        }
+    )
+
+
+def _verdicts(frame: DataFrame) -> DataFrame:
+    """Decision, codes and evidence states from the counts."""
     degenerate = F.col("degeneracy_status") != V.NORMAL
-    decision = (
+    d = (
         F.when(degenerate, "POLICY_DEGENERATE")
-        .when(F.size(abstentions) > 0, "POLICY_UNDEFINED")
-        .when(F.size(violations) > 0, "POLICY_NONCOMPLIANT")
+        .when(F.col("abstention_count") > 0, "POLICY_UNDEFINED")
+        .when(F.col("violation_count") > 0, "POLICY_NONCOMPLIANT")
         .otherwise("POLICY_COMPLIANT")
     )
-    codes = F.transform(F.filter("checks", lambda c: c["effect"] != "pass"), lambda c: c["reason_code"])
 
     def lacks(*words: str) -> Column:
         return ~F.exists("__codes", lambda c: c.rlike("|".join(words)))
 
     frame = frame.withColumns(
         {
-            "__codes": codes,
-            "decision": decision,
-            "violation_count": F.size(violations),
-            "abstention_count": F.size(abstentions),
+            "decision": d,
             "is_degenerate": degenerate,
             "is_useful": ~degenerate
             & F.coalesce(F.col("balanced_accuracy") >= F.col("policy.min_balanced_accuracy"), F.lit(False)),
-            "is_fair": ~F.exists("checks", lambda c: c["fairness"] & (c["effect"] == "violation")),
         }
     )
     d = F.col("decision")
@@ -327,7 +351,59 @@ def decide(suites: DataFrame, policies: Sequence[Policy] | None = None) -> DataF
             .when(d == "POLICY_NONCOMPLIANT", "POLICY_CONSTRAINTS_VIOLATED")
             .otherwise("CONFIRMED_ADEQUATE"),
         }
-    ).drop("__codes")
+    )
+
+
+def subgroup_evidence(subgroups: DataFrame, policies: Sequence[Policy], by: Sequence[str] = ("run",)) -> DataFrame:
+    """``by..., policy_name, rule, ...``: a row for each check of a group that did not pass.
+
+    Floors and support are checks of one group's row. Labels that a policy names are few; they meet with the group of the
+    best TPR of their run in a short list.
+    """
+    by, rules = list(by), F.explode(F.array(*[_policy_struct(p) for p in policies]))
+    names = [c for c in subgroups.columns if c not in by]
+    group = F.struct(*names)
+    single = subgroups.select(*by, F.array(group).alias("subgroups")).withColumn("policy", rules)
+    checks = F.expr(f"CAST(concat({', '.join([_support_checks(), *_floor_checks()])}) AS array<{CHECK}>)")
+    found = single.select(*by, F.col("policy.name").alias("policy_name"), F.explode(checks).alias("c"))
+    critical = sorted({c for p in policies for c in p.critical_subgroups})
+    if critical:
+        named = F.collect_list(F.when(F.col("grp").isin(*critical), group))  # as many as the policies name
+        per = subgroups.groupBy(*by).agg(named.alias("named"), F.max_by(group, "tpr").alias("best"))
+        both = F.filter(F.array_union("named", F.array("best")), lambda g: g.isNotNull())
+        few = per.select(*by, both.alias("subgroups")).withColumn("policy", rules)
+        # the list is never empty where a run has groups, even if all their rates are undefined
+        few = few.withColumn("subgroups", F.when(F.size("subgroups") > 0, F.col("subgroups")).otherwise(F.array(F.lit(None).cast(few.schema["subgroups"].dataType.elementType))))
+        found = found.unionByName(
+            few.select(*by, F.col("policy.name").alias("policy_name"), F.explode(F.expr(f"CAST({_critical_checks()} AS array<{CHECK}>)")).alias("c"))
+        )
+    return found.select(*by, "policy_name", "c.*")
+
+
+def decide_long(
+    suites: DataFrame, subgroups: DataFrame, policies: Sequence[Policy] | None = None, by: Sequence[str] = ("run",)
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`decide` on suite rows without lists: decisions, and the evidence of groups as rows.
+
+    Decisions and counts are those of :func:`decide`; ``checks`` has those of the whole run only, and ``reason_codes``
+    each code of a group once.
+    """
+    by, policies = list(by), list(policies) if policies is not None else default_policies()
+    evidence = stored(subgroup_evidence(subgroups, policies, by))
+    folded = evidence.groupBy(*by, "policy_name").agg(
+        F.count(F.when(F.col("effect") == "violation", 1)).alias("__v"), F.count(F.when(F.col("effect") == "abstention", 1)).alias("__a"),
+        F.sort_array(F.collect_set("reason_code")).alias("__more"),  # the codes that there are
+    )
+    run = _checked(suites, policies, lists=False).withColumn("policy_name", F.col("policy.name"))
+    both = run.join(folded, [*by, "policy_name"], "left")
+    both = both.withColumns(
+        {
+            "violation_count": F.col("violation_count") + F.coalesce("__v", F.lit(0)),
+            "abstention_count": F.col("abstention_count") + F.coalesce("__a", F.lit(0)),
+            "__codes": F.concat("__codes", F.coalesce("__more", F.array().cast("array<string>"))),
+        }
+    )
+    return _verdicts(both).drop("__codes", "__v", "__a", "__more"), evidence
 
 
 def trace_rows(decided: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:

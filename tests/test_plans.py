@@ -75,3 +75,44 @@ def test_disparities_of_many_runs_in_one_aggregation(spark):
     e = event_frame(spark, SF).withColumn("run", F.col("event_type"))
     wide = M.disparity_wide(confusion_cells(e, ("run", "grp")), M.Gates(1), by=("run",))
     assert plan(wide).count("FileScan") == 1 and wide.count() == 5
+
+
+def test_long_suites_decide_as_nested_ones(spark):
+    from evenhand.catalog import governance
+    from evenhand.plans import policy as P
+    from evenhand.plans.evaluate import AuditConfig, evaluate, evaluate_long
+
+    e = event_frame(spark, SF).withColumn("run", F.col("event_type"))
+    rules = [governance.FLOORS, P.Policy(), P.Policy("Named", critical_subgroups=("q1", "nobody"), require_subgroup_support=True)]
+    for gates in (M.Gates(1), M.Gates(2500, 5, 5)):
+        cfg = AuditConfig(by=("run",), gates=gates, with_auc=False)
+        nested = {(r["run"], r["policy"]["name"]): r for r in P.decide(evaluate(e, cfg), rules).collect()}
+        suites, groups = evaluate_long(e, cfg)
+        decided, evidence = P.decide_long(suites, groups, rules)
+        rows = {(r["run"], r["policy"]["name"]): r for r in decided.collect()}
+        assert set(rows) == set(nested)
+        for k, r in rows.items():
+            for c in ("decision", "violation_count", "abstention_count", "is_fair", "is_useful", "dp_value", "worst_groups", "evidence_state"):
+                assert r[c] == nested[k][c], (k, c)
+            assert set(r["reason_codes"]) == set(nested[k]["reason_codes"])
+        want = sorted((k, c["subgroup"], c["reason_code"]) for k, r in nested.items() for c in r["checks"] if c["subgroup"] is not None)
+        assert sorted(((r["run"], r["policy_name"]), r["subgroup"], r["reason_code"]) for r in evidence.collect()) == want
+
+
+def test_a_million_intersection_labels(spark):
+    """No list of groups anywhere: suites, decisions, evidence and redaction of a run with a million labels."""
+    from evenhand.operators import ranking
+    from evenhand.plans import policy as P
+    from evenhand.plans.evaluate import AuditConfig, evaluate_long
+
+    df = spark.range(4_000_000).selectExpr(
+        "concat('a', id % 1000, '_x_b', id DIV 1000 % 1000) AS grp", "CAST(id >= 2000000 AS INT) AS y_true", "CAST(id >= 2000000 OR id % 1000000 < 10 AS INT) AS y_pred")
+    suites, groups = evaluate_long(df, AuditConfig(gates=M.Gates(1), with_auc=False))
+    decided, evidence = P.decide_long(suites, groups, [P.Policy(min_subgroup_specificity=0.5)])
+    r = decided.first()
+    assert (r["groups"], r["violation_count"] >= 10, len(r["worst_groups"])) == (1_000_000, True, 3) and "subgroups" not in decided.columns
+    assert evidence.count() == 10 and {x["reason_code"] for x in evidence.collect()} == {"SUBGROUP_SPECIFICITY_BELOW_MINIMUM"}
+    shown = ranking.redacted_subgroups(groups.select("grp", "n"), 2, max_groups=5, mask_labels=True)
+    assert [x["grp"] for x in shown.orderBy("disclosure_rank").collect()] == [f"REDACTED_GROUP_00{i}" for i in range(1, 6)]
+    every = ranking.redacted_subgroups(groups.select("grp", "n"), 2)
+    assert every.agg(F.min("disclosure_rank"), F.max("disclosure_rank"), F.count_distinct("disclosure_rank")).first()[:] == (1, 1_000_000, 1_000_000)
