@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand import vocab as V
-from evenhand.functions.expr import count_where, digest, draw60, ratio, uniform_index
+from evenhand.functions.expr import count_where, digest, draw60, uniform_index
 from evenhand.functions.draws import multivariate_hypergeometric
 from evenhand.operators.cells import confusion_cells
-from evenhand.operators.metrics import Gates, disparity_wide, with_rates
+from evenhand.operators.metrics import Gates, disparity_wide
 from evenhand.operators.order import attach, exact_quantiles, hash_prefix, rank_cuts
 
 CELL_NAMES = ("tn", "fp", "fn", "tp")

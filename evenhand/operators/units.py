@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand import vocab as V
 from evenhand.functions.expr import ratio
 from evenhand.operators.cells import confusion_cells
 from evenhand.operators.frames import group_label
@@ -297,28 +296,3 @@ def label_prior(df: DataFrame, category: str, mapping: dict[str, str], levels: S
         .otherwise(1.0 / len(levels))
         .alias("prior"),
     )
-
-
-def collapse_registry(spark) -> DataFrame:
-    """Strategies with definition, use and limits."""
-    rows = [
-        ("ANY_FAILURE", "1 if every record is 1, else 0", "one failed record fails the entity",
-         "longer entities fail more often", "min"),
-        ("ALL_SUCCESS", "1 if any record is 1, else 0", "one good record is enough",
-         "entities with many attempts look better", "max"),
-        ("MAJORITY_VOTE", "1 if the mean is above one half, else 0", "consensus of the records",
-         "severity is lost; a tie counts as 0", "avg > 0.5"),
-        ("FIRST_RECORD", "label of the earliest record", "state at intake",
-         "later changes are dropped", "min_by"),
-        ("LAST_RECORD", "label of the latest record", "final state",
-         "entities that left early are misjudged", "max_by"),
-        ("ENTITY_WEIGHTED", "(1 / rows) * (N / entities)", "every entity has the same weight",
-         "rows stay; intervals need cluster resampling", "weighted sum"),
-        ("NONE", "the record itself", "independent records", "wrong with repeated records", "identity"),
-        ("UNSUPPORTED_EVALUATION_UNIT", "refused", "the data do not justify a collapse",
-         "the audit stops until a strategy is chosen", "error"),
-    ]
-    assert {r[0] for r in rows} == set(V.COLLAPSE_STRATEGIES)
-    return spark.createDataFrame(
-        rows, "strategy string, definition string, meaning string, limits string, operator string"
-    )
