@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -137,15 +138,35 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             return
 
 
+#: End tags that reach through a cell or another scope.
+THROUGH = {"table", "tbody", "thead", "tfoot", "tr"}
+
+
 def build(page: str) -> Node:
     """The tree of a page; tags that may be left out are implied."""
     root = Node("html")
     stack = [root]
+    # how many of each tag are open: in all, and from the innermost scope on; a search that would find none is not made,
+    # and one that finds closes what it walked over, so that nesting costs no more than its depth
+    open_: Counter[str] = Counter()
+    scopes: list[Counter[str]] = [Counter()]
+    last_p = [0]  # for each open node the place of the p that a block inside it ends, or 0
 
     def pop_to(i: int) -> None:
-        del stack[i:]
+        for node in stack[i:]:
+            open_[node.tag] -= 1
+        for node in reversed(stack[i:]):
+            scopes[-1][node.tag] -= 1
+            if node.tag in SCOPE:
+                scopes.pop()
+        del stack[i:], last_p[i:]
+
+    def pop() -> None:
+        pop_to(len(stack) - 1)
 
     def close_open(tags: set[str], until: set[str]) -> None:
+        if not any(scopes[-1][t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 found = i
@@ -157,12 +178,8 @@ def build(page: str) -> Node:
                 return
 
     def end_p() -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                pop_to(i)
-                return
-            if stack[i].tag in SCOPE or stack[i].tag == "button":
-                return
+        if last_p[-1]:
+            pop_to(last_p[-1])
 
     def inner() -> str:
         """svg or math, if the next tag is one of theirs."""
@@ -172,12 +189,17 @@ def build(page: str) -> Node:
     def push(tag: str, attrs: str = "") -> None:
         node = Node(tag, attrs, tag if tag in TO_HTML else inner())
         stack[-1].children.append(node)
+        last_p.append(len(stack) if tag == "p" else 0 if tag in SCOPE or tag == "button" else last_p[-1])
         stack.append(node)
+        open_[tag] += 1
+        if tag in SCOPE:
+            scopes.append(Counter())
+        scopes[-1][tag] += 1
 
     for kind, name, rest in tokens(page):
         if kind == "text":
             if stack[-1].tag == "head" and rest.strip():
-                stack.pop()  # text ends an open head
+                pop()  # text ends an open head
             if rest:
                 stack[-1].children.append(html.unescape(rest) if "&" in rest else rest)
         elif kind == "raw":
@@ -188,9 +210,9 @@ def build(page: str) -> Node:
                 continue
             if name in BREAKS_OUT:
                 while inner():
-                    stack.pop()
+                    pop()
             if stack[-1].tag == "head" and name not in UNSEEN and name not in ("base", "link", "meta", "basefont", "bgsound"):
-                stack.pop()  # content ends an open head
+                pop()  # content ends an open head
             if name in ENDS_P:
                 end_p()
             if name in CLOSES:
@@ -203,23 +225,20 @@ def build(page: str) -> Node:
                 push("tr")
             push(name, rest)
             if name in VOID or (stack[-1].space and rest.endswith("/")):
-                stack.pop()
+                pop()
+        elif not (open_ if name in THROUGH else scopes[-1])[name]:
+            if name in ("p", "br") and len(scopes) == 1:
+                push(name)
+                pop()
         else:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
                     pop_to(i)
                     break
-                if stack[i].tag in SCOPE and name not in ("table", "tbody", "thead", "tfoot", "tr"):
+                if stack[i].tag in SCOPE and name not in THROUGH:
                     break
                 if name in FORMATTING and stack[i].tag in BLOCK:
                     break  # a stray inline end tag does not close blocks
-            else:
-                if name == "p":
-                    push("p")
-                    stack.pop()
-                elif name == "br":
-                    push("br")
-                    stack.pop()
     return root
 
 
@@ -518,6 +537,34 @@ class Flow:
         return "".join(self.out).replace(" ", " ")
 
 
+def spanned(value: str | None, most: int) -> int:
+    """Columns or rows that a cell takes."""
+    return min(int(value), most) if value and value.isdigit() and int(value) else 1
+
+
+def gridded(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int]]]:
+    """Rows of (text, columns), with an empty cell where one from a row above reaches down."""
+    out, held = [], {}  # column -> rows that are still taken there
+    for row in rows:
+        cells, at, todo, last = [], 0, list(reversed(row)), max(held, default=-1)
+        while todo or at <= last:
+            if at in held:
+                cells.append(("", 1))
+                at += 1
+            elif todo:
+                text, wide, tall = todo.pop()
+                cells.append((text, wide))
+                if tall > 1:
+                    held |= {c: tall for c in range(at, at + wide)}
+                at += wide
+            else:  # columns that neither this row nor one above fills
+                cells.append(("", 1))
+                at += 1
+        held = {c: n - 1 for c, n in held.items() if n > 1}
+        out.append(cells)
+    return out
+
+
 def rows_of(flow_cells: list[list[tuple[str, int]]]) -> str:
     """Cells of a table as aligned columns; cells of several lines are set side by side."""
     grid, widths = [], []
@@ -640,14 +687,13 @@ def render(page: str | None) -> str:
         elif tag in ("td", "th") and tables:
             done = flow.text()
             flow = flows.pop()
-            span = node.get("colspan") or "1"
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((done, min(int(span), 1000) if span.isdigit() and int(span) else 1))
+            tables[-1][-1].append((done, spanned(node.get("colspan"), 1000), spanned(node.get("rowspan"), 65534)))
         elif tag == "table":
             around, rows = flow.text(), tables.pop()
             flow = flows.pop()
-            for part in (around, rows_of(rows)):  # a caption or stray text comes before the cells
+            for part in (around, rows_of(gridded(rows))):  # a caption or stray text comes before the cells
                 if part:
                     for line in part.split("\n"):
                         flow.line()

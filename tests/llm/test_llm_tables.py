@@ -322,3 +322,42 @@ def test_token_files_of_documents(spark, tmp_path):
     (tmp_path / "odd" / "part-0").write_bytes(b"abc")
     with pytest.raises(Exception, match="no file of 2-byte tokens"):
         scan_blocks(spark, str(tmp_path / "odd"), 7).collect()
+
+
+def test_deep_nesting_costs_no_more_than_its_depth():
+    import time
+
+    for page in ("<div>" * 40_000 + "x", "<b><span>" * 20_000 + "</q></p>" * 20_000 + "x", "<p>a<table><td>" + "<div>" * 40_000 + "x", "<li>" * 40_000 + "x"):
+        start = time.perf_counter()
+        assert render(page).endswith("x")
+        assert time.perf_counter() - start < 10
+
+
+def test_cells_that_reach_down_keep_columns_aligned():
+    """Against a plain grid: every cell's text starts where its column does."""
+    assert render("<table><tr><td>a<td rowspan=2>b<td>z<tr><td>c<td>d</table>") == "a  b  z\nc     d"
+    rng = random.Random(12)
+    for _ in range(60):
+        n_rows, taken, page, want = rng.randrange(1, 6), {}, "<table>", {}
+        for r in range(n_rows):
+            page += "<tr>"
+            c = 0
+            for k in range(rng.randrange(1, 5)):
+                while (r, c) in taken:
+                    c += 1
+                wide, tall, text = 1, rng.choice([1, 1, 2, 3]), f"r{r}k{k}x"
+                if any((r, c + i) in taken for i in range(wide)):
+                    wide = 1
+                page += f"<td colspan={wide} rowspan={tall}>{text}"
+                want[text] = (r, c)
+                for i in range(wide):
+                    for j in range(tall):
+                        taken[r + j, c + i] = text
+                c += wide
+        lines = render(page + "</table>").split("\n")
+        at = {t: (i, line.index(t)) for t in want for i, line in enumerate(lines) if t in line.split()}
+        assert set(at) == set(want)
+        alone = {c for _, c in want.values()}
+        starts = {c: {at[t][1] for t in want if want[t][1] == c} for c in alone}
+        assert all(len(x) == 1 for x in starts.values()), (page, lines)
+        assert [starts[c] for c in sorted(starts)] == sorted(starts.values(), key=min)
