@@ -155,9 +155,7 @@ def op2_va_search(spark, sf):
     return top_k(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
 
 
-@query(
-    "op6_flat_graph",
-    """WITH RECURSIVE V AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+LINKS_SQL = """WITH RECURSIVE V AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 L AS (SELECT x.vec_id AS a, y.vec_id AS b FROM V x JOIN V y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.9),
@@ -165,14 +163,24 @@ N AS (SELECT a, count(*) AS n FROM L GROUP BY a),
 R AS (SELECT a, b FROM L UNION SELECT R.a, L.b FROM R JOIN L ON R.b = L.a),
 M AS (SELECT a, min(b) AS b FROM R GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
-  vec_id = least(vec_id, coalesce(b, vec_id)) AS kept FROM embeddings LEFT JOIN N ON vec_id = N.a LEFT JOIN M ON vec_id = M.a""",
-)
+  vec_id = least(vec_id, coalesce(b, vec_id)) AS kept FROM embeddings LEFT JOIN N ON vec_id = N.a LEFT JOIN M ON vec_id = M.a"""
+
+
+@query("op6_flat_graph", LINKS_SQL)
 def op6_flat_graph(spark, sf):
     near = near_vectors(table(spark, sf, "embeddings"))
     kept = (F.col("id") == F.col("component")).alias("kept")
     return near.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept)
 
 
+@query("flat_graph_low_threshold", LINKS_SQL.replace(">= 0.9", ">= 0.4"))
+def flat_graph_low_threshold(spark, sf):
+    """The same search where the table of scale 0.01 has links: its vectors are far apart."""
+    near = near_vectors(table(spark, sf, "embeddings"), threshold=0.4)
+    kept = (F.col("id") == F.col("component")).alias("kept")
+    return near.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept)
+
+
 @query(
     "op1_revisit_resolution",
     r"""WITH P AS (SELECT page_id, url, html, 1700000000 + page_id * 60 AS seen, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag,
