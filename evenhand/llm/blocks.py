@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.words import U64, mix
+from evenhand.llm.words import mix, tidy, U64
 
 #: Text of a block, hashes of a shard, and what a shard's sketch has: rows of so many cells.
 BLOCK_BYTES = 4_000_000
@@ -138,7 +138,7 @@ def merge_cells(cells: DataFrame, with_counts: bool = False) -> DataFrame:
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return table_of(out, list(zip(["block", "shard", "row", "bits", "counts"], kinds)))
 
-    return cells.groupBy("shard").applyInArrow(merge, REPLIES)
+    return cells.groupBy("shard").applyInArrow(tidy(merge), REPLIES)
 
 
 def estimates(keys: np.ndarray, shards: int, replies: list[tuple], with_counts: bool = False) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from evenhand.llm.blocks import layout, table_of
 from evenhand.llm.scratch import Scratch
-from evenhand.llm.words import BASES, U64, give_back, mix, powers, powers_at
+from evenhand.llm.words import BASES, give_back, mix, powers, powers_at, tidy, tidy_both, tidy_map, U64
 
 #: Bytes under the rolling hash, and a chunk's mean length as a power of two.
 ROLL = 32
@@ -253,7 +253,7 @@ def encode(
         give_back()
 
     lead = ", ".join(f"{n} {kinds[s].dataType.simpleString()}" for n, s in zip(names, [id_col, *extra]))
-    base = given.mapInArrow(squeeze, f"block int, {lead}, body binary")
+    base = given.mapInArrow(tidy_map(squeeze), f"block int, {lead}, body binary")
 
     def texts_of(t: pa.Table) -> list[bytes]:
         z = zstandard.ZstdDecompressor()
@@ -265,7 +265,7 @@ def encode(
         return pa.table([pa.array(np.full(len(k), t["block"][0].as_py(), np.int32)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(n)], names=["block", "h1", "h2", "n"])
 
     scratch = Scratch(docs.sparkSession)
-    seen = scratch.table(base.groupBy("block").applyInArrow(count, KEYS))
+    seen = scratch.table(base.groupBy("block").applyInArrow(tidy(count), KEYS))
     owners = seen.groupBy("h1", "h2").agg(F.sum("n").alias("all"), F.min("block").alias("owner")).filter("all > 1")
     shared = scratch.table(seen.join(owners.select("h1", "h2", "owner"), ["h1", "h2"]).select("block", "h1", "h2", "owner"))
 
@@ -284,7 +284,7 @@ def encode(
         return table_of(rows, [("h1", pa.int64()), ("h2", pa.int64()), ("ids", pa.binary())])
 
     mine = shared.filter("block = owner").select("block", "h1", "h2")
-    owned = scratch.table(base.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(own, GIVEN))
+    owned = scratch.table(base.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(tidy_both(own), GIVEN))
     handed = shared.select("block", "h1", "h2").join(owned, ["h1", "h2"])
     scratch.drop([shared, owned])
 
@@ -319,7 +319,7 @@ def encode(
         return pa.table([*cols, one, two], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"{lead}, {DIGESTS if digests else 'n_tokens bigint, ids array<int>'}"
-    return base.groupBy("block").cogroup(handed.groupBy("block")).applyInArrow(finish, schema)
+    return base.groupBy("block").cogroup(handed.groupBy("block")).applyInArrow(tidy_both(finish), schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -332,4 +332,4 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             texts = [None if x is None else enc.decode(x).decode() for x in b.column(ids_col).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, f"{kind}, decoded string")
+    return rows.mapInArrow(tidy_map(run), f"{kind}, decoded string")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evenhand.llm.words import give_back
+from evenhand.llm.words import tidy_map
 
 #: N-grams of a profile, and the longest n-gram.
 TOP = 400
@@ -131,9 +131,8 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     if len(sums) > FLUSH:
                         yield rows()
         yield rows()
-        give_back()
 
-    return docs.select(text_col, lang_col).mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(text_col, lang_col).mapInArrow(tidy_map(count), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> dict[str, list[str]]:
@@ -204,13 +203,12 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "te
             cols = [batch.column(i) for i in range(len(keep))]
             preds = ["und" if p is None else p for p in preds]
             yield pa.record_batch([*cols, pa.array(preds, pa.string()), pa.array(scores)], names=[*batch.schema.names[: len(keep)], "__pred", "__score"])
-        give_back()
 
     cols = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(keep)]
     given = docs.select(*cols, *([] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")]))  # a text that is kept is sent once
     source = f"x{list(keep).index(text_col)}" if text_col in keep else "__text"
     schema = ", ".join([*(f"x{i} {given.schema[f'x{i}'].dataType.simpleString()}" for i in range(len(keep))), "__pred string, __score double"])
-    out = given.mapInArrow(run, schema)
+    out = given.mapInArrow(tidy_map(run), schema)
     return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(keep)], F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from evenhand.llm.blocks import CELLS, blocked, estimates, ids_of, layout, merge_cells, reply_rows, report, runs_of
 from evenhand.llm.components import components
 from evenhand.llm.scratch import Scratch
-from evenhand.llm.words import BASES, U64, mix, span_hash, split_words
+from evenhand.llm.words import BASES, mix, span_hash, split_words, tidy, tidy_both, tidy_map, U64
 
 NGRAM = 5
 #: Threshold as a fraction, so that comparisons stay in whole numbers.
@@ -212,7 +212,7 @@ def near_classes(
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(s.sizes), pa.array(one), pa.array(two)], names=["id", "n", "p", "q"])
 
     given = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("body"))
-    rows = durable(given.mapInArrow(describe, "id bigint, n bigint, p bigint, q bigint"))
+    rows = durable(given.mapInArrow(tidy_map(describe), "id bigint, n bigint, p bigint, q bigint"))
     named = rows.withColumn("id", F.coalesce("id", lowest))
     classes = durable(named.filter("n > 0").groupBy("n", "p", "q").agg(F.min("id").alias("rep")))
 
@@ -262,11 +262,11 @@ def near_classes(
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         return pa.table([pa.array(c, x) for c, x in zip(out, kinds)], names=["id", "n", "tokens", "order", "keys"])
 
-    sketch = merge_cells(base.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(cells, CELLS), with_counts=True)
+    sketch = merge_cells(base.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(tidy_both(cells), CELLS), with_counts=True)
     none = lambda kind: F.lit(None).cast(kind)
     told = sketch.select("block", "shard", "row", "bits", "counts", none("bigint").alias("rep"), none("bigint").alias("p")).union(
         reps.select("block", F.lit(-1), F.lit(-1), none("binary"), none("binary"), "rep", "p"))
-    sets = durable(base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(shared, SHARED))
+    sets = durable(base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy_both(shared), SHARED))
 
     # most near copies: groups of equal min-hashes
     keys = sets.select("id", F.posexplode("keys").alias("round", "key"))
@@ -275,7 +275,7 @@ def near_classes(
     tried = keys.join(durable(counts), ["round", "key"]).select("id", "round", "key", part.alias("part"))
     body = sets.select("id", "n", "tokens", "order")
     first = tried.join(body, "id").withColumn("comp", F.col("id")).withColumn("beyond", F.lit(0))
-    near = durable(first.groupBy("round", "key", "part").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint"))
+    near = durable(first.groupBy("round", "key", "part").applyInArrow(tidy(lambda t: _join(t, similar)), "a bigint, b bigint"))
     found = components(near)
 
     # what is left: buckets of prefix tokens with more than one component
@@ -294,13 +294,13 @@ def near_classes(
     shown = F.expr("length(tokens) DIV 8")
     p = F.lit(1) + F.floor(F.col("n") * (den - num) / den) - (F.col("n") - shown)  # of n - ceil(t n) + 1, those that are shared
     body = body.withColumn("p", p.cast("int"))
-    entries = durable(body.select("id", "p", "tokens").mapInArrow(prefix, "token bigint, id bigint, at int").join(member, "id"))
+    entries = durable(body.select("id", "p", "tokens").mapInArrow(tidy_map(prefix), "token bigint, id bigint, at int").join(member, "id"))
     open_ = entries.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"))
     open_ = durable(open_.filter("x <> y").select("token", "x", "size"))
     cut = lambda c, size: F.expr(f"substring({c}, at * {size} + 1, (p - at) * {size})").alias(c)
     small = entries.join(open_.filter(F.col("size") <= CHUNK), "token").join(body, "id")
     small = small.select("token", "comp", "n", cut("tokens", 8), cut("order", 2), (shown - F.col("p")).cast("int").alias("beyond"))
-    could = small.groupBy("token").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint")
+    could = small.groupBy("token").applyInArrow(tidy(lambda t: _join(t, similar)), "a bigint, b bigint")
     large = entries.join(open_.filter(F.col("size") > CHUNK), "token").select(F.col("comp").alias("a"), F.col("x").alias("b"))
     clusters = components(could.union(large.distinct()))
     clusters = clusters.select(F.col("id").alias("comp"), F.col("component").alias("cluster"))
@@ -310,7 +310,7 @@ def near_classes(
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     todo = todo.select("id", "comp", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     whole = todo.join(body.drop("p"), "id").withColumn("beyond", F.lit(0))
-    more = durable(whole.groupBy("cluster", "i", "j").applyInArrow(lambda t: _join(t, similar), "a bigint, b bigint"))
+    more = durable(whole.groupBy("cluster", "i", "j").applyInArrow(tidy(lambda t: _join(t, similar)), "a bigint, b bigint"))
     last = components(more)
 
     tag = last.select(F.col("id").alias("comp"), F.col("component").alias("wider"))

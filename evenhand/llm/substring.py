@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evenhand.llm.blocks import (
     CELLS, blocked, cuts, estimates, ids_of, layout, merge_cells, reply_rows, report, shard_of, table_of,
 )
-from evenhand.llm.words import U64, Words, give_back, split_words
+from evenhand.llm.words import give_back, split_words, tidy, tidy_both, U64, Words
 
 ASKS = "shard int, block int, h1 binary, h2 binary, ids binary"
 ASK_FIELDS = [("shard", pa.int32()), ("block", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("ids", pa.binary())]
@@ -136,10 +136,10 @@ def repeated_spans(
             names=[*names, "n_words", "n_removed", "kept"],
         )
 
-    sketch = merge_cells(base.groupBy("block").applyInArrow(cells, CELLS))
-    asks = base.groupBy("block").cogroup(sketch.groupBy("block")).applyInArrow(ask, ASKS)
-    lost = asks.groupBy("shard").applyInArrow(answer, LOST)
-    return base.groupBy("block").cogroup(lost.groupBy("block")).applyInArrow(cut, out_schema)
+    sketch = merge_cells(base.groupBy("block").applyInArrow(tidy(cells), CELLS))
+    asks = base.groupBy("block").cogroup(sketch.groupBy("block")).applyInArrow(tidy_both(ask), ASKS)
+    lost = asks.groupBy("shard").applyInArrow(tidy(answer), LOST)
+    return base.groupBy("block").cogroup(lost.groupBy("block")).applyInArrow(tidy_both(cut), out_schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,8 @@ word, then polynomials over words, mixed again; two families with different base
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,8 @@ _LOWER[65:91] += 32
 #: The first powers of each base; a worker keeps so many for a base and no more.
 KEPT = 1 << 16
 _powers: dict[int, np.ndarray] = {}
+#: The C library's own release of free memory, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,5 +112,40 @@ def split_words(texts: list[bytes | None], lower: bool = False) -> Words:
 
 
 def give_back() -> None:
-    """Return the memory that Arrow keeps from the last group; workers outlive their tasks."""
+    """Return memory that the allocators keep from the last group: workers outlive their tasks, and stages add up."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """A function of one group that gives memory back when its own tables are gone."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        give_back()
+        return out
+
+    return run
+
+
+def tidy_both(f: Callable) -> Callable:
+    """The same for two groups."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = f(a, b)
+        give_back()
+        return out
+
+    return run
+
+
+def tidy_map(f: Callable) -> Callable:
+    """The same for a stream of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in f(batches):
+            yield out
+        give_back()
+
+    return run
