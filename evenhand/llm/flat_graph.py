@@ -10,6 +10,9 @@
    within the radius to its neighbours until no more are found. Each find is a cosine in double precision, so no link
    is below the threshold; how many are missed is measured by ``recall``.
 5. A pair is counted in the first shard that both share, so overlapping shards do not count it twice.
+6. Where every link is asked for (``exact``), each tile compares all its pairs after the walk, and vectors without a
+   common shard meet in tiles of their own. All pairs are compared then: the work is the square of the vectors, dealt
+   over tiles of at most ``2 * PAIRED`` of them.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ PART = 512
 #: Vectors that place the centres, and the most centres there are; larger shards are dealt into parts.
 SAMPLE, CENTRES = 16_384, 1024
 DEGREE, POOL, ALPHA, BEAM, MEDOIDS = 24, 64, 1.2, 24, 4
+#: Vectors of a part where vectors without a common shard meet.
+PAIRED = 1024
 #: Far neighbours that every vector gets besides, to keep tiles connected.
 FAR = 2
 
@@ -156,7 +161,28 @@ def walk(x: np.ndarray, adjacency: np.ndarray, threshold: float) -> np.ndarray:
     return found
 
 
-def _links(t: pa.Table, dim: int, threshold: float) -> pa.Table:
+def _first_common(shards: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest shard that both vectors of a pair are in; the largest number there is for none."""
+    common = np.full(len(a), np.iinfo(np.int64).max)
+    for u in range(shards.shape[1]):
+        for v in range(shards.shape[1]):
+            eq = shards[a, u] == shards[b, v]
+            common[eq] = np.minimum(common[eq], shards[a, u][eq])
+    return common
+
+
+def _roots(found: np.ndarray) -> np.ndarray:
+    """For each vector of a tile the first one that links reach."""
+    root = np.arange(len(found))
+    while True:
+        low = np.minimum(root, np.where(found, root[None, :], len(root)).min(axis=1, initial=len(root)))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _links(t: pa.Table, dim: int, threshold: float, exact: bool = False) -> pa.Table:
     """``rep, links, root`` for the vectors of one tile."""
     rep, part = t["rep"].to_numpy(), t["part"].to_numpy()
     shard, i, j = t["shard"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
@@ -173,31 +199,46 @@ def _links(t: pa.Table, dim: int, threshold: float) -> pa.Table:
     adjacency = np.full((len(rep), max(1, count.max(initial=0))), -1)
     adjacency[owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)] = place
     found = walk(x, adjacency, threshold)
-    shards = np.array(t["shards"].to_pylist())
+    if exact:
+        found |= _within(x, threshold)
     a, b = np.nonzero(found)
-    common = np.full(len(a), np.iinfo(np.int64).max)
-    for u in range(shards.shape[1]):
-        for v in range(shards.shape[1]):
-            eq = shards[a, u] == shards[b, v]
-            common[eq] = np.minimum(common[eq], shards[a, u][eq])
-    right = common == shard
+    right = _first_common(np.array(t["shards"].to_pylist()), a, b) == shard
     if i != j:
         right &= part[a] != part[b]
     links = np.bincount(a[right], weights=many[b[right]], minlength=len(rep)).astype(np.int64)
-    root = np.arange(len(rep))
-    while True:
-        low = np.minimum(root, np.where(found, root[None, :], len(rep)).min(axis=1, initial=len(rep)))
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    return pa.table([pa.array(rep), pa.array(links), pa.array(rep[root])], names=["rep", "links", "root"])
+    return pa.table([pa.array(rep), pa.array(links), pa.array(rep[_roots(found)])], names=["rep", "links", "root"])
+
+
+def _within(x: np.ndarray, threshold: float) -> np.ndarray:
+    """All pairs of a tile that are within the radius."""
+    found = x @ x.T >= threshold
+    found |= found.T
+    np.fill_diagonal(found, False)
+    return found
+
+
+def _apart(t: pa.Table, dim: int, threshold: float) -> pa.Table:
+    """``rep, links, root`` of links between vectors that share no shard, in one tile of two parts."""
+    rep, part = t["rep"].to_numpy(), t["part"].to_numpy()
+    order = np.argsort(rep, kind="stable")
+    t, rep, part = t.take(pa.array(order)), rep[order], part[order]
+    many = t["many"].to_numpy()
+    found = _within(stack(t["unit"], dim), threshold)
+    if t["i"][0].as_py() != t["j"][0].as_py():
+        found &= part[:, None] != part[None, :]
+    a, b = np.nonzero(found)
+    shared = _first_common(np.array(t["shards"].to_pylist()), a, b) < np.iinfo(np.int64).max
+    found[a[shared], b[shared]] = False
+    a, b = a[~shared], b[~shared]
+    links = np.bincount(a, weights=many[b], minlength=len(rep)).astype(np.int64)
+    return pa.table([pa.array(rep), pa.array(links), pa.array(rep[_roots(found)])], names=["rep", "links", "root"])
 
 
 def near_vectors(
-    df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding",
+    df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False,
 ) -> DataFrame:
-    """``id, n_links, component`` for every row: other rows with cosine at least ``threshold`` that the walk found.
+    """``id, n_links, component`` for every row: other rows with cosine at least ``threshold`` that the walk found, or
+    with ``exact`` all there are. Below about 0.9 vectors link across shards, and a walk alone misses some.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths
     do not link. Rows of equal direction are linked with each other and with the same others. Rows without an id take
@@ -212,7 +253,7 @@ def near_vectors(
     classes = durable(good.groupBy("dim", "unit").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("many")))
     linked = spark.createDataFrame([], "rep bigint, links bigint, root bigint")
     for r in sorted(classes.groupBy("dim").count().collect()):
-        linked = linked.union(_search(classes.filter(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold, scratch))
+        linked = linked.union(_search(classes.filter(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold, scratch, exact))
     linked = durable(linked)
     comp = (components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -224,7 +265,7 @@ def near_vectors(
     return out.select("id", F.when(whole, F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"), F.when(whole, F.coalesce("component", "id")).alias("component"))
 
 
-def _search(classes: DataFrame, dim: int, n: int, threshold: float, scratch: Scratch) -> DataFrame:
+def _search(classes: DataFrame, dim: int, n: int, threshold: float, scratch: Scratch, exact: bool = False) -> DataFrame:
     centres = centres_of(classes, dim, n)
     overlap, durable = min(OVERLAP, len(centres)), scratch.table
 
@@ -240,8 +281,10 @@ def _search(classes: DataFrame, dim: int, n: int, threshold: float, scratch: Scr
     parts = F.element_at(F.array(*[F.lit(-(-sizes.get(s, 1) // PART)) for s in range(len(centres))]), F.col("shard") + 1)
 
     def tiles(rows: DataFrame) -> DataFrame:
-        out = rows.withColumn("shard", F.explode("shards")).withColumn("parts", parts)
-        out = out.withColumn("part", F.pmod(F.xxhash64("rep", "shard"), F.col("parts")).cast("int"))
+        return pairs_of_parts(rows.withColumn("shard", F.explode("shards")).withColumn("parts", parts))
+
+    def pairs_of_parts(rows: DataFrame) -> DataFrame:
+        out = rows.withColumn("part", F.pmod(F.xxhash64("rep", "shard"), F.col("parts")).cast("int"))
         out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         return out.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "parts")
 
@@ -256,7 +299,12 @@ def _search(classes: DataFrame, dim: int, n: int, threshold: float, scratch: Scr
     graph = tiles(placed.select("rep", "unit", "shards")).groupBy("shard", "i", "j").applyInArrow(build, "rep bigint, near binary")
     flat = durable(graph.groupBy("rep").agg(F.collect_list("near").alias("near")))  # a list per tile of the vector
     ready = tiles(placed.join(flat, "rep"))
-    return ready.groupBy("shard", "i", "j").applyInArrow(lambda t: _links(t, dim, threshold), "rep bigint, links bigint, root bigint")
+    kind = "rep bigint, links bigint, root bigint"
+    near = ready.groupBy("shard", "i", "j").applyInArrow(lambda t: _links(t, dim, threshold, exact), kind)
+    if not exact or len(centres) <= overlap:  # every two vectors share a shard
+        return near
+    apart = pairs_of_parts(placed.withColumn("shard", F.lit(-1)).withColumn("parts", F.lit(-(-n // PAIRED))))
+    return near.union(apart.groupBy("i", "j").applyInArrow(lambda t: _apart(t, dim, threshold), kind))
 
 
 def recall(df: DataFrame, found: DataFrame, sample: int = 200, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> float:

@@ -115,6 +115,22 @@ def test_links_of_planted_copies(spark, monkeypatch):
     assert near_vectors(df.limit(0)).collect() == []
 
 
+def test_exact_search_finds_links_across_shards(spark, monkeypatch):
+    """Far links run between vectors that share no shard; parts of 100 make several tiles of them."""
+    monkeypatch.setattr(flat_graph, "PAIRED", 100)
+    x = np.random.default_rng(7).normal(size=(900, 24)).astype(np.float32)
+    x[1] = x[0]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    sims = unit @ unit.T >= 0.5
+    low = np.arange(900)
+    for _ in range(900):
+        low = np.where(sims, low[None, :], 900).min(axis=1)
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)])
+    got = {r["id"]: (r["n_links"], r["component"]) for r in near_vectors(df, threshold=0.5, exact=True).collect()}
+    assert got == {i: (int(sims[i].sum()) - 1, int(low[i])) for i in range(900)}
+    assert sum(n for n, _ in got.values()) > sum(r["n_links"] for r in near_vectors(df, threshold=0.5).collect())
+
+
 # --- revisits -------------------------------------------------------------------------------------
 
 def test_canonical_urls(spark):
