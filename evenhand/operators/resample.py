@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand import vocab as V
+from evenhand.functions.draws import decimal_tails, draw_end, draws60, md5_words, multivariate_hypergeometric, text_tails
 from evenhand.functions.expr import count_where, digest, draw60, uniform_index
-from evenhand.functions.draws import multivariate_hypergeometric
 from evenhand.operators.cells import confusion_cells
 from evenhand.operators.metrics import Gates, disparity_wide
 from evenhand.operators.order import attach, exact_quantiles, hash_prefix, rank_cuts
+from evenhand.session import stored
 
 CELL_NAMES = ("tn", "fp", "fn", "tp")
 REPLICATE_SCHEMA = "b int, grp string, tn bigint, fp bigint, fn bigint, tp bigint"
@@ -47,57 +48,105 @@ def _complete(cells: DataFrame, by: tuple[str, ...] = ("b", "grp")) -> DataFrame
 
 
 def _exploded(df: DataFrame, row_id: str, replicates: int) -> DataFrame:
-    """Every row once per replicate. The narrow rows are spread by key first: the work grows by
-    the number of replicates, so it must not sit where the input files happened to be, nor be
-    coalesced by the size of the input."""
+    """Every row once per replicate, of rows from :func:`_spread`."""
+    return _spread(df, row_id).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+
+def _spread(df: DataFrame, row_id: str) -> DataFrame:
+    """The narrow rows, spread by key: the work grows by the number of replicates, so it must not sit
+    where the input files happened to be, nor be coalesced by the size of the input."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    narrow = df.select("y_true", "y_pred", row_id).repartition(tasks, F.col(row_id))
-    return narrow.select("y_true", "y_pred", row_id, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    return df.select("y_true", "y_pred", row_id).repartition(tasks, F.col(row_id))
 
 
-def _label_below(position: Column, ends: list[int], labels: list[str]) -> Column:
-    """Label of the first interval whose end is above the position."""
-    if len(labels) <= 64:
-        expr = F.lit(labels[-1])
-        for end, label in reversed(list(zip(ends, labels))):
-            expr = F.when(position < F.lit(end), F.lit(label)).otherwise(expr)
-        return expr
-    reached = F.filter(F.array(*[F.lit(e).cast("bigint") for e in ends]), lambda e: e <= position)
-    return F.array(*[F.lit(g) for g in labels])[F.size(reached)]
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes that occur, and how often."""
+    if len(codes) and codes.max() < 4 * len(codes):
+        k = np.bincount(codes)
+        return np.flatnonzero(k), k[k > 0]
+    return np.unique(codes, return_counts=True)
 
 
-# --- replicates: rows inside groups ------------------------------------------------------------
+#: Rows of a batch that one step of draws takes at once.
+BATCH = 1 << 14
+#: A replicate's rows of a task, folded: how often each label and prediction (null: 2) stand at a key.
+FOLDED_SCHEMA = "b int, key string, y int, p int, k bigint"
 
-def row_replicates_slots(cells: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """n_g keyed draws per group and replicate; a draw picks a slot of the group's cells laid
-    end to end. The range of (replicate, row) numbers is the only big input."""
-    spark = cells.sparkSession
-    # half-open interval of row numbers per group, as one small table
-    layout = cells.select(
-        "grp", "n", *CELL_NAMES, (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("grp")) - F.col("n")).alias("start")
-    )
-    groups = layout.orderBy("start").collect()  # one row per group
-    total = sum(r["n"] for r in groups)
-    if total == 0:
-        return spark.createDataFrame([], REPLICATE_SCHEMA)
-    starts = F.array(*[F.lit(int(r["start"])) for r in groups])
-    draws = spark.range(0, replicates * total).select(
-        (F.col("id") / F.lit(total)).cast("int").alias("b"), (F.col("id") % F.lit(total)).alias("pos")
+
+def _folded_draws(df: DataFrame, replicates: int, row_id: str, mark: str, fold: Callable[[np.ndarray], Iterator]) -> DataFrame:
+    """``b, key`` with the cells of the rows at each key, from one keyed draw per row and replicate.
+
+    ``mark`` opens the text that is digested. ``fold`` takes the digests of a batch, and gives places of rows (null:
+    all) with codes and the keys of the codes.
+    """
+    rows = _spread(df, row_id).select(
+        F.coalesce((F.col("y_true") == 1).cast("int"), F.lit(2)).alias("y"),
+        F.coalesce((F.col("y_pred") == 1).cast("int"), F.lit(2)).alias("p"), F.col(row_id).cast("string").alias("id"),
     )
-    # the last group that starts at or before the position
-    place = F.size(F.filter(starts, lambda s: s <= F.col("pos")))
-    draws = draws.withColumn("place", place).withColumn("slot", F.col("pos") - starts[F.col("place") - 1])
-    small = spark.createDataFrame(
-        [(i + 1, r["grp"], int(r["n"]), *[int(r[c]) for c in CELL_NAMES]) for i, r in enumerate(groups)],
-        "place int, grp string, n bigint, tn bigint, fp bigint, fn bigint, tp bigint",
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell = (batch["y"] * 3 + batch["p"]).to_numpy()
+            for places, tails in text_tails(batch["id"].tolist(), BATCH):
+                here, keyed, numbers = cell[places], [], []
+                for b in range(replicates):
+                    # a null id is left out of the text, as concat_ws does
+                    prefix = f"{mark}|{b}" if batch["id"].iloc[places[0]] is None else f"{mark}|{b}|"
+                    words = md5_words(prefix.encode(), tails)
+                    for rows_of, codes, keys in fold(words):
+                        both, k = _counted(codes * 9 + (here if rows_of is None else here[rows_of]))
+                        keyed += [keys[c] for c in (both // 9).tolist()]
+                        numbers.append(np.stack([np.full(len(both), b), both % 9 // 3, both % 3, k]))
+                found = np.concatenate(numbers, axis=1)
+                yield pd.DataFrame({"b": found[0], "key": keyed, "y": found[1], "p": found[2], "k": found[3]})
+
+    found = rows.mapInPandas(run, FOLDED_SCHEMA)
+    y, p, k = F.col("y"), F.col("p"), F.col("k")
+
+    def count(cond: Column) -> Column:
+        return F.sum(F.when(cond, k).otherwise(F.lit(0))).cast("bigint")
+
+    return found.groupBy("b", "key").agg(
+        F.sum(k).alias("n"), count(y == 1).alias("pos_n"), count(y == 0).alias("neg_n"), count(p == 1).alias("sel_n"),
+        count((y == 0) & (p == 0)).alias("tn"), count((y == 0) & (p == 1)).alias("fp"),
+        count((y == 1) & (p == 0)).alias("fn"), count((y == 1) & (p == 1)).alias("tp"),
     )
-    drawn = attach(draws, small, ["place"], "inner")
-    slot = uniform_index(draw60(F.lit(seed), "b", "grp", "slot"), F.col("n"))
-    a, b_, c = F.col("tn"), F.col("tn") + F.col("fp"), F.col("tn") + F.col("fp") + F.col("fn")
-    cell = F.when(F.col("u") < a, "tn").when(F.col("u") < b_, "fp").when(F.col("u") < c, "fn").otherwise("tp")
-    picked = drawn.withColumn("u", slot).select("b", "grp", cell.alias("cell"))
-    out = picked.groupBy("b", "grp").agg(*[count_where(F.col("cell") == x).alias(x) for x in CELL_NAMES])
-    return _complete(out)
+
+
+# --- replicates: rows inside groups ------------------------------------------------------------
+
+#: Draws of a row of work; a task takes such rows one after the other.
+CHUNK = 1 << 15
+
+
+def row_replicates_slots(cells: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+    """n_g keyed draws per group and replicate; a draw picks a slot of the group's cells laid end to end.
+
+    A draw is compared with the ends of the cells. Groups and replicates are cut into chunks of draws, which are
+    spread by key before they become draws, and each folds to counts.
+    """
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = F.col("n").cast("bigint")
+    chunks = cells.filter("n > 0").select("grp", n.alias("n"), *CELL_NAMES, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / CHUNK).cast("bigint"))
+    chunks = chunks.select("*", F.explode(parts).alias("part")).repartition(tasks, "b", "grp", "part")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = np.zeros((len(batch), len(CELL_NAMES)), dtype=np.int64)
+            counts = batch[list(CELL_NAMES)].to_numpy(dtype=np.int64)
+            for i, (b, g, n, part) in enumerate(zip(batch["b"], batch["grp"], batch["n"], batch["part"])):
+                ends = [draw_end(int(x), n) for x in np.cumsum(counts[i])]
+                prefix = "|".join(str(x) for x in (seed, b, g) if x is not None) + "|"
+                below = np.zeros(len(ends), dtype=np.int64)
+                for _, tails in decimal_tails(part * CHUNK, min(n, (part + 1) * CHUNK)):
+                    u = draws60(md5_words(prefix.encode(), tails))
+                    below += [int((u < np.uint64(e)).sum()) for e in ends]
+                out[i] = np.diff(below, prepend=0)
+            yield pd.DataFrame({"b": batch["b"], "grp": batch["grp"], **dict(zip(CELL_NAMES, out.T))})
+
+    found = chunks.mapInPandas(draw, REPLICATE_SCHEMA)
+    return _complete(found.groupBy("b", "grp").agg(*[F.sum(c).alias(c) for c in CELL_NAMES]))
 
 
 def row_replicates_cells(cells: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
@@ -404,12 +453,66 @@ def cluster_bootstrap(
 
 # --- negative controls -----------------------------------------------------------------------------------
 
+#: Standard errors that the windows around the wanted ranks reach to either side.
+REACH = 8
+
+
+def rank_windows(ranks: list[int], total: int) -> list[tuple[int, int]]:
+    """Ranges of draws in which the rows of the given ranks lie, apart from one case in 10^14: digests are uniform, so
+    the place of a rank is known up to a few standard errors. Ranges that touch are one."""
+    out: list[tuple[int, int]] = []
+    for r in sorted(ranks):
+        wide = int(REACH * (r * (total - r) / total) ** 0.5) + REACH
+        low, high = draw_end(r - wide, total), draw_end(r + wide, total)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
 def permuted_replicates_slots(df: DataFrame, replicates: int, row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    """Shuffle labels over rows: in each replicate rows are ordered by digest and labels dealt
-    in group order. Only the ranks where the label changes matter, so they are found as exact
-    cuts; nothing is sorted as a whole."""
+    """Shuffle labels over rows: in each replicate rows are ordered by digest and labels dealt in group order.
+
+    Only the rows near a rank where the label changes must be ordered. One scan keeps those apart, by windows of
+    draws, and folds the rows between two windows to their cells; running totals over both deal the labels. Where a
+    rank lies outside its window, or groups are many, cuts found by rank deal them (:func:`_permuted_by_cuts`).
+    """
     counts = df.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     groups = sorted((r["grp"], r["n"]) for r in counts.collect())  # one row per group
+    ranks = [int(x) for x in np.cumsum([n for _, n in groups])[:-1]]
+    total = sum(n for _, n in groups)
+    if not 0 < len(ranks) < 64:
+        return _permuted_by_cuts(df, groups, replicates, row_id, seed)
+    edges = np.array([e for window in rank_windows(ranks, total) for e in window], dtype=np.uint64)
+    between = {i: f"{int(edges[i - 1]):015x}" if i else "" for i in range(0, len(edges) + 1, 2)}  # where the window before ends
+
+    def fold(words: np.ndarray) -> Iterator:
+        part = np.searchsorted(edges, draws60(words), side="right")
+        inside = part % 2 == 1
+        out = np.flatnonzero(~inside)
+        yield out, part[out], between
+        some = np.flatnonzero(inside)
+        yield some, np.arange(len(some)), [x.tobytes().hex() for x in words[:, some].T.astype("<u4")]
+
+    ordered = _folded_draws(df, replicates, row_id, str(seed), fold).withColumn(
+        "low", F.sum("n").over(Window.partitionBy("b").orderBy("key")) - F.col("n")
+    )
+    label, cut = F.lit(0), F.lit(False)
+    for r in ranks:
+        label = label + (F.col("low") >= r).cast("int")
+        cut = cut | ((F.col("low") < r) & (F.col("low") + F.col("n") > r))
+    folded = F.length("key") < 32
+    dealt = ordered.withColumn("grp", F.array(*[F.lit(g) for g, _ in groups])[label]).withColumn("cut", (folded & cut).cast("int"))
+    names = ["n", "pos_n", "neg_n", "sel_n", *CELL_NAMES]
+    cells = stored(dealt.groupBy("b", "grp").agg(*[F.sum(c).alias(c) for c in names], F.max("cut").alias("cut")))
+    if cells.filter("cut > 0").limit(1).count():
+        return _permuted_by_cuts(df, groups, replicates, row_id, seed)
+    return cells.drop("cut")
+
+
+def _permuted_by_cuts(df: DataFrame, groups: list[tuple[str, int]], replicates: int, row_id: str, seed: int) -> DataFrame:
+    """The ranks where the label changes as exact cuts; nothing is sorted as a whole."""
     spark = df.sparkSession
     bounds, upto = [], 0
     for i, (_, n) in enumerate(groups[:-1]):
@@ -465,12 +568,13 @@ def random_group_replicates(df: DataFrame, replicates: int, row_id: str = "row_i
     edges, upto = [], 0
     for _, n in groups[:-1]:
         upto += n
-        edges.append(upto)
-    u = uniform_index(draw60(F.lit(f"{seed}r"), "b", row_id), F.lit(total))
-    dealt = _exploded(df, row_id, replicates).withColumn("u", u).select(
-        "b", "y_true", "y_pred", _label_below(F.col("u"), edges, [g for g, _ in groups]).alias("grp")
-    )
-    return confusion_cells(dealt, ("b", "grp"))
+        edges.append(draw_end(upto, total))
+    ends, labels = np.array(edges, dtype=np.uint64), [g for g, _ in groups]
+
+    def fold(words: np.ndarray) -> Iterator:
+        yield None, np.searchsorted(ends, draws60(words), side="right"), labels
+
+    return _folded_draws(df, replicates, row_id, f"{seed}r", fold).withColumnRenamed("key", "grp")
 
 
 def random_group_replicates_cells(df: DataFrame, replicates: int, seed: int = 42) -> DataFrame:

@@ -147,3 +147,76 @@ def test_production_bootstraps_draw_500_replicates(spark):
     load()
     for name in ("bootstrap_ci_fast", "cluster_bootstrap_ci_fast"):
         assert {r["requested"] for r in QUERIES[name](spark, "/root/testdata/sf0.001").select("requested").collect()} == {500}
+
+
+def test_digests_of_whole_columns():
+    """Words of every length and number of blocks are those of hashlib."""
+    import hashlib
+
+    from evenhand.functions.draws import decimal_tails, draw_end, draws60, md5_words, text_tails
+
+    for prefix in (b"", b"42|3|q1|", b"x" * 50, b"y" * 61, b"z" * 130):
+        for first, tails in decimal_tails(7, 1203):
+            words = md5_words(prefix, tails)
+            want = [hashlib.md5(prefix + str(first + i).encode()).hexdigest() for i in range(len(tails))]
+            assert [w.tobytes().hex() for w in words.T.astype("<u4")] == want
+            assert draws60(words).tolist() == [int(h[:15], 16) for h in want]
+    texts = ["é", None, "", "ab", "cd", "abc"]
+    seen = {int(p): bytes(t) for places, tails in text_tails(texts) for p, t in zip(places, tails)}
+    assert seen == {i: (x or "").encode() for i, x in enumerate(texts)}
+    for size in (1, 7, 10**9 + 7, 2**62):
+        for index in (0, 1, size // 3, size - 1, size):
+            end = draw_end(index, size)
+            assert (end == 0 or ((end - 1) * size) >> 60 < index) and (end == 1 << 60 or (end * size) >> 60 >= index)
+
+
+def test_slots_replay_by_hand(spark):
+    """Chunks of draws and long labels give the draws of every single slot."""
+    import hashlib
+
+    cells = spark.createDataFrame([("g" * 70, 40, 5, 0, 25, 10), ("b", 3, 0, 3, 0, 0)], "grp string, n bigint, tn bigint, fp bigint, fn bigint, tp bigint")
+    got = {(r.b, r.grp): (r.tn, r.fp, r.fn, r.tp) for r in B.row_replicates_slots(cells, 4).collect()}
+    for r in cells.collect():
+        ends = [r.tn, r.tn + r.fp, r.tn + r.fp + r.fn, r.n]
+        for b in range(4):
+            want = [0, 0, 0, 0]
+            for i in range(r.n):
+                u = (int(hashlib.md5(f"42|{b}|{r.grp}|{i}".encode()).hexdigest()[:15], 16) * r.n) >> 60
+                want[next(k for k, e in enumerate(ends) if u < e)] += 1
+            assert got[b, r.grp] == tuple(want)
+
+
+@pytest.mark.parametrize("reach", [8, 0])
+def test_folded_permutation_deals_as_the_whole_order(spark, monkeypatch, reach):
+    """Rows between the windows are never ordered one by one; a rank outside its window is found by cuts."""
+    import hashlib
+
+    monkeypatch.setattr(B, "REACH", reach)
+    rows = [(f"k{i}", i % 2, i % 3 % 2, "AB"[i % 5 == 0]) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "row_id string, y_true int, y_pred int, grp string")
+    if reach == 8:
+        low, high = B.rank_windows([16_000], 20_000)[0]
+        assert (high - low) / (1 << 60) < 0.05  # what is ordered shrinks with the root of the rows
+    got = {(r.b, r.grp): (r.n, r.tp, r.tn) for r in B.permuted_replicates_slots(df, 2).collect()}
+    for b in range(2):
+        order = sorted(rows, key=lambda r: hashlib.md5(f"42|{b}|{r[0]}".encode()).hexdigest())
+        for g, part in (("A", order[:16_000]), ("B", order[16_000:])):
+            assert got[b, g] == (len(part), sum(r[1] & r[2] for r in part), sum((1 - r[1]) & (1 - r[2]) for r in part))
+
+
+def test_random_groups_by_hand(spark):
+    """Null ids and labels that are null count as they do row by row."""
+    import hashlib
+
+    rows = [(str(i) if i % 4 else None, i % 2, None if i == 3 else i % 3 % 2, "ABC"[i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id string, y_true int, y_pred int, grp string")
+    got = {(r.b, r.grp): (r.n, r.tp, r.sel_n, r.pos_n) for r in B.random_group_replicates(df, 3).collect()}
+    want = {}
+    for b in range(3):
+        for i, y, p, _ in rows:
+            key = f"42r|{b}" + (f"|{i}" if i is not None else "")
+            u = (int(hashlib.md5(key.encode()).hexdigest()[:15], 16) * 40) >> 60
+            g = "A" if u < 14 else "B" if u < 27 else "C"
+            n, tp, s, q = want.get((b, g), (0, 0, 0, 0))
+            want[b, g] = (n + 1, tp + (y == 1 and p == 1), s + (p == 1), q + (y == 1))
+    assert got == want
