@@ -20,7 +20,7 @@ from evenhand.operators.units import with_reweighing
 from evenhand.plans import benchmark as B
 from evenhand.plans import report as T
 from evenhand.plans.evaluate import AuditConfig
-from evenhand.session import stored
+from evenhand.session import dealt, stored
 
 ROC = """K AS (SELECT grp, y_prob, sum(y_true) AS p, sum(1 - y_true) AS q FROM {f} GROUP BY grp, y_prob),
 Q AS (SELECT grp, y_prob AS threshold, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY grp) AS pos_all,
@@ -142,7 +142,8 @@ def _prepared(spark, sf):
     frame = order_frame(spark, sf).drop("y_prob", "y_pred")
     split = S.stratified_split(frame, "y_true", "row_id")
     prep = L.fit_preprocessor(split.filter(F.col("split") == "train"), L.Features.of(frame, FEATURES))
-    return stored(prep.transform(split).select("row_id", "y_true", "grp", "split", "features"))  # fits read it many times
+    # fits read it many times
+    return stored(dealt(prep.transform(split).select("row_id", "y_true", "grp", "split", "features"), "row_id"))
 
 
 SPLIT_ORDERS = f"""{ORDER_SQL}, X AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5('42|' || row_id)) AS r,
@@ -300,7 +301,8 @@ def feature_elimination(spark, sf):
         "day": F.dayofyear("ts").cast("double"), "month": F.month("ts").cast("double"), "year": F.year("ts").cast("double"),
         "urgency": F.substring("o_orderpriority", 1, 1).cast("double"),
     }
-    slim = stored(frame.select("y_true", "grp", "split", *[c.alias(k) for k, c in columns.items()]))
+    slim = frame.select("row_id", "y_true", "grp", "split", *[c.alias(k) for k, c in columns.items()])
+    slim = stored(dealt(slim, "row_id").drop("row_id"))
     part = lambda name: slim.filter(F.col("split") == name).drop("split")
     _, log = L.eliminate_features(part("train"), part("val"), list(columns))
     return log

@@ -65,6 +65,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task that works on rows from :func:`dealt`.
+TASK_ROWS = 10_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows spread by key over as many tasks as their number asks for, up to the session's shuffle partitions.
+
+    A table in one file with one row group is one task, however many rows it has, and so is all that is fitted on it.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(max(1, min(most, -(-df.count() // TASK_ROWS))), *keys)
+
+
 def stored_bytes(table: DataFrame) -> int:
     """Size of the files of a table from :func:`stored`."""
     spark, size = table.sparkSession, 0

@@ -140,3 +140,18 @@ def test_benchmark_queries_run_the_whole_suite(spark, monkeypatch):
     assert len(accuracy) == 15 and all(r["runs"] == 5 for r in accuracy)
     delta = {r["metric"]: r for r in modelling.benchmark_deltas(spark, sf).collect()}["accuracy"]
     assert delta["seeds_count"] == 5 and len(calls) == done  # both read the store
+
+
+def test_fits_are_dealt_over_tasks(spark, monkeypatch, tmp_path):
+    """Rows of one file with one row group are one task; what is fitted on them must not stay one."""
+    from evenhand import session
+
+    path = str(tmp_path / "one")
+    spark.range(4000).select(F.col("id").alias("row_id")).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    parts = session.dealt(one, "row_id")
+    assert one.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() == 4
+    assert parts.distinct().count() == 4000 and session.dealt(one.limit(0), "row_id").rdd.getNumPartitions() == 1
+    read = session.stored(parts)
+    assert len(read.inputFiles()) == 4
