@@ -21,7 +21,7 @@ from evenhand.operators.frames import categorical_columns, numeric_columns
 from evenhand.operators.ranking import nearest_controls
 from evenhand.operators.splits import require_no_holdout, stratified_folds
 from evenhand.operators.units import with_reweighing
-from evenhand.session import durable
+from evenhand.session import dealt, durable, stored
 
 
 # --- preprocessing -----------------------------------------------------------------------------------
@@ -361,8 +361,10 @@ def effect_estimates(
 ) -> DataFrame:
     """G-computation, effect on the treated, IPW and matched difference on the test rows.
 
-    Outcome and propensity models fit on train with balanced classes.
+    Outcome and propensity models fit on train with balanced classes. Rows and scores are read many times: both are
+    dealt over tasks and written once.
     """
+    train, test = stored(dealt(train, row_id)), stored(dealt(test, row_id))
     n = train.count()
 
     def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -386,7 +388,7 @@ def effect_estimates(
 
     scored = outcome_under(outcome_under(test, 0, "p0"), 1, "p1")
     scored = t_model.transform(prep_t.transform(scored)).withColumn("propensity", vector_to_array("probability")[1])
-    scored = scored.select(*keep, (F.col("p1") - F.col("p0")).alias("effect"), "propensity")
+    scored = stored(scored.select(*keep, (F.col("p1") - F.col("p0")).alias("effect"), "propensity"))
     means = weighted_effect(scored, "effect", "propensity", treated)
     clipped = scored.withColumn("propensity", F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("propensity"))))
     matched = matched_difference(clipped, "propensity", outcome, treated, row_id).select("matched_difference").scalar()
