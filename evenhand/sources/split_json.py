@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a range. A task holds one range, and the entry that leads out of it.
 RANGE_BYTES = 4 << 20
+#: Entries of a range that are rows at once; a range of small entries holds a hundred thousand.
+BATCH_ENTRIES = 4096
 
 _QUOTE, _BACK, _COMMA = 0x22, 0x5C, 0x2C
 _DEPTH = np.zeros(256, dtype=np.int8)
@@ -71,10 +74,16 @@ def marks(data: bytes, escaped: bool) -> tuple[np.ndarray, np.ndarray]:
     quotes = np.flatnonzero(buf == _QUOTE)
     back = buf == _BACK
     if len(quotes) and (escaped or back.any()):
-        solid = np.flatnonzero(~back)  # the run of backslashes before a quote begins after the last other byte
-        before = np.searchsorted(solid, quotes) - 1
-        last = np.where(before >= 0, solid[np.maximum(before, 0)], -1)
-        run = quotes - last - 1 + ((last < 0) & escaped)
+        at = np.flatnonzero(back)  # a run of backslashes counts if it ends right before a quote
+        first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        size = np.diff(first, append=len(at)) + ((at[first] == 0) & escaped)
+        ends = at[np.append(first[1:], len(at)) - 1] if len(at) else at
+        place = np.searchsorted(ends, quotes - 1)
+        run = np.zeros(len(quotes), dtype=np.int64)
+        near = np.minimum(place, max(0, len(ends) - 1))
+        if len(ends):
+            run = np.where(ends[near] == quotes - 1, size[near], 0)
+        run += (quotes == 0) & escaped
         quotes = quotes[run % 2 == 0]
     return quotes, np.flatnonzero(_MARK[buf])
 
@@ -180,13 +189,15 @@ def json_entries(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     """
     found = _dealt(placed(summaries(ranges(spark, path, range_bytes))))
 
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 with Source(row[0]) as src:
-                    rows = [(row[0], *_entry(*e)) for e in entries_of(src, *row[1:])]
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "at", "key", "value", "problem"])
+                    found = entries_of(src, *row[1:])
+                    while rows := [(row[0], *_entry(*e)) for e in islice(found, BATCH_ENTRIES)]:
+                        yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "at", "key", "value", "problem"])
 
     return found.mapInArrow(run, "file string, at bigint, key string, value string, problem string")
 

@@ -83,3 +83,24 @@ def test_ranges_of_one_file_are_read_by_many_tasks(spark, tmp_path):
     entries = json_entries(spark, str(tmp_path), 256)
     assert entries.agg(F.sum(F.col("value").cast("int"))).first()[0] == sum(range(5000))
     assert entries.rdd.getNumPartitions() > 1
+
+
+def test_marks_of_any_run_of_backslashes(monkeypatch):
+    """Quotes after odd runs are skipped, also where a run began before the bytes; no list as long as the bytes is made."""
+    import itertools
+
+    from evenhand.sources import split_json as J
+
+    longest = []
+    keep = J.np.flatnonzero
+    monkeypatch.setattr(J.np, "flatnonzero", lambda x: longest.append(len(keep(x))) or keep(x))
+    J.marks(b'a' * 5000 + b'\\"', False)
+    assert max(longest) < 10
+    for text in itertools.product(b'a"\\', repeat=6):
+        for escaped in (False, True):
+            want, odd = [], escaped
+            for i, c in enumerate(text):
+                if c == 0x22 and not odd:
+                    want.append(i)
+                odd = c == 0x5C and not odd
+            assert J.marks(bytes(text), escaped)[0].tolist() == want
