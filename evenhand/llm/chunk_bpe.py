@@ -7,7 +7,8 @@ a word; those ends are joined with their neighbours and encoded anew. A join hol
 words around it gives the same ids as the pieces; if not, the piece re-encoded grows on both sides until it does.
 
 The tokenizer must drop white space before its model sees a word (as the default vocabulary does); then white space is
-a safe cut. Text moves once, compressed; the ids of shared chunks move once per block that needs them.
+a safe cut. Chunks are counted where the texts lie. Text moves once, compressed, for encoding shared chunks and whole
+texts in one query; the ids of shared chunks move once per block that needs them.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.blocks import layout, table_of
+from evenhand.llm.blocks import layout, runs_of, table_of
 from evenhand.llm.scratch import Scratch
-from evenhand.llm.words import BASES, give_back, mix, powers, powers_at, tidy, tidy_both, tidy_map, U64
+from evenhand.llm.words import BASES, give_back, mix, powers, powers_at, tidy_both, tidy_map, U64
 
 #: Bytes under the rolling hash, and a chunk's mean length as a power of two.
 ROLL = 32
@@ -259,13 +260,20 @@ def encode(
         z = zstandard.ZstdDecompressor()
         return [z.decompress(x) for x in t["body"].to_pylist()]
 
-    def count(t: pa.Table) -> pa.Table:
-        k = np.column_stack(Chunks(texts_of(t)).keys)
-        k, n = np.unique(k, axis=0, return_counts=True) if len(k) else (k, np.zeros(0, np.int64))
-        return pa.table([pa.array(np.full(len(k), t["block"][0].as_py(), np.int32)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(n)], names=["block", "h1", "h2", "n"])
-
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x or b"" for x in b.column("body").to_pylist()]
+            block = b.column("block").to_numpy()
+            for i, j in runs_of(texts, BLOCK_BYTES):
+                ch = Chunks(texts[i:j])
+                k = np.column_stack([np.repeat(block[i:j].astype(np.int64), np.diff(ch.first)), *ch.keys])
+                k, n = np.unique(k, axis=0, return_counts=True)
+                yield pa.record_batch([pa.array(k[:, 0].astype(np.int32)), pa.array(k[:, 1]), pa.array(k[:, 2]), pa.array(n)], names=["block", "h1", "h2", "n"])
+
+    # chunks are counted where the texts lie: only their keys move
+    counted = given.select("block", "body").mapInArrow(tidy_map(count), KEYS)
     scratch = Scratch(docs.sparkSession)
-    seen = scratch.table(base.groupBy("block").applyInArrow(tidy(count), KEYS))
+    seen = scratch.table(counted.groupBy("block", "h1", "h2").agg(F.sum("n").alias("n")))
     owners = seen.groupBy("h1", "h2").agg(F.sum("n").alias("all"), F.min("block").alias("owner")).filter("all > 1")
     shared = scratch.table(seen.join(owners.select("h1", "h2", "owner"), ["h1", "h2"]).select("block", "h1", "h2", "owner"))
 
@@ -284,9 +292,10 @@ def encode(
         return table_of(rows, [("h1", pa.int64()), ("h2", pa.int64()), ("ids", pa.binary())])
 
     mine = shared.filter("block = owner").select("block", "h1", "h2")
-    owned = scratch.table(base.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(tidy_both(own), GIVEN))
+    # not written first: within the query of the last step it reads the same shuffle of the texts, alone it would make another
+    owned = base.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(tidy_both(own), GIVEN)
     handed = shared.select("block", "h1", "h2").join(owned, ["h1", "h2"])
-    scratch.drop([shared, owned])
+    scratch.drop([shared])
 
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
         enc, z = Encoder.get(path), zstandard.ZstdDecompressor()

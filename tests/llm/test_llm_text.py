@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from evenhand.llm import blocks, chunk_bpe, ngram_trie
@@ -332,6 +333,24 @@ def test_encoding_and_decoding_match_the_library(spark):
     assert encode(df.limit(0), vocabulary()).collect() == []
 
 
+def shuffled(spark):
+    """Bytes written to shuffles, by stage; old stages are forgotten in long sessions."""
+    none, store = spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, none, None)
+    return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_texts_move_once(spark):
+    rng = random.Random(4)
+    passage = " ".join(str(rng.random()) for _ in range(600))
+    texts = [" ".join(str(rng.random()) for _ in range(1000)) + passage * (i % 8 == 0) for i in range(120)] + ["", None]
+    packed = sum(len(zstandard.compress((t or "").encode())) for t in texts)
+    before = max(shuffled(spark), default=-1)
+    got = encode(spark.createDataFrame(list(enumerate(texts)), DOCS), vocabulary()).collect()
+    assert {r["id"]: r["ids"] for r in got} == dict(enumerate(Encoder.get(vocabulary()).plain([(t or "").encode() for t in texts])))
+    assert 0.9 * packed < sum(n for s, n in shuffled(spark).items() if s > before) < 1.5 * packed
+
+
 def test_chunks_follow_content_and_pieces_agree():
     texts = [(t or "").encode() for t in odd_texts()]
     ch = Chunks(texts)
