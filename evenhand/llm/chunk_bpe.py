@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.blocks import layout, runs_of, table_of
+from evenhand.llm.blocks import layout, table_of
 from evenhand.llm.scratch import Scratch
 from evenhand.llm.words import BASES, give_back, mix, powers, powers_at, tidy_both, tidy_map, U64
 
@@ -249,7 +250,7 @@ def encode(
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            body = pa.array([z.compress(t or b"") for t in b.column("body").to_pylist()], pa.binary())
+            body = pa.array([z.compress(t.as_py() or b"") for t in b.column("body")], pa.binary())
             yield pa.record_batch([*b.columns[:-1], body], names=b.schema.names)
         give_back()
 
@@ -262,13 +263,16 @@ def encode(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x or b"" for x in b.column("body").to_pylist()]
-            block = b.column("block").to_numpy()
-            for i, j in runs_of(texts, BLOCK_BYTES):
-                ch = Chunks(texts[i:j])
+            body, block = b.column("body"), b.column("block").to_numpy()
+            size = pc.fill_null(pc.binary_length(body), 0).to_numpy().astype(np.int64)
+            cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // BLOCK_BYTES)) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(body)]):  # a batch may hold many blocks' worth of text
+                ch = Chunks([x or b"" for x in body.slice(i, j - i).to_pylist()])
                 k = np.column_stack([np.repeat(block[i:j].astype(np.int64), np.diff(ch.first)), *ch.keys])
                 k, n = np.unique(k, axis=0, return_counts=True)
                 yield pa.record_batch([pa.array(k[:, 0].astype(np.int32)), pa.array(k[:, 1]), pa.array(k[:, 2]), pa.array(n)], names=["block", "h1", "h2", "n"])
+                del ch
+            give_back()
 
     # chunks are counted where the texts lie: only their keys move
     counted = given.select("block", "body").mapInArrow(tidy_map(count), KEYS)
