@@ -10,17 +10,22 @@
    within the radius to its neighbours until no more are found. Each find is a cosine in double precision, so no link
    is below the threshold; how many are missed is measured by ``recall``.
 5. A pair is counted in the first shard that both share, so overlapping shards do not count it twice.
-6. Where every link is asked for (``exact``), each tile compares all its pairs after the walk, and vectors without a
-   common shard meet in tiles of their own. All pairs are compared then: the work is the square of the vectors, dealt
-   over tiles of at most ``2 * PAIRED`` of them.
+6. Where every link is asked for (``exact``), all pairs are compared after the walk: the work is the square of the
+   vectors. They are written once in blocks of about ``PAIRED``; a task holds some blocks, reads the others one after
+   the other from the shared folder, and gives back one row per vector it found links of. So disk is in proportion to
+   the vectors, and no vector is moved or copied for a pair. Links count from these pairs; the components of the walk
+   are joined where a pair links two of them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +36,9 @@ THRESHOLD = 0.9
 OVERLAP = 3
 PART = 512
 #: Vectors that place the centres, and the most centres there are; larger shards are dealt into parts.
-SAMPLE, CENTRES = 16_384, 1024
+SAMPLE, CENTRES = 16_384, 4096
 DEGREE, POOL, ALPHA, BEAM, MEDOIDS = 24, 64, 1.2, 24, 4
-#: Vectors of a part where vectors without a common shard meet.
+#: Vectors of a block where all pairs are compared.
 PAIRED = 1024
 #: Far neighbours that every vector gets besides, to keep tiles connected.
 FAR = 2
@@ -71,7 +76,7 @@ def centres_of(vectors: DataFrame, dim: int, n: int) -> np.ndarray:
     k = int(min(CENTRES, len(some), max(1, -(-OVERLAP * n // (PART * 3 // 4)))))
     c = some[np.linspace(0, len(some) - 1, k).astype(int)].copy()
     for _ in range(8):
-        near = (some @ c.T).argmax(axis=1)
+        near = np.concatenate([(some[a : a + 1024] @ c.T).argmax(axis=1) for a in range(0, len(some), 1024)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, some)
         size = np.sqrt((sums**2).sum(axis=1))
@@ -182,7 +187,7 @@ def _roots(found: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _links(t: pa.Table, dim: int, threshold: float, exact: bool = False) -> pa.Table:
+def _links(t: pa.Table, dim: int, threshold: float) -> pa.Table:
     """``rep, links, root`` for the vectors of one tile."""
     rep, part = t["rep"].to_numpy(), t["part"].to_numpy()
     shard, i, j = t["shard"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
@@ -199,8 +204,6 @@ def _links(t: pa.Table, dim: int, threshold: float, exact: bool = False) -> pa.T
     adjacency = np.full((len(rep), max(1, count.max(initial=0))), -1)
     adjacency[owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)] = place
     found = walk(x, adjacency, threshold)
-    if exact:
-        found |= _within(x, threshold)
     a, b = np.nonzero(found)
     right = _first_common(np.array(t["shards"].to_pylist()), a, b) == shard
     if i != j:
@@ -209,29 +212,98 @@ def _links(t: pa.Table, dim: int, threshold: float, exact: bool = False) -> pa.T
     return pa.table([pa.array(rep), pa.array(links), pa.array(rep[_roots(found)])], names=["rep", "links", "root"])
 
 
-def _within(x: np.ndarray, threshold: float) -> np.ndarray:
-    """All pairs of a tile that are within the radius."""
-    found = x @ x.T >= threshold
-    found |= found.T
-    np.fill_diagonal(found, False)
-    return found
-
+def _close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of two blocks within the radius: in single precision, and in double where that leaves it open."""
+    sims = x.astype(np.float32) @ y.astype(np.float32).T
+    off = (x.shape[1] + 4) * 2.0**-23  # more than rounding can do to a cosine
+    a, b = np.nonzero(sims >= threshold - off)
+    open_ = np.flatnonzero(sims[a, b] < threshold + off)
+    keep = np.ones(len(a), dtype=bool)
+    for k in range(0, len(open_), 1 << 16):
+        some = open_[k : k + (1 << 16)]
+        keep[some] = np.einsum("ij,ij->i", x[a[some]], y[b[some]]) >= threshold
+    return a[keep], b[keep]
+
+
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after joining ``a`` and ``b``; ``parent`` holds roots, the smallest place of each set."""
+    for x, y in np.unique(np.stack([parent[a], parent[b]], axis=1), axis=0).tolist():
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return parent
+        parent = up
+
+
+def _all_pairs(placed: DataFrame, comp: DataFrame, dim: int, n: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """``rep, links, root`` from all pairs: a task's links of each vector, and a row for each two components it joins."""
+    spark, count = placed.sparkSession, -(-n // PAIRED)
+    known = placed.select("rep", "unit", "many").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    known = known.select(F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int").alias("block"), "rep", "unit", "many", F.coalesce("component", "rep").alias("comp"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        cells = [b"".join(t["unit"].to_pylist()), *(t[c].to_numpy().tobytes() for c in ("rep", "many", "comp"))]
+        return pa.table([t["block"][:1], *(pa.array([c], pa.binary()) for c in cells)], names=["block", "unit", "rep", "many", "comp"])
+
+    blocks = scratch.table(known.groupBy("block").applyInArrow(pack, "block int, unit binary, rep binary, many binary, comp binary"))
+    files = sorted(re.sub(r"^file:/+", "file:///", f) for f in blocks.inputFiles())
+
+    def read(columns: list[str]):
+        for uri in files:
+            fs, at = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_file(at) as f:
+                for b in pq.ParquetFile(f).iter_batches(batch_size=1, columns=columns):
+                    for i in range(b.num_rows):
+                        yield [b.column(c)[i].as_py() for c in columns]
 
-def _apart(t: pa.Table, dim: int, threshold: float) -> pa.Table:
-    """``rep, links, root`` of links between vectors that share no shard, in one tile of two parts."""
-    rep, part = t["rep"].to_numpy(), t["part"].to_numpy()
-    order = np.argsort(rep, kind="stable")
-    t, rep, part = t.take(pa.array(order)), rep[order], part[order]
-    many = t["many"].to_numpy()
-    found = _within(stack(t["unit"], dim), threshold)
-    if t["i"][0].as_py() != t["j"][0].as_py():
-        found &= part[:, None] != part[None, :]
-    a, b = np.nonzero(found)
-    shared = _first_common(np.array(t["shards"].to_pylist()), a, b) < np.iinfo(np.int64).max
-    found[a[shared], b[shared]] = False
-    a, b = a[~shared], b[~shared]
-    links = np.bincount(a, weights=many[b], minlength=len(rep)).astype(np.int64)
-    return pa.table([pa.array(rep), pa.array(links), pa.array(rep[_roots(found)])], names=["rep", "links", "root"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = {}
+        for b in batches:
+            for block, unit in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                mine[block] = np.frombuffer(unit, dtype=np.float64).reshape(-1, dim)
+        if not mine:
+            return
+        at, parts, size = {}, [], 0
+        for block, *cells in read(["block", "rep", "many", "comp"]):
+            parts.append([np.frombuffer(c, dtype=np.int64) for c in cells])
+            at[block], size = size, size + len(parts[-1][0])
+        rep, many, comp = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        names, parent = np.unique(comp, return_inverse=True)  # a set per component of the walk
+        sets, joined, links = parent, np.arange(len(names)), np.zeros(size, dtype=np.int64)
+        for other, unit in read(["block", "unit"]):
+            y, q = np.frombuffer(unit, dtype=np.float64).reshape(-1, dim), at[other]
+            for block, x in mine.items():
+                ahead = (other - block) % count  # each two blocks meet in the task of one of them
+                if 2 * ahead > count or (2 * ahead == count and block > other):
+                    continue
+                a, b = _close_pairs(x, y, threshold)
+                if not ahead:
+                    a, b = a[a < b], b[a < b]
+                p = at[block]
+                links[p : p + len(x)] += np.bincount(a, many[q + b], len(x)).astype(np.int64)
+                links[q : q + len(y)] += np.bincount(b, many[p + a], len(y)).astype(np.int64)
+                u, v = sets[p + a], sets[q + b]
+                new = joined[u] != joined[v]
+                if new.any():
+                    joined = _unite(joined, u[new], v[new])
+        some, met = np.flatnonzero(links), np.flatnonzero(joined != np.arange(len(joined)))
+        for k in range(0, len(some), 100_000):
+            part = some[k : k + 100_000]
+            yield pa.record_batch([pa.array(rep[part]), pa.array(links[part]), pa.array(rep[part])], names=["rep", "links", "root"])
+        for k in range(0, len(met), 100_000):
+            part = met[k : k + 100_000]
+            yield pa.record_batch([pa.array(names[part]), pa.array(np.zeros(len(part), dtype=np.int64)), pa.array(names[joined[part]])], names=["rep", "links", "root"])
+
+    tasks = max(1, min(count, 2 * spark.sparkContext.defaultParallelism))
+    dealt = blocks.select("block", "unit").repartition(tasks, F.pmod("block", F.lit(tasks)))
+    return dealt.mapInArrow(run, "rep bigint, links bigint, root bigint")
 
 
 def near_vectors(
@@ -255,7 +327,7 @@ def near_vectors(
     for r in sorted(classes.groupBy("dim").count().collect()):
         linked = linked.union(_search(classes.filter(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold, scratch, exact))
     linked = durable(linked)
-    comp = (components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
+    comp = components(linked.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     known = durable(classes.join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
         "dim", "unit", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
@@ -272,18 +344,18 @@ def _search(classes: DataFrame, dim: int, n: int, threshold: float, scratch: Scr
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near = np.sort(np.argsort(-(stack(b.column(1), dim) @ centres.T), axis=1, kind="stable")[:, :overlap], axis=1)
+                x = stack(b.column(1), dim)
+                near = np.concatenate([np.argpartition(-(x[a : a + 1024] @ centres.T), overlap - 1, axis=1)[:, :overlap] for a in range(0, len(x), 1024)])
+                near.sort(axis=1)
                 shards = pa.FixedSizeListArray.from_arrays(pa.array(near.astype(np.int32).ravel()), overlap).cast(pa.list_(pa.int32()))
                 yield pa.record_batch([*b.columns, shards], names=["rep", "unit", "many", "shards"])
 
     placed = durable(classes.select("rep", "unit", "many").mapInArrow(assign, "rep bigint, unit binary, many bigint, shards array<int>"))
     sizes = {r["shard"]: r["count"] for r in placed.select(F.explode("shards").alias("shard")).groupBy("shard").count().collect()}  # at most CENTRES rows
-    parts = F.element_at(F.array(*[F.lit(-(-sizes.get(s, 1) // PART)) for s in range(len(centres))]), F.col("shard") + 1)
+    parts = placed.sparkSession.createDataFrame([(s, -(-k // PART)) for s, k in sorted(sizes.items())], "shard int, parts int")
 
     def tiles(rows: DataFrame) -> DataFrame:
-        return pairs_of_parts(rows.withColumn("shard", F.explode("shards")).withColumn("parts", parts))
-
-    def pairs_of_parts(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("shard", F.explode("shards")).join(F.broadcast(parts), "shard")
         out = rows.withColumn("part", F.pmod(F.xxhash64("rep", "shard"), F.col("parts")).cast("int"))
         out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         return out.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "parts")
@@ -300,11 +372,12 @@ def _search(classes: DataFrame, dim: int, n: int, threshold: float, scratch: Scr
     flat = durable(graph.groupBy("rep").agg(F.collect_list("near").alias("near")))  # a list per tile of the vector
     ready = tiles(placed.join(flat, "rep"))
     kind = "rep bigint, links bigint, root bigint"
-    near = ready.groupBy("shard", "i", "j").applyInArrow(lambda t: _links(t, dim, threshold, exact), kind)
-    if not exact or len(centres) <= overlap:  # every two vectors share a shard
+    near = ready.groupBy("shard", "i", "j").applyInArrow(lambda t: _links(t, dim, threshold), kind)
+    if not exact:
         return near
-    apart = pairs_of_parts(placed.withColumn("shard", F.lit(-1)).withColumn("parts", F.lit(-(-n // PAIRED))))
-    return near.union(apart.groupBy("i", "j").applyInArrow(lambda t: _apart(t, dim, threshold), kind))
+    walked = durable(near.filter("rep <> root").select("rep", F.lit(0).cast("bigint").alias("links"), "root"))
+    comp = components(walked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    return walked.union(_all_pairs(placed, comp, dim, n, threshold, scratch))
 
 
 def recall(df: DataFrame, found: DataFrame, sample: int = 200, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> float:

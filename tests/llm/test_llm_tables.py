@@ -131,6 +131,33 @@ def test_exact_search_finds_links_across_shards(spark, monkeypatch):
     assert sum(n for n, _ in got.values()) > sum(r["n_links"] for r in near_vectors(df, threshold=0.5).collect())
 
 
+def test_exact_search_moves_no_vector_for_a_pair(spark, monkeypatch):
+    """Smaller blocks make more pairs of blocks, but neither more shuffle nor another result."""
+    x = np.random.default_rng(9).normal(size=(800, 48)).astype(np.float32)
+    df = vectors(spark, [(i, v, 0) for i, v in enumerate(x)])
+
+    def moved():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    found, bytes_moved = [], []
+    for paired in (800, 20):
+        monkeypatch.setattr(flat_graph, "PAIRED", paired)
+        before = moved()
+        found.append(sorted(r[:] for r in near_vectors(df, threshold=0.4, exact=True).collect()))
+        bytes_moved.append(moved() - before)
+    assert found[0] == found[1] and bytes_moved[1] < 1.5 * bytes_moved[0]
+
+
+def test_cosines_at_the_threshold_are_decided_in_double():
+    x = np.random.default_rng(3).normal(size=(200, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sims = np.einsum("ik,jk->ij", x, x)
+    for threshold in np.sort(sims[:20, 100:].ravel())[::97]:  # each is a cosine of the table
+        a, b = flat_graph._close_pairs(x, x, float(threshold))
+        assert len(a) == (np.einsum("ik,jk->ij", x, x) >= threshold).sum()
+
+
 # --- revisits -------------------------------------------------------------------------------------
 
 def test_canonical_urls(spark):
