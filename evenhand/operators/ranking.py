@@ -132,16 +132,11 @@ def nearest_controls(
         F.last("hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("left"),
         F.first("lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("right"),
     )
-    local = Window.partitionBy("b").orderBy("score")
+    # both frames begin at the edge they run from: one that ends at the last row is worked out anew for every row
+    rising, falling = (Window.partitionBy("b").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("score"), F.desc("score")))
     joined = binned.join(F.broadcast(carried), "b")  # one row per bucket
-    below = F.coalesce(
-        F.last("ctl", ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        F.col("left"),
-    )
-    above = F.coalesce(
-        F.first("ctl", ignorenulls=True).over(local.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        F.col("right"),
-    )
+    below = F.coalesce(F.last("ctl", ignorenulls=True).over(rising), F.col("left"))
+    above = F.coalesce(F.last("ctl", ignorenulls=True).over(falling), F.col("right"))
     both = joined.select("score", "has_treated", below.alias("below"), above.alias("above")).filter("has_treated = 1")
     near_below = F.col("above").isNull() | (
         F.col("below").isNotNull() & (F.col("score") - F.col("below.score") <= F.col("above.score") - F.col("score"))

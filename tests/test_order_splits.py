@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evenhand.operators import order as O
@@ -140,6 +141,15 @@ def test_nearest_controls_brute_force(spark):
         assert first[r.control_score] == r.control_id
 
 
+def test_nearest_controls_is_linear_in_a_bucket(spark):
+    """No frame of a bucket's rows ends at its last row: Spark works such a frame out anew for every row."""
+    df = spark.range(1000).selectExpr("id AS row_id", "id / 1000 AS score", "CAST(id % 3 = 0 AS INT) AS treated")
+    text = K.nearest_controls(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing$())" in K.nearest_controls(df).withColumn(
+        "x", F.first("score").over(Window.orderBy("score").rowsBetween(0, Window.unboundedFollowing)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing$())" not in text
+
+
 def test_redaction_order(spark):
     rows = [("a", 50), ("b", 9), ("c", 70), ("d", 70)]
     df = spark.createDataFrame(rows, "grp string, n bigint")
