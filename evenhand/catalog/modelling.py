@@ -16,6 +16,7 @@ from evenhand.operators import splits as S
 from evenhand.operators import thresholds as H
 from evenhand.operators.calibration import roc_curve
 from evenhand.operators.cells import confusion_cells
+from evenhand.operators.perceptron import fit_perceptron
 from evenhand.operators.units import with_reweighing
 from evenhand.plans import benchmark as B
 from evenhand.plans import report as T
@@ -139,11 +140,11 @@ def mixed_decisions(spark, sf):
 
 
 def _prepared(spark, sf):
-    frame = order_frame(spark, sf).drop("y_prob", "y_pred")
-    split = S.stratified_split(frame, "y_true", "row_id")
+    # cuts, encoders and fits read the rows many times: joined, split and encoded once each
+    frame = stored(dealt(order_frame(spark, sf).select("row_id", "y_true", "grp", *FEATURES), "row_id"))
+    split = stored(S.stratified_split(frame, "y_true", "row_id"))
     prep = L.fit_preprocessor(split.filter(F.col("split") == "train"), L.Features.of(frame, FEATURES))
-    # fits read it many times
-    return stored(dealt(prep.transform(split).select("row_id", "y_true", "grp", "split", "features"), "row_id"))
+    return stored(prep.transform(split).select("row_id", "y_true", "grp", "split", "features"))
 
 
 SPLIT_ORDERS = f"""{ORDER_SQL}, X AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5('42|' || row_id)) AS r,
@@ -268,18 +269,15 @@ def candidate_models(spark, sf):
     """Forest, calibrated SVM, perceptron and their soft vote at their full sizes, compared by utility."""
     ready = _prepared(spark, sf)
     train, test = ready.filter(F.col("split") == "train"), ready.filter(F.col("split") == "test")
-    inputs = len(ready.select("features").first()["features"])
-    fitted = {
-        "random_forest": L.forest().fit(train),
-        "calibrated_svm": L.CalibratedSVM().fit(train),
-        "perceptron": L.perceptron(inputs).fit(train),
-    }
-    scored = [L.score(m, test).withColumn("model", F.lit(k)) for k, m in fitted.items()]
-    scored.append(L.soft_vote(test, list(fitted.values())).withColumn("model", F.lit("soft_vote")))
-    out = None
-    for part in scored:
-        part = part.select("model", "grp", "y_true", "y_pred")
-        out = part if out is None else out.unionByName(part)
+    fitted = L.fitted_side_by_side(train, {
+        "random_forest": L.any_forest,
+        "calibrated_svm": lambda rows: L.CalibratedSVM().fit(rows),
+        "perceptron": fit_perceptron,
+    })
+    scored = L.scores_side_by_side(test, fitted)
+    votes = {**{k: F.col(k) for k in fitted}, "soft_vote": sum((F.col(k) for k in fitted), F.lit(0.0)) / len(fitted)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), (p >= 0.5).cast("int").alias("y_pred")) for k, p in votes.items()])).alias("d")
+    out = stored(scored.select("grp", "y_true", each).select("d.model", "grp", "y_true", "d.y_pred"))
     return L.candidate_metrics(out, ("model",))
 
 
