@@ -1,7 +1,7 @@
 """A multilayer perceptron as in Spark ML (sigmoid layers, softmax, cross-entropy, L-BFGS), on blocks of rows.
 
 Spark moves the sums: rows are written once in blocks, an evaluation is one pass over the blocks in tasks, and a row per
-task with loss and slope comes back. Matrix products of whole blocks take a fifth of the time of Spark ML's.
+task with loss and slope comes back.
 """
 
 from __future__ import annotations
